@@ -136,3 +136,75 @@ def ewm_means(df: DataFrame, w: WindowSpec, terms: dict[str, tuple[str, float]],
         step *= 2
     df = df.withColumns({out: ratio(F.col(n), F.col(d)) for out, (n, d, _) in state.items()})
     return df.drop(*[c for n, d, _ in state.values() for c in (n, d)])
+
+
+def rolling_by_lags(df: DataFrame, w: WindowSpec, n: int, terms: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Rolling sums, minima or maxima over n rows in log2(n) steps.
+
+    A sliding frame folds n rows again for every row. Here the fold over 2m rows is the
+    fold over m rows joined with the one m rows earlier, so a row costs a few lags of a
+    window that is partitioned and sorted once. Nothing is ever subtracted, so no digits
+    are lost. Rows without n rows behind them hold partial folds; guard them by row count.
+    """
+    neutral = {"sum": F.lit(0.0), "min": F.lit(float("inf")), "max": F.lit(float("-inf"))}
+    joins = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+    df = df.withColumns({f"__r0_{out}": F.coalesce(x.cast("double"), neutral[how]) for out, (x, how) in terms.items()})
+    top = n.bit_length() - 1
+    for k in range(top):
+        df = df.withColumns(
+            {
+                f"__r{k + 1}_{out}": joins[how](
+                    F.col(f"__r{k}_{out}"), F.coalesce(F.lag(f"__r{k}_{out}", 2**k).over(w), neutral[how])
+                )
+                for out, (_, how) in terms.items()
+            }
+        )
+    done = {}
+    for out, (_, how) in terms.items():
+        fold, reach = F.col(f"__r{top}_{out}"), 2**top
+        if how != "sum":
+            # overlapping halves do no harm to a minimum or maximum
+            done[out] = joins[how](fold, F.coalesce(F.lag(f"__r{top}_{out}", n - reach).over(w), neutral[how])) if n > reach else fold
+            continue
+        for k in range(top - 1, -1, -1):
+            if n & (1 << k):
+                fold = fold + F.coalesce(F.lag(f"__r{k}_{out}", reach).over(w), neutral[how])
+                reach += 2**k
+        done[out] = fold
+    df = df.withColumns(done)
+    return df.drop(*[f"__r{k}_{out}" for out in terms for k in range(top + 1)])
+
+
+def rolling_correlation(df: DataFrame, a: str, b: str, out: str, keys: Sequence[str], order: Sequence[str], n: int, shift: int = 0) -> DataFrame:
+    """Correlation over n rows ending ``shift`` rows back, null until n pairs are in or
+    while either side is flat. Sides are centred on their series mean first."""
+    w, whole = ordered(keys, order), Window.partitionBy(*keys)
+    pair = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.col(a) - F.avg(a).over(whole), F.col(b) - F.avg(b).over(whole)
+    df = df.withColumns({"__x": F.when(pair, x.cast("double")), "__y": F.when(pair, y.cast("double"))})
+    x, y = F.col("__x"), F.col("__y")
+    df = rolling_by_lags(
+        df,
+        w,
+        n,
+        {
+            "__n": (F.when(x.isNotNull(), 1.0), "sum"),
+            "__sx": (x, "sum"),
+            "__sy": (y, "sum"),
+            "__sxx": (x * x, "sum"),
+            "__syy": (y * y, "sum"),
+            "__sxy": (x * y, "sum"),
+            "__lx": (x, "min"),
+            "__hx": (x, "max"),
+            "__ly": (y, "min"),
+            "__hy": (y, "max"),
+        },
+    )
+    c = F.col
+    cov = c("__sxy") - c("__sx") * c("__sy") / n
+    vx, vy = c("__sxx") - c("__sx") * c("__sx") / n, c("__syy") - c("__sy") * c("__sy") / n
+    full = (c("__n") >= n) & (c("__lx") < c("__hx")) & (c("__ly") < c("__hy"))
+    df = df.withColumn(out, F.when(full, clean(ratio(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))))))
+    if shift:
+        df = df.withColumn(out, F.lag(out, shift).over(w))
+    return df.drop("__x", "__y", "__n", "__sx", "__sy", "__sxx", "__syy", "__sxy", "__lx", "__hx", "__ly", "__hy")

@@ -10,50 +10,49 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.columns import clean, clip, finite, flag, ratio, total
+from tidemark.columns import clean, clip, finite, flag, ratio, rolling_correlation, total
 from tidemark.operators.portfolio import growth
 
 SERIES = ("factor_id", "symbol")
 
 
-def _rank_corr(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Correlation of average ranks for rows of equally long arrays."""
-    import numpy as np
+def _rank_ic(window: int):
+    """Grouped function: rank IC of one series over the ``window`` rows before each row."""
 
-    out = np.full(len(a), np.nan)
-    full = a.notna().to_numpy()
-    if full.any():
-        ra = pd.DataFrame(np.vstack(a[full].to_list())).rank(axis=1).to_numpy()
-        rb = pd.DataFrame(np.vstack(b[full].to_list())).rank(axis=1).to_numpy()
-        ra -= ra.mean(axis=1, keepdims=True)
-        rb -= rb.mean(axis=1, keepdims=True)
-        scale = np.sqrt((ra**2).sum(axis=1) * (rb**2).sum(axis=1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out[full] = np.where(scale > 0, (ra * rb).sum(axis=1) / scale, np.nan)
-    return pd.Series(out)
+    def per_series(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("date", ignore_index=True)
+        out = np.full(len(frame), np.nan)
+        if len(frame) > window:
+            sides = []
+            for c in ("value", "fwd_ret"):
+                views = np.lib.stride_tricks.sliding_window_view(frame[c].to_numpy(), window)[:-1]
+                ranks = pd.DataFrame(views).rank(axis=1).to_numpy()
+                sides.append(ranks - (window + 1) / 2)
+            scale = np.sqrt((sides[0] ** 2).sum(axis=1) * (sides[1] ** 2).sum(axis=1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[window:] = np.where(scale > 0, (sides[0] * sides[1]).sum(axis=1) / scale, np.nan)
+        frame["rank_ic"] = out
+        return frame
+
+    return per_series
 
 
 def rolling_ic(panel: DataFrame, window: int = 60, keys: Sequence[str] = SERIES, spearman: bool = True) -> DataFrame:
-    """Pearson and rank IC over the ``window`` rows before each row."""
-    before = Window.partitionBy(*keys).orderBy("date").rowsBetween(-window, -1)
-    full = F.count(F.lit(1)).over(before) == window
-    flat = (F.min("value").over(before) == F.max("value").over(before)) | (
-        F.min("fwd_ret").over(before) == F.max("fwd_ret").over(before)
-    )
-    df = panel.withColumn("ic", F.when(full & ~flat, clean(F.corr("value", "fwd_ret").over(before))))
+    """Pearson and rank IC over the ``window`` rows before each row.
+
+    Ranks inside a sliding window have no built-in form: one series, at most the
+    calendar long, goes to numpy as it is, not as one array of ``window`` per row.
+    """
+    df = rolling_correlation(panel, "value", "fwd_ret", "ic", keys, ["date"], window, shift=1)
     if spearman:
-        rank_corr = F.pandas_udf(_rank_corr, "double")
-        df = df.withColumns(
-            {
-                "__a": F.when(full, F.collect_list("value").over(before)),
-                "__b": F.when(full, F.collect_list("fwd_ret").over(before)),
-            }
-        )
-        df = df.withColumn("rank_ic", clean(rank_corr("__a", "__b"))).drop("__a", "__b")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", rank_ic double"
+        df = df.groupBy(*keys).applyInPandas(_rank_ic(window), schema)
+        df = df.withColumns({"ic": clean(F.col("ic")), "rank_ic": clean(F.col("rank_ic"))})
     return df
 
 

@@ -29,7 +29,6 @@ from tidemark.columns import (
     roll_std,
     roll_sum,
     guarded,
-    trailing,
 )
 
 Build = Callable[[WindowSpec], Column]
@@ -295,9 +294,3 @@ def interact(a: str, b: str, how: str) -> Column:
     if how == "subtract":
         return left - right
     raise ValueError(f"unknown interaction {how}")
-
-
-def rolling_corr(a: str, b: str, w: WindowSpec, n: int) -> Column:
-    """Correlation over the rows where both values are present, null until n are."""
-    both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)
-    return F.when(F.count(both).over(trailing(w, n)) >= n, clean(F.corr(a, b).over(trailing(w, n))))

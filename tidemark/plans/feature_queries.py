@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.columns import ordered, snap
+from tidemark.columns import rolling_correlation, snap
 from tidemark.operators.features import (
     FeatureBook,
     cross_rank,
     cross_zscore,
     industry_neutral,
     interact,
-    rolling_corr,
 )
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, WS, avg_rank, div, ewm, lag, roll
@@ -208,9 +207,10 @@ def feature_interactions(spark, folder):
     FROM bars""",
 )
 def feature_rolling_correlation(spark, folder):
-    w = ordered(["symbol"], ["date"])
-    b = daily_bars(spark, folder)
-    return b.select("symbol", "date", snap(rolling_corr("close", "volume", w, 20)).alias("close_volume_corr"))
+    df = rolling_correlation(
+        daily_bars(spark, folder), "close", "volume", "close_volume_corr", ["symbol"], ["date"], 20
+    )
+    return df.select("symbol", "date", snap(F.col("close_volume_corr")).alias("close_volume_corr"))
 
 
 @query(

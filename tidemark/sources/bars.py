@@ -65,3 +65,33 @@ def minute_bars(spark: SparkSession, folder: str, period: int = 5) -> DataFrame:
         )
         .withColumn("period", F.lit(period))
     )
+
+
+def landed_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """One bar-shaped row per trade, with the faults the quality rules look for.
+
+    Several rows share a day, some prices are zero or negative, some highs lie below
+    the open, and some volumes are empty or zero: all by rules on the trade's columns.
+    """
+    c = F.col
+    trades = table(spark, folder, "lineitem").withColumn("seq", trade_order())
+    names = table(spark, folder, "part").select(c("p_partkey").alias("l_partkey"), c("p_brand").alias("symbol"))
+    base = c("l_extendedprice") / c("l_quantity")
+    price = F.when(c("l_quantity") == 13, 0.0).when((c("l_linenumber") == 7) & (c("l_tax") == 0.08), -base).otherwise(base)
+    volume = F.when((c("l_returnflag") == "N") & (c("l_linenumber") == 1), None).when(
+        c("l_discount") == 0.0, 0.0
+    ).otherwise(c("l_quantity"))
+    return (
+        trades.join(names, "l_partkey")
+        .withColumn("price", price)
+        .select(
+            "symbol",
+            F.to_date("l_shipdate").alias("date"),
+            (c("price") * (1.05 - c("l_discount"))).alias("open"),
+            (c("price") * (1 + c("l_discount"))).alias("high"),
+            (c("price") * (1 - c("l_tax"))).alias("low"),
+            (c("price") * (1 + c("l_discount") - c("l_tax"))).alias("close"),
+            volume.alias("volume"),
+            "seq",
+        )
+    )
