@@ -33,11 +33,11 @@ def triple_id(subject: Column, predicate: Column, obj: Column) -> Column:
 
 def confidence_level(c: Column) -> Column:
     return (
-        F.when(c >= 0.8, "very_high")
-        .when(c >= 0.6, "high")
-        .when(c >= 0.4, "medium")
-        .when(c >= 0.2, "low")
-        .otherwise("very_low")
+        F.when(c <= 0.2, "very_low")
+        .when(c <= 0.4, "low")
+        .when(c <= 0.6, "medium")
+        .when(c <= 0.8, "high")
+        .otherwise("very_high")
     )
 
 

@@ -129,23 +129,18 @@ def china_time_to_utc(ts: Column) -> Column:
     return F.to_utc_timestamp(ts, "Asia/Shanghai")
 
 
-Rule = tuple[int, str, Callable[[DataFrame], DataFrame]]
+Rule = tuple[int, str, Mapping[str, Callable[[], Column]]]
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule], source: str = "source") -> DataFrame:
-    """Fold the rules in priority order; a rule touches only sources its pattern fits.
+    """Fold (priority, source pattern, column -> new value) rules in priority order.
 
-    A rule must keep the columns it is given. Rows it does not fit pass by unchanged:
-    old and new value are picked per row, so the chain stays one projection.
+    A rule changes only rows whose source its pattern fits; the whole chain stays one
+    projection.
     """
-    for _, pattern, step in sorted(rules, key=lambda r: r[0]):
-        changed = step(df)
+    for _, pattern, changes in sorted(rules, key=lambda r: r[0]):
         fits = F.col(source).rlike(pattern)
-        kept = {f"__old_{c}": F.col(c) for c in df.columns}
-        after = step(df.withColumns(kept))
-        df = after.select(
-            *[F.when(fits, F.col(c)).otherwise(F.col(f"__old_{c}")).alias(c) for c in changed.columns if c in df.columns]
-        )
+        df = df.withColumns({c: F.when(fits, new()).otherwise(F.col(c)) for c, new in changes.items()})
     return df
 
 
