@@ -25,12 +25,10 @@ def _by_prefix(code: Column) -> Column:
 
 def standard_symbol(symbol: Column) -> Column:
     """``600000`` / `` 600000.sh`` to ``600000.SH``; short codes are zero-padded."""
-    s = F.upper(F.trim(symbol))
-    dotted = F.instr(s, ".") > 0
-    code = F.when(dotted, F.substring_index(s, ".", 1)).otherwise(s)
-    suffix = F.when(dotted, F.substring(s, F.instr(s, ".") + 1, F.length(s))).otherwise(_by_prefix(s))
-    padded = F.when(F.length(code) >= 6, code).otherwise(F.lpad(code, 6, "0"))
-    return F.concat(padded, F.lit("."), suffix)
+    parts = F.split(F.upper(F.trim(symbol)), "\\.", 2)
+    code = F.get(parts, F.lit(0))
+    padded = F.lpad(code, F.greatest(F.length(code), F.lit(6)), "0")
+    return F.concat(padded, F.lit("."), F.coalesce(F.get(parts, F.lit(1)), _by_prefix(code)))
 
 
 def vendor_to_standard(code: Column) -> Column:
@@ -39,8 +37,7 @@ def vendor_to_standard(code: Column) -> Column:
 
 
 def exchange_of(symbol: Column) -> Column:
-    dotted = F.instr(symbol, ".") > 0
-    return F.when(dotted, F.split(symbol, "\\.")[1]).otherwise(_by_prefix(F.trim(symbol)))
+    return F.coalesce(F.get(F.split(symbol, "\\."), F.lit(1)), _by_prefix(F.trim(symbol)))
 
 
 def by_first_digit(code: Column) -> Column:
@@ -79,8 +76,8 @@ def index_symbol(code: Column) -> Column:
 
 def to_prefixed(standard: Column) -> Column:
     """``600000.SH`` to ``SH600000``; other exchanges give null."""
-    parts = F.split(standard, "\\.")
-    return F.when(parts[1].isin("SH", "SZ"), F.concat(parts[1], parts[0]))
+    known = "^(.*)\\.(SH|SZ)$"
+    return F.when(standard.rlike(known), F.regexp_replace(standard, known, "$2$1"))
 
 
 def from_prefixed(prefixed: Column) -> Column:

@@ -18,7 +18,7 @@ def collapse(text: Column) -> Column:
 def clean_text(text: Column, keep_value_signs: bool = True) -> Column:
     """One space for each run of white space; only words and plain punctuation stay."""
     extra = VALUE_SIGNS if keep_value_signs else ""
-    kept = f"[^\\u4e00-\\u9fa5a-zA-Z0-9{KEPT_MARKS}{extra}]"
+    kept = f"[^\\u4e00-\\u9fa5a-zA-Z0-9{extra}{KEPT_MARKS}]"
     return F.trim(F.regexp_replace(collapse(text), kept, ""))
 
 
