@@ -208,3 +208,13 @@ def rolling_correlation(df: DataFrame, a: str, b: str, out: str, keys: Sequence[
     if shift:
         df = df.withColumn(out, F.lag(out, shift).over(w))
     return df.drop("__x", "__y", "__n", "__sx", "__sy", "__sxx", "__syy", "__sxy", "__lx", "__hx", "__ly", "__hy")
+
+
+def unnest(df: DataFrame, keep: Sequence[str], array: Column) -> DataFrame:
+    """One row per struct of a computed array, its fields as columns.
+
+    Spark puts a size test below a plain explode and pushes it into the projection, so
+    a dear array would be computed again for the test; the outer form has no such test
+    and the filter stays above it.
+    """
+    return df.select(*keep, F.explode_outer(array).alias("__e")).where(F.col("__e").isNotNull()).select(*keep, "__e.*")

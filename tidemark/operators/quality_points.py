@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.columns import flag
+from tidemark.columns import flag, unnest
 
 # Accepted ranges per field.
 RANGES = {
@@ -81,9 +81,7 @@ def row_checks(as_of) -> Column:
 
 
 def point_issues(points: DataFrame, as_of) -> DataFrame:
-    return points.select("symbol", "timestamp", F.explode(row_checks(as_of)).alias("i")).select(
-        "symbol", "timestamp", "i.*"
-    )
+    return unnest(points, ["symbol", "timestamp"], row_checks(as_of))
 
 
 def duplicates(points: DataFrame) -> DataFrame:
