@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.columns import clip, ratio
 from tidemark.operators.features import cross_rank
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import cut_lineage
 
 
 def segments(df: DataFrame, spans: Mapping[str, tuple[str, str]], date: str = "date") -> DataFrame:
@@ -29,7 +30,8 @@ def robust_zscore(df: DataFrame, features: Sequence[str], fitted_on: DataFrame,
         pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in features]))
         return frame.select(pairs.alias("p")).select("p.*").where(F.col("v").isNotNull())
 
-    rows = long(fitted_on)
+    # the features are dear and four passes read them: they are written once
+    rows = cut_lineage(long(fitted_on))
     middle = exact_quantiles(rows, ["f"], "v", {"med": 0.5})
     away = rows.join(middle, "f").select("f", F.abs(F.col("v") - F.col("med")).alias("v"))
     mad = exact_quantiles(away, ["f"], "v", {"mad": 0.5})
@@ -56,5 +58,6 @@ def boosted_scores(data: DataFrame, features: Sequence[str], label: str = "label
     """Fit on the training segment, score the test segment: (date, symbol, score)."""
     vec = VectorAssembler(inputCols=list(features), outputCol="__x").transform(data)
     model = GBTRegressor(featuresCol="__x", labelCol=label, predictionCol="score", maxDepth=4, maxIter=10, stepSize=0.1, seed=seed)
+    vec = cut_lineage(vec.select("date", "symbol", "segment", label, "__x"))
     fit = model.fit(vec.where(F.col("segment") == train))
     return fit.transform(vec.where(F.col("segment") == test)).select("date", "symbol", "score")
