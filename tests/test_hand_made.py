@@ -1,0 +1,419 @@
+"""Small cases worked out by pandas, numpy, brute force or by hand."""
+
+import datetime as dt
+import itertools
+import re
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.columns import ewm_means, ordered, rolling_by_lags
+from tidemark.functions import lexicons as lx
+from tidemark.functions import symbols as sy
+from tidemark.operators import entities as en
+from tidemark.operators import evaluation as ev
+from tidemark.operators import feature_store as fs
+from tidemark.operators import graph as g
+from tidemark.operators import knowledge as kn
+from tidemark.operators import metrics as mt
+from tidemark.operators import predicates as pr
+from tidemark.operators import quality_bars as qb
+from tidemark.operators import relations as rl
+from tidemark.operators import sentiment as se
+from tidemark.operators import weights as wt
+from tidemark.operators.features import FeatureBook, grouped_feature
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.sources import store
+
+DAY0 = dt.date(2024, 1, 1)
+
+
+def bars(spark, closes, symbol="A"):
+    rows = [
+        (symbol, DAY0 + dt.timedelta(days=i), c, None if c is None else c + 1, None if c is None else c - 1, c, 100 + i)
+        for i, c in enumerate(closes)
+    ]
+    return spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume long")
+
+
+def column(df, name):
+    return [r[name] for r in df.orderBy("date").collect()]
+
+
+def same(got, want, tol=1e-9):
+    want = [None if pd.isna(x) else float(x) for x in want]
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert (a is None) == (b is None), (got, want)
+        assert a is None or a == pytest.approx(b, abs=tol, rel=tol)
+
+
+def test_rolling_follows_pandas(spark):
+    rng = np.random.default_rng(1)
+    closes = list(rng.uniform(10, 20, 60))
+    df = FeatureBook().compute(bars(spark, closes), ["sma", "momentum", "returns", "volume_std"])
+    s = pd.Series(closes)
+    same(column(df, "sma"), s.rolling(20).mean())
+    same(column(df, "momentum"), s / s.shift(10) - 1)
+    same(column(df, "returns"), s.pct_change())
+    same(column(df, "volume_std"), pd.Series(range(60)).rolling(20).std())
+
+
+def test_exponential_mean_follows_pandas_with_gaps(spark):
+    rng = np.random.default_rng(2)
+    s = pd.Series(rng.uniform(10, 20, 700))
+    s[[0, 5, 6, 300]] = np.nan
+    df = bars(spark, [None if pd.isna(x) else float(x) for x in s])
+    out = ewm_means(df, ordered(["symbol"], ["date"]), {"e": ("close", 20), "f": ("close", 26)})
+    same(column(out, "e"), s.ewm(span=20).mean(), 1e-10)
+    same(column(out, "f"), s.ewm(span=26).mean(), 1e-10)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 20, 60])
+def test_folds_by_lags(spark, n):
+    s = pd.Series(np.random.default_rng(3).normal(size=150))
+    df = bars(spark, [float(x) for x in s])
+    out = rolling_by_lags(
+        df, ordered(["symbol"], ["date"]), n, {"a": (F.col("close"), "sum"), "b": (F.col("close"), "min"), "c": (F.col("close"), "max")}
+    )
+    roll = s.rolling(n, min_periods=1)
+    same(column(out, "a"), roll.sum(), 1e-9)
+    same(column(out, "b"), roll.min())
+    same(column(out, "c"), roll.max())
+
+
+def test_rsi_of_flat_and_rising(spark):
+    flat = FeatureBook().compute(bars(spark, [5.0] * 20), ["rsi"])
+    assert set(column(flat, "rsi")) == {None}
+    up = column(FeatureBook().compute(bars(spark, [float(i) for i in range(1, 21)]), ["rsi"]), "rsi")
+    assert up[:13] == [None] * 13 and set(up[13:]) == {100.0}
+
+
+def test_short_series_and_bad_values(spark):
+    df = FeatureBook().compute(bars(spark, [1.0, float("nan"), float("inf"), 0.0, 2.0]), ["sma", "returns"])
+    assert column(df, "sma") == [None] * 5
+    assert column(df, "returns") == [None, 0.0, 0.0, -1.0, None]
+
+
+def test_missing_input_is_named(spark):
+    with pytest.raises(ValueError, match="volume"):
+        FeatureBook().compute(bars(spark, [1.0]).drop("volume"), ["vwap"])
+
+
+def test_pandas_feature(spark):
+    df = grouped_feature(bars(spark, [1.0, 2.0, 4.0]), "doubled", lambda f: f["close"] * 2)
+    assert column(df, "doubled") == [2.0, 4.0, 8.0]
+
+
+def test_quantiles_are_exact_under_skew(spark):
+    rng = np.random.default_rng(4)
+    hot = np.concatenate([np.full(5000, 3.0), rng.normal(size=7000)])
+    rows = [("hot", float(x)) for x in hot] + [("one", 7.0)] + [("few", float(x)) for x in (1, 2, 3, 10)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.a, r.b, r.c) for r in exact_quantiles(df, ["k"], "v", {"a": 0.05, "b": 0.5, "c": 0.99}).collect()}
+    for k in ("hot", "one", "few"):
+        values = [v for n, v in rows if n == k]
+        assert got[k] == pytest.approx(tuple(np.percentile(values, [5, 50, 99])))
+
+
+def test_buckets_give_the_remainder_to_the_last(spark):
+    rows = [("f", "A", DAY0 + dt.timedelta(days=i), float(i // 2), float(i)) for i in range(23)]
+    panel = spark.createDataFrame(rows, "factor_id string, symbol string, date date, value double, fwd_ret double")
+    sizes = {r.bucket: r.n for r in ev.bucketed(panel).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes == {0: 4, 1: 4, 2: 4, 3: 4, 4: 7}
+
+
+# --- graphs ---------------------------------------------------------------------------
+
+
+def edges(spark, pairs):
+    return spark.createDataFrame([(a, b, float(w)) for a, b, w in pairs], "src string, dst string, weight double")
+
+
+def by_node(df, value):
+    return {r["node"]: r[value] for r in df.collect()}
+
+
+def test_path_of_four(spark):
+    adj = g.adjacency(edges(spark, [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)]))
+    between = by_node(g.betweenness_centrality(adj), "betweenness")
+    assert between == pytest.approx({"a": 0, "b": 4 * 2 / 6, "c": 4 * 2 / 6, "d": 0})
+    dist = g.distances(adj)
+    assert by_node(g.closeness_centrality(dist), "closeness") == pytest.approx({"a": 0.5, "b": 0.75, "c": 0.75, "d": 0.5})
+    m = g.graph_metrics(adj, dist).first()
+    assert (m.nodes, m.edges, m.components, m.diameter) == (4, 3, 1, 3)
+    assert m.clustering == 0 and m.average_path == pytest.approx(10 / 6)
+
+
+def test_triangle_with_tail_and_second_part(spark):
+    adj = g.adjacency(edges(spark, [("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("c", "d", 1), ("x", "y", 1)]))
+    assert by_node(g.clustering(adj), "clustering") == pytest.approx({"a": 1, "b": 1, "c": 1 / 3, "d": 0, "x": 0, "y": 0})
+    parts = by_node(g.connected_components(adj), "component")
+    assert parts == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
+    ranks = by_node(g.pagerank(adj), "rank")
+    assert sum(ranks.values()) == pytest.approx(1, abs=1e-5) and max(ranks, key=ranks.get) == "c"
+
+
+def test_long_chain_components(spark):
+    names = [f"n{i:03d}" for i in range(60)]
+    adj = g.adjacency(edges(spark, [(a, b, 1) for a, b in zip(names, names[1:])]))
+    assert set(by_node(g.connected_components(adj), "component").values()) == {"n000"}
+
+
+def test_weighted_tie_takes_the_smaller_path(spark):
+    adj = g.adjacency(edges(spark, [("a", "b", 1), ("b", "d", 1), ("a", "c", 1), ("c", "d", 1), ("a", "d", 5)]))
+    row = g.shortest_path(adj, "a", "d").first()
+    assert (row.distance, row.path) == (2.0, ["a", "b", "d"])
+    paths = [r.path for r in g.simple_paths(adj, "a", "d").collect()]
+    assert paths == [["a", "d"], ["a", "b", "d"], ["a", "c", "d"]]
+
+
+def test_local_moves_split_two_cliques(spark):
+    def clique(names):
+        return [(a, b, 1) for a, b in itertools.combinations(names, 2)]
+
+    adj = g.adjacency(edges(spark, clique("abcd") + clique("wxyz") + [("d", "w", 1)]))
+    groups = by_node(g.local_moves(adj), "community")
+    assert len(set(groups.values())) <= 3
+    score = g.modularity(adj, spark.createDataFrame(list(groups.items()), "node string, community string")).first()[0]
+    assert score > 0.2
+
+
+def test_modularity_by_pairs(spark):
+    pairs = [("a", "b", 2), ("b", "c", 1), ("c", "d", 3), ("a", "d", 1)]
+    adj = g.adjacency(edges(spark, pairs))
+    group = {"a": 1, "b": 1, "c": 2, "d": 2}
+    w = {(a, b): x for a, b, x in pairs} | {(b, a): x for a, b, x in pairs}
+    deg = {n: sum(1 for p in w if p[0] == n) for n in group}
+    m = len(pairs)
+    want = sum(w.get((i, j), 0) - deg[i] * deg[j] / (2 * m) for i in group for j in group if i != j and group[i] == group[j]) / (2 * m)
+    got = g.modularity(adj, spark.createDataFrame([(k, str(v)) for k, v in group.items()], "node string, community string")).first()[0]
+    assert got == pytest.approx(want)
+
+
+# --- text -----------------------------------------------------------------------------
+
+TEXT = "贵州茅台董事长今天宣布，公司2024年1月5日净利率上升12.5%。招商银行与贵州茅台合作，投资5G芯片。贵州茅台位于北京，PE 35。600519.SH"
+PATTERNS = {"date": lx.ENTITY_PATTERNS["date"], "percentage": lx.ENTITY_PATTERNS["percentage"], "stock": lx.ENTITY_PATTERNS["stock"]}
+
+
+def brute_mentions(text, patterns, words):
+    out, order = [], 0
+    for kind, regexes in patterns.items():
+        for regex in regexes:
+            out += [(m.start(), m.end(), order, m.group(), kind, 0.8) for m in re.finditer(regex, text)]
+            order += 1
+    order = 1000
+    for kind, group in words.items():
+        for w in group:
+            out += [(i, i + len(w), order, w, kind, 0.9) for i in range(len(text)) if text.startswith(w, i)]
+        order += 1
+    return sorted(out)
+
+
+def brute_merge(mentions):
+    done, now = [], None
+    for m in mentions:
+        if now is None:
+            now = m
+        elif m[0] < now[1] and m[1] > now[0]:
+            if m[5] > now[5] or (m[5] == now[5] and len(m[3]) > len(now[3])):
+                now = m
+        else:
+            done.append(now)
+            now = m
+    return done + ([now] if now else [])
+
+
+def brute_clean(text):
+    text = re.sub(r"\s+", " ", text)
+    return re.sub(r"[^一-龥a-zA-Z0-9%$/\s.,;:!?()\[\]{}\"'-]", "", text).strip()
+
+
+@pytest.mark.parametrize("text", [TEXT, "", "ABABAB 12% 13%", "董事董事长董事"])
+def test_entities_by_brute_force(spark, text):
+    out = en.extract(spark.createDataFrame([(1, text)], "id int, text string"), "text", PATTERNS, lx.ENTITY_WORDS).first()
+    assert out.cleaned == brute_clean(text)
+    want = [(m[3], m[4], m[0], m[1]) for m in brute_merge(brute_mentions(out.cleaned, PATTERNS, lx.ENTITY_WORDS))]
+    assert [(m.text, m.type, m.start, m.end) for m in out.entities] == want
+
+
+def brute_relations(text, found):
+    """All ordered pairs of mentions, each pattern and keyword on the context between."""
+    best = {}
+
+    def put(s, t, kind, conf):
+        key = (s[3], t[3], kind)
+        best[key] = max(best.get(key, 0), conf)
+
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            if i == j:
+                continue
+            context = text[min(a[0], b[0]) : max(a[1], b[1])]
+            for kind, pattern, conf, both, sources, targets in lx.RELATION_PATTERNS:
+                if (sources and a[4] not in sources) or (targets and b[4] not in targets):
+                    continue
+                if re.search(pattern, context, re.I):
+                    put(a, b, kind, conf)
+                    if both:
+                        put(b, a, kind, conf * 0.9)
+            for kind, words in lx.RELATION_KEYWORDS.items():
+                if any(w in context for w in words):
+                    put(a, b, kind, 0.6)
+            near = lx.NEAR_RELATIONS.get((a[4], b[4]))
+            if near and abs(a[0] - b[0]) <= 100:
+                put(a, b, near, 0.4)
+    return best
+
+
+@pytest.mark.parametrize("text", [TEXT, TEXT + "招商银行控制中国平安，北京属于京津冀。" * 2, "贵州茅台 投资 北京"])
+def test_relations_by_brute_force(spark, text):
+    docs = en.extract(spark.createDataFrame([(1, text)], "id int, text string"), "text", PATTERNS, lx.ENTITY_WORDS)
+    row = docs.first()
+    found = brute_merge(brute_mentions(row.cleaned, PATTERNS, lx.ENTITY_WORDS))
+    got = {(r.source, r.target, r.type): r.confidence for r in rl.extract_relations(docs, "id").collect()}
+    assert got == pytest.approx(brute_relations(row.cleaned, found))
+
+
+def test_sentiment_modifiers(spark):
+    words = se.Lexicon(["good"], ["bad"], ["flat"], {"soar": 3.0}, {"very": 2.0}, ["not"], [(r"up (\d+)%", 1.0)])
+    docs = spark.createDataFrame(
+        [(1, "very good"), (2, "not very good"), (3, "flat"), (4, "up 12% bad"), (5, "not good soar")], "id int, text string"
+    )
+    got = {r.id: r.score for r in se.lexicon_sentiment(docs, "id", "text", words).collect()}
+    assert got == pytest.approx({1: 1.0, 2: -1.0, 3: 0.0, 4: 0.5, 5: -1.0})
+
+
+def test_sentiment_anywhere_reads_unbroken_text(spark):
+    docs = spark.createDataFrame([(1, "股价大涨创新高"), (2, "股价没上涨"), (3, "今日开会")], "id int, text string")
+    run = {r.id: r.score for r in se.lexicon_sentiment(docs, "id").collect()}
+    anywhere = {r.id: r.score for r in se.lexicon_sentiment(docs, "id", anywhere=True).collect()}
+    assert run == {1: 0.0, 2: 0.0, 3: 0.0}
+    assert anywhere[1] > 0 and anywhere[2] < 0 and anywhere[3] == 0
+
+
+# --- learners -------------------------------------------------------------------------
+
+
+def learner_input(spark, days=30, k=4):
+    rng = np.random.default_rng(9)
+    data = rng.normal(0, 0.02, size=(days, k))
+    rows = [("p", f"f{j}", DAY0 + dt.timedelta(days=i), float(data[i, j])) for i in range(days) for j in range(k)]
+    return data, spark.createDataFrame(rows, "portfolio_id string, factor_id string, date date, ret double")
+
+
+def weights_of(df):
+    return df.toPandas().pivot(index="date", columns="factor_id", values="weight").to_numpy()
+
+
+def test_recursive_learners(spark):
+    data, df = learner_input(spark)
+    k = data.shape[1]
+    w = np.full(k, 1 / k)
+    P, theta = 1000 * np.eye(k), np.zeros(k)
+    want = []
+    for x in data:
+        y = float(w @ x)
+        gain = P @ x / (0.99 + x @ P @ x)
+        theta = theta + gain * (y - x @ theta)
+        P = (P - np.outer(gain, x @ P)) / 0.99
+        w = np.abs(theta) / np.abs(theta).sum()
+        want.append(w)
+    assert weights_of(wt.learn(df, wt.rls_step())) == pytest.approx(np.array(want), abs=1e-9)
+
+    w, v, want = np.full(k, 1 / k), np.zeros(k), []
+    for x in data:
+        v = 0.9 * v + 0.01 * x
+        w = (w + v) / np.abs(w + v).sum()
+        want.append(w)
+    assert weights_of(wt.learn(df, wt.momentum_step())) == pytest.approx(np.array(want))
+
+    w, total, want = np.full(k, 1 / k), np.zeros(k), []
+    for t, x in enumerate(data, 1):
+        total = total + x * w
+        u = total / t + 2.0 * np.sqrt(np.log(t) / t)
+        w = np.exp(u - u.max()) / np.exp(u - u.max()).sum()
+        want.append(w)
+    assert weights_of(wt.learn(df, wt.ucb_feedback_step())) == pytest.approx(np.array(want))
+
+
+def test_random_weights_sum_to_one_and_repeat(spark):
+    _, df = learner_input(spark)
+    for make in (lambda: wt.thompson_draw_weights(df, seed=3), lambda: wt.learn(df, wt.bandit_step(0.5, seed=3))):
+        first, again = weights_of(make()), weights_of(make())
+        assert first == pytest.approx(again)
+        assert first.sum(axis=1) == pytest.approx(np.ones(len(first)))
+
+
+# --- tables ---------------------------------------------------------------------------
+
+
+def test_upsert_is_idempotent(spark, tmp_path):
+    root = str(tmp_path / "daily")
+    df = bars(spark, [1.0, 2.0, 3.0], "600001.SH").withColumn("amount", F.lit(1.0))
+    for _ in range(2):
+        store.write_daily_bars(spark, df, root)
+    store.write_daily_bars(spark, df.where(F.col("close") == 3.0).withColumn("close", F.lit(9.0)), root)
+    assert column(store.read_daily_bars(spark, root), "close") == [1.0, 2.0, 9.0]
+    assert store.read_daily_bars(spark, str(tmp_path / "none")).count() == 0
+    assert store.files_without_columns(spark, root, ["close", "absent"]).first().lacking == ["absent"]
+
+
+def test_feature_store_delete_and_keys(spark, tmp_path):
+    fstore = fs.FeatureStore(spark, str(tmp_path / "fs"), buckets=2)
+    fstore.register(fs.FeatureGroup("g", ("k",)))
+    rows = spark.createDataFrame([(i, i * 1.0) for i in range(10)], "k int, v double")
+    fstore.put("g", rows, "2024-01-01 00:00:00")
+    fstore.delete("g", rows.where("k < 9"))
+    assert [r.k for r in fstore.get("g", rows).collect()] == [9]
+    assert fstore.names() == ["g"]
+
+
+def test_gap_fill(spark):
+    df = bars(spark, [None, 1.0, None, 3.0, None])
+    assert column(qb.fill_gaps(df, "close", "interpolate"), "close") == [None, 1.0, 2.0, 3.0, 3.0]
+    assert column(qb.fill_gaps(df, "close", "backward"), "close") == [1.0, 1.0, 3.0, 3.0, None]
+    assert column(qb.fill_gaps(df, "close", "drop"), "close") == [1.0, 3.0]
+
+
+def test_bad_bars_are_found(spark):
+    rows = [
+        ("A", DAY0, 10.0, 11.0, 9.0, 10.0, 5, 1),
+        ("A", DAY0, 10.0, 11.0, 9.0, 10.0, 5, 2),
+        ("A", DAY0 + dt.timedelta(days=1), -1.0, 11.0, 9.0, 0.0, -3, 3),
+        ("A", dt.date(2030, 1, 1), 10.0, 9.0, 8.0, 30.0, 0, 4),
+    ]
+    df = spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume long, seq int")
+    m = qb.bar_metrics(df, "2024-06-01").first()
+    assert (m.duplicate_dates, m.future_dates, m.negative_prices, m.zero_prices, m.negative_volume) == (1, 1, 1, 1, 1)
+    assert m.ohlc_errors == 2 and m.extreme_returns == 1 and m.zero_volume_ratio == 0.25
+
+
+def test_symbols(spark):
+    codes = ["600519", " 1.sz", "300750", "999999", "688001.SH", "1234567"]
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    got = [r[0] for r in df.select(sy.standard_symbol(F.col("c"))).collect()]
+    assert got == ["600519.SH", "000001.SZ", "300750.SZ", "999999.SZ", "688001.SH", "1234567.SZ"]
+    back = df.select(sy.from_prefixed(sy.to_prefixed(sy.standard_symbol(F.col("c"))))).collect()
+    assert [r[0] for r in back] == got
+
+
+def test_cool_down(spark):
+    rows = spark.createDataFrame([("r", t, 1) for t in (0, 60, 299, 300, 500, 601)], "rule_id string, tick long, samples long")
+    assert sorted(r.tick for r in mt.cool_down(rows, 300).collect()) == [0, 300, 601]
+
+
+def test_inference_reaches_the_fixpoint(spark):
+    t = spark.createDataFrame([(f"n{i}", "p", f"n{i + 1}", 0.9) for i in range(6)], "subject string, predicate string, object string, confidence double")
+    out = kn.infer(t, [kn.transitive("p")])
+    assert out.count() == 21
+    assert kn.exact(t).count() == 0 and kn.by_words(t, "").count() == 0
+
+
+def test_sample_is_stable(spark):
+    df = spark.createDataFrame([(f"S{i % 20}",) for i in range(200)], "symbol string")
+    one, two = pr.sample_symbols(df, 5, 1).collect(), pr.sample_symbols(df.repartition(7), 5, 1).collect()
+    assert one == two and len(one) == 5

@@ -22,23 +22,28 @@ MENTION = "struct<text:string,type:string,start:int,end:int,confidence:double,or
 def pattern_spans(text: Column, pattern: str) -> Column:
     """(start, end) of every match; letters and digits follow Unicode, as in Python."""
     regex = "(?U)" + pattern
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    pieces = F.split(text, regex, -1)
-    lengths = F.zip_with(pieces, found, lambda a, b: F.struct(F.length(a).alias("gap"), F.coalesce(F.length(b), F.lit(-1)).alias("size")))
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+    nothing = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    begin = F.struct(F.lit(0).alias("pos"), nothing.alias("out"))
 
     def take(acc, x):
-        begin = acc["pos"] + x["gap"]
+        at = acc["pos"] + x["gap"]
         return F.struct(
-            (begin + F.greatest(x["size"], F.lit(0))).alias("pos"),
-            F.when(x["size"] >= 0, F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + x["size"]).alias("end")))))
+            (at + F.greatest(x["size"], F.lit(0))).alias("pos"),
+            F.when(x["size"] >= 0, F.concat(acc["out"], F.array(F.struct(at.alias("start"), (at + x["size"]).alias("end")))))
             .otherwise(acc["out"])
             .alias("out"),
         )
 
-    return F.when(F.size(found) > 0, F.aggregate(lengths, start, take, lambda acc: acc["out"])).otherwise(
-        F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    )
+    def spans(found):
+        lengths = F.zip_with(
+            F.split(text, regex, -1),
+            found,
+            lambda a, b: F.struct(F.length(a).alias("gap"), F.coalesce(F.length(b), F.lit(-1)).alias("size")),
+        )
+        return F.when(F.size(found) > 0, F.aggregate(lengths, begin, take, lambda acc: acc["out"])).otherwise(nothing)
+
+    # the matches are bound to a variable: found once, and a text without any is not cut
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(text, F.lit(regex), F.lit(0))), spans))
 
 
 def word_starts(text: Column, words: Sequence[str]) -> Column:

@@ -19,9 +19,10 @@ from tidemark.session import cut_lineage
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of (src, dst, weight), one row per ordered pair, no loops."""
     spark = edges.sparkSession
-    both = edges.select("src", "dst", "weight").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    ends = F.explode(
+        F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     )
+    both = edges.select(ends.alias("e")).select("e.*")
     pairs = both.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return cut_lineage(pairs.repartition(parts, "src"))

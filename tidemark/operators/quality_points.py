@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.columns import flag, unnest
+from tidemark.columns import flag, total, unnest
 
 # Accepted ranges per field.
 RANGES = {
@@ -38,50 +38,53 @@ ADVICE = {
 }
 
 
-def _issue(cond: Column, kind: str, severity: str, field: str) -> Column:
-    return F.when(
-        cond,
-        F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(field).alias("field")),
-    )
+VALUE_FIELDS = tuple(dict.fromkeys([*RANGES, *(f for fields in REQUIRED.values() for f in fields)]))
 
 
 def _value(name: str) -> Column:
     return F.try_element_at(F.col("values"), F.lit(name))
 
 
-def row_checks(as_of) -> Column:
-    """Array of the issues of one point."""
+def _opened(points: DataFrame) -> DataFrame:
+    """Map entries as columns ``__<field>``, looked up once however many checks read them."""
+    return points.withColumns({f"__{f}": _value(f) for f in VALUE_FIELDS})
+
+
+def row_checks(as_of) -> list[tuple[Column, str, str, str]]:
+    """(condition, issue type, severity, field) of every check of one opened point."""
     now = F.lit(as_of).cast("timestamp")
     price_type = F.col("data_type") == "stock_price"
-    low, high = _value("low"), _value("high")
+    v = lambda f: F.col(f"__{f}")
+    prices = ("open", "high", "low", "close")
     checks = [
-        _issue(F.col("symbol").isNull() | (F.col("symbol") == ""), "missing_value", "critical", "symbol"),
-        _issue(F.col("timestamp").isNull(), "missing_value", "critical", "timestamp"),
-        _issue(F.col("values").isNull() | (F.size("values") == 0), "incomplete", "critical", "values"),
+        (F.col("symbol").isNull() | (F.col("symbol") == ""), "missing_value", "critical", "symbol"),
+        (F.col("timestamp").isNull(), "missing_value", "critical", "timestamp"),
+        (F.col("values").isNull() | (F.size("values") == 0), "incomplete", "critical", "values"),
     ]
     for kind, fields in REQUIRED.items():
-        checks += [
-            _issue((F.col("data_type") == kind) & _value(f).isNull(), "missing_value", "high", f) for f in fields
-        ]
-    checks += [
-        _issue((_value(f) < lo) | (_value(f) > hi), "out_of_range", "medium", f) for f, (lo, hi) in RANGES.items()
-    ]
+        checks += [((F.col("data_type") == kind) & v(f).isNull(), "missing_value", "high", f) for f in fields]
+    checks += [((v(f) < lo) | (v(f) > hi), "out_of_range", "medium", f) for f, (lo, hi) in RANGES.items()]
+    checks += [(price_type & ~v(f).between(v("low"), v("high")), "inconsistent", "high", f) for f in ("open", "close")]
+    checks.append((price_type & (F.abs(v("change_pct")) > 20), "suspicious", "medium", "change_pct"))
+    checks += [((v(f) > 1000) | (v(f) < 0.01), "outlier", "medium", f) for f in prices]
+    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("timestamp")) / 86400)
     checks += [
-        _issue(price_type & ~_value(f).between(low, high), "inconsistent", "high", f) for f in ("open", "close")
+        (F.col("timestamp") > now, "invalid_value", "high", "timestamp"),
+        (age > 365, "stale_data", "low", "timestamp"),
     ]
-    checks.append(_issue(price_type & (F.abs(_value("change_pct")) > 20), "suspicious", "medium", "change_pct"))
-    checks += [
-        _issue((_value(f) > 1000) | (_value(f) < 0.01), "outlier", "medium", f) for f in ("open", "high", "low", "close")
-    ]
-    checks += [
-        _issue(F.col("timestamp") > now, "invalid_value", "high", "timestamp"),
-        _issue(F.floor((F.unix_timestamp(now) - F.unix_timestamp("timestamp")) / 86400) > 365, "stale_data", "low", "timestamp"),
-    ]
-    return F.array_compact(F.array(*checks))
+    return checks
 
 
 def point_issues(points: DataFrame, as_of) -> DataFrame:
-    return unnest(points, ["symbol", "timestamp"], row_checks(as_of))
+    """One row per broken check. Checks that hold leave a null struct, which goes after
+    the explode, so the whole test stays in generated code."""
+    found = F.array(
+        *[
+            F.when(cond, F.struct(F.lit(kind).alias("issue_type"), F.lit(sev).alias("severity"), F.lit(field).alias("field")))
+            for cond, kind, sev, field in row_checks(as_of)
+        ]
+    )
+    return unnest(_opened(points), ["symbol", "timestamp"], found)
 
 
 def duplicates(points: DataFrame) -> DataFrame:
@@ -133,12 +136,12 @@ def freshness(points: DataFrame, as_of) -> DataFrame:
 
 def score(points: DataFrame, as_of, keys: tuple[str, ...] = ("source",)) -> DataFrame:
     """Score 1 - penalties / points, clipped; valid without a critical issue."""
-    found = F.col("__i")
+    checks = row_checks(as_of)
 
     def count(severity: str) -> Column:
-        return F.sum(F.size(F.filter(found, lambda i: i.severity == severity)))
+        return F.sum(total([flag(cond) for cond, _, sev, _ in checks if sev == severity]))
 
-    out = points.withColumn("__i", row_checks(as_of)).groupBy(*keys).agg(
+    out = _opened(points).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("points"), *[count(s).alias(s) for s in PENALTIES]
     )
     penalty = sum((F.col(s) * p for s, p in PENALTIES.items()), F.lit(0.0))
@@ -160,10 +163,10 @@ def issue_statistics(issues: DataFrame) -> DataFrame:
 
 def field_coverage(points: DataFrame) -> DataFrame:
     """Share of points with a value, per field."""
-    total = points.groupBy().agg(F.count(F.lit(1)).alias("__n"))
+    whole = points.groupBy().agg(F.count(F.lit(1)).alias("__n"))
     entries = points.select(F.explode("values").alias("field", "value"))
     held = entries.groupBy("field").agg(F.sum(flag(F.col("value").isNotNull())).alias("__k"))
-    return held.crossJoin(F.broadcast(total)).select("field", (F.col("__k") / F.col("__n")).alias("coverage"))
+    return held.crossJoin(F.broadcast(whole)).select("field", (F.col("__k") / F.col("__n")).alias("coverage"))
 
 
 def recommendations(issues: DataFrame) -> DataFrame:

@@ -6,12 +6,11 @@ aggregate, and the alert state sees one row per rule and clock tick.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.columns import flag
@@ -38,26 +37,44 @@ def sessions(stream: DataFrame, keys: Sequence[str], gap: str, late: str = "1 ho
 
 
 def alerts(stream: DataFrame, rules: DataFrame, tick: str = "1 minute", cool_down: int = 300, late: str = "0 seconds") -> DataFrame:
-    """Fired alerts of a metric stream: breaches per rule and tick, then the cool-down."""
+    """Fired alerts of a metric stream: breaches per rule and tick, then the cool-down.
+
+    Needs the RocksDB state store."""
     hit = breaches(stream.withWatermark("ts", late), rules)
     ticked = hit.groupBy("rule_id", F.window("ts", tick).alias("w")).agg(F.count(F.lit(1)).alias("samples"))
     ticked = ticked.select("rule_id", F.unix_timestamp("w.start").alias("tick"), "samples")
 
-    def fire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("tick")
+    processor = _CoolDown()
+    processor.seconds = cool_down
+    return ticked.groupBy("rule_id").transformWithStateInPandas(
+        statefulProcessor=processor,
+        outputStructType="rule_id string, tick long, samples long",
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+class _CoolDown(StatefulProcessor):
+    """Lets a rule fire only when its last alert is older than the cool-down."""
+
+    seconds = 300
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.fired = handle.getValueState("fired", "last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.fired.get()[0] if self.fired.exists() else None
+        frame = pd.concat(list(rows)).sort_values("tick")
         keep = []
-        for t in rows["tick"].to_numpy():
-            ok = last is None or t - last >= cool_down
+        for t in frame["tick"].to_numpy():
+            ok = last is None or t - last >= self.seconds
             keep.append(ok)
             last = int(t) if ok else last
-        if last is not None:
-            state.update((last,))
-        yield rows[keep][["rule_id", "tick", "samples"]]
+        self.fired.update((last,))
+        yield frame[keep][["rule_id", "tick", "samples"]]
 
-    return ticked.groupBy("rule_id").applyInPandasWithState(
-        fire, "rule_id string, tick long, samples long", "last long", "append", GroupStateTimeout.NoTimeout
-    )
+    def close(self) -> None:
+        pass
 
 
 class _CountWindows(StatefulProcessor):
