@@ -52,7 +52,7 @@ def same(got, want, tol=1e-9):
 
 def test_rolling_follows_pandas(spark):
     rng = np.random.default_rng(1)
-    closes = list(rng.uniform(10, 20, 60))
+    closes = [float(x) for x in rng.uniform(10, 20, 60)]
     df = FeatureBook().compute(bars(spark, closes), ["sma", "momentum", "returns", "volume_std"])
     s = pd.Series(closes)
     same(column(df, "sma"), s.rolling(20).mean())
