@@ -1,7 +1,7 @@
 """Time every headline query; print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS
-(default 3, median after one warm-up), BENCH_QUERIES (comma list, or "all").
+(default 1, median after one warm-up), BENCH_QUERIES (comma list, or "all").
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     asked = os.environ.get("BENCH_QUERIES", "")
     names = list(REGISTERED) if asked == "all" else [n for n in asked.split(",") if n] or list(HEADLINE)
     spark = local_session(cpus)

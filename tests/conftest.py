@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, shuffle_partitions=4)
+    session = local_session(4, shuffle_partitions=2)
     yield session
     session.stop()
 

@@ -39,8 +39,8 @@ def degrees(adj: DataFrame) -> DataFrame:
 def degree_centrality(adj: DataFrame) -> DataFrame:
     """degree / (n - 1); a lone pair of nodes and more."""
     d = degrees(adj)
-    n = d.agg((F.count(F.lit(1)) - 1).alias("__m"))
-    return d.crossJoin(F.broadcast(n)).select("node", "degree", ratio(F.col("degree"), F.col("__m")).alias("centrality"))
+    others = d.agg((F.count(F.lit(1)) - 1).alias("others")).scalar()
+    return d.select("node", "degree", ratio(F.col("degree"), others).alias("centrality"))
 
 
 def pagerank(adj: DataFrame, damping: float = 0.85, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
@@ -256,7 +256,7 @@ def modularity(adj: DataFrame, communities: DataFrame) -> DataFrame:
     """Sum over ordered pairs of one community of (weight - expected) / 2m, in sums per
     community: no pair is ever formed."""
     d = degrees(adj).join(communities.select("node", "community"), "node")
-    total = d.agg(F.sum("degree").alias("m2"))
+    m2 = d.agg(F.sum("degree").alias("m2")).scalar()
     c = communities.select(F.col("node").alias("src"), F.col("community").alias("c1"))
     e = communities.select(F.col("node").alias("dst"), F.col("community").alias("c2"))
     inner = adj.join(c, "src").join(e, "dst").where(F.col("c1") == F.col("c2")).agg(
@@ -264,9 +264,7 @@ def modularity(adj: DataFrame, communities: DataFrame) -> DataFrame:
     )
     per = d.groupBy("community").agg(F.sum("degree").alias("k"), F.sum(F.col("degree") * F.col("degree")).alias("k2"))
     expected = per.agg(F.sum(F.col("k") * F.col("k") - F.col("k2")).alias("x"))
-    return total.crossJoin(inner).crossJoin(expected).select(
-        ((F.col("win") - F.col("x") / F.col("m2")) / F.col("m2")).alias("modularity")
-    )
+    return expected.select(((inner.scalar() - F.col("x") / m2) / m2).alias("modularity"))
 
 
 def connected_components(adj: DataFrame) -> DataFrame:
@@ -332,14 +330,17 @@ def graph_metrics(adj: DataFrame, dist: DataFrame | None = None) -> DataFrame:
         F.avg("clustering").alias("clustering"),
     )
     parts = connected_components(adj).agg(F.countDistinct("component").alias("components"))
-    out = out.crossJoin(parts).withColumns(
-        {"density": ratio(2 * m, n * (n - 1)), "average_degree": 2 * m / n}
+    out = out.withColumns(
+        {"components": parts.scalar(), "density": ratio(2 * m, n * (n - 1)), "average_degree": 2 * m / n}
     )
     if dist is not None:
-        far = dist.where(F.col("source") != F.col("node")).agg(
-            F.floor(F.max("distance")).cast("int").alias("diameter"), F.avg("distance").alias("average_path")
+        far = dist.where(F.col("source") != F.col("node"))
+        out = out.withColumns(
+            {
+                "diameter": far.agg(F.floor(F.max("distance")).cast("int").alias("d")).scalar(),
+                "average_path": far.agg(F.avg("distance").alias("a")).scalar(),
+            }
         )
-        out = out.crossJoin(far)
     return out
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.columns import change, clip, ewm_means, flag, ordered, ratio, roll_mean, roll_std
+from tidemark.columns import change, clip, ewm_means, ordered, ratio, roll_mean, roll_std
 from tidemark.operators.features import rsi_from
 
 # Thresholds of the states.
@@ -318,6 +318,3 @@ def technical_suite(bars: DataFrame) -> DataFrame:
         "__e12", "__e26", "__gain", "__loss", "__n"
     )
 
-
-def share_of(cond: Column) -> Column:
-    return F.avg(flag(cond))

@@ -35,13 +35,15 @@ def robust_zscore(df: DataFrame, features: Sequence[str], fitted_on: DataFrame,
     middle = exact_quantiles(rows, ["f"], "v", {"med": 0.5})
     away = rows.join(middle, "f").select("f", F.abs(F.col("v") - F.col("med")).alias("v"))
     mad = exact_quantiles(away, ["f"], "v", {"mad": 0.5})
-    # one row per feature: joined as a single row of columns
-    marks = middle.join(mad, "f").groupBy().pivot("f", list(features)).agg(F.first("med").alias("med"), F.first("mad").alias("mad"))
-    out = df.crossJoin(F.broadcast(marks))
-    out = out.withColumns(
-        {f: clip(ratio(F.col(f) - F.col(f"{f}_med"), F.col(f"{f}_mad") * 1.4826), -limit, limit) for f in features}
+    # one row per feature name, so the marks become constants of the projection
+    marks = {r["f"]: (r["med"], r["mad"]) for r in middle.join(mad, "f").collect()}
+    return df.withColumns(
+        {
+            f: clip(ratio(F.col(f) - F.lit(marks[f][0]), F.lit(marks[f][1]) * 1.4826), -limit, limit)
+            for f in features
+            if f in marks
+        }
     )
-    return out.drop(*marks.columns)
 
 
 def model_data(df: DataFrame, features: Sequence[str], label: str, spans: Mapping[str, tuple[str, str]]) -> DataFrame:

@@ -163,10 +163,10 @@ def issue_statistics(issues: DataFrame) -> DataFrame:
 
 def field_coverage(points: DataFrame) -> DataFrame:
     """Share of points with a value, per field."""
-    whole = points.groupBy().agg(F.count(F.lit(1)).alias("__n"))
+    whole = points.agg(F.count(F.lit(1)).alias("n")).scalar()
     entries = points.select(F.explode("values").alias("field", "value"))
     held = entries.groupBy("field").agg(F.sum(flag(F.col("value").isNotNull())).alias("__k"))
-    return held.crossJoin(F.broadcast(whole)).select("field", (F.col("__k") / F.col("__n")).alias("coverage"))
+    return held.select("field", (F.col("__k") / whole).alias("coverage"))
 
 
 def recommendations(issues: DataFrame) -> DataFrame:

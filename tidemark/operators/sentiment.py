@@ -181,12 +181,9 @@ def distribution(results: DataFrame) -> DataFrame:
     """Share of every label, those without a document included."""
     labels = results.sparkSession.createDataFrame([(x,) for x in LABELS], "label string")
     counts = results.groupBy("label").agg(F.count(F.lit(1)).alias("__n"))
-    total = results.agg(F.count(F.lit(1)).alias("__t"))
-    return (
-        labels.join(counts, "label", "left")
-        .crossJoin(F.broadcast(total))
-        .select("label", F.coalesce("__n", F.lit(0)).alias("documents"), (F.coalesce("__n", F.lit(0)) / F.col("__t")).alias("share"))
-    )
+    # five labels at most: their counts also give the total
+    out = labels.join(counts, "label", "left").select("label", F.coalesce("__n", F.lit(0)).alias("documents"))
+    return out.withColumn("share", F.col("documents") / F.sum("documents").over(Window.partitionBy()))
 
 
 def trend(series: DataFrame, keys: Sequence[str], order: str, window: int = 7) -> DataFrame:

@@ -23,8 +23,7 @@ def nation_edges(spark, folder):
         .groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    mean = pairs.agg((F.avg("n") * 1.1).alias("cut"))
-    strong = pairs.crossJoin(F.broadcast(mean)).where(c("n") > c("cut"))
+    strong = pairs.where(c("n") > pairs.agg((F.avg("n") * 1.1).alias("cut")).scalar())
     name = lambda k: F.concat(F.lit("N"), F.lpad(c(k).cast("string"), 2, "0"))
     return strong.select(name("x").alias("src"), name("y").alias("dst"), (1000.0 / c("n")).alias("weight"))
 

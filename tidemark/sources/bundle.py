@@ -102,8 +102,10 @@ def validate(spark: SparkSession, folder: str, fields: Sequence[str] = FIELDS) -
     rows = spark.read.parquet(f"{folder}/features")
     lacking = [f for f in fields if f"${f}" not in rows.columns]
     absent = names.join(rows.select("instrument").distinct(), "instrument", "left_anti")
-    one = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    out = one(days, "days").crossJoin(one(names, "instruments")).crossJoin(one(rows, "rows")).crossJoin(one(absent, "empty_instruments"))
+    counted = {"instruments": names, "rows": rows, "empty_instruments": absent}
+    out = days.agg(F.count(F.lit(1)).alias("days")).withColumns(
+        {name: df.agg(F.count(F.lit(1)).alias(name)).scalar() for name, df in counted.items()}
+    )
     return out.withColumns(
         {
             "missing_fields": F.array(*[F.lit(f) for f in lacking]).cast("array<string>"),
