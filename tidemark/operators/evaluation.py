@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.columns import clean, clip, finite, flag, ratio, rolling_correlation, total
 from tidemark.operators.portfolio import growth
+from tidemark.session import cut_lineage
 
 SERIES = ("factor_id", "symbol")
 
@@ -207,7 +208,8 @@ def quality_label(score: Column) -> Column:
 
 def evaluate(panel: DataFrame, window: int = 60, n: int = 5, min_periods: int = 20, keys: Sequence[str] = SERIES) -> DataFrame:
     """All metrics of every factor series with at least ``min_periods`` rows."""
-    both = panel.where(F.col("value").isNotNull() & F.col("fwd_ret").isNotNull())
+    # six metrics read the panel; it is written once so the raw rows are read once
+    both = cut_lineage(panel.where(F.col("value").isNotNull() & F.col("fwd_ret").isNotNull()))
     buckets = bucketed(both, n, keys)
     means = bucket_means(buckets, n, keys).select(
         *keys, (F.col(f"q{n}") - F.col("q1")).alias("long_short_return"), monotonicity(n).alias("monotonicity")

@@ -22,7 +22,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    marks = rows.groupBy(*keys).agg(
+    # split by distinct values, as those are what a window later puts in order
+    marks = counted.groupBy(*keys).agg(
         F.percentile_approx("__v", [i / SPLITS for i in range(1, SPLITS)], F.lit(1000)).alias("__s")
     )
     placed = counted.join(marks, keys).select(

@@ -12,6 +12,7 @@ from tidemark.plans.factor_sql import BUCKETS, FACTORS, NAMES, PANEL, SERIES
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, WS, div, lag
 from tidemark.plans.sql import snap as s
+from tidemark.session import cut_lineage
 from tidemark.sources.bars import daily_bars
 
 
@@ -333,7 +334,7 @@ def factor_ranking(spark, folder):
     UNION ALL SELECT factor_id, symbol, 'low_coverage' FROM m WHERE coverage < 0.8""",
 )
 def factor_alerts(spark, folder):
-    panel = _panel(spark, folder)
+    panel = cut_lineage(_panel(spark, folder))
     both = panel.where(F.col("value").isNotNull() & F.col("fwd_ret").isNotNull())
     metrics = (
         ev.ic_summary(ev.rolling_ic(both, spearman=False))
@@ -399,7 +400,8 @@ _SIG = f"""{FACTORS}, picked AS (SELECT *, row_number() OVER (PARTITION BY date
 
 
 def _signals(spark, folder):
-    wide = _wide(spark, folder)
+    # signals and returns share the bars, which are derived and written once
+    wide = cut_lineage(_wide(spark, folder).select("date", "symbol", "momentum_20d", "fwd_ret"))
     return (
         wide.where(F.col("momentum_20d").isNotNull()).select("date", "symbol", F.col("momentum_20d").alias("score")),
         wide.select("date", "symbol", F.col("fwd_ret").alias("ret")),

@@ -8,6 +8,7 @@ from tidemark.columns import snap
 from tidemark.operators import graph as g
 from tidemark.plans.registry import query
 from tidemark.plans.sql import snap as s
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 
 
@@ -23,6 +24,8 @@ def nation_edges(spark, folder):
         .groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # a pair of nations is a row: a few hundred, read twice
+    pairs = cut_lineage(pairs)
     strong = pairs.where(c("n") > pairs.agg((F.avg("n") * 1.1).alias("cut")).scalar())
     name = lambda k: F.concat(F.lit("N"), F.lpad(c(k).cast("string"), 2, "0"))
     return strong.select(name("x").alias("src"), name("y").alias("dst"), (1000.0 / c("n")).alias("weight"))

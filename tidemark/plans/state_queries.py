@@ -15,6 +15,7 @@ from tidemark.plans.factor_sql import FACTORS, NAMES
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, WS, div, ewm, lag, roll
 from tidemark.plans.sql import snap as s
+from tidemark.session import cut_lineage
 from tidemark.sources.bars import daily_bars
 
 
@@ -415,7 +416,7 @@ def learning_rate_schedule(spark, folder):
     f"WITH {_TM} SELECT portfolio_id, factor_id, {s('avg(ret * weight)')} AS importance FROM w GROUP BY 1, 2",
 )
 def factor_importance(spark, folder):
-    rets = factor_returns(spark, folder)
+    rets = cut_lineage(factor_returns(spark, folder))
     return wt.importance(rets, wt.thompson_mean_weights(rets)).withColumn("importance", snap(F.col("importance")))
 
 
@@ -427,7 +428,9 @@ def factor_importance(spark, folder):
 def weights_turnover(spark, folder):
     """Each day's weights against those of the day before."""
     w = Window.partitionBy("portfolio_id", "factor_id").orderBy("date")
-    new = wt.thompson_mean_weights(factor_returns(spark, folder)).select("portfolio_id", "factor_id", "date", "weight")
+    new = cut_lineage(
+        wt.thompson_mean_weights(factor_returns(spark, folder)).select("portfolio_id", "factor_id", "date", "weight")
+    )
     old = new.withColumn("date", F.lead("date").over(w)).where(F.col("date").isNotNull())
     out = pf.weight_turnover(old, new, keys=("portfolio_id", "date"))
     return out.select("portfolio_id", "date", snap(F.col("turnover")).alias("turnover"), snap(F.col("cost"), 8).alias("cost"))
@@ -447,6 +450,6 @@ def weights_rebalance_days(spark, folder):
     f"""WITH {RETS}, a AS (SELECT factor_id FROM fr GROUP BY 1 HAVING avg(ret) > 0) SELECT factor_id, count(*) AS rows FROM fr WHERE factor_id IN (SELECT factor_id FROM a) GROUP BY 1""",
 )
 def weights_active_factors(spark, folder):
-    rets = factor_returns(spark, folder)
+    rets = cut_lineage(factor_returns(spark, folder))
     catalogue = rets.groupBy("factor_id").agg(F.when(F.avg("ret") > 0, "active").otherwise("testing").alias("status"))
     return wt.active_only(rets, catalogue).groupBy("factor_id").agg(F.count(F.lit(1)).alias("rows"))
