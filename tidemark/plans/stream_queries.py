@@ -30,9 +30,26 @@ def samples(spark, folder):
     return event_stream(spark, folder).select(F.col("event_type").alias("name"), "ts", "value", "event_id")
 
 
+@contextlib.contextmanager
+def setting(spark, name, value):
+    """A session setting for the length of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def drain(spark, stream, name):
+    """Run a stream to its end. A local master keeps one state partition per core, as a
+    state store per default shuffle partition would only cost start-up there."""
     folder = scratch(spark, name)
-    return st.finish(st.to_folder(stream, folder), spark, folder)
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        count = min(count, spark.sparkContext.defaultParallelism)
+    with setting(spark, "spark.sql.shuffle.partitions", str(count)):
+        return st.finish(st.to_folder(stream, folder), spark, folder)
 
 
 # a window is written once the watermark has passed its end
@@ -125,15 +142,8 @@ def keep_kind(root, kind):
     return keep
 
 
-@contextlib.contextmanager
 def rocks_state(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, sf.ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return setting(spark, "spark.sql.streaming.stateStore.providerClass", sf.ROCKS)
 
 
 @query("stream_count_windows", "SELECT event_type AS name, floor(count(*) / 100)::BIGINT AS windows, CAST(floor(count(*) / 100) * 100 AS BIGINT) AS rows FROM events GROUP BY 1")
