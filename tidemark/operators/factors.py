@@ -160,3 +160,12 @@ def deprecation_candidates(
         | (F.col("coverage") < min_coverage)
     )
     return means.withColumn("deprecate", (F.col("evaluations") >= periods) & poor)
+
+
+def select_factors(catalogue: DataFrame, status: str | None = None, category: str | None = None, quality: str | None = None) -> DataFrame:
+    """Factors of a status, a category or a quality label."""
+    out = catalogue
+    for column, wanted in (("status", status), ("category", category), ("quality", quality)):
+        if wanted is not None:
+            out = out.where(F.col(column) == wanted)
+    return out

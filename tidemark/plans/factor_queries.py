@@ -376,12 +376,17 @@ def factor_deprecation(spark, folder):
     GROUP BY GROUPING SETS ((category), (status), ())""",
 )
 def factor_catalogue(spark, folder):
+    m = _catalogue(spark, folder)
+    return _shown(fc.catalogue_statistics(m), {"avg_ic": 5, "avg_sharpe": 5}, "category", "status", "factors")
+
+
+def _catalogue(spark, folder):
     f = F.col("factor_id")
     m = _both(spark, folder).groupBy("factor_id").agg(
         F.corr("value", "fwd_ret").alias("ic"),
         (F.avg("fwd_ret") / F.stddev_samp("fwd_ret")).alias("sharpe"),
     )
-    m = m.withColumns(
+    return m.withColumns(
         {
             "category": F.when(f.startswith("momentum"), "momentum")
             .when(f.startswith("mean"), "mean_reversion")
@@ -390,7 +395,16 @@ def factor_catalogue(spark, folder):
             "status": F.when(F.abs("ic") > 0.05, "active").otherwise("testing"),
         }
     )
-    return _shown(fc.catalogue_statistics(m), {"avg_ic": 5, "avg_sharpe": 5}, "category", "status", "factors")
+
+
+@query(
+    "factor_selection",
+    f"""WITH {PANEL} SELECT factor_id, {s('corr(value, fwd_ret)', 5)} AS ic FROM pairs WHERE factor_id NOT LIKE 'm%' AND factor_id NOT LIKE 'volatility%'
+    GROUP BY 1 HAVING abs(corr(value, fwd_ret)) > 0.05""",
+)
+def factor_selection(spark, folder):
+    out = fc.select_factors(_catalogue(spark, folder), status="active", category="technical")
+    return _shown(out, {"ic": 5}, "factor_id")
 
 
 # --- back-test and portfolio -------------------------------------------------------
