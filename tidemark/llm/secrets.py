@@ -1,0 +1,215 @@
+"""Secret scans with structural confirmation.
+
+Patterns find assignments, access keys and hex runs as the base; candidates in base64 or hex
+are then decoded, and reported only where the bytes parse: DER whose nested lengths tile
+exactly and whose fields are those of a private key, an OpenSSH key whose length fields fit,
+or a signed token whose header and claims are JSON with an algorithm.
+
+A null text is empty and has no spans; ties in start are in the order of ``KINDS``; repeated
+rows are scanned each; an empty table gives an empty result; other columns are not read.
+Positions are code points, the end exclusive.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.shared import bounded_batches
+
+KINDS = ("assign", "access", "hex", "token", "key")
+_ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"[0-9a-f]{32,}")
+_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+_ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+#: 0x30 begins a DER sequence, "openssh-key-v1" an OpenSSH key.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:M|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/]{30,}={0,2}")
+_NEAR = ("passw", "secret", "token", "api")
+
+
+def unpacked(text: str, url: bool = False) -> bytes | None:
+    """The bytes of a base64 text without its white space; None where it is none."""
+    text = "".join(text.split()).rstrip("=")
+    if len(text) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(text + "=" * (-len(text) % 4), altchars=b"-_" if url else None, validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def fields(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER values that tile ``data[start:end]``; None where a length does not fit."""
+    out = []
+    while start < end:
+        if end - start < 2:
+            return None
+        tag, size, at = data[start], data[start + 1], start + 2
+        if size & 0x80:
+            n = size & 0x7F
+            if not 1 <= n <= 4 or at + n > end or data[at] == 0:
+                return None
+            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+            if size < 128:
+                return None
+        if at + size > end:
+            return None
+        out.append((tag, at, at + size))
+        start = at + size
+    return out
+
+
+def is_der_key(data: bytes) -> bool:
+    """A PKCS#1, SEC 1 or PKCS#8 private key, plain or encrypted, with nothing before or behind it."""
+    top = fields(data, 0, len(data))
+    if not top or len(top) != 1 or top[0][0] != 0x30:
+        return False
+    inner = fields(data, *top[0][1:])
+    if not inner or any(tag & 0x20 and fields(data, a, b) is None for tag, a, b in inner):
+        return False
+    tags = [f[0] for f in inner]
+    number = int.from_bytes(data[inner[0][1] : inner[0][2]], "big") if tags[0] == 2 else None
+    if number in (0, 1) and tags == [2] * 9:
+        return inner[1][2] - inner[1][1] >= 32  # modulus
+    if number == 1 and tags[:2] == [2, 4]:
+        return inner[1][2] - inner[1][1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1}
+    algorithm = next((f for f in inner[:2] if f[0] == 0x30), None)
+    named = algorithm and (fields(data, *algorithm[1:]) or [(0, 0, 0)])[0][0] == 6
+    if number in (0, 1) and tags[:3] == [2, 0x30, 4]:
+        return bool(named)
+    return tags == [0x30, 4] and bool(named)
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Magic, cipher, kdf, options, count, public keys: every length field inside what is left."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    at = len(magic)
+    for _ in range(3):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return False
+        at += 4 + size
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return False
+    for _ in range(keys + 1):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if not 0 < size <= len(data) - at - 4:
+            return False
+        at += 4 + size
+    return True
+
+
+def is_key(data: bytes | None) -> bool:
+    return bool(data) and (is_der_key(data) or is_openssh_key(data))
+
+
+def is_token(header: str, claims: str, signature: str) -> bool:
+    """Header and claims are JSON objects, the header names an algorithm, the signature fits it."""
+    parts = []
+    for part in (header, claims):
+        data = unpacked(part, url=True)
+        try:
+            value = json.loads(data) if data else None
+        except (ValueError, RecursionError):
+            return False
+        if not isinstance(value, dict):
+            return False
+        parts.append(value)
+    algorithm = parts[0].get("alg")
+    if not isinstance(algorithm, str) or not algorithm:
+        return False
+    signed = unpacked(signature, url=True)
+    return signature == "" if algorithm.lower() == "none" else signed is not None and len(signed) >= 16
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base patterns, leftmost without overlap for each kind."""
+    out = []
+    if ":" in text or "=" in text:
+        low = text.lower()
+        if any(w in low for w in _NEAR):
+            out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
+    if "AKIA" in text:
+        out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+
+
+def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of decoded and parsed signed tokens and private keys."""
+    out = []
+    if "eyJ" in text:
+        out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_token(*m.groups())]
+    taken: list[tuple[int, int]] = []
+    if "-----BEGIN " in text:
+        taken = [m.span() for m in _ARMOUR.finditer(text) if is_key(unpacked(m[1]))]
+    found = [m.span() for m in _BASE64.finditer(text) if is_key(unpacked(m[0]))]
+    found += [m.span() for m in _ANY_HEX.finditer(text) if is_key(bytes.fromhex(m[0]))]
+    at = 0
+    for a, b in sorted(found):  # a key inside its armour is told once
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if at == len(taken) or b <= taken[at][0]:
+            out.append((a, 4, b))
+    return out + [(a, 4, b) for a, b in taken]
+
+
+def told(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, counts of the base kinds and of confirmed tokens and keys, the digest of the base spans, all spans."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, digests, spans = [[0] * batch.num_rows for _ in KINDS], [], []
+            for i, value in enumerate(batch.column(1)):
+                text = value.as_py() or ""
+                base = base_spans(text)
+                every = base + confirmed_spans(text)
+                for _, k, _ in every:
+                    counts[k][i] += 1
+                digests.append(hashlib.sha256(told(base).encode()).hexdigest())
+                spans.append(told(every))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], schema.names)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    schema = rows.select("id", *(zero.alias(f"n_{k}") for k in KINDS), none.alias("base_sha256"), none.alias("spans")).schema
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of ``text_col`` replaced by ``mark``; overlapping spans by one. All columns and rows stay."""
+    from pyspark.sql.types import StringType
+
+    bounded_batches(docs.sparkSession)
+
+    def masked(texts: Iterator) -> Iterator:
+        for batch in texts:
+            yield batch.map(lambda t: t if t is None else mask(t, mark))
+
+    return docs.withColumn(text_col, F.pandas_udf(masked, StringType(), F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+
+
+def mask(text: str, mark: str) -> str:
+    out, at, upto = [], 0, -1
+    for a, _, b in sorted(base_spans(text) + confirmed_spans(text)):
+        if a >= upto:
+            out += [text[at:a], mark]
+        at = upto = max(upto, b)
+    return text if not out else "".join(out) + text[at:]
