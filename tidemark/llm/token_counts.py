@@ -26,9 +26,11 @@ _RUNS = re.compile(r" +[^ ]*")
 
 
 def parts_of(text: str) -> list[str]:
-    """The parts between safe cuts, each without its first blank."""
+    """The parts between safe cuts, each without its first blank; the last one is empty where a lone blank ends the text."""
     text = text.replace(BLANK, " ")
-    if "  " not in text:
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text:
         return text.split(" ")
     return [part[1:] for part in _RUNS.findall(" " + text)]
 
@@ -42,6 +44,7 @@ class PieceEncoder:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in pieces) and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
+        self.blank = self.model.encode("x ")[len(self.model.encode("x")) :]
         self.memo: dict[str, list[int] | int] = {}
         self.held, self.most = 0, memo_chars
 
@@ -50,7 +53,8 @@ class PieceEncoder:
         if self.held > self.most:
             self.memo, self.held = {}, 0
         new = [p for p in parts if p not in self.memo]
-        self.memo.update(zip(new, map(shape, self.model.encode(new, num_threads=1)), strict=True))
+        ids = [i if p or not self.cuts else self.blank for p, i in zip(new, self.model.encode(new, num_threads=1), strict=True)]
+        self.memo.update(zip(new, map(shape, ids), strict=True))
         self.held += sum(map(len, new))
 
     def cut(self, texts: list[str]) -> list[list[str]]:
