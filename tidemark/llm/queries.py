@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules, secrets, token_counts
+from tidemark.llm import licenses, quality_rules, secrets, token_counts
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+@query("op9_license_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
