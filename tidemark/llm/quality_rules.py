@@ -188,7 +188,7 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, first: int = 2, more:
     return written(scaled(written(factored(moments(near, ["g"]), ["g"]), "reweighted")), "robust")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = 0.999999, least: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = 0.9999, least: int = 50) -> DataFrame:
     """``id_col``, counts, base_failed, kept and the scaled distance of every row.
 
     Kept are rows that pass the base rule and lie inside the ``cut`` quantile of their group's

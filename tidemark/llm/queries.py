@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, quality_rules, secrets, token_counts
+from tidemark.llm import licenses, packing, quality_rules, secrets, token_counts, token_shards, url_filters
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(token_counts.count_tokens(table(spark, folder, "documents"), MODEL))
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
@@ -34,6 +42,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+@query("op7_url_filter")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, folder, "pages"))
+
+
+@query("op8_token_shards")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return token_shards.write_shards(table(spark, folder, "documents"), MODEL).drop("folder")
+
+
 @query("op9_license_scan")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
@@ -41,4 +59,4 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, folder, "documents"), MODEL)
