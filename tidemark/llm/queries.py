@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, packing, quality_classifier, quality_rules, secrets, token_counts, token_shards, url_filters
+from tidemark.llm import licenses, near_dups, packing, quality_classifier, quality_rules, secrets, token_counts, token_shards, url_filters
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
