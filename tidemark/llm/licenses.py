@@ -6,8 +6,8 @@ counted for each text, template and diagonal; neighbouring diagonals (words put
 that overlap in the text are merged; a merged span is verified by the share of the template's
 k-grams it holds and by its length against the template's.
 
-The templates are a short table given by the caller; their k-grams enter the join as a literal
-relation, broadcast below the session's size threshold and shuffled beyond it. What is grouped
+The templates are a table given by the caller; its characters are counted, and its k-grams are
+broadcast up to ``BROADCAST_CHARS`` of them and joined by a shuffle beyond. What is grouped
 afterwards is one text's hits, never a template's.
 
 Defined results: a null text is empty, and an empty text has no words, labels or places; rows
@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Templates of at most so many characters together are broadcast; more are joined by a shuffle.
+BROADCAST_CHARS = 2_000_000
+
 #: Fixed phrases and their labels.
 PHRASES = (
     ("under the mit license", "mit"),
@@ -76,7 +79,8 @@ def template_grams(docs: DataFrame, templates: tuple[tuple[str, str], ...], k: i
     rows = docs.sparkSession.createDataFrame([(n, label, text) for n, (label, text) in enumerate(templates)], "template int, label string, text string")
     words = rows.select("template", "label", words_of(F.col("text")).alias("words"))
     grams = words.select("template", "label", rolling(F.col("words"), k).alias("grams"))
-    return grams.select("template", "label", F.size("grams").alias("t_grams"), F.inline("grams")).withColumnRenamed("i", "t_pos").withColumnRenamed("g", "t_gram")
+    out = grams.select("template", "label", F.size("grams").alias("t_grams"), F.inline("grams")).withColumnRenamed("i", "t_pos").withColumnRenamed("g", "t_gram")
+    return F.broadcast(out) if sum(len(text) for _, text in templates) <= BROADCAST_CHARS else out
 
 
 def diagonal_spans(rows: DataFrame, templates: DataFrame, k: int, drift: int, least: float) -> DataFrame:
