@@ -27,6 +27,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: So many rules at most are broadcast; more are joined by a shuffle.
+BROADCAST_RULES = 100_000
 _LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
@@ -72,6 +74,7 @@ def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def ruled(urls: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
     """``urls`` (url) with host, path, rule and ruled: each host suffix meets the rules of that host by an equal join."""
     table = urls.sparkSession.createDataFrame([(v, h, p, len(h) + len(p)) for v, h, p in rules], "ruled string, r_host string, r_path string, size int")
+    table = F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
     parts = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
