@@ -33,6 +33,10 @@ DIM = len(RIDGE)
 X = [f"x{i}" for i in range(DIM)]
 #: Bins of a distance: this many to a doubling.
 BINS = 32
+#: Estimates of so many groups at most (some hundred bytes each) are broadcast.
+FEW_GROUPS = 20_000
+#: Tasks over which a group is dealt where they are not.
+SALTS = 64
 
 
 def normal_quantile(p: float) -> float:
@@ -119,10 +123,18 @@ def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "n", *(f"m{i}" for i in range(DIM)), *((F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i, j in pairs))
 
 
-def with_distance(rows: DataFrame, params: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def met(rows: DataFrame, small: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` joined with what their group has in ``small``: broadcast for ``few`` groups; else every group is dealt over ``SALTS`` tasks."""
+    if few:
+        return rows.join(F.broadcast(small), keys, how)
+    copies = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt_", F.pmod(F.hash(*X), F.lit(SALTS))).join(copies, [*keys, "salt_"], how).drop("salt_")
+
+
+def with_distance(rows: DataFrame, params: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
     """``rows`` with their squared Mahalanobis distance ``d2`` under the estimate of their keys."""
     names = [c for c in params.columns if c not in keys]
-    out = rows.join(params, keys, how)
+    out = met(rows, params, keys, few, how)
     for i in range(DIM):
         rest = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
@@ -146,10 +158,10 @@ def rank_bins(measured: DataFrame, keys: list[str], share: float) -> DataFrame:
     return seen.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("most"))
 
 
-def concentrated(rows: DataFrame, params: DataFrame, keys: list[str], share: float) -> DataFrame:
+def concentrated(rows: DataFrame, params: DataFrame, keys: list[str], share: float, few: bool) -> DataFrame:
     """One concentration step."""
-    measured = with_distance(rows, params, keys)
-    near = measured.join(rank_bins(measured, keys, share), keys).where(bin_of(F.col("d2")) <= F.col("most"))
+    measured = with_distance(rows, params, keys, few)
+    near = met(measured, rank_bins(measured, keys, share), keys, few).where(bin_of(F.col("d2")) <= F.col("most"))
     return written(factored(moments(near, keys), keys), "mcd")
 
 
@@ -164,7 +176,7 @@ def starts(rows: DataFrame) -> DataFrame:
     return written(factored(reduce(DataFrame.unionByName, named), ["g", "start"]), "starts")
 
 
-def robust_estimates(rows: DataFrame, share: float = 0.75, first: int = 2, more: int = 3) -> DataFrame:
+def robust_estimates(rows: DataFrame, few: bool, share: float = 0.75, first: int = 2, more: int = 3) -> DataFrame:
     """g, means, factor and ``scale`` of the reweighted minimum-covariance-determinant estimate of each group.
 
     ``scale`` brings the median distance to that of the normal model, so that one cut fits all groups.
@@ -173,17 +185,17 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, first: int = 2, more:
     tried = starts(each)
     copies = each.withColumn("start", F.explode(F.array(*map(F.lit, range(3)))))
     for _ in range(first):
-        tried = concentrated(copies, tried, ["g", "start"], share)
+        tried = concentrated(copies, tried, ["g", "start"], share, few)
     best = tried.groupBy("g").agg(F.min_by(F.struct(*(c for c in tried.columns if c != "g")), F.struct("log_det", "start")).alias("b")).select("g", "b.*").drop("start")
     for _ in range(more):
-        best = concentrated(each, best, ["g"], share)
+        best = concentrated(each, best, ["g"], share, few)
 
     def scaled(params: DataFrame) -> DataFrame:
-        middle = rank_bins(with_distance(each, params, ["g"]), ["g"], 0.5)
+        middle = rank_bins(with_distance(each, params, ["g"], few), ["g"], 0.5)
         return params.join(middle.select("g", (chi_square_quantile(0.5) / F.pow(F.lit(2.0), (F.col("most") + 0.5) / BINS)).alias("scale")), "g")
 
     rough = written(scaled(best), "rough")
-    measured = with_distance(each, rough.drop("scale"), ["g"]).join(rough.select("g", "scale"), "g")
+    measured = met(with_distance(each, rough.drop("scale"), ["g"], few), rough.select("g", "scale"), ["g"], few)
     near = measured.where(F.col("d2") * F.least(F.col("scale"), F.lit(1.0)) <= chi_square_quantile(0.975))
     return written(scaled(written(factored(moments(near, ["g"]), ["g"]), "reweighted")), "robust")
 
@@ -201,10 +213,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spoken = counted.where("n_words > 0")
     sizes = spoken.groupBy("own").agg(F.count(F.lit(1)).alias("rows")).select("own", F.when(F.col("rows") >= least, F.col("own")).otherwise("pool").alias("g"))
     sizes = written(sizes, "groups")
-    params = robust_estimates(spoken.join(sizes, "own"))
+    few = sizes.count() <= FEW_GROUPS
+    params = robust_estimates(met(spoken, sizes, ["own"], few), few)
     by_group = sizes.join(params, "g", "left").drop("g")
-    out = with_distance(counted, by_group.drop("scale").withColumnRenamed("n", "n_fit"), ["own"], "left")
-    out = out.join(by_group.select("own", "scale", F.col("n").alias("n_fit")), "own", "left")
+    out = with_distance(counted, by_group.drop("scale", "n"), ["own"], few, "left")
+    out = met(out, by_group.select("own", "scale", F.col("n").alias("n_fit")), ["own"], few, "left")
     distance = F.when(F.col("n_fit") >= least // 2, F.col("d2") * F.least(F.col("scale"), F.lit(1.0)))
     kept = ~failed & F.coalesce(distance <= chi_square_quantile(cut), F.lit(True))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), distance.alias("distance"))
