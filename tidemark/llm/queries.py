@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, near_dups, packing, quality_classifier, quality_rules, secrets, token_counts, token_shards, url_filters
+from tidemark.llm import decontamination, licenses, near_dups, packing, quality_classifier, quality_rules, secrets, token_counts, token_shards, url_filters
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(token_counts.count_tokens(table(spark, folder, "documents"), MODEL))
 
 
+@query("op2_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.match_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))

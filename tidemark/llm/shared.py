@@ -49,13 +49,18 @@ def by_bytes(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` modulo 2**64."""
-    out = np.ones(max(n, 1), np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base & (2**64 - 1))
-        np.multiply.accumulate(out, out=out)
-    return out[:n]
+    """``base ** 0 .. base ** (n - 1)`` modulo 2**64; the longest asked for is kept."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1), base & (2**64 - 1), np.uint64)
+        held[0] = 1
+        np.multiply.accumulate(held, out=held)
+        _POWERS[base] = held
+    return held[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,13 +73,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[list(SPACES)] = True
-#: ASCII punctuation, which near-copy words leave out.
-_MARK = np.zeros(256, bool)
-_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+#: 0 for letters of words, 1 for blanks, 2 for ASCII punctuation, which near-copy words leave out.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(SPACES)] = 1
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
+#: A letter's number; A-Z have those of a-z.
+_LETTER = np.arange(1, 257, dtype=np.uint64)
+_LETTER[65:91] += np.uint64(32)
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +102,24 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = offsets - offsets[0]
     if len(raw) == 0:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    keep = ~_MARK[raw]
-    before = np.concatenate(([0], np.cumsum(keep)))
-    raw, offsets = _FOLD[raw[keep]], before[offsets]  # texts stay delimited by their offsets
-    solid = ~_BLANK[raw]
-    cut = np.zeros(len(raw) + 1, bool)
-    cut[offsets] = True  # a text's end is a word's end
-    starts = np.flatnonzero(solid & (np.concatenate(([True], ~solid[:-1])) | cut[:-1]))
-    ends = np.flatnonzero(solid & (np.concatenate((~solid[1:], [True])) | cut[1:])) + 1
+    kind = _KIND[raw]
+    marks = np.flatnonzero(kind == 2)
+    if len(marks):
+        keep = kind != 2
+        raw, kind, offsets = raw[keep], kind[keep], offsets - np.searchsorted(marks, offsets)
+    solid = np.zeros(len(raw) + 2, bool)
+    np.equal(kind, 0, out=solid[1:-1])
+    edge = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, ends = edge[::2], edge[1::2]
     if len(starts) == 0:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    power = powers(len(raw), BASE)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power)))
-    back = powers(len(raw), pow(BASE, -1, 2**64))
-    words = mix((sums[ends] - sums[starts]) * back[starts])
+    # a text's end inside a run of letters ends one word and begins the next
+    border = np.unique(offsets[1:-1])
+    run = np.searchsorted(starts, border, side="right") - 1
+    inside = (run >= 0) & (starts[run] < border) & (border < ends[run])
+    if inside.any():
+        starts, ends = np.insert(starts, run[inside] + 1, border[inside]), np.insert(ends, run[inside], border[inside])
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTER[raw] * powers(len(raw), BASE), out=sums[1:])
+    words = mix((sums[ends] - sums[starts]) * powers(len(raw), pow(BASE, -1, 2**64))[starts])
     return words, np.searchsorted(starts, offsets)
