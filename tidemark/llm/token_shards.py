@@ -29,6 +29,8 @@ from tidemark.llm.shared import bounded_batches, by_bytes, mix, shared_path, wri
 from tidemark.llm.token_counts import PieceEncoder
 
 WIDTH = np.dtype("<u2")
+#: Starts of so many tasks at most (two numbers each) are broadcast.
+MANY_TASKS = 1_000_000
 
 
 def id_arrays(encoder: PieceEncoder, texts: list[str]) -> list[np.ndarray]:
@@ -50,7 +52,7 @@ def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = None, TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         rest, owners, kind, end = np.empty(0, WIDTH), [], None, None
 
         def told(out: list[tuple]) -> pa.RecordBatch:
@@ -128,6 +130,8 @@ def numbered(parts: DataFrame) -> DataFrame:
     sizes = parts.groupBy("part").agg((F.max("seq") + 1).alias("n"))
     every = Window.orderBy("part")
     starts = sizes.select("part", (F.sum("n").over(every) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    if sizes.count() <= MANY_TASKS:
+        starts = F.broadcast(starts)
     return parts.join(starts, "part").withColumn("number", F.col("first") + F.col("seq")).drop("first")
 
 
