@@ -206,13 +206,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, class_id, n_links, kept, node of every row.
 
     ``n_links`` counts verified links of the row's text to different texts; ``kept`` is true for
-    the least id of a class.
+    the least id of a class (and its least node, where one id has several texts).
     """
     bounded_batches(docs.sparkSession, 8)
     signatures = written(signed(docs, id_col, text_col, bands, rows), "signatures")
     links, roots = near_links(docs, signatures, text_col, least)
     degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = written(signatures.select("id", "node").join(roots, "node", "left").join(degrees, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "placed")
-    least_ids = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("class_id"))
-    out = placed.join(least_ids, "root", "left").withColumn("class_id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("class_id")))
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    heads = placed.where("root is not null").groupBy("root").agg(first)
+    out = placed.join(heads, "root", "left")
+    alone = F.col("root").isNull()
+    kept = alone | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")))
+    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"), "n_links", kept.alias("kept"), "node")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are the first of their class; of rows with equal id and text one."""
+    judged = written(near_duplicates(docs, id_col, text_col, least, bands, rows).select(F.col(id_col).alias("id_"), "node", "kept"), "judged")
+    node = F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))
+    keyed = docs.select(F.struct(*docs.columns).alias("row_"), F.col(id_col).alias("id"), node.alias("key"))
+
+    def on(other: DataFrame):
+        return keyed["id"].eqNullSafe(other["id_"]) & (keyed["key"] == other["node"])
+
+    dropped = judged.where(~F.col("kept")).select("id_", "node").distinct()
+    repeated = written(judged.where("kept and node is not null").groupBy("id_", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id_", "node"), "repeated")
+    kept = keyed.join(dropped, on(dropped), "left_anti")
+    if repeated.isEmpty():
+        return kept.select("row_.*")
+    ones = kept.join(repeated, on(repeated), "left_anti").select("row_")
+    again = keyed.join(repeated, on(repeated), "left_semi").groupBy("id", "key").agg(F.first("row_").alias("row_")).select("row_")
+    return ones.unionByName(again).select("row_.*")

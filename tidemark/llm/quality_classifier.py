@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality_rules import text_counts
-from tidemark.llm.shared import written
+from tidemark.llm.shared import bounded_batches, written
 
 #: Characters counted in each text, as patterns.
 MARKS = {"upper": "\\p{Lu}+", "bang": "!+", "pipe": "\\|+", "sign": "[#*$%&<>@^~=_+{}\\[\\]\\\\]+", "digit": "\\p{Nd}+", "point": "[.,;:?]+"}
@@ -135,8 +135,8 @@ def fit(rows: DataFrame, prior: float, steps: int = 12, ridge: float = 1e-4, lea
     return w
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality", cut: float = 0.3) -> DataFrame:
-    """``id_col``, held_out, score, predicted of every row; ``labels`` has ids and 0 or 1 in ``label``."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> tuple[DataFrame, np.ndarray]:
+    """The written features (id, x, positive) of all rows and the weights learned from them."""
     learned = labels.select(F.col(label_id).alias("l_id"), F.col(label).cast("int").alias("l")).where(F.col("l_id").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("l_id")))
     learned = written(learned.groupBy("l_id").agg(F.min("l").alias("l")), "labels")
     shares = learned.agg(F.sum("l"), F.count(F.lit(1))).first()
@@ -144,9 +144,35 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     prior = (float(shares[0] or 0) + 1) / (shares[1] + 2)
     seen = features(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     rows = written(seen.join(learned, seen["id"] == learned["l_id"], "left").select("id", "x", F.coalesce(F.col("l") == 1, F.lit(False)).alias("positive")), "features")
-    w = fit(rows, prior)
+    return rows, fit(rows, prior)
+
+
+def score_of(x: Column, w: np.ndarray) -> Column:
     z = F.lit(0.0)
     for i, v in enumerate(w):
-        z = z + F.col("x")[i] * F.lit(float(v))
-    score = F.round(1 / (1 + F.exp(-z)), 9)
+        z = z + x[i] * F.lit(float(v))
+    return F.round(1 / (1 + F.exp(-z)), 9)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality", cut: float = 0.3) -> DataFrame:
+    """``id_col``, held_out, score, predicted of every row; ``labels`` has ids and 0 or 1 in ``label``."""
+    rows, w = train(docs, labels, id_col, text_col, label_id, label)
+    score = score_of(F.col("x"), w)
     return rows.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score.alias("score"), (score >= cut).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality", cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all columns, that score ``cut`` or more; texts are scored where they lie, not joined."""
+    _, w = train(docs, labels, id_col, text_col, label_id, label)
+    seen = features(docs.select(F.struct(*docs.columns).alias("row_"), F.col(text_col).alias("text_")), "text_")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # scored here, as Spark would push a filter, and with it the statistics, below what they are computed from
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                on = np.round(1 / (1 + np.exp(-np.clip(x @ w, -500, 500))), 9) >= cut
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(on))], ["row_"])
+
+    bounded_batches(docs.sparkSession)
+    return seen.mapInArrow(run, seen.select("row_").schema).select("row_.*")

@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,15 +196,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mark``; overlapping spans by one. All columns and rows stay."""
-    from pyspark.sql.types import StringType
-
     bounded_batches(docs.sparkSession)
 
-    def masked(texts: Iterator) -> Iterator:
-        for batch in texts:
-            yield batch.map(lambda t: t if t is None else mask(t, mark))
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else mask(t, mark))
 
-    return docs.withColumn(text_col, F.pandas_udf(masked, StringType(), F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return docs.withColumn(text_col, masked(F.col(text_col)))
 
 
 def mask(text: str, mark: str) -> str:
