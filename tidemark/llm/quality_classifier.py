@@ -109,11 +109,11 @@ def risks(trials: np.ndarray):
     return per_row
 
 
-def fit(rows: DataFrame, prior: float, steps: int = 12, ridge: float = 1e-4, least: float = 1e-5) -> np.ndarray:
+def fit(rows: DataFrame, prior: float, steps: int = 12, ridge: float = 1e-3, least: float = 1e-5) -> np.ndarray:
     """Weights of least non-negative risk over ``rows`` (x, positive)."""
     first = rows.select(F.size("x").alias("d")).first()
     d = first["d"] if first else 1
-    w, known = np.zeros(d), np.inf
+    w, least_w, least_risk = np.zeros(d), np.zeros(d), np.inf
     for _ in range(steps):
         total = summed(rows, 2 + 3 * d + d * d, curvature(w))
         n, p = total[0], total[1]
@@ -127,12 +127,15 @@ def fit(rows: DataFrame, prior: float, steps: int = 12, ridge: float = 1e-4, lea
         soft_u, soft_p, z_p = summed(rows, 3 * len(trials), risks(trials)).reshape(3, -1)
         negative = soft_u / n - prior * soft_p / p
         risk = prior * (soft_p - z_p) / p + np.maximum(negative, 0) + ridge / 2 * (trials**2).sum(1)
-        known = risk[0]
-        best = int(risk[:-1].argmin()) if negative[0] >= 0 or risk[1:-1].min() < risk[0] else len(trials) - 1
-        w = trials[best]
-        if best == 0 or 0 <= known - risk[best] < least:
+        best = int(risk[:-1].argmin())
+        if risk[best] < least_risk:
+            least_w, least_risk = trials[best], risk[best]
+        if best == 0 and negative[0] < 0:
+            best = len(trials) - 1
+        elif risk[0] - risk[best] < least:
             break
-    return w
+        w = trials[best]
+    return least_w
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> tuple[DataFrame, np.ndarray]:
