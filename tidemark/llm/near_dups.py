@@ -7,11 +7,12 @@ at which every coordinate has one with high probability, so the work is cells pl
 cells times coordinates. The earliest dart of each coordinate is the signature; two signatures
 agree in a coordinate with the probability of the weighted Jaccard similarity.
 
-Bands of the signature are joined. Equal texts are one node from the start. In a band each node
-meets the band's least node; pairs are verified on the shingles themselves, and links joined
-into components. Where a band still holds nodes of several components, each of its nodes
-outside the least node's component meets all of the band that is in another one, so a link is
-lost only if no band has it. Groups of near copies thus cost a pair for each member and band.
+Bands of the signature are joined. Equal texts are one node from the start. In a bucket of a band
+each node meets the bucket's least node; pairs are verified on the shingles themselves, and
+links joined into components. A bucket that still holds several components is dealt out in
+pairs of bounded blocks, in each of which all nodes meet on their shingles at once; a block
+tells only links that join what was apart, at most one for each of its nodes. So every two
+similar texts that share a bucket end in one class, and no group's pairs are ever listed.
 
 Defined results: a null text is alone; texts without words are classes of equal texts; a text of
 one to four words is one shingle; texts with equal 64-bit hash count as equal; repeated rows
@@ -143,82 +144,116 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((np.arange(len(a)) - first < right - left).sum())
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
-    """u, v, similarity of the pairs (u, v) of nodes that reach ``least``.
-
-    Each text is brought in once for each node; equal texts merge before they travel.
-    """
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    sets = written(cell_sets(texts.join(ends, "node", "left_semi")), "sets", "none")
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """u, v of the pairs of nodes that reach ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows)
+            on = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
-                if min(len(a), len(b)) >= least * max(len(a), len(b)):
-                    both = common(a, b)
-                    out[i] = both / max(len(a) + len(b) - both, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["u", "v", "similarity"])
-
-    joined = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").select("u", "v", "a", "b")
-    return written(joined.mapInArrow(run, "u long, v long, similarity double").where(F.col("similarity") >= least), "links")
+                both = common(a, b)
+                on[i] = both >= least * (len(a) + len(b) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(on))
 
+    of = lambda end, name: sets.select(F.col("node").alias(end), F.col("set").alias(name))
+    return written(pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
 
-def sized(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    of = lambda end: nodes.select(F.col("node").alias(end), F.col("cells").alias(f"{end}_cells"))
-    near = F.least("u_cells", "v_cells") >= F.greatest("u_cells", "v_cells") * least
-    return pairs.join(of("u"), "u").join(of("v"), "v").where(near).select("u", "v")
 
+def block_links(nodes: list[int], roots: list[int], own: list[int], sets: list[np.ndarray], least: float, width: int = 4096) -> list[tuple[int, int]]:
+    """Links between nodes of different roots, and of different blocks where there are two, that join what was apart.
 
-def near_links(docs: DataFrame, signatures: DataFrame, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v, similarity) between different texts, and node, root of every linked node."""
+    Intersections of all nodes come from products of the incidence matrix of shared cells, ``width`` columns at a time.
+    """
+    n = len(nodes)
+    sizes = np.array([len(s) for s in sets], np.float32)
+    row, cell = np.repeat(np.arange(n), sizes.astype(int)), np.concatenate(sets)
+    _, column, many = np.unique(cell, return_inverse=True, return_counts=True)
+    shared = many[column] > 1
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (start, start + width))
+        part = np.zeros((n, width), np.float32)
+        np.add.at(part, (row[a:b], column[a:b] - start), 1)
+        both += part @ part.T
+    near = both >= np.float32(least) * (sizes[:, None] + sizes[None] - both) - 1e-4
+    apart = np.array(roots)[:, None] != np.array(roots)[None]
+    if len(set(own)) > 1:
+        apart &= np.array(own)[:, None] != np.array(own)[None]
+    root = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near & apart, 1)), strict=True):
+        a, b = find(roots[i]), find(roots[j])
+        if a != b:
+            root[a] = b
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def mixed_links(crowded: DataFrame, roots: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """u, v: links that join components in buckets that hold several."""
+    tagged = crowded.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    mixed = mixed.where("n > 2 and lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    inside = tagged.join(mixed, "key").select("key", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = inside.join(sets, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "set")
+
+    def run(table: pa.Table) -> pa.Table:
+        held = [np.frombuffer(s, np.uint32) for s in table.column("set").to_pylist()]
+        links = block_links(table.column("node").to_pylist(), table.column("root").to_pylist(), table.column("own").to_pylist(), held, least)
+        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+
+    return written(dealt.groupBy("key", "i", "j").applyInArrow(run, "u long, v long"), "mixed")
+
+
+def near_roots(docs: DataFrame, signatures: DataFrame, text_col: str, least: float, block: int = 384) -> DataFrame:
+    """node, root of every node that is linked to another one."""
     nodes = signatures.where("cells > 0").groupBy("node").agg(F.first("cells").alias("cells"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes")
-    bands = nodes.select("node", F.explode("keys").alias("key"))
-    heads = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
-    pairs = bands.join(heads, "key").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
-    pairs = written(sized(pairs, nodes, least), "pairs")
-    links = verified(pairs, docs, text_col, least)
-    roots = written(components(links.select("u", "v")), "roots")
-
-    # bands that hold several components: their nodes outside the head's one meet what is in another
-    tagged = nodes.join(roots, "node", "left").select("node", "cells", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
-    mixed = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "node").alias("head_root"))
-    mixed = mixed.where("n > 2 and lo <> hi").select("key", "head_root")
-    inside = written(tagged.join(mixed, "key"), "mixed")
-    few = inside.where("root <> head_root").select("key", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("cells").alias("u_cells"))
-    every = inside.select("key", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("cells").alias("v_cells"))
-    near = F.least("u_cells", "v_cells") >= F.greatest("u_cells", "v_cells") * least
-    met = few.join(every, "key").where((F.col("u_root") != F.col("v_root")) & near).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    rest = written(met.join(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = verified(rest, docs, text_col, least)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.select("u", "v"))), "roots")
-    return links, roots
+    bands = nodes.select("node", "cells", F.explode("keys").alias("key"))
+    heads = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"), F.min_by("cells", "node").alias("head_cells")).where("n > 1")
+    crowded = written(bands.join(heads, "key").select("key", "node", "cells", "head", "head_cells"), "crowded")
+
+    ends = crowded.select("node").distinct()
+    # equal texts merge before they travel
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    sets = written(cell_sets(texts.join(ends, "node", "left_semi")), "sets", "none")
+
+    sized = F.least("cells", "head_cells") >= F.greatest("cells", "head_cells") * least
+    pairs = crowded.where((F.col("node") != F.col("head")) & sized).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    links = verified(pairs, sets, least)
+    roots = written(components(links), "roots")
+    more = mixed_links(crowded, roots, sets, least, block)
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``id_col``, class_id, n_links, kept, node of every row.
+    """``id_col``, class_id, kept, node of every row.
 
-    ``n_links`` counts verified links of the row's text to different texts; ``kept`` is true for
-    the least id of a class (and its least node, where one id has several texts).
+    ``kept`` is true for the least id of a class (and its least node, where one id has several texts).
     """
     bounded_batches(docs.sparkSession, 8)
     signatures = written(signed(docs, id_col, text_col, bands, rows), "signatures")
-    links, roots = near_links(docs, signatures, text_col, least)
-    degrees = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = written(signatures.select("id", "node").join(roots, "node", "left").join(degrees, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "placed")
+    roots = near_roots(docs, signatures, text_col, least)
+    placed = written(signatures.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")), "placed")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
     heads = placed.where("root is not null").groupBy("root").agg(first)
     out = placed.join(heads, "root", "left")
     alone = F.col("root").isNull()
     kept = alone | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")))
-    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"), "n_links", kept.alias("kept"), "node")
+    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"), kept.alias("kept"), "node")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
