@@ -42,9 +42,7 @@ def id_arrays(encoder: PieceEncoder, texts: list[str]) -> list[np.ndarray]:
 
 
 def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
-    """part, seq, n_tokens, doc_ids, ids (``length`` two-byte ids, compressed) of every sequence."""
-    import zstandard
-
+    """part, seq, n_tokens, doc_ids, ids (``length`` two-byte ids) of every sequence."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = StructType([StructField("part", LongType()), StructField("seq", LongType()), StructField("n_tokens", LongType()), StructField("doc_ids", ArrayType(rows.schema["id"].dataType))])
@@ -52,7 +50,6 @@ def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = None, TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         rest, owners, kind, end = np.empty(0, WIDTH), [], None, None
 
         def told(out: list[tuple]) -> pa.RecordBatch:
@@ -81,7 +78,7 @@ def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id",
                         if span[0] >= s + length:
                             break
                         inside.append(span[2])
-                    out.append((seq, length, inside, squeeze(stream[s : s + length].tobytes())))
+                    out.append((seq, length, inside, stream[s : s + length].tobytes()))
                     seq += 1
                 cut = len(stream) // length * length
                 owners = [span[2] for span in spans if span[1] > cut]
@@ -90,7 +87,7 @@ def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id",
                     yield told(out)
         if len(rest):
             full = np.concatenate((rest, np.full(length - len(rest), end, WIDTH)))
-            yield told([(seq, len(rest), owners, squeeze(full.tobytes()))])
+            yield told([(seq, len(rest), owners, full.tobytes())])
 
     return rows.mapInArrow(run, schema)
 
@@ -125,6 +122,18 @@ def slot_of(number: Column, size: Column, key: int) -> Column:
     return slots(number, size)
 
 
+def squeezed(ids: Column) -> Column:
+    """The bytes compressed one by one, for the shuffle."""
+
+    @F.pandas_udf("binary")
+    def squeeze(data: pd.Series) -> pd.Series:
+        import zstandard
+
+        return data.map(zstandard.ZstdCompressor(level=3).compress)
+
+    return squeeze(ids)
+
+
 def numbered(parts: DataFrame) -> DataFrame:
     """``parts`` (part, seq, ..) with ``number``, dense over all sequences, and ``total``: one row for each task is summed up."""
     sizes = parts.groupBy("part").agg((F.max("seq") + 1).alias("n"))
@@ -147,10 +156,10 @@ def write_shards(docs: DataFrame, model: str, folder: str | None = None, length:
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "shards")
     stride = length * WIDTH.itemsize
-    kept = written(sequences(docs, model, length, id_col, text_col), "sequences", "none")
+    kept = written(sequences(docs, model, length, id_col, text_col), "sequences")
     placed = numbered(kept)
     placed = placed.withColumn("slot", slot_of(F.col("number"), F.col("total"), key)).withColumn("shard", F.floor(F.col("slot") / per_shard))
-    dealt = placed.select("shard", "slot", "n_tokens", "part", "seq", "doc_ids", "ids").repartitionByRange("shard").sortWithinPartitions("slot")
+    dealt = placed.select("shard", "slot", "n_tokens", "part", "seq", "doc_ids", squeezed(F.col("ids")).alias("ids")).repartitionByRange("shard").sortWithinPartitions("slot")
     index = StructType([*(f for f in dealt.schema if f.name != "ids"), StructField("offset", LongType())]).add("file", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
