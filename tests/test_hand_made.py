@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.columns import ewm_means, ordered, rolling_by_lags
+from tidemark.columns import compounded, ewm_means, ordered, rolling_by_lags
 from tidemark.functions import lexicons as lx
 from tidemark.functions import symbols as sy
 from tidemark.operators import entities as en
@@ -17,7 +17,9 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import feature_store as fs
 from tidemark.operators import graph as g
 from tidemark.operators import knowledge as kn
+from tidemark.operators import factors as fc
 from tidemark.operators import metrics as mt
+from tidemark.operators import portfolio as pf
 from tidemark.operators import predicates as pr
 from tidemark.operators import quality_bars as qb
 from tidemark.operators import relations as rl
@@ -25,6 +27,7 @@ from tidemark.operators import sentiment as se
 from tidemark.operators import weights as wt
 from tidemark.operators.features import FeatureBook, grouped_feature
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.sources import graph_store as gs
 from tidemark.sources import store
 
 DAY0 = dt.date(2024, 1, 1)
@@ -417,3 +420,100 @@ def test_sample_is_stable(spark):
     df = spark.createDataFrame([(f"S{i % 20}",) for i in range(200)], "symbol string")
     one, two = pr.sample_symbols(df, 5, 1).collect(), pr.sample_symbols(df.repartition(7), 5, 1).collect()
     assert one == two and len(one) == 5
+
+
+def test_inference_tells_when_rounds_are_not_enough(spark):
+    t = spark.createDataFrame([(f"n{i}", "p", f"n{i + 1}", 0.9) for i in range(12)], "subject string, predicate string, object string, confidence double")
+    assert kn.infer(t, [kn.transitive("p")]).count() == 78
+    with pytest.raises(RuntimeError):
+        kn.infer(t, [kn.transitive("p")], max_rounds=1)
+
+
+# --- total losses and long memories -----------------------------------------------------
+
+
+def test_growth_is_a_product(spark):
+    for rates in ([0.1, -1.0, 0.2], [0.5, -1.5, 0.2, -3.0, 0.1], [-1.0], [0.2, None, -0.1]):
+        df = spark.createDataFrame([("p", DAY0 + dt.timedelta(days=i), r) for i, r in enumerate(rates)], "portfolio_id string, date date, ret double")
+        want = np.cumprod([1 + (r or 0) for r in rates])
+        same(column(pf.growth(df, ["portfolio_id"], "date"), "growth"), want)
+        assert df.agg(compounded(F.col("ret")).alias("g")).first().g == pytest.approx(want[-1])
+        assert pf.performance(df).first().total_return == pytest.approx(want[-1] - 1)
+
+
+def test_total_loss_is_the_whole_drawdown(spark):
+    df = spark.createDataFrame([("p", DAY0 + dt.timedelta(days=i), r) for i, r in enumerate([0.1, -1.0, 0.2])], "portfolio_id string, date date, ret double")
+    one = pf.performance(df).first()
+    assert (one.total_return, one.max_drawdown) == (-1.0, -1.0)
+    assert column(wt.learning_metrics(df.withColumnRenamed("ret", "portfolio_ret")), "max_drawdown") == [0.0, -1.0, -1.0]
+
+
+@pytest.mark.parametrize("span", [26, 200, 500])
+def test_exponential_mean_has_no_reach(spark, span):
+    s = pd.Series(np.random.default_rng(span).uniform(10, 20, 3000))
+    out = ewm_means(bars(spark, [float(x) for x in s]), ordered(["symbol"], ["date"]), {"e": ("close", span)})
+    same(column(out, "e"), s.ewm(span=span).mean())
+
+
+def test_any_confidence_level_has_its_quantile(spark):
+    df = spark.createDataFrame([("A", float(x)) for x in range(-50, 51)], "symbol string, ret double")
+    sd = float(np.std(range(-50, 51)))
+    assert pf.value_at_risk(df, 0.975, "parametric").first()["var"] == pytest.approx(-1.959964 * sd, rel=1e-6)
+
+
+# --- keys that move, copies in a batch, nulls in filters --------------------------------
+
+
+def test_an_id_of_another_type_replaces_its_row(spark, tmp_path):
+    root = str(tmp_path / "nodes")
+    row = lambda kind, at: spark.createDataFrame([("a", kind, at), ("b", "stock", at)], "id string, type string, created_at long")
+    gs.save(spark, row("company", 1), root)
+    gs.save(spark, row("stock", 2), root)
+    assert sorted((r.id, r.type) for r in gs.load(spark, root).collect()) == [("a", "stock"), ("b", "stock")]
+    assert gs.load(spark, root, "company").count() == 0
+
+
+def test_copies_in_a_batch_without_sequence_are_settled(spark, tmp_path):
+    df = bars(spark, [1.0, 2.0], "600001.SH").withColumn("amount", F.lit(1.0))
+    both = df.unionByName(df.withColumn("close", F.col("close") + 5))
+    seen = set()
+    for i in range(3):
+        store.write_daily_bars(spark, both.repartition(i + 1), str(tmp_path / f"s{i}"))
+        seen.add(tuple(column(store.read_daily_bars(spark, str(tmp_path / f"s{i}")), "close")))
+    assert len(seen) == 1
+
+
+def test_a_present_null_fails_a_filter(spark):
+    rows = spark.createDataFrame([("e", "x", 1), ("e", None, 2)], "event_type string, source string, n int")
+    subs = spark.createDataFrame([("s", "e", {"source": ["x"]}), ("t", "e", {"absent": ["y"]})], "subscription_id string, kind string, filters map<string,array<string>>")
+    got = sorted((r.subscription_id, r.n) for r in pr.subscribed(rows, subs, ["source"]).collect())
+    assert got == [("s", 1), ("t", 1), ("t", 2)]
+
+
+# --- factor registry --------------------------------------------------------------------
+
+
+def test_factor_registry_checks_needs_and_status(spark):
+    book = fc.FactorRegistry()
+    book.register(fc.Factor("a", ("b",), lambda w: F.col("b") + 1))
+    book.register(fc.Factor("b", ("close",), lambda w: F.col("close") * 2))
+    df = bars(spark, [1.0, 2.0])
+    assert column(book.calculate(df, ["a"]), "a") == [3.0, 5.0]
+    with pytest.raises(ValueError):
+        book.register(fc.Factor("a", ("close",), lambda w: F.col("close")))
+    book.set_status("b", "deprecated")
+    with pytest.raises(ValueError):
+        book.calculate(df, ["a"])
+    book.register(fc.Factor("c", ("nothing",), lambda w: F.col("nothing")))
+    with pytest.raises(ValueError):
+        book.calculate(df, ["c"])
+    for x, y in (("d", "e"), ("e", "d")):
+        book.register(fc.Factor(x, (y,), lambda w: F.lit(1)))
+    with pytest.raises(ValueError):
+        book.calculate(df, ["d"])
+
+
+def test_semantic_search_knows_rare_words(spark):
+    rows = [(i, f"common words here {i % 7} filler{i}") for i in range(1200)] + [(5000, "the rarest platypus")]
+    got = kn.semantic_search(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", "platypus", 5).collect()
+    assert [r.doc_id for r in got] == [5000]

@@ -100,17 +100,27 @@ def flag(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0)
 
 
+def compounded(rate: Column, over: WindowSpec | None = None) -> Column:
+    """Product of 1 + rate, as an aggregate or over a window: magnitude, sign and total losses
+    are kept apart, as a logarithm has no place for a factor of 0 or below. Null without rates."""
+    put = (lambda c: c) if over is None else (lambda c: c.over(over))
+    one = 1 + rate
+    size = F.coalesce(F.exp(put(F.sum(F.when(one != 0, F.log(F.abs(one)))))), F.lit(1.0))
+    sign = F.when(put(F.sum(flag(one < 0))) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(put(F.count(rate)) > 0, F.when(put(F.max(flag(one == 0))) == 1, 0.0).otherwise(size * sign))
+
+
 def either(conds: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
 
 
-def ewm_means(df: DataFrame, w: WindowSpec, terms: dict[str, tuple[str, float]], reach: int = 512) -> DataFrame:
-    """Adjusted exponential means over the last ``reach`` rows, as columns.
+def ewm_means(df: DataFrame, w: WindowSpec, terms: dict[str, tuple[str, float]]) -> DataFrame:
+    """Adjusted exponential means over all rows so far, as columns.
 
     ``terms`` maps an output name to (input column, span). The weighted sum over 2m
-    rows is the one over m rows plus (1-a)^m times the same sum m rows earlier, so
-    log2(reach) lags of one window reach every weight a double can hold: spans up to
-    28 lose less than 1e-16 at 512 rows. Null inputs carry no weight but keep their
+    rows is the one over m rows plus (1-a)^m times the same sum m rows earlier, so few lags
+    of one window reach every weight a double can hold: doubling goes on, for each span,
+    until the weight beyond is under 1e-17. Null inputs carry no weight but keep their
     place in time.
     """
     # One Window node per doubling serves every term; partition and sort stay the same.
@@ -125,14 +135,8 @@ def ewm_means(df: DataFrame, w: WindowSpec, terms: dict[str, tuple[str, float]],
             }
         )
     step = 1
-    while step < reach:
-        df = df.withColumns(
-            {
-                c: F.col(c) + F.lit(keep**step) * F.coalesce(F.lag(c, step).over(w), F.lit(0.0))
-                for n, d, keep in state.values()
-                for c in (n, d)
-            }
-        )
+    while live := {c: keep**step for n, d, keep in state.values() if keep**step > 1e-17 for c in (n, d)}:
+        df = df.withColumns({c: F.col(c) + F.lit(k) * F.coalesce(F.lag(c, step).over(w), F.lit(0.0)) for c, k in live.items()})
         step *= 2
     df = df.withColumns({out: ratio(F.col(n), F.col(d)) for out, (n, d, _) in state.items()})
     return df.drop(*[c for n, d, _ in state.values() for c in (n, d)])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.columns import change, clean, ordered, pad, ratio, roll_mean, roll_std
 from tidemark.operators.features import rsi_from
@@ -45,6 +47,65 @@ def forward_return(df: DataFrame, out: str = "fwd_ret") -> DataFrame:
     return df.withColumn(out, ratio(F.lead("close").over(w), F.col("close")) - 1)
 
 
+@dataclass(frozen=True)
+class Factor:
+    """A factor: a column built from ``needs``, which are columns of the bars or other factors."""
+
+    factor_id: str
+    needs: tuple[str, ...]
+    calculate: Callable[[WindowSpec], Column]
+    category: str = "custom"
+    status: str = "active"
+
+
+class FactorRegistry:
+    """Registered factors; only active ones, with active needs, are calculated."""
+
+    def __init__(self) -> None:
+        self._factors: dict[str, Factor] = {}
+
+    def register(self, factor: Factor) -> None:
+        if factor.factor_id in self._factors:
+            raise ValueError(f"factor {factor.factor_id} is registered twice")
+        if factor.factor_id in factor.needs:
+            raise ValueError(f"factor {factor.factor_id} needs itself")
+        self._factors[factor.factor_id] = factor
+
+    def set_status(self, factor_id: str, status: str) -> None:
+        self._factors[factor_id] = replace(self._factors[factor_id], status=status)
+
+    def names(self, status: str | None = "active") -> list[str]:
+        return [n for n, f in self._factors.items() if status in (None, f.status)]
+
+    def levels(self, factor_ids: Sequence[str], columns: Sequence[str]) -> list[list[Factor]]:
+        """Factors by depth, each after what it needs; an error for what is absent, not active or in a circle."""
+        depth: dict[str, int] = {}
+
+        def visit(name: str, path: tuple[str, ...]) -> int:
+            if name in path:
+                raise ValueError(f"factors need each other: {' > '.join((*path, name))}")
+            if name not in self._factors:
+                if name in columns:
+                    return 0
+                raise ValueError(f"{path[-1] if path else name}: neither a column nor a factor: {name}")
+            if self._factors[name].status != "active":
+                raise ValueError(f"factor {name} is {self._factors[name].status}")
+            if name not in depth:
+                depth[name] = 1 + max((visit(n, (*path, name)) for n in self._factors[name].needs), default=0)
+            return depth[name]
+
+        for name in factor_ids:
+            visit(name, ())
+        return [[self._factors[n] for n, d in depth.items() if d == k] for k in range(1, max(depth.values(), default=0) + 1)]
+
+    def calculate(self, bars: DataFrame, factor_ids: Sequence[str] | None = None) -> DataFrame:
+        """The bars with the factors asked for (default: all active ones) and what these need."""
+        w = ordered(["symbol"], ["date"])
+        for level in self.levels(self.names() if factor_ids is None else factor_ids, bars.columns):
+            bars = bars.withColumns({f.factor_id: f.calculate(w) for f in level})
+        return bars
+
+
 def factor_panel(wide: DataFrame, factors: Sequence[str] = BUILT_IN, carry: Sequence[str] = ("fwd_ret",)) -> DataFrame:
     """Long form (factor_id, symbol, date, value, ...), aligned by key and without nulls."""
     pairs = F.explode(

@@ -236,6 +236,26 @@ class FeatureBook:
         return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
+    def compute_isolated(self, bars: DataFrame, names: Iterable[str] | None = None, **how) -> tuple[DataFrame, dict[str, str]]:
+        """The features that can be built, and why each of the others cannot.
+
+        A feature is tried on the plan alone: unknown names, missing inputs, columns that do not
+        resolve and errors of a user's builder are told; no job runs and the rest is computed.
+        """
+        good, failed = [], {}
+        for name in dict.fromkeys(self._features if names is None else names):
+            if name not in self._features:
+                failed[name] = "not registered"
+                continue
+            try:
+                self.compute(bars, [name], **how)
+            except Exception as error:  # the builder is the user's code
+                failed[name] = (str(error).splitlines() or [type(error).__name__])[0]
+            else:
+                good.append(name)
+        return self.compute(bars, good, **how), failed
+
+
 def grouped_feature(bars: DataFrame, name: str, fn, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Slow path for a user function ``frame -> series`` over one symbol's bars."""
     schema = bars.schema.simpleString()[len("struct<") : -1] + f",{name}:double"

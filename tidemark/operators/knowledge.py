@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import count
 
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import NGram, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,15 +84,17 @@ def transitive(predicate: str, factor: float = 0.9) -> Rule:
     return rule
 
 
-def infer(triples: DataFrame, rules: Sequence[Rule], max_rounds: int = 10) -> DataFrame:
-    """Apply the rules until they yield nothing new, at most ``max_rounds`` times."""
+def infer(triples: DataFrame, rules: Sequence[Rule], max_rounds: int | None = None) -> DataFrame:
+    """Apply the rules until they yield nothing new; an error where ``max_rounds`` rounds are not enough."""
     known = cut_lineage(triples.select(*SPO, "confidence").groupBy(*SPO).agg(F.max("confidence").alias("confidence")).withColumn("round", F.lit(0)))
-    for r in range(1, max_rounds + 1):
+    for r in count(1):
         derived = reduce(DataFrame.unionByName, [rule(known) for rule in rules])
         best = derived.groupBy(*SPO).agg(F.max("confidence").alias("confidence"))
         fresh = cut_lineage(best.join(known.select(*SPO), list(SPO), "left_anti").withColumn("round", F.lit(r)))
         if fresh.isEmpty():
             break
+        if r == max_rounds:
+            raise RuntimeError(f"facts still arrive after {max_rounds} rounds")
         known = cut_lineage(known.unionByName(fresh))
     return known
 
@@ -104,29 +106,29 @@ def search_entities(entities: DataFrame, text: str, types: Sequence[str] | None
     return out.orderBy(F.desc("similarity"), "id").limit(limit)
 
 
-def semantic_search(docs: DataFrame, key: str, text: str, asked: str, limit: int = 10, features: int = 1000) -> DataFrame:
-    """Cosine of TF-IDF vectors over words and word pairs, best first.
+def semantic_search(docs: DataFrame, key: str, text: str, asked: str, limit: int = 10) -> DataFrame:
+    """Cosine of TF-IDF vectors over all words and word pairs, best first.
 
-    The vocabulary is the ``features`` most frequent terms, a bounded list; idf is
-    ln((n+1)/(df+1)).
+    idf is ln((n+1)/(df+1)). Terms are rows: weights and lengths are grouped sums, and only
+    those of the asked text are matched.
     """
-    tokens = RegexTokenizer(inputCol=text, outputCol="__t", pattern="(?U)\\W+", toLowercase=True)
+    tokens = RegexTokenizer(inputCol="__x", outputCol="__t", pattern="(?U)\\W+", toLowercase=True)
     pairs = NGram(n=2, inputCol="__t", outputCol="__p")
 
     def terms(df: DataFrame) -> DataFrame:
-        return pairs.transform(tokens.transform(df)).withColumn("__w", F.concat("__t", "__p"))
-
-    stored = terms(docs.select(key, text))
-    counter = CountVectorizer(inputCol="__w", outputCol="__c", vocabSize=features).fit(stored)
-    counted = counter.transform(stored)
-    idf = IDF(inputCol="__c", outputCol="__i").fit(counted)
-    unit = Normalizer(inputCol="__i", outputCol="__v")
-
-    def vectors(df: DataFrame) -> DataFrame:
-        return unit.transform(idf.transform(counter.transform(df))).withColumn("__a", vector_to_array("__v"))
-
-    query = docs.sparkSession.createDataFrame([(asked,)], f"{text} string")
-    wanted = vectors(terms(query)).first()["__a"]
-    dot = sum((F.get("__a", F.lit(i)) * w for i, w in enumerate(wanted) if w), F.lit(0.0))
-    found = vectors(stored).select(key, dot.alias("similarity"))
-    return found.where(F.col("similarity") > 0).orderBy(F.desc("similarity"), key).limit(limit)
+        split = pairs.transform(tokens.transform(df))
+        return split.select("__k", F.explode(F.concat("__t", "__p")).alias("__w")).groupBy("__k", "__w").agg(F.count(F.lit(1)).alias("tf"))
+
+    stored = docs.select(F.col(key).alias("__k"), F.col(text).alias("__x")).where(F.col("__x").isNotNull())
+    n = stored.count()
+    counted = terms(stored)
+    rare = counted.groupBy("__w").agg(F.log(F.lit(n + 1.0) / (F.count(F.lit(1)) + 1)).alias("idf"))
+    weighed = counted.join(rare, "__w").withColumn("v", F.col("tf") * F.col("idf"))
+    query = terms(docs.sparkSession.createDataFrame([(0, asked)], "__k int, __x string")).join(rare, "__w")
+    wanted = query.select("__w", (F.col("tf") * F.col("idf")).alias("q"))
+    size = wanted.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("size")).first()["size"] or 0.0
+    if not size:
+        return docs.select(key, F.lit(0.0).alias("similarity")).limit(0)
+    found = weighed.join(wanted, "__w", "left").groupBy("__k").agg(F.sum(F.col("v") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    out = found.where((F.col("dot") > 0) & (F.col("length") > 0)).select(F.col("__k").alias(key), (F.col("dot") / F.col("length") / F.lit(size)).alias("similarity"))
+    return out.orderBy(F.desc("similarity"), key).limit(limit)

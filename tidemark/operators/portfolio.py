@@ -4,22 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.columns import flag, ratio
+from tidemark.columns import compounded, flag, ratio
 
-# One-sided normal quantiles of the confidence levels.
+# One-sided normal quantiles as the reports give them; other levels are computed.
 Z_SCORES = {0.95: 1.645, 0.99: 2.326, 0.90: 1.282}
 
 
 def growth(returns: DataFrame, keys: Sequence[str], order: str, ret: str = "ret") -> DataFrame:
     """Compounded growth, its running peak and the drawdown, from the first return on."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = returns.withColumn("growth", F.exp(F.sum(F.log1p(F.greatest(F.col(ret), F.lit(-1 + 1e-12)))).over(w)))
+    df = returns.withColumn("growth", compounded(F.col(ret), w))
     df = df.withColumn("peak", F.max("growth").over(w))
-    return df.withColumn("drawdown", (F.col("growth") - F.col("peak")) / F.col("peak"))
+    return df.withColumn("drawdown", ratio(F.col("growth") - F.col("peak"), F.col("peak")))
 
 
 def price_drawdown(prices: DataFrame, keys: Sequence[str] = ("symbol",), order: str = "date", price: str = "close") -> DataFrame:
@@ -89,7 +90,7 @@ def performance(returns: DataFrame, keys: Sequence[str] = ("portfolio_id",), ben
     year = math.sqrt(252)
     sd = F.stddev_pop("ret")
     aggs = [
-        (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total_return"),
+        (compounded(F.col("ret")) - 1).alias("total_return"),
         (sd * year).alias("volatility"),
         F.when(sd > 0, F.avg("ret") / sd * year).otherwise(0.0).alias("sharpe_ratio"),
         F.min("drawdown").alias("max_drawdown"),
@@ -131,7 +132,7 @@ def value_at_risk(returns: DataFrame, confidence: float = 0.95, method: str = "h
         # exact percentile keeps a count per distinct return, merged map-side
         var = F.percentile(r, F.lit(1 - confidence))
     elif method == "parametric":
-        var = F.avg(r) - Z_SCORES.get(confidence, 1.282) * F.stddev_pop(r)
+        var = F.avg(r) - (Z_SCORES.get(confidence) or NormalDist().inv_cdf(confidence)) * F.stddev_pop(r)
     else:
         raise ValueError(f"unknown method {method}")
     level = returns.groupBy(*keys).agg(var.alias("var"), F.min(r).alias("worst_return"), F.max(r).alias("best_return"))

@@ -27,14 +27,14 @@ def sample_symbols(symbols: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def subscribed(events: DataFrame, subscriptions: DataFrame, fields: Sequence[str], kind: str = "event_type") -> DataFrame:
     """Events fanned out to the subscriptions of their type whose filters they pass.
 
-    A filter key the row lacks passes; a present one must be in the listed values.
+    A filter key the row lacks passes; a present one must be in the listed values, so a present null fails.
     ``subscriptions`` hold (subscription_id, kind, filters map<string, array<string>>).
     """
     row = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f).cast("string") for f in fields]))
     fits = F.forall(
         F.map_entries("filters"),
-        lambda e: F.try_element_at(F.col("__row"), e["key"]).isNull()
-        | F.array_contains(e["value"], F.try_element_at(F.col("__row"), e["key"])),
+        lambda e: ~F.map_contains_key(F.col("__row"), e["key"])
+        | F.coalesce(F.array_contains(e["value"], F.try_element_at(F.col("__row"), e["key"])), F.lit(False)),
     )
     subs = subscriptions.withColumnRenamed("kind", kind)
     return events.withColumn("__row", row).join(subs, kind).where(fits).drop("__row")

@@ -184,6 +184,19 @@ def summary(state: DataFrame) -> DataFrame:
     )
 
 
+def symbol_reports(metrics: DataFrame, issue_rows: DataFrame, state: DataFrame) -> DataFrame:
+    """One report for each symbol asked for: counts, its issues in order, and its metrics (null without data)."""
+    found = issue_rows.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rule", "severity", "value", "threshold"))).alias("issues"))
+    measured = metrics.select("symbol", F.struct(*[c for c in metrics.columns if c != "symbol"]).alias("metrics"))
+    return state.join(found, "symbol", "left").join(measured, "symbol", "left")
+
+
+def save_reports(reports: DataFrame, state: DataFrame, folder: str) -> None:
+    """Reports of the symbols and their summary as JSON below ``folder``."""
+    reports.write.mode("overwrite").json(f"{folder}/symbols")
+    summary(state).write.mode("overwrite").json(f"{folder}/summary")
+
+
 def breakdown(issue_rows: DataFrame) -> DataFrame:
     return issue_rows.groupBy("rule").agg(F.count(F.lit(1)).alias("issues")).orderBy(F.desc("issues"), "rule")
 

@@ -15,7 +15,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.columns import clip, flag, ratio
+from tidemark.columns import clip, compounded, flag, ratio
 
 DAY = ("portfolio_id", "date")
 
@@ -247,10 +247,10 @@ def learning_metrics(daily: DataFrame) -> DataFrame:
     """Running Sharpe, drawdown and hit rate of (portfolio_id, date, portfolio_ret)."""
     w = Window.partitionBy("portfolio_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     r = F.col("portfolio_ret")
-    df = daily.withColumns({"__g": F.exp(F.sum(F.log1p(r)).over(w)), "__n": F.count(r).over(w)})
+    df = daily.withColumns({"__g": compounded(r, w), "__n": F.count(r).over(w)})
     df = df.withColumn("__peak", F.max("__g").over(w))
     sd = F.stddev_pop(r).over(w)
-    df = df.withColumn("__dd", (F.col("__g") - F.col("__peak")) / F.col("__peak"))
+    df = df.withColumn("__dd", ratio(F.col("__g") - F.col("__peak"), F.col("__peak")))
     return df.select(
         "portfolio_id",
         "date",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.columns import snap
+from tidemark.columns import ratio, snap
 from tidemark.operators import evaluation as ev
 from tidemark.operators import factors as fc
 from tidemark.operators import portfolio as pf
@@ -211,8 +211,8 @@ def factor_quantile_returns(spark, folder):
 _LS = f"""{BUCKETS}, ends AS (SELECT factor_id, symbol, pos, max(fwd_ret) FILTER (bucket = 4) - max(fwd_ret) FILTER (bucket = 0) AS ret
       FROM placed WHERE bucket IN (0, 4) GROUP BY 1, 2, 3),
     ls AS (SELECT * FROM ends WHERE ret IS NOT NULL),
-    path AS (SELECT *, exp(sum(ln(1 + greatest(ret, -1 + 1e-12))) OVER ({SERIES} ORDER BY pos)) AS g FROM ls),
-    dd AS (SELECT *, (g - max(g) OVER ({SERIES} ORDER BY pos)) / max(g) OVER ({SERIES} ORDER BY pos) AS drawdown FROM path),
+    path AS (SELECT *, product(1 + ret) OVER ({SERIES} ORDER BY pos) AS g FROM ls),
+    dd AS (SELECT *, (g - max(g) OVER ({SERIES} ORDER BY pos)) / nullif(max(g) OVER ({SERIES} ORDER BY pos), 0) AS drawdown FROM path),
     lss AS (SELECT factor_id, symbol, stddev_pop(ret) * sqrt(252) AS vol,
       CASE WHEN stddev_pop(ret) > 0 THEN (avg(ret) * 252 - 0.03) / (stddev_pop(ret) * sqrt(252)) ELSE 0 END AS sharpe,
       min(drawdown) AS mdd FROM dd GROUP BY 1, 2)"""
@@ -221,12 +221,14 @@ _LS = f"""{BUCKETS}, ends AS (SELECT factor_id, symbol, pos, max(fwd_ret) FILTER
 @query(
     "factor_long_short",
     f"""WITH {_LS} SELECT factor_id, symbol, {s('vol', 4)} AS long_short_volatility, {s('sharpe', 4)} AS long_short_sharpe,
-      {s('mdd', 5)} AS max_drawdown FROM lss""",
+      {s('ln(1 - mdd)', 5)} AS log_drawdown FROM lss""",
 )
 def factor_long_short(spark, folder):
+    """A spread may lose more than all, so its drawdown is told as ln(1 - drawdown)."""
     out = ev.long_short(ev.bucketed(_both(spark, folder)))
+    out = out.withColumn("log_drawdown", F.log(1 - F.col("max_drawdown")))
     return _shown(
-        out, {"long_short_volatility": 4, "long_short_sharpe": 4, "max_drawdown": 5}, "factor_id", "symbol"
+        out, {"long_short_volatility": 4, "long_short_sharpe": 4, "log_drawdown": 5}, "factor_id", "symbol"
     )
 
 
@@ -439,6 +441,23 @@ def backtest_daily(spark, folder):
     return _shown(pf.backtest_returns(*_signals(spark, folder), 5), {"ret": 5}, "date")
 
 
+_SPAN = div("high - low", "close")
+
+
+@query(
+    "factor_custom",
+    f"""WITH {BARS}, f AS (SELECT *, {_SPAN} AS day_span FROM bars)
+    SELECT symbol, date, {s('day_span')} AS day_span, {s(f'avg(day_span) OVER ({WS} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)')} AS span_mean FROM f""",
+)
+def factor_custom(spark, folder):
+    """A user's factors, one built on the other; a deprecated one is left out."""
+    book = fc.FactorRegistry()
+    book.register(fc.Factor("span_mean", ("day_span",), lambda w: F.avg("day_span").over(w.rowsBetween(-4, 0))))
+    book.register(fc.Factor("day_span", ("high", "low", "close"), lambda w: ratio(F.col("high") - F.col("low"), F.col("close"))))
+    book.register(fc.Factor("old", ("close",), lambda w: F.col("close"), status="deprecated"))
+    return _shown(book.calculate(daily_bars(spark, folder)), {"day_span": 6, "span_mean": 6}, "symbol", "date")
+
+
 @query(
     "backtest_summary",
     f"""WITH {_SIG}, d AS (SELECT date, avg(coalesce(fwd_ret, 0)) AS ret FROM picked WHERE rank <= 5 GROUP BY 1)
@@ -452,35 +471,41 @@ def backtest_summary(spark, folder):
     )
 
 
-# One part in a thousand of the book follows the strategy, so a growth path of noisy
-# derived prices stays inside double range.
-_RETS = f"""{_SIG}, port AS (SELECT CAST(rank AS INT) AS portfolio_id, date, coalesce(fwd_ret, 0) * 0.001 AS ret FROM picked WHERE rank <= 5),
-    bench AS (SELECT date, avg(coalesce(fwd_ret, 0)) * 0.001 AS bench FROM fac GROUP BY 1),
+# A fall of more than 99.8 % counts as the total loss of what was held.
+_LOST = "CASE WHEN {0} < -0.998 THEN -1.0::DOUBLE ELSE {0} END"
+_RETS = f"""{_SIG}, port AS (SELECT CAST(rank AS INT) AS portfolio_id, date, {_LOST.format('coalesce(fwd_ret, 0)')} AS ret FROM picked WHERE rank <= 5),
+    bench AS (SELECT date, avg(coalesce(fwd_ret, 0)) AS bench FROM fac GROUP BY 1),
     held AS (SELECT * FROM port JOIN bench USING (date)),
-    grown AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY portfolio_id ORDER BY date)) AS g FROM held),
-    dd AS (SELECT *, (g - max(g) OVER (PARTITION BY portfolio_id ORDER BY date)) / max(g) OVER (PARTITION BY portfolio_id ORDER BY date) AS drawdown FROM grown)"""
+    grown AS (SELECT *, product(1 + ret) OVER (PARTITION BY portfolio_id ORDER BY date) AS g FROM held),
+    dd AS (SELECT *, (g - max(g) OVER (PARTITION BY portfolio_id ORDER BY date)) / nullif(max(g) OVER (PARTITION BY portfolio_id ORDER BY date), 0) AS drawdown FROM grown)"""
+
+
+def _lost(ret):
+    return F.when(ret < -0.998, -1.0).otherwise(ret)
 
 
 @query(
     "portfolio_performance",
-    f"""WITH {_RETS}, p AS (SELECT portfolio_id, exp(sum(ln(1 + ret))) - 1 AS total_return, stddev_pop(ret) * sqrt(252) AS volatility,
+    f"""WITH {_RETS}, p AS (SELECT portfolio_id, product(1 + ret) - 1 AS total_return, stddev_pop(ret) * sqrt(252) AS volatility,
       avg(ret) / stddev_pop(ret) * sqrt(252) AS sharpe, min(drawdown) AS mdd, avg((ret > 0)::INT) AS hit,
       stddev_pop(ret - bench) * sqrt(252) AS te, avg(ret - bench) / stddev_pop(ret - bench) * sqrt(252) AS ir FROM dd GROUP BY 1)
-    SELECT portfolio_id, {s('total_return', 4)} AS total_return, {s('volatility', 5)} AS volatility, {s('sharpe', 4)} AS sharpe_ratio,
+    SELECT portfolio_id, {s('sign(total_return) * ln(1 + abs(total_return))', 4)} AS log_total_return, {s('volatility', 5)} AS volatility, {s('sharpe', 4)} AS sharpe_ratio,
       {s('mdd')} AS max_drawdown, {s('hit', 5)} AS hit_rate, {s('te', 5)} AS tracking_error, {s('ir', 4)} AS information_ratio,
-      {s('CASE WHEN mdd < 0 THEN total_return / abs(mdd) ELSE 0 END', 2)} AS calmar_ratio FROM p""",
+      {s('CASE WHEN mdd < 0 THEN sign(total_return) * ln(1 + abs(total_return / mdd)) ELSE 0 END', 2)} AS log_calmar_ratio FROM p""",
 )
 def portfolio_performance(spark, folder):
     signals, forward = _signals(spark, folder)
     held = pf.top_k(signals, 5).join(forward, ["date", "symbol"], "left")
-    held = held.select(F.col("rank").alias("portfolio_id"), "date", (F.coalesce("ret", F.lit(0.0)) * 0.001).alias("ret"))
-    bench = forward.groupBy("date").agg((F.avg(F.coalesce("ret", F.lit(0.0))) * 0.001).alias("bench"))
+    held = held.select(F.col("rank").alias("portfolio_id"), "date", _lost(F.coalesce("ret", F.lit(0.0))).alias("ret"))
+    bench = forward.groupBy("date").agg(F.avg(F.coalesce("ret", F.lit(0.0))).alias("bench"))
     out = pf.performance(held.join(bench, "date"), benchmark="bench")
+    # noisy prices compound beyond what fixed decimals hold
+    told = {f"log_{c}": F.signum(F.col(c)) * F.log1p(F.abs(F.col(c))) for c in ("total_return", "calmar_ratio")}
     return _shown(
-        out,
+        out.withColumns(told),
         {
-            "total_return": 4, "volatility": 5, "sharpe_ratio": 4, "max_drawdown": 6, "hit_rate": 5,
-            "tracking_error": 5, "information_ratio": 4, "calmar_ratio": 2,
+            "log_total_return": 4, "volatility": 5, "sharpe_ratio": 4, "max_drawdown": 6, "hit_rate": 5,
+            "tracking_error": 5, "information_ratio": 4, "log_calmar_ratio": 2,
         },
         "portfolio_id",
     )
@@ -519,15 +544,15 @@ def portfolio_drawdown_report(spark, folder):
 
 @query(
     "portfolio_return_statistics",
-    f"""WITH {BARS}, {_R}, q AS (SELECT symbol, date, ret * 0.001 AS ret FROM r WHERE ret IS NOT NULL),
-    g AS (SELECT *, exp(sum(ln(1 + ret)) OVER ({WS})) AS g FROM q),
-    d AS (SELECT *, (g - max(g) OVER ({WS})) / max(g) OVER ({WS}) AS dd FROM g)
+    f"""WITH {BARS}, {_R}, q AS (SELECT symbol, date, {_LOST.format('ret')} AS ret FROM r WHERE ret IS NOT NULL),
+    g AS (SELECT *, product(1 + ret) OVER ({WS}) AS g FROM q),
+    d AS (SELECT *, (g - max(g) OVER ({WS})) / nullif(max(g) OVER ({WS}), 0) AS dd FROM g)
     SELECT symbol, {s('avg((ret > 0)::INT)', 5)} AS win_rate, {s('avg(ret) / stddev_samp(ret) * sqrt(252)', 4)} AS sharpe_ratio,
       {s('min(dd)')} AS max_drawdown, {s('avg(ret) / (stddev_samp(ret) / sqrt(count(ret)))', 4)} AS t_stat,
       {s('CASE WHEN min(dd) <> 0 THEN avg(ret) * 252 / abs(min(dd)) ELSE 0 END', 2)} AS calmar_ratio FROM d GROUP BY 1""",
 )
 def portfolio_return_statistics(spark, folder):
-    r = _returns(spark, folder).where(F.col("ret").isNotNull()).withColumn("ret", F.col("ret") * 0.001)
+    r = _returns(spark, folder).where(F.col("ret").isNotNull()).withColumn("ret", _lost(F.col("ret")))
     return _shown(
         pf.return_statistics(r),
         {"win_rate": 5, "sharpe_ratio": 4, "max_drawdown": 6, "t_stat": 4, "calmar_ratio": 2},

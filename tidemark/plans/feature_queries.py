@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.columns import rolling_correlation, snap
+from tidemark.columns import ewm_means, ordered, rolling_correlation, snap
 from tidemark.operators.features import (
     FeatureBook,
     cross_rank,
@@ -140,13 +140,28 @@ def feature_oscillators(spark, folder):
 
 @query(
     "feature_exponential",
-    f"""WITH {BARS}, e AS (SELECT symbol, date, {ewm('close', 20)} AS ema, {ewm('close', 12)} - {ewm('close', 26)} AS macd
+    f"""WITH {BARS}, e AS (SELECT symbol, date, {ewm('close', 20)} AS ema, {ewm('close', 200)} AS long, {ewm('close', 12)} - {ewm('close', 26)} AS macd
       FROM bars), g AS (SELECT *, {ewm('macd', 9)} AS sig FROM e)
     SELECT symbol, date, {s('ema', 5)} AS ema, {s('macd', 5)} AS macd, {s('sig', 5)} AS macd_signal,
-      {s('macd - sig', 5)} AS macd_histogram FROM g""",
+      {s('macd - sig', 5)} AS macd_histogram, {s('long', 5)} AS ema_200 FROM g""",
 )
 def feature_exponential(spark, folder):
-    return _features(spark, folder, ["ema", "macd", "macd_signal", "macd_histogram"], 5)
+    names = ["ema", "macd", "macd_signal", "macd_histogram"]
+    df = ewm_means(BOOK.compute(daily_bars(spark, folder), names), ordered(["symbol"], ["date"]), {"ema_200": ("close", 200)})
+    return df.select("symbol", "date", *[snap(F.col(n), 5).alias(n) for n in [*names, "ema_200"]])
+
+
+@query(
+    "feature_isolated",
+    f"WITH {BARS} SELECT symbol, date, {s(roll('avg', 'close', 20))} AS sma, 'absent column, failing builder, unknown name' AS failed FROM bars",
+)
+def feature_isolated(spark, folder):
+    """Three features that cannot be built do not keep the fourth from being computed."""
+    book = FeatureBook()
+    book.register("absent column", lambda w: F.col("no_such_column").cast("double"), ["close"])
+    book.register("failing builder", lambda w: F.lit(1 / 0), ["close"])
+    out, failed = book.compute_isolated(daily_bars(spark, folder), ["absent column", "sma", "failing builder", "unknown name"])
+    return out.select("symbol", "date", snap(F.col("sma")).alias("sma"), F.lit(", ".join(sorted(failed))).alias("failed"))
 
 
 @query(

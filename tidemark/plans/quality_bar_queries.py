@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.columns import snap
@@ -10,6 +12,7 @@ from tidemark.operators import quality_bars as qb
 from tidemark.plans.registry import query
 from tidemark.plans.sql import BARS, WS, div
 from tidemark.plans.sql import snap as s
+from tidemark.session import checkpoint_dir
 from tidemark.sources.bars import daily_bars, landed_bars
 from tidemark.sources.tables import table
 
@@ -137,6 +140,24 @@ def dq_bar_summary(spark, folder):
     return qb.summary(_state(spark, folder)[1])
 
 
+@query(
+    "dq_report_store",
+    f"""WITH {_HEALTH}, n AS (SELECT symbol, count(*) AS issues FROM full_issues GROUP BY 1)
+    SELECT symbol, errors, warnings, coalesce(issues, 0) AS issues, symbol IN (SELECT symbol FROM metrics) AS measured,
+      (SELECT count(*) FILTER (errors > 0) FROM state) AS symbols_with_errors FROM state LEFT JOIN n USING (symbol)""",
+)
+def dq_report_store(spark, folder):
+    """Reports are written as JSON and read back."""
+    root = f"{checkpoint_dir(spark)}/reports/dq-{uuid.uuid4().hex}"
+    found, state = _state(spark, folder)
+    qb.save_reports(qb.symbol_reports(_metrics(spark, folder), found, state), state, root)
+    reports, total = spark.read.json(f"{root}/symbols"), spark.read.json(f"{root}/summary")
+    return reports.select(
+        "symbol", "errors", "warnings", F.coalesce(F.size("issues"), F.lit(0)).cast("long").alias("issues"), F.col("metrics").isNotNull().alias("measured"),
+        total.select("symbols_with_errors").scalar().alias("symbols_with_errors"),
+    )
+
+
 @query("dq_bar_breakdown", f"WITH {ISSUES} SELECT rule, count(*) AS issues FROM issues GROUP BY 1")
 def dq_bar_breakdown(spark, folder):
     return qb.breakdown(qb.issues(_metrics(spark, folder)))

@@ -47,10 +47,10 @@ def avg_rank(x: str, part: str) -> str:
     )
 
 
-def ewm(x: str, span: int, reach: int = 512, ws: str = WS) -> str:
-    """Adjusted exponential mean by its definition: a weighted fold of the last rows."""
+def ewm(x: str, span: int, ws: str = WS) -> str:
+    """Adjusted exponential mean by its definition: a weighted fold of all rows so far."""
     keep = 1.0 - 2.0 / (span + 1.0)
-    rows = f"list({x}) OVER ({ws} ROWS BETWEEN {reach - 1} PRECEDING AND CURRENT ROW)"
+    rows = f"list({x}) OVER ({ws} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     weighted = f"list_transform({rows}, lambda v, i: v * pow({keep!r}::DOUBLE, len({rows}) - i))"
     weights = f"list_transform({rows}, lambda v, i: pow({keep!r}::DOUBLE, len({rows}) - i))"
     return f"(list_sum({weighted}) / list_sum({weights}))"

@@ -42,14 +42,9 @@ def setting(spark, name, value):
 
 
 def drain(spark, stream, name):
-    """Run a stream to its end. A local master keeps one state partition per core, as a
-    state store per default shuffle partition would only cost start-up there."""
+    """Run a stream to its end."""
     folder = scratch(spark, name)
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        count = min(count, spark.sparkContext.defaultParallelism)
-    with setting(spark, "spark.sql.shuffle.partitions", str(count)):
-        return st.finish(st.to_folder(stream, folder), spark, folder)
+    return st.finish(st.to_folder(stream, folder), spark, folder)
 
 
 # a window is written once the watermark has passed its end
@@ -129,7 +124,7 @@ def stream_messages(spark, folder):
     parsed = st.parse(st.read_files(spark, f"{root}/in", "value string", "text"))
     every = {c.stream_type: [keep_kind(root, c.stream_type)] for c in st.DEFAULT_STREAMS}
     running = st.run_handlers(parsed, every, root, st.DEFAULT_STREAMS[1], backfill=True)
-    running.awaitTermination(600)
+    running.awaitTermination()
     done = spark.read.parquet(f"{root}/handled").select(F.lit("handled").alias("outcome"))
     dead = spark.read.schema("value string, error string").json(f"{root}/dead_letters").select(F.col("error").alias("outcome"))
     return done.unionByName(dead).groupBy("outcome").agg(F.count(F.lit(1)).alias("messages"))
@@ -146,10 +141,12 @@ def rocks_state(spark):
     return setting(spark, "spark.sql.streaming.stateStore.providerClass", sf.ROCKS)
 
 
-@query("stream_count_windows", "SELECT event_type AS name, floor(count(*) / 100)::BIGINT AS windows, CAST(floor(count(*) / 100) * 100 AS BIGINT) AS rows FROM events GROUP BY 1")
+@query("stream_count_windows", "SELECT event_type AS name, ceil(count(*) / 100)::BIGINT AS windows, count(*) AS rows FROM events GROUP BY 1")
 def stream_count_windows(spark, folder):
     with rocks_state(spark):
-        out = drain(spark, sf.count_windows(samples(spark, folder), 100), "counts")
+        root = scratch(spark, "counts")
+        full = st.finish(st.to_folder(sf.count_windows(samples(spark, folder), 100), root), spark, root)
+        out = full.unionByName(sf.open_windows(spark, f"{root}/checkpoint"))
     return out.groupBy("name").agg(F.count(F.lit(1)).alias("windows"), F.sum("rows").alias("rows"))
 
 
@@ -169,6 +166,6 @@ def stream_features(spark, folder):
         stored.where(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(f"{root}/in")
         stream = st.read_files(spark, f"{root}/in", bars.schema)
         running = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        running.awaitTermination(600)
+        running.awaitTermination()
     out = spark.read.parquet(f"{root}/features")
     return out.select("symbol", "date", snap(F.col("sma")).alias("sma"))

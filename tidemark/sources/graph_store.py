@@ -1,4 +1,7 @@
-"""Node, edge and triple tables: upsert by id, load by type, JSON in and out."""
+"""Node, edge and triple tables: upsert by id, load by type, JSON in and out.
+
+Tables are partitioned by a hash of the id, so an id that changes its type replaces its row.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,23 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.store import read_table, upsert
 
+BUCKETS = 32
+
 
 def save(spark: SparkSession, rows: DataFrame, root: str, seq: str = "created_at") -> None:
     """Rows of (id, type, ...), newest write per id."""
-    upsert(spark, rows, root, ["id"], ["type"], seq)
+    upsert(spark, _bucketed(rows), root, ["id"], ["bucket"], seq)
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
 
 
 def load(spark: SparkSession, root: str, kind: str | None = None) -> DataFrame:
     df = read_table(spark, root)
     if df is None:
         raise FileNotFoundError(root)
-    return (df if kind is None else df.where(F.col("type") == kind)).orderBy("created_at", "id")
+    return (df if kind is None else df.where(F.col("type") == kind)).drop("bucket")
 
 
 def export_json(rows: DataFrame, path: str, gzip: bool = False) -> None:
@@ -34,4 +43,4 @@ def import_rows(spark: SparkSession, rows: DataFrame, root: str, merge: bool) ->
     if merge:
         save(spark, rows, root)
     else:
-        rows.write.mode("overwrite").partitionBy("type").parquet(root)
+        _bucketed(rows).write.mode("overwrite").partitionBy("bucket").parquet(root)

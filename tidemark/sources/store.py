@@ -38,8 +38,9 @@ def keep_last(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 def upsert(spark: SparkSession, new: DataFrame, root: str, keys: Sequence[str], partitions: Sequence[str], seq: str) -> None:
     """Merge rows into a partitioned table, last write wins.
 
-    Only partitions the new rows touch are read and rewritten. Both sides carry ``seq``;
-    rows of one batch are ordered by it, and a batch beats what is stored.
+    Only partitions the new rows touch are read and rewritten, so a key must fix its partition.
+    Both sides carry ``seq``; rows of one batch are ordered by it, then by their content as
+    JSON, and a batch beats what is stored. Files follow the data's size.
     """
     old = read_table(spark, root)
     merged = new.withColumn("__batch", F.lit(1))
@@ -48,11 +49,11 @@ def upsert(spark: SparkSession, new: DataFrame, root: str, keys: Sequence[str],
         merged = merged.unionByName(
             old.join(touched, list(partitions), "left_semi").withColumn("__batch", F.lit(0)), allowMissingColumns=True
         )
-    merged = merged.withColumn("__order", F.struct("__batch", seq))
+    merged = merged.withColumn("__order", F.struct("__batch", seq, F.to_json(F.struct(*new.columns))))
     out = keep_last(merged, keys, "__order").drop("__batch", "__order")
     (
-        out.repartition(*partitions, F.hash(keys[0]) % 8)
-        .sortWithinPartitions(*keys)
+        out.hint("rebalance", *partitions)
+        .sortWithinPartitions(*partitions, *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")

@@ -36,7 +36,7 @@ def sessions(stream: DataFrame, keys: Sequence[str], gap: str, late: str = "1 ho
     )
 
 
-def alerts(stream: DataFrame, rules: DataFrame, tick: str = "1 minute", cool_down: int = 300, late: str = "0 seconds") -> DataFrame:
+def alerts(stream: DataFrame, rules: DataFrame, tick: str = "1 minute", cool_down: int = 300, late: str = "1 hour") -> DataFrame:
     """Fired alerts of a metric stream: breaches per rule and tick, then the cool-down.
 
     Needs the RocksDB state store."""
@@ -81,8 +81,10 @@ class _CountWindows(StatefulProcessor):
     """Closes a window of a key at every ``size`` rows; the rest waits in state."""
 
     size = 100
+    wait = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getValueState("open", "count long, total double, windows long")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -90,35 +92,58 @@ class _CountWindows(StatefulProcessor):
         count, total, windows = held[0], held[1], held[2]
         out = []
         for frame in rows:
-            for value in frame["value"]:
-                count, total = count + 1, total + float(value)
-                if count == self.size:
-                    out.append((key[0], windows, count, total))
-                    count, total, windows = 0, 0.0, windows + 1
+            values = frame["value"].to_numpy(float)
+            cuts = range(self.size - count, len(values) + 1, self.size)
+            at = 0
+            for cut in cuts:
+                out.append((key[0], windows, self.size, total + float(values[at:cut].sum())))
+                count, total, windows, at = 0, 0.0, windows + 1, cut
+            count, total = count + len(values) - at, total + float(values[at:].sum())
         self.open.update((count, total, windows))
+        if self.wait is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if count:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
+        yield pd.DataFrame(out, columns=["name", "window", "rows", "total"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        count, total, windows = self.open.get() if self.open.exists() else (0, 0.0, 0)
+        out = [(key[0], windows, count, total)] if count else []
+        self.open.update((0, 0.0, windows + len(out)))
         yield pd.DataFrame(out, columns=["name", "window", "rows", "total"])
 
     def close(self) -> None:
         pass
 
 
-def count_windows(stream: DataFrame, size: int = 100, shards: int = 1) -> DataFrame:
+def count_windows(stream: DataFrame, size: int = 100, shards: int = 1, wait: int | None = None) -> DataFrame:
     """Windows of ``size`` messages per name, held in the RocksDB state store.
 
+    A window also closes ``wait`` milliseconds after its last message; without ``wait``, as in a
+    backfill, ``open_windows`` reads what is open at the end.
+
     ``shards`` splits the messages of a name by id, so no key holds a whole hot name;
     a window then holds messages of one shard.
     """
     key = F.concat_ws("#", "name", F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("string")) if shards > 1 else F.col("name")
     processor = _CountWindows()
-    processor.size = size
+    processor.size, processor.wait = size, wait
     return stream.select(key.alias("name"), "value").groupBy("name").transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType="name string, window long, rows long, total double",
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if wait is None else "ProcessingTime",
     )
 
 
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Windows that ``count_windows`` holds open in the state of an ended stream."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
+    held = state.select(F.col("key").getField("name").alias("name"), "value.*")
+    return held.where("count > 0").select("name", F.col("windows").alias("window"), F.col("count").alias("rows"), "total")
+
+
 def quality(stream: DataFrame, fields: Sequence[str], window: str, late: str = "1 hour") -> DataFrame:
     """Rows, empty cells and share of empty cells per source and window."""
     empty = [flag(F.col(f).isNull() | (F.col(f).cast("string") == "")) for f in fields]

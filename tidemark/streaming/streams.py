@@ -45,17 +45,17 @@ def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per
     return reader.load(path)
 
 
-def read_kafka(spark: SparkSession, config: StreamConfig, servers: str, starting: str = "latest") -> DataFrame:
-    """Values of a topic; needs the Kafka connector on the class path."""
-    return (
+def read_kafka(spark: SparkSession, config: StreamConfig, servers: str, starting: str = "latest", per_trigger: int | None = None) -> DataFrame:
+    """Values of a topic, all there is in a trigger unless bounded; needs the Kafka connector on the class path."""
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", config.name)
         .option("startingOffsets", starting)
-        .option("maxOffsetsPerTrigger", config.batch_size)
-        .load()
-        .select(F.col("value").cast("string").alias("value"))
     )
+    if per_trigger is not None:
+        reader = reader.option("maxOffsetsPerTrigger", per_trigger)
+    return reader.load().select(F.col("value").cast("string").alias("value"))
 
 
 def publish(messages: DataFrame, target: str, servers: str | None = None) -> None:
@@ -143,11 +143,9 @@ def to_folder(stream: DataFrame, folder: str, backfill: bool = True, every: str
     )
 
 
-def finish(query: StreamingQuery, spark: SparkSession, folder: str, timeout: int = 600) -> DataFrame:
-    """Wait for a backfill and read what it wrote."""
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream into {folder} is not done after {timeout} s")
+def finish(query: StreamingQuery, spark: SparkSession, folder: str) -> DataFrame:
+    """Wait for a backfill, however long, and read what it wrote; its error is raised here."""
+    query.awaitTermination()
     return spark.read.parquet(f"{folder}/rows")
 
 
