@@ -391,6 +391,23 @@ def test_decisions_follow_links(spark):
     assert len(got) == len(rows)
     assert blocked == {1, 2, 3, 4, 5, 7, 10, 11, 12, 15, None}
     assert url_filters.filter_urls(frame.limit(0)).count() == 0
+    same_as_sql(frame)
+
+
+def same_as_sql(frame):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", frame.select("page_id", "url", "html").toPandas())
+    cur = con.execute(url_filters.filter_urls_sql())
+    names = [d[0] for d in cur.description]
+    want = Counter(tuple(None if x != x else x for x in row) for row in cur.fetchall())
+    got = Counter(tuple(r[n] for n in names) for r in url_filters.filter_urls(frame).collect())
+    assert got == want
+
+
+def test_url_filter_matches_sql(spark, folder):
+    same_as_sql(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
 # --- shards

@@ -57,7 +57,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op7_url_filter")
+@query("op7_url_filter", url_filters.filter_urls_sql())
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, folder, "pages"))
 

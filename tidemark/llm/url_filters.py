@@ -43,10 +43,10 @@ def path_of(url: Column) -> Column:
 
 def normal_form(url: Column) -> Column:
     """Host without default port, path without closing slash, query without tracking parameters; null without ``://``."""
-    host = F.regexp_replace(host_of(url), ":(80|443)$", "")
-    path = F.regexp_replace(path_of(url), "/+$", "")
+    host = F.regexp_replace(host_of(url), ":(80|443)\\z", "")
+    path = F.regexp_replace(path_of(url), "/+\\z", "")
     asked = F.split(F.regexp_extract(url, "://[^?#]*\\?([^#]*)", 1), "&")
-    kept = F.array_join(F.filter(asked, lambda p: (p != "") & ~p.rlike("(?i)^(utm_[a-z]*|gclid|fbclid)(=|$)")), "&")
+    kept = F.array_join(F.filter(asked, lambda p: (p != "") & ~p.rlike("(?i)^(utm_[a-z]*|gclid|fbclid)(=|\\z)")), "&")
     return F.when(F.contains(url, F.lit("://")), F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
@@ -54,7 +54,7 @@ def resolved(url: Column, link: Column) -> Column:
     """``link`` as an absolute url on the page ``url``."""
     start = F.regexp_extract(url, "^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, "^(.*?:)//", 1)
-    folder = F.regexp_replace(path_of(url), "[^/]*$", "")
+    folder = F.regexp_replace(path_of(url), "[^/]*\\z", "")
     return (
         F.when(F.contains(link, F.lit("://")), link)
         .when(link.startswith("//"), F.concat(scheme, link))
@@ -95,3 +95,42 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).join(judged, "url", "left")
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return rows.select(F.col("id").alias(id_col), empty("host"), empty("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "alias_of")
+
+
+def filter_urls_sql(rules: tuple[tuple[str, str, str], ...] = RULES) -> str:
+    """DuckDB SQL over ``pages`` for the rows of ``filter_urls``; components by reachability."""
+    host = lambda x: f"translate(coalesce(regexp_extract({x}, '://([^/?#]*)', 1), ''), '{UPPER}', '{UPPER.lower()}')"
+    path = lambda x: f"coalesce(regexp_extract({x}, '://[^/?#]*([^?#]*)', 1), '')"
+
+    def normal(x: str) -> str:
+        kept = f"array_to_string(list_filter(string_split(regexp_extract({x}, '://[^?#]*\\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '(?i)^(utm_[a-z]*|gclid|fbclid)(=|$)')), '&')"
+        return f"CASE WHEN contains({x}, '://') THEN regexp_replace({host(x)}, ':(80|443)$', '') || regexp_replace({path(x)}, '/+$', '') || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END END"
+
+    def told(tag: str, asked: str, wanted: str) -> str:
+        found = f"list_filter(regexp_extract_all(html, '(?is)<{tag}\\b[^>]*>'), lambda t: regexp_matches(t, '(?is){asked}') AND regexp_matches(t, '(?is){wanted}'))[1]"
+        return f"regexp_extract({found}, '(?is){wanted}', 1)"
+
+    quote = "[\"'']?"
+    href = f"\\bhref\\s*=\\s*{quote}([^\"''\\s>]+)"
+    target = f"\\burl\\s*=\\s*{quote}([^\"''\\s>]+)"
+    links = [told("link", f"\\brel\\s*=\\s*{quote}canonical\\b", href), told("meta", f"\\bhttp-equiv\\s*=\\s*{quote}refresh\\b", target)]
+    start, folder = "regexp_extract(url, '^((?s:.)*?://[^/?#]*)', 1)", f"regexp_replace({path('url')}, '[^/]*$', '')"
+    resolved_sql = (
+        f"CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '^((?s:.)*?:)//', 1) || link"
+        f" WHEN starts_with(link, '/') THEN {start} || link ELSE {start} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || link END"
+    )
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    return f"""WITH RECURSIVE rules(ruled, h, p) AS (VALUES {values}),
+    urls AS (SELECT DISTINCT url, {host('url')} AS host, {path('url')} AS path, {normal('url')} AS node FROM pages WHERE url IS NOT NULL),
+    best AS (SELECT url, arg_max(h || p, row(length(h) + length(p), (ruled = 'allow')::INT, h, p)) AS rule, arg_max(ruled, row(length(h) + length(p), (ruled = 'allow')::INT, h, p)) AS ruled
+      FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1),
+    links AS (SELECT url, unnest([{', '.join(links)}]) AS link FROM pages WHERE url IS NOT NULL),
+    named AS (SELECT url, {resolved_sql} AS link FROM links WHERE link <> ''),
+    pairs AS (SELECT DISTINCT {normal('url')} AS u, {normal('link')} AS v FROM named),
+    edges AS (SELECT u, v FROM pairs WHERE u <> v UNION SELECT v, u FROM pairs WHERE u <> v),
+    reach AS (SELECT u AS node, u AS seen FROM edges UNION SELECT r.node, e.v FROM reach r JOIN edges e ON r.seen = e.u),
+    roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1),
+    tied AS (SELECT url, host, path, rule, ruled, coalesce(root, node) AS root FROM urls LEFT JOIN best USING (url) LEFT JOIN roots USING (node)),
+    decided AS (SELECT root, min(ruled) AS spread FROM tied WHERE ruled IS NOT NULL AND root IS NOT NULL GROUP BY 1)
+    SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(ruled, spread, 'allow') AS verdict, root AS alias_of
+    FROM pages LEFT JOIN tied USING (url) LEFT JOIN decided USING (root)"""
