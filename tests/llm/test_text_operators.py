@@ -295,6 +295,19 @@ def test_license_spans(spark):
     assert rows[6].n_base == 0
 
 
+def test_license_scan_matches_sql(spark, folder):
+    import duckdb
+
+    small = folder.replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    cur = con.execute(licenses.scan_licenses_sql())
+    names = [d[0] for d in cur.description]
+    rows = QUERIES["op9_license_scan"](spark, small).collect()
+    assert Counter(cur.fetchall()) == Counter(tuple(r[n] for n in names) for r in rows)
+    assert any(r.labels for r in rows)
+
+
 def test_license_joins_agree(spark, folder, monkeypatch):
     want = sorted(map(str, QUERIES["op9_license_scan"](spark, folder).collect()))
     monkeypatch.setattr(licenses, "BROADCAST_CHARS", -1)

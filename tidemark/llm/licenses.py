@@ -152,3 +152,32 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
         F.coalesce(F.col("f.spans"), F.array().cast("array<struct<label:string,first:int,last:int,share:double>>")).alias("spans"),
     )
+
+
+def scan_licenses_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, k: int = 3, drift: int = 4, least: float = 0.8) -> str:
+    """DuckDB SQL over ``documents`` for the rows of ``scan_licenses``, spans told as text."""
+    words = lambda x: f"regexp_extract_all(translate({x}, '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    wanted = ", ".join(f"({n}, {quoted(label)}, {quoted(text)})" for n, (label, text) in enumerate(templates))
+    fixed = ", ".join(f"({quoted(p)}, {quoted(label)}, {len(p.split())})" for p, label in phrases)
+    gram = f"array_to_string(w[i + 1 : i + {k}], ' ')"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+    t(template, label, w) AS (SELECT n, l, {words('x')} FROM (VALUES {wanted}) v(n, l, x)),
+    tg AS (SELECT template, label, len(w) - {k - 1} AS t_grams, i AS t_pos, {gram} AS g FROM t, unnest(range(0, greatest(len(w) - {k - 1}, 0))) r(i)),
+    dg AS (SELECT rid, i AS pos, {gram} AS g FROM docs, unnest(range(0, greatest(len(w) - {k - 1}, 0))) r(i)),
+    hits AS (SELECT DISTINCT rid, template, label, t_grams, pos - t_pos AS diagonal, t_pos FROM dg JOIN tg USING (g)),
+    votes AS (SELECT rid, template, label, t_grams, diagonal, min(t_pos) + diagonal AS first, max(t_pos) + diagonal + {k - 1} AS last, list(t_pos) AS places FROM hits GROUP BY 1, 2, 3, 4, 5),
+    marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal, first) <= {drift}
+      AND first <= max(last) OVER (PARTITION BY rid, template ORDER BY diagonal, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {drift} THEN 0 ELSE 1 END AS new FROM votes),
+    runs AS (SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY diagonal, first) AS run FROM marked),
+    merged AS (SELECT rid, template, label, t_grams, run, min(first) AS first, max(last) AS last, len(list_distinct(flatten(list(places)))) AS found FROM runs GROUP BY 1, 2, 3, 4, 5),
+    spans AS (SELECT DISTINCT rid, label, first, last, found::DOUBLE / t_grams AS share FROM merged
+      WHERE found::DOUBLE / t_grams >= {least}::DOUBLE AND last - first + 1 <= (t_grams + {k - 1}) * (2 - {least}::DOUBLE) + {drift}),
+    told AS (SELECT rid, string_agg(label || ':' || first || ':' || last, ',' ORDER BY label, first, last, share) AS spans, max(share) AS best, list(DISTINCT label) AS own FROM spans GROUP BY 1),
+    places AS (SELECT rid, label, i FROM docs, (VALUES {fixed}) p(phrase, label, n), unnest(range(0, greatest(len(w) - n + 1, 0))) r(i) WHERE array_to_string(w[i + 1 : i + n], ' ') = phrase),
+    base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+      coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
+      coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(own, [])))), ','), '') AS labels,
+      CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score, coalesce(spans, '') AS spans
+    FROM docs LEFT JOIN told USING (rid) LEFT JOIN base USING (rid)"""

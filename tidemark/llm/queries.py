@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, licenses, near_dups, packing, quality_classifier, quality_rules, secrets, token_counts, token_shards, url_filters
 from tidemark.sources.tables import table
@@ -67,9 +68,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return token_shards.write_shards(table(spark, folder, "documents"), MODEL).drop("folder")
 
 
-@query("op9_license_scan")
+@query("op9_license_scan", licenses.scan_licenses_sql())
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, folder, "documents"))
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    told = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["first"].cast("string"), s["last"].cast("string")))
+    return found.withColumn("spans", F.array_join(told, ","))
 
 
 @query("op10_token_counts")
