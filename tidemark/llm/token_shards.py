@@ -156,7 +156,7 @@ def write_shards(docs: DataFrame, model: str, folder: str | None = None, length:
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "shards")
     stride = length * WIDTH.itemsize
-    kept = written(sequences(docs, model, length, id_col, text_col), "sequences")
+    kept = written(sequences(docs, model, length, id_col, text_col), "sequences", level=9)
     placed = numbered(kept)
     placed = placed.withColumn("slot", slot_of(F.col("number"), F.col("total"), key)).withColumn("shard", F.floor(F.col("slot") / per_shard))
     dealt = placed.select("shard", "slot", "n_tokens", "part", "seq", "doc_ids", squeezed(F.col("ids")).alias("ids")).repartitionByRange("shard").sortWithinPartitions("slot")
