@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.columns import clip, unnest
+from tidemark.columns import clip
 from tidemark.functions import lexicons as lx
 from tidemark.operators.entities import word_starts
 
@@ -80,9 +80,8 @@ def _result(df: DataFrame, total: Column, count: Column) -> DataFrame:
 def lexicon_sentiment(docs: DataFrame, key: str, text: str = "text", lexicon: Lexicon | None = None, anywhere: bool = False) -> DataFrame:
     """Score, label and confidence per document.
 
-    Tokens are runs of CJK, of letters, or of digits. They are matched inside the row
-    with the two tokens before them; a broadcast of the few hundred lexicon words keeps
-    only the hits, and the sums of a document meet after the partial aggregate.
+    Tokens are runs of CJK, of letters, or of digits. They are matched inside the row with the
+    two tokens before them: nothing is exploded and no text is shuffled.
 
     With ``anywhere`` lexicon words count at every position of the text, for scripts
     without spaces, where a run is not a word.
@@ -93,25 +92,15 @@ def lexicon_sentiment(docs: DataFrame, key: str, text: str = "text", lexicon: Le
         return _anywhere(docs, key, t, lexicon)
     tokens = F.regexp_extract_all(t, F.lit(TOKENS), F.lit(0))
     seen = docs.select(key, tokens.alias("__t"), lexicon.number_parts(t).alias("__k"))
-    placed = F.transform(
-        "__t",
-        lambda w, i: F.struct(
-            w.alias("word"),
-            F.when(i > 0, F.get(F.col("__t"), i - 1)).alias("b1"),
-            F.when(i > 1, F.get(F.col("__t"), i - 2)).alias("b2"),
-        ),
-    )
-    words = docs.sparkSession.createDataFrame(list(lexicon.scores.items()), "word string, base double")
-    hits = unnest(seen, [key], placed).join(F.broadcast(words), "word")
-    empty = F.lit("")
-    scored = hits.select(
-        key,
-        (F.col("base") * lexicon.modifier(F.coalesce("b1", empty), F.coalesce("b2", empty))).alias("part"),
-        F.lit(1).alias("n"),
-    )
-    numbers = seen.select(key, F.aggregate("__k", F.lit(0.0), lambda a, x: a + x).alias("part"), F.size("__k").alias("n"))
-    sums = scored.unionByName(numbers).groupBy(key).agg(F.sum("part").alias("__s"), F.sum("n").alias("__n"))
-    return _result(sums, F.col("__s"), F.col("__n")).select(key, "score", "label", "confidence")
+    words = F.create_map(*[F.lit(x) for kv in lexicon.scores.items() for x in kv])
+
+    def part(w, i):
+        before = lambda n: F.when(i >= n, F.get(F.col("__t"), i - n)).otherwise("")
+        return F.when(w.isin(list(lexicon.scores)), F.try_element_at(words, w) * lexicon.modifier(before(1), before(2)))
+
+    hits = F.filter(F.transform("__t", part), lambda x: x.isNotNull())
+    df = seen.select(key, F.concat(hits, "__k").alias("__p"))
+    return _result(df, F.aggregate("__p", F.lit(0.0), lambda a, x: a + x), F.size("__p")).select(key, "score", "label", "confidence")
 
 
 def _anywhere(docs: DataFrame, key: str, t: Column, lexicon: Lexicon) -> DataFrame:
