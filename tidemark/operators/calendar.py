@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Days a calendar may hold and still be sent to every task: a thousand years.
-BROADCAST_DAYS = 366_000
-
 
 def trading_days(days: DataFrame, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
     """Distinct dates in the years asked for."""

@@ -446,12 +446,25 @@ def find_nodes(nodes: DataFrame, name: str | None = None, kind: str | None = Non
 
 
 def type_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows per node and edge type, and the average degree 2E/V on the total line."""
+    """Rows per node and edge type."""
     n = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit("node"))
     e = edges.groupBy("type").agg(F.count(F.lit(1)).alias("rows")).withColumn("kind", F.lit("edge"))
     return n.unionByName(e).select("kind", "type", "rows")
 
 
+def average_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes, edges and 2E/V; null without nodes."""
+    both = nodes.select(F.lit(1).alias("v"), F.lit(0).alias("e")).unionByName(edges.select(F.lit(0).alias("v"), F.lit(1).alias("e")))
+    sums = both.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("e"), F.lit(0)).alias("edges"))
+    return sums.withColumn("average_degree", ratio(2 * F.col("edges"), F.col("nodes")))
+
+
+def find_edges(edges: DataFrame, kind: str | None = None, least_weight: float | None = None) -> DataFrame:
+    """By type and by weight."""
+    out = edges if kind is None else edges.where(F.col("type") == kind)
+    return out if least_weight is None else out.where(F.col("weight") >= least_weight)
+
+
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Property maps merged with the newer value winning, labels united.
 

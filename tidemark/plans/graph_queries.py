@@ -279,6 +279,20 @@ def graph_type_counts(spark, folder):
     return g.type_counts(*_tables(spark, folder))
 
 
+@query(
+    "graph_average_degree",
+    f"WITH {_T} SELECT (SELECT count(*) FROM supplier) AS nodes, count(*) AS edges, {s('2 * count(*)::DOUBLE / (SELECT count(*) FROM supplier)')} AS average_degree FROM typed",
+)
+def graph_average_degree(spark, folder):
+    return g.average_degree(*_tables(spark, folder)).withColumn("average_degree", snap(F.col("average_degree")))
+
+
+@query("graph_find_edges", f"WITH {_T} SELECT type, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight FROM typed WHERE type = 'repeat' AND weight >= 2 GROUP BY 1")
+def graph_find_edges(spark, folder):
+    found = g.find_edges(_tables(spark, folder)[1], "repeat", 2)
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").cast("long").alias("weight"))
+
+
 @query(
     "graph_complete_nodes",
     "SELECT concat('S', s_suppkey) AS id, 'supplier' AS type FROM supplier UNION ALL SELECT DISTINCT concat('P', l_partkey), 'custom' FROM lineitem",

@@ -70,7 +70,7 @@ def build(spark: SparkSession, bars: DataFrame, requested: DataFrame, folder: st
 
 def _write_features(rows: DataFrame, folder: str, mode: str) -> None:
     rows = rows.withColumn("market", F.substring("instrument", 1, 2))
-    rows.repartition("market", F.hash("instrument") % 8).sortWithinPartitions("instrument", "epoch").write.mode(mode).option(
+    rows.hint("rebalance", "market").sortWithinPartitions("market", "instrument", "epoch").write.mode(mode).option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("market").parquet(f"{folder}/features")
 

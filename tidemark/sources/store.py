@@ -107,8 +107,8 @@ def write_minute_bars(bars: DataFrame, root: str, period: int) -> None:
                 "visibility_ts": F.col("datetime") + F.make_dt_interval(mins=F.lit(period)),
             }
         )
-        .repartition("exchange", "date")
-        .sortWithinPartitions("symbol", "datetime")
+        .hint("rebalance", "exchange", "date")
+        .sortWithinPartitions("exchange", "date", "symbol", "datetime")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("period", "exchange", "date")
