@@ -1,7 +1,8 @@
-"""Entity mentions with spans, found inside the row by built-in functions.
+"""Entity mentions with spans.
 
-Spans come from cutting the text at the matches: the lengths of the pieces and of the
-matches give every position, so no text leaves the JVM.
+Texts go to Arrow functions in batches; each is walked once by every compiled pattern and word,
+and overlapping spans merge in one sorted pass, so a text costs in proportion to its length and
+its matches. Patterns follow Unicode.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,120 +18,79 @@ from tidemark.columns import unnest
 from tidemark.functions import lexicons as lx
 from tidemark.functions.text import clean_text
 
-MENTION = "struct<text:string,type:string,start:int,end:int,confidence:double,ord:int>"
+FIELDS = ("start", "end", "ord", "text", "type", "confidence")
+MENTIONS = "array<struct<start:int,end:int,ord:int,text:string,type:string,confidence:double>>"
+KIND = pa.list_(pa.struct(list(zip(FIELDS, (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64()), strict=True))))
 
 
-def pattern_spans(text: Column, pattern: str) -> Column:
-    """(start, end) of every match; letters and digits follow Unicode, as in Python."""
-    regex = "(?U)" + pattern
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    begin = F.struct(F.lit(0).alias("pos"), nothing.alias("out"))
+def _places(text: str, word: str) -> list[int]:
+    out, at = [], text.find(word)
+    while at >= 0:
+        out.append(at)
+        at = text.find(word, at + 1)
+    return out
 
-    def take(acc, x):
-        at = acc["pos"] + x["gap"]
-        return F.struct(
-            (at + F.greatest(x["size"], F.lit(0))).alias("pos"),
-            F.when(x["size"] >= 0, F.concat(acc["out"], F.array(F.struct(at.alias("start"), (at + x["size"]).alias("end")))))
-            .otherwise(acc["out"])
-            .alias("out"),
-        )
 
-    def spans(found):
-        lengths = F.zip_with(
-            F.split(text, regex, -1),
-            found,
-            lambda a, b: F.struct(F.length(a).alias("gap"), F.coalesce(F.length(b), F.lit(-1)).alias("size")),
-        )
-        return F.when(F.size(found) > 0, F.aggregate(lengths, begin, take, lambda acc: acc["out"])).otherwise(nothing)
+def word_starts(text: Column, words: Sequence[str]) -> Column:
+    """Every position at which one of the words begins, overlapping ones included, in order."""
+    wanted = list(dict.fromkeys(words))
 
-    # the matches are bound to a variable: found once, and a text without any is not cut
-    return F.flatten(F.transform(F.array(F.regexp_extract_all(text, F.lit(regex), F.lit(0))), spans))
+    @F.arrow_udf("array<int>")
+    def starts(texts: pa.Array) -> pa.Array:
+        found = (t if t is None else sorted({i for w in wanted for i in _places(t, w)}) for t in texts.to_pylist())
+        return pa.array(list(found), pa.list_(pa.int32()))
 
+    return starts(text)
 
-def word_starts(text: Column, words: Sequence[str]) -> Column:
-    """Every position at which one of the words begins, overlapping ones included."""
-    either = "|".join(re.escape(w) for w in words)
-    pieces = F.split(F.concat(F.lit(" "), text), f"(?={either})", -1)
-    start = F.struct(F.lit(-1).alias("pos"), F.expr("cast(array() as array<int>)").alias("out"))
 
-    def step(acc, piece):
-        return F.struct((acc["pos"] + F.length(piece)).alias("pos"), F.concat(acc["out"], F.array(acc["pos"] + F.length(piece))).alias("out"))
+def _found(text: str, patterns: Mapping[str, Sequence[re.Pattern]], words: Mapping[str, Sequence[str]]) -> list[tuple]:
+    """(start, end, ord, text, type, confidence) of every match and of every place of a word, in reading order."""
+    out = []
+    for order, (kind, regex) in enumerate((k, r) for k, regexes in patterns.items() for r in regexes):
+        out += [(m.start(), m.end(), order, m[0], kind, 0.8) for m in regex.finditer(text)]
+    for order, (kind, group) in enumerate(words.items(), 1000):
+        for word in group:
+            out += [(at, at + len(word), order, word, kind, 0.9) for at in _places(text, word)]
+    return sorted(out)
 
-    all_cuts = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    # the last cut is the end of the text
-    return F.slice(all_cuts, 1, F.size(all_cuts) - 1)
 
-
-def _mention(text: Column, kind: str, start: Column, end: Column, confidence: float, order: int) -> Column:
-    return F.struct(
-        F.substring(text, start + 1, end - start).alias("text"),
-        F.lit(kind).alias("type"),
-        start.alias("start"),
-        end.alias("end"),
-        F.lit(confidence).alias("confidence"),
-        F.lit(order).alias("ord"),
-    )
+def _merged(mentions: list[tuple]) -> list[tuple]:
+    """Of overlapping spans keep the surer, then the longer one, in reading order."""
+    out: list[tuple] = []
+    for m in mentions:
+        if out and m[0] < out[-1][1] and m[1] > out[-1][0]:
+            if (m[5], len(m[3])) > (out[-1][5], len(out[-1][3])):
+                out[-1] = m
+        else:
+            out.append(m)
+    return out
 
 
-def _from_span(text: Column, kind: str, order: int):
-    return lambda s: _mention(text, kind, s["start"], s["end"], 0.8, order)
+def _mentions(text: Column, patterns: Mapping[str, Sequence[str]], words: Mapping[str, Sequence[str]], merge: bool) -> Column:
+    """The mentions of each text of an Arrow batch, each text walked once by every pattern and word."""
+    compiled = {k: [re.compile(r) for r in regexes] for k, regexes in patterns.items()}
+    words = {k: list(group) for k, group in words.items()}
 
+    @F.arrow_udf(MENTIONS)
+    def find(texts: pa.Array) -> pa.Array:
+        rows = []
+        for value in texts:
+            if (t := value.as_py()) is None:
+                rows.append(None)
+                continue
+            found = _found(t, compiled, words)
+            rows.append([dict(zip(FIELDS, m, strict=True)) for m in (_merged(found) if merge else found)])
+        return pa.array(rows, KIND)
 
-def _words_at(text: Column, listed: Column, kind: str, order: int):
-    """Every listed word that begins at a position."""
-    return lambda p: F.transform(
-        F.filter(listed, lambda w: F.substring(text, p + 1, F.length(w)) == w),
-        lambda w: _mention(text, kind, p, p + F.length(w), 0.9, order),
-    )
+    return find(text)
 
 
 def pattern_mentions(text: Column, patterns: Mapping[str, Sequence[str]] = lx.ENTITY_PATTERNS) -> Column:
-    parts, order = [], 0
-    for kind, regexes in patterns.items():
-        for regex in regexes:
-            parts.append(F.transform(pattern_spans(text, regex), _from_span(text, kind, order)))
-            order += 1
-    return F.concat(*parts)
+    return _mentions(text, patterns, {}, merge=False)
 
 
 def word_mentions(text: Column, words: Mapping[str, Sequence[str]] = lx.ENTITY_WORDS) -> Column:
-    parts, order = [], 1000
-    for kind, group in words.items():
-        listed = F.array(*[F.lit(w) for w in group])
-        parts.append(F.flatten(F.transform(word_starts(text, group), _words_at(text, listed, kind, order))))
-        order += 1
-    return F.concat(*parts)
-
-
-def merge_mentions(mentions: Column) -> Column:
-    """Of overlapping spans keep the surer, then the longer one, in reading order."""
-    keyed = F.transform(
-        mentions,
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["ord"].alias("ord"), m["text"].alias("text"), m["type"].alias("type"), m["confidence"].alias("confidence")),
-    )
-    order = "struct<start:int,end:int,ord:int,text:string,type:string,confidence:double>"
-    empty = F.struct(
-        F.expr(f"cast(array() as array<{order}>)").alias("done"), F.expr(f"cast(null as {order})").alias("now")
-    )
-
-    def step(acc, m):
-        now = acc["now"]
-        overlap = (m["start"] < now["end"]) & (m["end"] > now["start"])
-        better = (m["confidence"] > now["confidence"]) | (
-            (m["confidence"] == now["confidence"]) & (F.length(m["text"]) > F.length(now["text"]))
-        )
-        closed = now.isNotNull() & ~overlap
-        return F.struct(
-            F.when(closed, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
-            F.when(now.isNull() | ~overlap | better, m).otherwise(now).alias("now"),
-        )
-
-    return F.aggregate(
-        F.array_sort(keyed),
-        empty,
-        step,
-        lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))),
-    )
+    return _mentions(text, {}, words, merge=False)
 
 
 def extract(
@@ -140,13 +101,10 @@ def extract(
 ) -> DataFrame:
     """Cleaned text and its merged mentions as the array ``entities``.
 
-    Offsets refer to the cleaned text. The steps are columns of their own, so each
-    is computed once.
+    Offsets refer to the cleaned text.
     """
-    c = F.col("cleaned")
     df = docs.withColumn("cleaned", clean_text(F.col(text)))
-    df = df.withColumn("__m", F.concat(pattern_mentions(c, patterns), word_mentions(c, words)))
-    return df.withColumn("entities", merge_mentions(F.col("__m"))).drop("__m")
+    return df.withColumn("entities", _mentions(F.col("cleaned"), patterns, words, merge=True))
 
 
 def mention_rows(docs: DataFrame, key: str) -> DataFrame:
