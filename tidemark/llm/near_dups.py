@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = near_roots(docs, signatures, text_col, least)
     placed = written(signatures.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")), "placed")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
-    heads = placed.where("root is not null").groupBy("root").agg(first)
+    # written, so that the join below is one that Spark can split for a large class
+    heads = written(placed.where("root is not null").groupBy("root").agg(first), "heads")
     out = placed.join(heads, "root", "left")
     alone = F.col("root").isNull()
     kept = alone | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")))
