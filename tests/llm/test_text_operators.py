@@ -237,6 +237,24 @@ def test_far_texts_are_rejected_and_clean_ones_kept(spark):
     assert all(kept[i] for i in range(120)) and not any(kept[i] for i in range(120, 128))
 
 
+def test_few_symbols_and_repeated_lines_are_far(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))
+    made = ["\n".join(" ".join(word() for _ in range(12)) for _ in range(rng.integers(3, 25))) for _ in range(150)]
+    made += [made[i] + " $" for i in range(10)]
+    clean = len(made)
+    for share in (0.05, 0.1, 0.2, 0.3):
+        for _ in range(3):
+            words = [word() for _ in range(100)]
+            n = round(share / (1 - share) * sum(map(len, words)))
+            made.append(" ".join(w + "|" * (n // 100 + (i < n % 100)) for i, w in enumerate(words)))
+    made += ["\n".join(rng.choice(["abcde", "bcdef", "cdefg", "defgh", "efghi", "fghij"], 60)) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(made)], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert all(rows[i].kept for i in range(clean)) and not any(rows[i].kept for i in range(clean, len(made)))
+
+
 def test_quality_awkward(awkward, nothing):
     rows = quality_rules.quality_rules(awkward).collect()
     assert len(rows) == awkward.count()
