@@ -154,6 +154,29 @@ def test_candidates_are_confirmed_by_structure():
         assert all(text[:a].endswith("a ") and text[b:].startswith(" b") for a, _, b in spans)
 
 
+@pytest.mark.parametrize("width", [16, 64, 76])
+def test_keys_after_equals_signs_escaped_and_wrapped(width):
+    openssh = b"openssh-key-v1\0" + b"".join(len(p).to_bytes(4, "big") + p for p in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(p).to_bytes(4, "big") + p for p in (b"k" * 51, b"p" * 96))
+    for raw in (der_key(), openssh):
+        key = base64.b64encode(raw).decode()
+        lines = [key[i : i + width] for i in range(0, len(key), width)]
+        for text in (f"PRIVATE_KEY={key}", f'key="{key}"', f'{{"k": "\\n{key}"}}'):
+            [(a, kind, b)] = secrets.confirmed_spans(text)
+            assert (kind, text[a:b]) == (4, key)
+        for gap in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n"):
+            body = gap.join(lines)
+            for head, tail in (("a ", " b"), ("x=", gap + "More prose here" + gap + "and more"), ("MIICwords and such" + gap, gap), ("\\n", '"}')):
+                [(a, kind, b)] = secrets.confirmed_spans(head + body + tail)
+                assert (kind, a, b) == (4, len(head), len(head + body))
+            for label in ("PRIVATE KEY", "OPENSSH PRIVATE KEY"):
+                armour = f"-----BEGIN {label}-----{gap}{body}{gap}-----END {label}-----"
+                assert secrets.confirmed_spans('{"k": "' + armour + '"}') == [(7, 4, 7 + len(armour))]
+            assert secrets.mask("x=" + body + " b", "[secret]") == "x=[secret] b"
+            assert secrets.confirmed_spans("x=" + gap.join(lines[:-1])) == []
+            assert secrets.confirmed_spans("x=" + gap.join([*lines[:-2], lines[-2] + "AAAA", lines[-1]])) == []
+    assert secrets.confirmed_spans("\n".join(["MIIEvQIBADANBgkqhkiG9w0BAQEFAASC" + "A" * 32] * 20_000)) == []
+
+
 def test_secrets_awkward(awkward, nothing, spark):
     rows = secrets.scan_secrets(awkward).collect()
     assert len(rows) == awkward.count() and {r.spans for r in rows} == {""}

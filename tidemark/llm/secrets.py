@@ -7,7 +7,8 @@ or a signed token whose header and claims are JSON with an algorithm.
 
 A null text is empty and has no spans; ties in start are in the order of ``KINDS``; repeated
 rows are scanned each; an empty table gives an empty result; other columns are not read.
-Positions are code points, the end exclusive.
+Positions are code points, the end exclusive. Keys may be wrapped over real or escaped line ends,
+with or without armour; a wrapped key without armour is as long as its own length fields say.
 """
 
 from __future__ import annotations
@@ -32,15 +33,20 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
-#: 0x30 begins a DER sequence, "openssh-key-v1" an OpenSSH key.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:M|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/]{30,}={0,2}")
+_ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----((?:[A-Za-z0-9+/=\s]++|\\++[nrt])++)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+#: 0x30 begins a DER sequence, "openssh-key-v1" an OpenSSH key; what stands before is no base64, or
+#: the letter of an escaped line end or tab. The match is the first line of a wrapped key.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-Za-z0-9+/]{15,}|b3BlbnNzaC1rZXkt[A-Za-z0-9+/]*)={0,2}")
+#: Line ends, real (a backslash may stand before) or escaped, with the blanks around them.
+_BREAK = re.compile(r"(?:[\x20\t]*+(?:\\?\r?\n|\r|\\++[nr]))++(?:[\x20\t]|\\++t)*+")
+_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_ESCAPED = re.compile(r"\\+[nrt]")
 _NEAR = ("passw", "secret", "token", "api")
 
 
 def unpacked(text: str, url: bool = False) -> bytes | None:
-    """The bytes of a base64 text without its white space; None where it is none."""
-    text = "".join(text.split()).rstrip("=")
+    """The bytes of a base64 text without its white space, real or escaped; None where it is none."""
+    text = "".join(_ESCAPED.sub("", text).split()).rstrip("=")
     if len(text) % 4 == 1:
         return None
     try:
@@ -117,6 +123,47 @@ def is_key(data: bytes | None) -> bool:
     return bool(data) and (is_der_key(data) or is_openssh_key(data))
 
 
+class Wrapped:
+    """A run of base64 lines from ``start`` on: joined, with where each line starts and ends."""
+
+    def __init__(self, text: str, start: int) -> None:
+        self.starts, self.ends, lines, size = {}, {}, [], 0
+        line = _LINE.match(text, start)
+        while line:
+            self.starts[line.start()] = size
+            lines.append(line[0].rstrip("="))
+            size += len(lines[-1])
+            self.ends[size] = line.end()
+            gap = None if line[0].endswith("=") else _BREAK.match(text, line.end())
+            line = _LINE.match(text, gap.end()) if gap else None
+        self.joined = "".join(lines)
+
+    def number(self, base: int, at: int, width: int = 4) -> int:
+        """The number in ``width`` bytes from byte ``at`` of what is encoded from ``base`` on; only these are decoded."""
+        data = unpacked(self.joined[base + at // 3 * 4 : base + (at + width + 2) // 3 * 4]) or b""
+        return int.from_bytes(data[at % 3 : at % 3 + width], "big")
+
+    def key_size(self, base: int) -> int:
+        """How many bytes the key that begins at ``base`` has by its own length fields."""
+        if self.joined.startswith("M", base):
+            size = self.number(base, 1, 1)
+            n = size & 0x7F if size & 0x80 else 0
+            return 2 + n + (self.number(base, 2, n) if n else size) if n <= 4 else 0
+        at = len(b"openssh-key-v1\0")
+        for _ in range(3):
+            at += 4 + self.number(base, at)
+        keys, at = self.number(base, at), at + 4
+        for _ in range(keys + 1 if keys <= 16 else 0):
+            at += 4 + self.number(base, at)
+        return at
+
+    def key_end(self, start: int) -> int | None:
+        """Where in the text the key ends whose first line starts at ``start``: with a line, else it is none."""
+        base = self.starts[start]
+        last = base + (self.key_size(base) * 8 + 5) // 6
+        return self.ends[last] if last in self.ends and is_key(unpacked(self.joined[base:last])) else None
+
+
 def is_token(header: str, claims: str, signature: str) -> bool:
     """Header and claims are JSON objects, the header names an algorithm, the signature fits it."""
     parts = []
@@ -148,6 +195,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
+def base64_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of private keys in base64, on one line or wrapped; a wrapped run is joined once for all its lines."""
+    run, upto = None, 0
+    for m in _BASE64.finditer(text):
+        if m.start() < upto:
+            continue
+        end = m.end() if is_key(unpacked(m[0])) else None
+        if end is None and _BREAK.match(text, m.end()):
+            if run is None or m.start() not in run.starts:
+                run = Wrapped(text, m.start())
+            end = run.key_end(m.start())
+        if end is not None:
+            upto = end
+            yield m.start(), end
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of decoded and parsed signed tokens and private keys."""
     out = []
@@ -156,7 +219,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         taken = [m.span() for m in _ARMOUR.finditer(text) if is_key(unpacked(m[1]))]
-    found = [m.span() for m in _BASE64.finditer(text) if is_key(unpacked(m[0]))]
+    found = list(base64_keys(text))
     found += [m.span() for m in _ANY_HEX.finditer(text) if is_key(bytes.fromhex(m[0]))]
     at = 0
     for a, b in sorted(found):  # a key inside its armour is told once
