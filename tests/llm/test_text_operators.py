@@ -336,6 +336,25 @@ def test_license_spans(spark):
     assert rows[6].n_base == 0
 
 
+def test_notices_with_a_changed_word_keep_their_label(spark):
+    made = [
+        ("This work is licensed under the Creative Commons Attribution 4.0 International License", "cc-by"),
+        ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+        ("This work is licensed under the new GNU General Public License, version 3.", "gpl-3"),
+        ("This work is licensed under our GNU General Public License, version 3.", "gpl-3"),
+        ("This is free and unencumbered code released into the public domain.", "unlicense"),
+        ("All rights reserved. No part of the publication may be reproduced", "all-rights-reserved"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert [rows[i].labels for i in range(len(made))] == [label for _, label in made]
+    plain = {label: text for label, text in licenses.TEMPLATES if label.startswith("cc-by") and text.startswith("This")}
+    docs = spark.createDataFrame(list(plain.items()), "doc_id string, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        assert {s.label for s in r.spans if s.share >= 0.8} == {s.label for s in r.spans}
+
+
 def test_license_scan_matches_sql(spark, folder):
     import duckdb
 

@@ -4,7 +4,9 @@ All rolling word k-grams of all texts are joined, by hash and words, to the k-gr
 templates. A hit votes for the diagonal ``position in text - position in template``. Votes are
 counted for each text, template and diagonal; neighbouring diagonals (words put in or left out)
 that overlap in the text are merged; a merged span is verified by the share of the template's
-k-grams it holds and by its length against the template's.
+words that its k-grams cover and by its length against the template's. One changed word costs
+``k`` k-grams but one word. Where a span holds too few k-grams and a template of another label
+covers more of itself on the same words, only the latter counts: public licenses differ by a word.
 
 The templates are a table given by the caller; its characters are counted, and its k-grams are
 broadcast up to ``BROADCAST_CHARS`` of them and joined by a shuffle beyond. What is grouped
@@ -84,7 +86,10 @@ def template_grams(docs: DataFrame, templates: tuple[tuple[str, str], ...], k: i
 
 
 def diagonal_spans(rows: DataFrame, templates: DataFrame, k: int, drift: int, least: float) -> DataFrame:
-    """id, text_hash, label, first, last, share: verified spans of templates in the texts of ``rows`` (id, text)."""
+    """id, text_hash, label, first, last, share, cover: verified spans of templates in the texts of ``rows`` (id, text).
+
+    ``share`` is the share of the template's k-grams found, ``cover`` that of its words they hold.
+    """
     words = rows.select("id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     grams = words.select("id", "text_hash", F.inline(rolling(F.col("words"), k)))
     hits = grams.join(templates, (grams["h"] == templates["h"]) & (F.col("g") == F.col("t_gram"))).select("id", "text_hash", "template", "label", "t_grams", "t_pos", F.col("i").alias("pos"))
@@ -97,11 +102,20 @@ def diagonal_spans(rows: DataFrame, templates: DataFrame, k: int, drift: int, le
     merged = (
         ends.withColumn("run", F.sum(new.cast("int")).over(by_text))
         .groupBy(*text, "run")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"))
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     )
-    share = F.col("found") / F.col("t_grams")
+    share = F.size("places") / F.col("t_grams")
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + k - 1))))
+    cover = F.size(covered) / (F.col("t_grams") + k - 1)
     fits = F.col("last") - F.col("first") + 1 <= (F.col("t_grams") + k - 1) * (2 - least) + drift
-    return merged.where((share >= least) & fits).select("id", "text_hash", "label", "first", "last", share.alias("share"))
+    return merged.where((cover >= least) & fits).select("id", "text_hash", "label", "first", "last", share.alias("share"), cover.alias("cover"))
+
+
+def own_spans(spans: Column, least: float) -> Column:
+    """Spans with ``least`` of the k-grams, and those that no span of another label covers better on the same words."""
+    better = lambda s: F.exists(spans, lambda o: (o["label"] != s["label"]) & (o["first"] <= s["last"]) & (s["first"] <= o["last"]) & (o["cover"] > s["cover"]))
+    own = F.filter(spans, lambda s: (s["share"] >= least) | ~better(s))
+    return F.array_sort(F.array_distinct(F.transform(own, lambda s: F.struct(s["label"].alias("label"), s["first"].alias("first"), s["last"].alias("last"), s["share"].alias("share")))))
 
 
 def phrase_places(words: Column, text: Column, phrase: str) -> Column:
@@ -116,12 +130,13 @@ def phrase_places(words: Column, text: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, k: int = 3, drift: int = 4, least: float = 0.8) -> DataFrame:
     """``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every row.
 
-    ``score`` is the best share of a template found, 1 where a fixed phrase stands, else 0.
+    ``score`` is the best share of a template's k-grams found, 1 where a fixed phrase stands, else 0.
     ``spans`` are (label, first, last, share) of the verified templates, in order.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans = diagonal_spans(rows, template_grams(docs, templates, k), k, drift, least)
-    found = spans.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("label", "first", "last", "share"))).alias("spans"))
+    every_span = spans.groupBy("id", "text_hash").agg(F.collect_set(F.struct("label", "first", "last", "share", "cover")).alias("every"))
+    found = every_span.select("id", "text_hash", own_spans(F.col("every"), least).alias("spans"))
 
     read = rows.select("id", F.xxhash64("text").alias("text_hash"), plain(F.col("text")).alias("plain"))
     split = read.select("id", "text_hash", "plain", F.array_remove(F.split("plain", " "), "").alias("words"))
