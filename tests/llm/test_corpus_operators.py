@@ -394,6 +394,21 @@ def test_decisions_follow_links(spark):
     same_as_sql(frame)
 
 
+def test_links_are_decoded_and_all_taken(spark):
+    rows = [(1, "http://x.net/fr/a?a=1&b=2", None)]  # block
+    for i, sign in enumerate(("&amp;", "&#38;", "&#038;", "&#x26;", "&AMP;", "&"), 2):
+        rows.append((i, f"https://a.org/{i}", f'<link rel="canonical" href="http://x.net/fr/a?a=1{sign}b=2{sign}utm_source=feed">'))
+    rows += [
+        (20, "https://b.org/1", '<!-- <link rel="canonical" href="/old"> --><link rel=canonical href="/older"><link rel="canonical" href="http://x.net/fr/a?a=1&amp;b=2">'),
+        (21, "https://b.org/2", '<meta http-equiv=refresh content="9; url=/old2"><meta http-equiv="refresh" content="0;url=http:&#x2F;&#x2F;x.net/fr/a?a=1&amp;b=2">'),
+        (22, "https://b.org/3", '<link rel="canonical" href="http://x.net/fr/a?a=1&amp;amp;b=2">'),  # names another url
+        (23, "https://b.org/old", ""),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.filter_urls(frame).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(1, 8), 20, 21, 23}
+
+
 def same_as_sql(frame):
     import duckdb
 

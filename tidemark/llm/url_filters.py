@@ -2,7 +2,7 @@
 
 Every url is brought to a normal form (no scheme, default port, fragment, tracking parameter or
 closing slash). Normal forms are nodes; canonical links and refresh redirects of the pages are
-edges. A component with an explicitly allowed url allows, else one with a blocked url blocks,
+edges, all of a page's, with the character references of urls decoded. A component with an explicitly allowed url allows, else one with a blocked url blocks,
 all urls of it that no rule fits; a url with a rule keeps that rule's decision.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule
@@ -30,6 +30,8 @@ RULES = (
 #: So many rules at most are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
 _LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Character references that urls in attributes hold, by what they name; the ampersand comes last, so that nothing is decoded twice.
+_REFERENCES = (("/", "(?i)&(?:sol|#0*47|#x0*2f);"), (":", "(?i)&(?:colon|#0*58|#x0*3a);"), ("?", "(?i)&(?:quest|#0*63|#x0*3f);"), ("=", "(?i)&(?:equals|#0*61|#x0*3d);"), ("&", "(?i)&(?:amp|#0*38|#x0*26);"))
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -63,11 +65,19 @@ def resolved(url: Column, link: Column) -> Column:
     )
 
 
+def decoded(link: Column) -> Column:
+    """``link`` without character references."""
+    for char, reference in _REFERENCES:
+        link = F.regexp_replace(link, reference, char)
+    return link
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """u, v: normal forms of pages and of what their canonical links and refresh redirects name."""
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    told = lambda word, pattern: F.when(F.contains(F.lower("html"), F.lit(word)), F.regexp_extract("html", pattern, 1))
-    links = rows.select("url", F.explode(F.array(told("canonical", _LINK), told("refresh", _REFRESH))).alias("link")).where("link <> ''")
+    told = lambda word, pattern: F.when(F.contains(F.lower("html"), F.lit(word)), F.regexp_extract_all("html", F.lit(pattern), 1)).otherwise(F.array().cast("array<string>"))
+    named = F.array_distinct(F.concat(told("canonical", _LINK), told("refresh", _REFRESH)))
+    links = rows.select("url", F.explode(named).alias("link")).select("url", decoded(F.col("link")).alias("link")).where("link <> ''")
     return links.select(normal_form(F.col("url")).alias("u"), normal_form(resolved(F.col("url"), F.col("link"))).alias("v")).where("u is not null and v is not null and u <> v")
 
 
