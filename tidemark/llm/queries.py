@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, licenses, near_dups, packing, quality_classifier, quality_rules, secrets, token_counts, token_shards, url_filters
+from tidemark.llm import (
+    decontamination,
+    filter_audit,
+    jaccard_join,
+    licenses,
+    near_dups,
+    packing,
+    prefix_trie,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    token_counts,
+    token_shards,
+    url_filters,
+)
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +92,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), MODEL)
+
+
+@query("op11_filter_audit", filter_audit.audit_filters_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_prefix_trie", prefix_trie.conversation_trie_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op13_jaccard_join", jaccard_join.jaccard_components_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, folder, "documents")).drop("node")

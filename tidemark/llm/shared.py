@@ -82,11 +82,11 @@ _LETTER = np.arange(1, 257, dtype=np.uint64)
 _LETTER[65:91] += np.uint64(32)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, and the offsets of the texts among them.
 
     Words are runs without white space; A-Z count as a-z and ASCII punctuation as nothing, so a
-    word of punctuation only is no word. A null text has none. One pass over the bytes of the
+    word of punctuation only is no word, unless ``marks`` keeps it. A null text has none. One pass over the bytes of the
     batch: a word's hash is the difference of prefix sums of ``byte * BASE ** position``, shifted
     to position 0 by the inverse power.
     """
@@ -103,12 +103,12 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(raw) == 0:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     kind = _KIND[raw]
-    marks = np.flatnonzero(kind == 2)
-    if len(marks):
+    left_out = np.flatnonzero(kind == 2) if not marks else ()
+    if len(left_out):
         keep = kind != 2
-        raw, kind, offsets = raw[keep], kind[keep], offsets - np.searchsorted(marks, offsets)
+        raw, kind, offsets = raw[keep], kind[keep], offsets - np.searchsorted(left_out, offsets)
     solid = np.zeros(len(raw) + 2, bool)
-    np.equal(kind, 0, out=solid[1:-1])
+    np.not_equal(kind, 1, out=solid[1:-1])
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     starts, ends = edge[::2], edge[1::2]
     if len(starts) == 0:
