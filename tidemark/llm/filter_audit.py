@@ -22,6 +22,7 @@ its label rows says so; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import permutations
@@ -167,44 +168,30 @@ def mask_counts(docs: DataFrame, labels: DataFrame, filters: dict[str, Callable]
     return summed(every, "part", "mask")
 
 
-def literals(values: list[int] | list[str]) -> Column:
-    """An array of constants, read by Spark in one go."""
-    return F.expr(f"array({', '.join(map(repr, values))})")
-
-
 def order_effects(counts: DataFrame, letters: str) -> DataFrame:
     """One row per part, order of ``letters`` and step from ``counts`` (part, mask, n, good, toxic)."""
     k = len(letters)
-    steps = [("".join(order), i + 1, 1 << letters.index(order[i]), sum(1 << letters.index(x) for x in order[:i])) for order in permutations(letters) for i in range(k)]
-    masks = range(1 << k)
-    wide = counts.groupBy("part").agg(*(F.sum(F.when(F.col("mask") == m, F.col(c)).otherwise(0)).alias(f"{c}{m}") for c in SUMS for m in masks))
-    parts = wide.select("part", *(F.array(*(F.col(f"{c}{m}") for m in masks)).alias(c) for c in SUMS))
-    orders, numbers, bits, befores = zip(*steps, strict=True)
-    each = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(steps) - 1))).alias("at"))
-    each = each.select("part", *SUMS, *(literals(held)[F.col("at")].alias(name) for name, held in (("filter_order", orders), ("step", numbers), ("bit", bits), ("before", befores))))
-    bit, before = F.col("bit"), F.col("before")
-
-    def total(of: str, holds: Callable[[Column], Column], share: Callable[[Column], Column] | None = None) -> Column:
-        # a mask is the place of its count in the array
-        weighed = F.transform(F.col(of), lambda n, m: F.when(holds(m), n * share(m) if share else n).otherwise(0))
-        return F.aggregate(weighed, F.lit(0).cast("long"), lambda a, b: a + b)
-
-    fails = lambda m: m.bitwiseAND(bit) != 0
-    earlier = lambda m: m.bitwiseAND(before) != 0
-    removed = lambda m: fails(m) & ~earlier(m)
-    # a filter removes a mask of s filters in one of s orders
-    share = literals([0] + [factorial(k) // m.bit_count() for m in masks[1:]])
-    return each.select(
-        "part",
-        "filter_order",
-        "step",
-        total("n", lambda m: ~fails(m) & ~earlier(m)).alias("kept"),
-        total("n", removed).alias("removed"),
-        total("n", lambda m: fails(m) & earlier(m)).alias("redundant"),
-        total("n", lambda m: m == bit).alias("unique_fails"),
-        total("good", removed).alias("good_lost"),
-        total("toxic", removed).alias("toxic_lost"),
-        total("n", fails, lambda m: share[m]).alias("shapley"),
+    steps = [
+        {"filter_order": "".join(order), "step": i + 1, "bit": 1 << letters.index(order[i]), "before": sum(1 << letters.index(x) for x in order[:i])}
+        for order in permutations(letters)
+        for i in range(k)
+    ]
+    # one literal to Spark, however many steps there are
+    constant = F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order string, step int, bit int, before int>>")
+    each = counts.select("part", "mask", *SUMS, F.explode(constant).alias("at")).select("part", "mask", *SUMS, "at.*")
+    fails = F.col("mask").bitwiseAND(F.col("bit")) != 0
+    earlier = F.col("mask").bitwiseAND(F.col("before")) != 0
+    total = lambda holds, value: F.sum(F.when(holds, value).otherwise(0))
+    # of the orders, a filter removes a mask of s filters in one of s
+    share = F.col("n") * F.expr(f"{factorial(k)} div greatest(bit_count(mask), 1)")
+    return each.groupBy("part", "filter_order", "step").agg(
+        total(~fails & ~earlier, F.col("n")).alias("kept"),
+        total(fails & ~earlier, F.col("n")).alias("removed"),
+        total(fails & earlier, F.col("n")).alias("redundant"),
+        total(F.col("mask") == F.col("bit"), F.col("n")).alias("unique_fails"),
+        total(fails & ~earlier, F.col("good")).alias("good_lost"),
+        total(fails & ~earlier, F.col("toxic")).alias("toxic_lost"),
+        total(fails, share).alias("shapley"),
     )
 
 
