@@ -5,7 +5,8 @@ Equal sets are one node. Shingles have one global order, those in few texts firs
 order inside a class; any order gives whole results, this one keeps common passages out of the
 way. Two sets of n and m shingles that reach the threshold share one of the first ``n - ceil(t n)
 + 1`` and ``m - ceil(t m) + 1`` in that order, and lie in one band of sizes or in neighbouring
-ones (a band is a factor of 1 / t). So a tile is a shingle and a band, with the band above.
+ones (a band is a factor of 1 / t). So a tile is a shingle and a band, with the band above; a pair
+need only be met where its first common shingle is early enough in both to leave the overlap.
 
 A node has a bitmap of its hashed shingles. For a pair, bits set on one side alone count shingles
 that the other side lacks, which bounds the overlap from above; only pairs that may reach it are
@@ -115,12 +116,12 @@ def frequency_classes(partial: DataFrame) -> np.ndarray:
 
 
 def prefix(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the global order, as many as two similar sets cannot both miss."""
+    """The first shingles of a set, in the global order, as many as two similar sets cannot both miss."""
     n = len(shingles)
     p = n - -(-percent * n // 100) + 1
     # the place in the order also tells shingles apart
     order = classes[(shingles >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | mix(shingles) & _LOW
-    return np.partition(order, p - 1)[:p] if p < n else order
+    return np.sort(np.partition(order, p - 1)[:p] if p < n else order)
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -220,19 +221,52 @@ def settled_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # --- tiles that hold several components
 
 
-def tile_marks(nodes: list[int], roots: list[int], high: np.ndarray, own: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+#: Columns of a tile's rows: the tile (a shingle, a band and a pair of blocks), then the node, whether
+#: it is of the band above, its block, its component, its size, and the shingle's place in its order.
+TILE = "key long, band int, i int, j int, node long, high int, own int, root long, n long, pos int"
+_TILE = [c.split()[0] for c in TILE.split(", ")]
+
+
+def tile_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The rows of each tile, by columns, from rows that are sorted by tile."""
+    now, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in range(len(_TILE))]
+        columns += [np.fromiter(batch.column(c).to_pylist(), object, batch.num_rows) for c in range(len(_TILE), batch.num_columns)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns[:4]:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            tile = tuple(c[a] for c in columns[:4])
+            if tile != now:
+                if parts:
+                    yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+                now, parts = tile, []
+            parts.append([c[a:b] for c in columns])
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def tile_marks(root: np.ndarray, high: np.ndarray, own: np.ndarray, sizes: np.ndarray, pos: np.ndarray, bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Rows, and the later rows that each may be linked with: of another root, not both of the band above, and of another block where there are two."""
-    held = [np.frombuffer(b, "<u8") for b in bitmaps]
+    held, bits = [np.frombuffer(b, "<u8") for b in bitmaps], None
     words = min(map(len, held))
-    bits = np.stack([folded(b, words) for b in held])
-    root = np.array(roots)
-    two = len(set(own.tolist())) > 1
-    for i in range(len(nodes) - 1):
-        apart = (root[i + 1 :] != root[i]) & ~(high[i + 1 :] & high[i])
+    two = (own != own[0]).any()
+    for i in range(len(root) - 1):
+        later = slice(i + 1, None)
+        need = -(-percent * (sizes[later] + sizes[i]) // (100 + percent))
+        apart = (root[later] != root[i]) & (pos[i] <= sizes[i] - need) & (pos[later] <= sizes[later] - need)
+        if high[i]:
+            apart &= high[later] == 0
         if two:
-            apart &= own[i + 1 :] != own[i]
+            apart &= own[later] != own[i]
         near = np.flatnonzero(apart) + i + 1
         if len(near):
+            if bits is None:
+                bits = np.stack([folded(b, words) for b in held])
             near = near[may_reach(int(sizes[i]), bits[i], sizes[near], bits[near], percent)]
             if len(near):
                 yield i, near
@@ -257,42 +291,39 @@ def tile_links(nodes: list[int], roots: list[int], marks: Iterator[tuple[int, np
     return out
 
 
-def tile_columns(table: pa.Table) -> tuple:
-    return (table.column("node").to_pylist(), table.column("root").to_pylist(), table.column("high").to_numpy(), table.column("own").to_numpy(), table.column("n").to_numpy(), table.column("bits").to_pylist())
-
-
-def mixed_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame | None:
-    """u, v: links that join components in tiles that hold several; None if there are no such tiles."""
-    tagged = crowded.join(roots, "node", "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("root"))
-    lower = tagged.withColumn("high", F.lit(False))
-    placed = lower.unionByName(tagged.withColumn("high", F.lit(True)).withColumn("band", F.col("band") - 1))
-    tiles = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_and("high").alias("above"))
-    tiles = tiles.where("lo <> hi and not above").select("key", "band", F.ceil(F.col("of") / block).cast("int").alias("blocks"))
-    tiles = written(tiles, "tiles")
-    if tiles.isEmpty():
-        return None
+def mixed_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """u, v: links that join components in tiles that hold several and have pairs that no least node was in."""
+    tagged = crowded.join(roots, "node", "left").select("key", "band", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    placed = tagged.withColumn("high", F.lit(0)).unionByName(tagged.withColumn("high", F.lit(1)).withColumn("band", F.col("band") - 1))
+    # the smaller set of a pair is in the lower band, and has the shingle early
+    early = (F.col("high") == 0) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)))
+    tiles = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("of"), F.sum("high").alias("highs"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or(early).alias("early"))
+    tiles = tiles.where("early and lo <> hi and (of - highs > 2 or highs > 1)").select("key", "band", F.ceil(F.col("of") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     inside = placed.join(tiles, ["key", "band"]).select("*", own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = inside.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "high")
-    dealt = dealt.join(nodes.select("node", "bits"), "node")
+    dealt = inside.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "high", "own", "root", "n", "pos")
+
+    def by_tile(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*_TILE[:4]).sortWithinPartitions(*_TILE[:4])
 
-    def mark(table: pa.Table) -> pa.Table:
-        columns = tile_columns(table)
-        on = np.zeros(table.num_rows, bool)
-        for i, near in tile_marks(*columns, percent):
-            on[i] = on[near] = True
-        return pa.table({"node": table.column("node").combine_chunks().filter(pa.array(on))})
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, band, i, j, node, high, own, root, n, pos, bits in tile_runs(batches):
+            on = np.zeros(len(node), bool)
+            for at, near in tile_marks(root, high, own, n, pos, bits.tolist(), percent):
+                on[at] = on[near] = True
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (key, band, i, j, node, high, own, root, n, pos)], _TILE)
 
-    marked = written(dealt.groupBy("key", "band", "i", "j").applyInArrow(mark, "node long").distinct(), "marked")
+    marked = written(by_tile(dealt.join(nodes.select("node", "bits"), "node").select(*_TILE, "bits")).mapInArrow(mark, TILE), "marked")
 
-    def settle(table: pa.Table) -> pa.Table:
-        columns = tile_columns(table)
-        held = [np.frombuffer(s, "<u8") for s in table.column("set").to_pylist()]
-        links = tile_links(columns[0], columns[1], tile_marks(*columns, percent), held, percent)
-        return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, _, node, high, own, root, n, pos, bits, held in tile_runs(batches):
+            marks = tile_marks(root, high, own, n, pos, bits.tolist(), percent)
+            if links := tile_links(node.tolist(), root.tolist(), marks, [np.frombuffer(s, "<u8") for s in held], percent):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["u", "v"])
 
-    chosen = dealt.join(sets.join(marked, "node", "left_semi"), "node")
-    return written(chosen.groupBy("key", "band", "i", "j").applyInArrow(settle, "u long, v long"), "mixed")
+    chosen = marked.join(nodes.select("node", "bits"), "node").join(sets, "node").select(*_TILE, "bits", "set")
+    return written(by_tile(chosen).mapInArrow(settle, "u long, v long"), "mixed")
 
 
 # --- the join
@@ -309,7 +340,7 @@ def linked_nodes(docs: DataFrame, classes: np.ndarray, text_col: str, percent: i
     signed_rows = distinct_rows(docs, text_col, "node long, n long, bits binary, keys array<long>", signed)
     nodes = written(signed_rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys"))), "nodes")
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int")
-    keyed = nodes.select("node", "n", band.alias("band"), F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "n", band.alias("band"), F.posexplode("keys").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("key")
     crowded = written(keyed.join(shared, "key"), "crowded")
 
@@ -324,7 +355,7 @@ def linked_nodes(docs: DataFrame, classes: np.ndarray, text_col: str, percent: i
     near = written(bounded_pairs(pairs, nodes, percent), "near")
     roots = written(components(written(settled_pairs(near, sets, percent), "links")), "roots")
     more = mixed_links(crowded, roots, nodes, sets, percent, block)
-    if more is None or more.isEmpty():
+    if more.isEmpty():
         return roots
     return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
 
