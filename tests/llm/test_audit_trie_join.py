@@ -174,8 +174,7 @@ def made_conversations(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("shard_turns", [10_000, 300, 25])
+@pytest.mark.parametrize(("seed", "shard_turns"), [(0, 10_000), (1, 300), (2, 25)])
 def test_trie_over_shards(spark, seed, shard_turns):
     df = spark.createDataFrame(made_conversations(seed), "conv_id long, turn long, role string, text string")
     assert told(prefix_trie.conversation_trie(df, shard_turns=shard_turns)) == plain_trie(df.collect())
@@ -273,8 +272,7 @@ def near_texts(seed):
     return rows + [(i + k, " ".join(common[:k])) for k in range(12)]
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("block", [512, 3])
+@pytest.mark.parametrize(("seed", "block"), [(0, 512), (1, 3)])
 def test_join_of_near_texts(spark, seed, block):
     df = spark.createDataFrame(near_texts(seed), "doc_id long, text string").repartition(3)
     assert components_of(jaccard_join.jaccard_components(df, block=block)) == plain_components(df.collect())

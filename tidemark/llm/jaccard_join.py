@@ -137,28 +137,50 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
 
 
-def distinct_rows(docs: DataFrame, text_col: str, schema: str, row: Callable[[int, np.ndarray], tuple], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """``row(node, set)`` for the nodes of every task's texts that have shingles and are wanted, each once a task."""
+def signed_nodes(docs: DataFrame, text_col: str, classes: np.ndarray, percent: int) -> DataFrame:
+    """node, n, bits, keys (the prefix in order), text_hash of the nodes of every task's texts, each once a task."""
+    held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, types = set(), None
+        seen = set()
         for batch in batches:
-            sets = shingle_sets(batch.column(0))
-            nodes = node_ids(sets)
-            on = nodes != 0
-            if wanted:
-                on &= wanted(nodes)
-            out = []
-            for i in np.flatnonzero(on).tolist():
+            sets, hashes = shingle_sets(batch.column(1)), batch.column(0).to_numpy()
+            nodes, out = node_ids(sets), []
+            for i in np.flatnonzero(nodes).tolist():
                 if (node := int(nodes[i])) not in seen:
                     seen.add(node)
-                    out.append(row(node, sets[i]))
+                    out.append((node, len(sets[i]), bitmap(sets[i]).tobytes(), prefix(sets[i], held.value, percent).view(np.int64), int(hashes[i])))
             if out:
-                columns = zip(*out, strict=True)
-                types = types or [pa.int64() if t == "long" else pa.binary() if t == "binary" else pa.list_(pa.int64()) for t in (c.split()[1] for c in schema.split(", "))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in schema.split(", ")])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["node", "n", "bits", "keys", "text_hash"])
+
+    return docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "node long, n long, bits binary, keys array<long>, text_hash long")
+
+
+def wanted_sets(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """node, set of ``nodes`` (node, text_hash), from another reading of the texts.
+
+    A sketch of the wanted hashes is sent to all tasks, so that no text is shuffled, and shingles
+    of no other text are made but for its few false answers.
+    """
+    nodes = written(nodes, "wanted")
+    filled = Sketch(nodes.select("text_hash"), lambda batch: node_words(batch.column(0).to_numpy()), nodes.count(), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            hashes = batch.column(0).to_numpy()
+            on = filled.met(node_words(hashes))
+            for i in np.flatnonzero(on).tolist():
+                on[i] = (text := int(hashes[i])) not in seen
+                seen.add(text)
+            if on.any():
+                sets = shingle_sets(batch.column(1).filter(pa.array(on)))
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
+    found = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, "node long, set binary")
+    sets = found.groupBy("node").agg(F.first("set").alias("set"))
+    return written(sets.join(nodes.select("node").distinct(), "node", "left_semi"), "sets", "none")
 
 
 def node_words(nodes: np.ndarray) -> np.ndarray:
@@ -291,7 +313,7 @@ def tile_links(nodes: list[int], roots: list[int], marks: Iterator[tuple[int, np
     return out
 
 
-def mixed_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def mixed_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, block: int) -> DataFrame:
     """u, v: links that join components in tiles that hold several and have pairs that no least node was in."""
     tagged = crowded.join(roots, "node", "left").select("key", "band", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     placed = tagged.withColumn("high", F.lit(0)).unionByName(tagged.withColumn("high", F.lit(1)).withColumn("band", F.col("band") - 1))
@@ -322,6 +344,7 @@ def mixed_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, sets: Da
             if links := tile_links(node.tolist(), root.tolist(), marks, [np.frombuffer(s, "<u8") for s in held], percent):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["u", "v"])
 
+    sets = sets_of(marked.select("node").distinct())
     chosen = marked.join(nodes.select("node", "bits"), "node").join(sets, "node").select(*_TILE, "bits", "set")
     return written(by_tile(chosen).mapInArrow(settle, "u long, v long"), "mixed")
 
@@ -331,30 +354,23 @@ def mixed_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, sets: Da
 
 def linked_nodes(docs: DataFrame, classes: np.ndarray, text_col: str, percent: int, block: int) -> DataFrame:
     """node, root of every node that is linked to another one."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(classes)
-
-    def signed(node: int, shingles: np.ndarray) -> tuple:
-        return node, len(shingles), bitmap(shingles).tobytes(), prefix(shingles, held.value, percent).view(np.int64)
-
-    signed_rows = distinct_rows(docs, text_col, "node long, n long, bits binary, keys array<long>", signed)
-    nodes = written(signed_rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys"))), "nodes")
-    band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int")
-    keyed = nodes.select("node", "n", band.alias("band"), F.posexplode("keys").alias("pos", "key"))
+    signed = signed_nodes(docs, text_col, classes, percent)
+    nodes = written(signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys", "text_hash"))), "nodes")
+    keyed = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("key")
-    crowded = written(keyed.join(shared, "key"), "crowded")
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int")
+    crowded = written(keyed.join(shared, "key").join(nodes.select("node", "n", band.alias("band")), "node"), "crowded")
 
-    ends = written(crowded.select("node").distinct(), "ends")
-    filled = Sketch(ends, lambda batch: node_words(batch.column(0).to_numpy()), ends.count(), 1)
-    sets = distinct_rows(docs, text_col, "node long, set binary", lambda node, s: (node, s.tobytes()), lambda found: filled.met(node_words(found)))
-    sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets", "none")
+    def sets_of(some: DataFrame) -> DataFrame:
+        return wanted_sets(docs, text_col, nodes.select("node", "text_hash").join(some, "node", "left_semi"))
 
     heads = crowded.groupBy("key", "band").agg(F.min("node").alias("head"))
     to_heads = crowded.select("node", "key", F.explode(F.array("band", F.col("band") + 1)).alias("band")).join(heads, ["key", "band"]).where("node <> head")
     pairs = written(to_heads.select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct(), "pairs")
     near = written(bounded_pairs(pairs, nodes, percent), "near")
+    sets = sets_of(near.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     roots = written(components(written(settled_pairs(near, sets, percent), "links")), "roots")
-    more = mixed_links(crowded, roots, nodes, sets, percent, block)
+    more = mixed_links(crowded, roots, nodes, sets_of, percent, block)
     if more.isEmpty():
         return roots
     return written(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "roots")
