@@ -14,14 +14,16 @@ ids are told as null; an empty table gives no shards; other columns are not read
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -31,14 +33,54 @@ from tidemark.llm.token_counts import PieceEncoder
 WIDTH = np.dtype("<u2")
 #: Starts of so many tasks at most (two numbers each) are broadcast.
 MANY_TASKS = 1_000_000
-
-
-def id_arrays(encoder: PieceEncoder, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text, put together from those of its parts."""
-    cut = encoder.cut(texts)
-    encoder.learn(set().union(*cut), lambda ids: np.array(ids, WIDTH))
-    known = encoder.memo.__getitem__
-    return [np.concatenate(list(map(known, parts))) if parts else np.empty(0, WIDTH) for parts in cut]
+#: Shards that a task writes, one after the other.
+SHARDS_OF_A_TASK = 16
+
+
+class FlatIds:
+    """Ids of texts: every part met has a number, and its ids stand in one array, from which a batch is gathered at once."""
+
+    def __init__(self, encoder: PieceEncoder) -> None:
+        self.encoder = encoder
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the end mark, number 0, is known."""
+        self.numbers: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.array([self.encoder.model.eos_id()], WIDTH), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.chars = 0
+
+    def learn(self, parts: set[str]) -> None:
+        if self.chars > self.encoder.most:
+            self.forget()
+        new = [p for p in parts if p not in self.numbers]
+        if not new:
+            return
+        encoder = self.encoder
+        held = [i if p or not encoder.cuts else encoder.blank for p, i in zip(new, encoder.model.encode(new, num_threads=1), strict=True)]
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        self.numbers.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(held), WIDTH, int(sizes.sum()))))
+        self.chars += sum(map(len, new))
+
+    def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after the other, an end mark behind each that has any, and how many places each takes."""
+        cut = self.encoder.cut(texts)
+        self.learn(set().union(*cut))
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        ends = np.cumsum(counts + 1)
+        number = np.zeros(ends[-1], np.int64)
+        place = np.ones(len(number), bool)
+        place[ends - 1] = False
+        number[place] = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        sizes = self.sizes[number]
+        sizes[ends - 1] = 0
+        taken = np.add.reduceat(sizes, ends - counts - 1)
+        sizes[ends - 1] = taken > 0
+        upto = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[number] - (upto - sizes), sizes) + np.arange(upto[-1])], taken + (taken > 0)
 
 
 def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
@@ -49,7 +91,7 @@ def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id",
     schema = schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = None, TaskContext.get().partitionId(), 0
+        flat, part, seq = None, TaskContext.get().partitionId(), 0
         rest, owners, kind, end = np.empty(0, WIDTH), [], None, None
 
         def told(out: list[tuple]) -> pa.RecordBatch:
@@ -57,18 +99,14 @@ def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int64()), pa.array(seqs, pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, pa.list_(kind)), pa.array(data, pa.binary())], schema.names)
 
         for batch in batches:
-            encoder = encoder or PieceEncoder(model)
-            end, kind = encoder.model.eos_id(), batch.schema.field(0).type
+            flat = flat or FlatIds(PieceEncoder(model))
+            end, kind = flat.encoder.model.eos_id(), batch.schema.field(0).type
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in by_bytes(texts, batch_chars):
-                streams, starts, at, out = [rest], [], len(rest), []
-                for name, ids in zip(names[a:b], id_arrays(encoder, texts[a:b]), strict=True):
-                    if len(ids):
-                        streams += [ids, np.array([end], WIDTH)]
-                        starts.append((at, at + len(ids) + 1, name))
-                        at += len(ids) + 1
-                stream = np.concatenate(streams)
-                spans = [(0, len(rest), name) for name in owners] + starts
+                ids, taken = flat.stream(texts[a:b])
+                stream, out = np.concatenate((rest, ids)), []
+                upto = (len(rest) + np.cumsum(taken)).tolist()
+                spans = [(0, len(rest), name) for name in owners] + [(z - n, z, name) for name, n, z in zip(names[a:b], taken.tolist(), upto, strict=True) if n]
                 k = 0
                 for s in range(0, len(stream) - length + 1, length):
                     while k < len(spans) and spans[k][1] <= s:
@@ -112,14 +150,30 @@ def feistel(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
-def slot_of(number: Column, size: Column, key: int) -> Column:
-    """The slot of a global sequence number among ``size``, the same in every row."""
+def slot_of(number: Column, size: int, key: int) -> Column:
+    """The slot of a global sequence number among ``size``."""
 
     @F.pandas_udf("long")
-    def slots(n: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series(feistel(n.to_numpy(), int(total.iloc[0]), key) if len(n) else [], dtype="int64")
+    def slots(n: pd.Series) -> pd.Series:
+        return pd.Series(feistel(n.to_numpy(), size, key) if len(n) else [], dtype="int64")
+
+    return slots(number)
+
+
+def open_folder(uri: str):
+    """Arrow's file system of a qualified folder, and the path in it."""
+    from pyarrow import fs
 
-    return slots(number, size)
+    return fs.FileSystem.from_uri(uri)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI of the file system that Spark opens it with; an error, before any work, if Arrow cannot open it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = re.sub("^file:/+", "file:///", uri)
+    open_folder(uri)
+    return uri
 
 
 def squeezed(ids: Column) -> Column:
@@ -134,38 +188,40 @@ def squeezed(ids: Column) -> Column:
     return squeeze(ids)
 
 
-def numbered(parts: DataFrame) -> DataFrame:
-    """``parts`` (part, seq, ..) with ``number``, dense over all sequences, and ``total``: one row for each task is summed up."""
-    sizes = parts.groupBy("part").agg((F.max("seq") + 1).alias("n"))
-    every = Window.orderBy("part")
-    starts = sizes.select("part", (F.sum("n").over(every) - F.col("n")).alias("first"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    if sizes.count() <= MANY_TASKS:
+def numbered(parts: DataFrame, many: int = MANY_TASKS) -> tuple[DataFrame, int]:
+    """``parts`` (part, seq, ..) with ``number``, dense over all sequences, and how many there are: one row for each task is summed up."""
+    sizes = written(parts.groupBy("part").agg((F.max("seq") + 1).alias("n")), "sizes")
+    tasks, total = sizes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    if tasks <= many:
         starts = F.broadcast(starts)
-    return parts.join(starts, "part").withColumn("number", F.col("first") + F.col("seq")).drop("first")
+    return parts.join(starts, "part").withColumn("number", F.col("first") + F.col("seq")).drop("first"), total or 0
 
 
 def write_shards(docs: DataFrame, model: str, folder: str | None = None, length: int = 1024, per_shard: int = 1024, key: int = 20240101, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards below ``folder`` (default: the shared folder) and return their index.
 
     The index has slot, shard, offset, n_tokens, part, seq, doc_ids of every sequence, and the
-    file. ``folder`` is a path or URI that Arrow's file systems open on every executor. A file is
+    file. ``folder`` is a path or URI as Spark reads it, of a kind that Arrow's file systems open,
+    too; the index has it as a URI. A file is
     written beside its place and moved there when whole, so a task that is run again leaves one.
     """
     import zstandard
 
     spark = docs.sparkSession
-    folder = folder or shared_path(spark, "shards")
+    folder = qualified(spark, folder or shared_path(spark, "shards"))
     stride = length * WIDTH.itemsize
     kept = written(sequences(docs, model, length, id_col, text_col), "sequences", level=9)
-    placed = numbered(kept)
-    placed = placed.withColumn("slot", slot_of(F.col("number"), F.col("total"), key)).withColumn("shard", F.floor(F.col("slot") / per_shard))
-    dealt = placed.select("shard", "slot", "n_tokens", "part", "seq", "doc_ids", squeezed(F.col("ids")).alias("ids")).repartitionByRange("shard").sortWithinPartitions("slot")
+    placed, total = numbered(kept)
+    placed = placed.withColumn("slot", slot_of(F.col("number"), total, key)).withColumn("shard", F.floor(F.col("slot") / per_shard))
+    dealt = placed.select("shard", "slot", "n_tokens", "part", "seq", "doc_ids", squeezed(F.col("ids")).alias("ids"))
+    # slots are dense, so the ranges of shards are known without a look at the rows
+    tasks = max(1, -(-total // (per_shard * SHARDS_OF_A_TASK)))
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") / SHARDS_OF_A_TASK).cast("int")).sortWithinPartitions("slot")
     index = StructType([*(f for f in dealt.schema if f.name != "ids"), StructField("offset", LongType())]).add("file", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, root = open_folder(folder)
         unpack = zstandard.ZstdDecompressor().decompress
         store.create_dir(root, recursive=True)
         open_shard, out, at = None, None, ""
@@ -197,9 +253,7 @@ def shard_name(shard: int) -> str:
 
 def read_slots(folder: str, start: int, count: int, length: int = 1024, per_shard: int = 1024) -> Iterator[np.ndarray]:
     """Sequences ``start`` to ``start + count`` in training order: seeks once, then reads on."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    store, root = open_folder(folder)
     stride = length * WIDTH.itemsize
     for shard in range(start // per_shard, (start + count - 1) // per_shard + 1 if count else 0):
         first, last = max(start, shard * per_shard), min(start + count, (shard + 1) * per_shard)
