@@ -1,6 +1,10 @@
 """Every registered query with SQL gives the rows DuckDB gives; the others give rows."""
 
 import math
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -52,3 +56,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_training_text(tmp_path):
+    """The rest must import and register its queries where the operators for training text are absent."""
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; assert not [n for n in e.queries() if n.startswith('op')], e.queries(); print(len(e.queries()), len(e.oracle_sql()))"
+    told = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
+    assert told.returncode == 0, told.stderr
+    assert int(told.stdout.split()[0]) == len(REGISTERED)

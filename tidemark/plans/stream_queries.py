@@ -47,17 +47,17 @@ def drain(spark, stream, name):
     return st.finish(st.to_folder(stream, folder), spark, folder)
 
 
-# a window is written once the watermark has passed its end
-_CLOSED = "(SELECT max(ts) FROM events)"
+def backfilled(spark, source, name, build):
+    """Run a stream to its end and close its windows."""
+    return st.backfill(build, source, scratch(spark, name))
 
 
 @query(
     "stream_windows",
-    f"""SELECT event_type AS name, time_bucket(INTERVAL 15 MINUTE, ts) AS start, count(*) AS count, min(value) AS min, max(value) AS max, {s('avg(value)')} AS mean FROM events GROUP BY 1, 2
-    HAVING time_bucket(INTERVAL 15 MINUTE, any_value(ts)) + INTERVAL 15 MINUTE <= {_CLOSED} - INTERVAL 1 HOUR""",
+    f"""SELECT event_type AS name, time_bucket(INTERVAL 15 MINUTE, ts) AS start, count(*) AS count, min(value) AS min, max(value) AS max, {s('avg(value)')} AS mean FROM events GROUP BY 1, 2""",
 )
 def stream_windows(spark, folder):
-    out = drain(spark, sf.windowed(samples(spark, folder), "15 minutes"), "windows")
+    out = backfilled(spark, samples(spark, folder), "windows", lambda rows: sf.windowed(rows, "15 minutes"))
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": snap(F.col("mean"))})
 
 
@@ -70,36 +70,35 @@ def stream_deduplicated(spark, folder):
 
 @query(
     "stream_sessions",
-    f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
     k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
-    SELECT user_id, min(ts) AS start, count(*) AS rows FROM k GROUP BY user_id, run HAVING max(ts) + INTERVAL 2 HOUR <= {_CLOSED} - INTERVAL 1 HOUR""",
+    SELECT user_id, min(ts) AS start, count(*) AS rows FROM k GROUP BY user_id, run""",
 )
 def stream_sessions(spark, folder):
-    out = drain(spark, sf.sessions(event_stream(spark, folder), ["user_id"], "2 hours"), "sessions")
+    out = backfilled(spark, event_stream(spark, folder), "sessions", lambda rows: sf.sessions(rows, ["user_id"], "2 hours"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "rows")
 
 
 @query(
     "stream_alerts",
-    f"""WITH RECURSIVE {BREACH}, k AS (SELECT rule_id, (floor(floor(epoch(ts)) / 60) * 60)::BIGINT AS tick, count(*) AS samples FROM b GROUP BY 1, 2), c AS (SELECT * FROM k WHERE tick + 60 <= epoch({_CLOSED})),
+    f"""WITH RECURSIVE {BREACH}, c AS (SELECT rule_id, (floor(floor(epoch(ts)) / 60) * 60)::BIGINT AS tick, count(*) AS samples FROM b GROUP BY 1, 2),
     go AS (SELECT rule_id, min(tick) AS tick FROM c GROUP BY 1 UNION ALL SELECT g.rule_id, (SELECT min(c.tick) FROM c WHERE c.rule_id = g.rule_id AND c.tick >= g.tick + 3600) AS tick FROM go g WHERE g.tick IS NOT NULL)
     SELECT rule_id, tick, samples FROM go JOIN c USING (rule_id, tick)""",
 )
 def stream_alerts(spark, folder):
     with rocks_state(spark):
-        return drain(spark, sf.alerts(samples(spark, folder), rules(spark), "1 minute", 3600), "alerts")
+        return backfilled(spark, samples(spark, folder), "alerts", lambda rows: sf.alerts(rows, rules(spark), "1 minute", 3600))
 
 
 @query(
     "stream_quality",
-    f"""SELECT event_type AS source, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS rows, CAST(sum((event_id % 11 = 0)::INT) AS BIGINT) AS empty, {s('sum((event_id % 11 = 0)::INT) / (count(*) * 2.0)')} AS empty_rate FROM events GROUP BY 1, 2
-    HAVING time_bucket(INTERVAL 1 HOUR, any_value(ts)) + INTERVAL 1 HOUR <= {_CLOSED} - INTERVAL 1 HOUR""",
+    f"""SELECT event_type AS source, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS rows, CAST(sum((event_id % 11 = 0)::INT) AS BIGINT) AS empty, {s('sum((event_id % 11 = 0)::INT) / (count(*) * 2.0)')} AS empty_rate FROM events GROUP BY 1, 2""",
 )
 def stream_quality(spark, folder):
     rows = event_stream(spark, folder).select(
         F.col("event_type").alias("source"), "ts", "value", F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("props")).alias("props")
     )
-    out = drain(spark, sf.quality(rows, ["value", "props"], "1 hour"), "quality")
+    out = backfilled(spark, rows, "quality", lambda rows: sf.quality(rows, ["value", "props"], "1 hour"))
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "empty_rate": snap(F.col("empty_rate"))})
 
 

@@ -143,6 +143,41 @@ def to_folder(stream: DataFrame, folder: str, backfill: bool = True, every: str
     )
 
 
+#: Where an ended stream's time stands: past the end of every window.
+END = "9999-12-30 00:00:00"
+
+
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """``stream`` together with a source below ``folder`` that can tell its end (:func:`tell_end`)."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/end")
+    return stream.unionByName(read_files(spark, f"{folder}/end", stream.schema))
+
+
+def tell_end(spark: SparkSession, folder: str, ts: str = "ts") -> None:
+    """One last row, with empty strings and nulls, at a time past all windows.
+
+    It moves the watermark, so every window before it closes; its own windows never do. An ended
+    stream takes no further rows.
+    """
+    schema = spark.read.parquet(f"{folder}/end").schema
+    value = lambda f: F.lit(END if f.name == ts else "" if f.dataType.typeName() == "string" else None).cast(f.dataType).alias(f.name)
+    spark.range(1).select(*map(value, schema.fields)).write.mode("append").parquet(f"{folder}/end")
+
+
+def backfill(build: Callable[[DataFrame], DataFrame], source: DataFrame, folder: str) -> DataFrame:
+    """All rows of ``build(source)``, those of the windows that are open when the input ends among them.
+
+    The stream is run over its input first, and told the end only then, so that no row of a
+    later batch counts as late because of it.
+    """
+    spark = source.sparkSession
+    stream = build(with_end(source, folder))
+    to_folder(stream, folder).awaitTermination()
+    tell_end(spark, folder)
+    return finish(to_folder(stream, folder), spark, folder)
+
+
 def finish(query: StreamingQuery, spark: SparkSession, folder: str) -> DataFrame:
     """Wait for a backfill, however long, and read what it wrote; its error is raised here."""
     query.awaitTermination()
