@@ -30,13 +30,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tidemark.llm.components import components
 from tidemark.llm.shared import bounded_batches, mix, powers, word_hashes, written
-from tidemark.llm.sketch import BLOCK, Sketch, merged_blocks, sparse_counts
+from tidemark.llm.sketch import BLOCK, Sketch, counter_blocks, merged_blocks
 
 SHINGLE = 4
 #: A pair is linked when 100 * overlap >= PERCENT * union.
@@ -96,12 +96,9 @@ def set_facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 held += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(node_ids(sets)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema.names)
-        touched = np.flatnonzero(held)
-        if len(touched):
-            found = sparse_counts([touched])
-            counts = [held[b * BLOCK + np.frombuffer(c, "<u2").astype(np.int64)].astype("<u4").tobytes() for b, c in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
-            m = found.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), found.column(0), found.column(1), pa.array(counts, pa.binary())], schema.names)
+        found = counter_blocks(held)
+        if m := found.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *found.columns], schema.names)
 
     return read.mapInArrow(run, schema)
 
@@ -110,7 +107,7 @@ def frequency_classes(partial: DataFrame) -> np.ndarray:
     """The binary logarithm of each counter, all texts added up."""
     out = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint8)
     told = lambda counter: np.floor(np.log2(np.maximum(counter, 1))).astype(np.uint8).tobytes()
-    for block, held in merged_blocks(partial.select("block", "cells", "counts"), told, np.dtype("<u4")).collect():
+    for block, held in merged_blocks(partial.select("block", "cells", "counts"), told, np.dtype("<u2")).collect():
         out[block] = np.frombuffer(held, np.uint8)
     return out.ravel()
 
@@ -313,12 +310,17 @@ def tile_links(nodes: list[int], roots: list[int], marks: Iterator[tuple[int, np
     return out
 
 
+def early_in(percent: int) -> Column:
+    """Whether a set may hold its first shingle in common with a similar set of its size or more at ``pos``."""
+    return F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+
+
 def mixed_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, block: int) -> DataFrame:
     """u, v: links that join components in tiles that hold several and have pairs that no least node was in."""
     tagged = crowded.join(roots, "node", "left").select("key", "band", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     placed = tagged.withColumn("high", F.lit(0)).unionByName(tagged.withColumn("high", F.lit(1)).withColumn("band", F.col("band") - 1))
-    # the smaller set of a pair is in the lower band, and has the shingle early
-    early = (F.col("high") == 0) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)))
+    # the smaller set of a pair is in the lower band
+    early = (F.col("high") == 0) & early_in(percent)
     tiles = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("of"), F.sum("high").alias("highs"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or(early).alias("early"))
     tiles = tiles.where("early and lo <> hi and (of - highs > 2 or highs > 1)").select("key", "band", F.ceil(F.col("of") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
@@ -356,8 +358,10 @@ def linked_nodes(docs: DataFrame, classes: np.ndarray, text_col: str, percent: i
     """node, root of every node that is linked to another one."""
     signed = signed_nodes(docs, text_col, classes, percent)
     nodes = written(signed.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys", "text_hash"))), "nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of")).where("of > 1").select("key")
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    # of a similar pair, the smaller set has its first common shingle early
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of"), F.bool_or(early_in(percent)).alias("early")).where("of > 1 and early").select("key")
+    keyed = keyed.drop("n")
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int")
     crowded = written(keyed.join(shared, "key").join(nodes.select("node", "n", band.alias("band")), "node"), "crowded")
 

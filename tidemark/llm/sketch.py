@@ -29,10 +29,10 @@ def places(words: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return (words[:, 0] % np.uint64(blocks)).astype(np.int64), np.ascontiguousarray(words[:, 1]).view("<u2").reshape(-1, PROBES).astype(np.int64)
 
 
-def sparse_counts(codes: list[np.ndarray], most: int = 255, kind: type = np.uint8) -> pa.RecordBatch:
-    """block, cells, counts of codes ``block * BLOCK + cell``; counts stop at ``most``."""
+def sparse_counts(codes: list[np.ndarray]) -> pa.RecordBatch:
+    """block, cells, counts of codes ``block * BLOCK + cell``; counts stop at 255."""
     code, count = np.unique(np.concatenate(codes), return_counts=True)
-    block, cell, count = code // BLOCK, (code % BLOCK).astype("<u2"), np.minimum(count, most).astype(kind)
+    block, cell, count = code // BLOCK, (code % BLOCK).astype("<u2"), np.minimum(count, 255).astype(np.uint8)
     held, starts = np.unique(block, return_index=True)
     ends = np.append(starts[1:], len(code))
     cells = [cell[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
@@ -75,13 +75,23 @@ def merged_blocks(partial: DataFrame, told: Callable[[np.ndarray], bytes], kind:
                     if now is not None:
                         yield row()
                     now, counter = block, np.zeros(BLOCK, np.int64)
-                counter[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, kind)
+                counter[np.frombuffer(cells, "<u2") if cells else slice(None)] += np.frombuffer(counts, kind)
         if now is not None:
             yield row()
 
     return partial.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, held binary")
 
 
+def counter_blocks(counts: np.ndarray) -> pa.RecordBatch:
+    """block, cells, counts of the blocks of a task's counters that hold any; no cells where most are touched. Counts stop at 65535."""
+    held = [(b, c) for b, c in enumerate(np.minimum(counts, 65535).astype("<u2").reshape(-1, BLOCK)) if c.any()]
+    touched = [np.flatnonzero(c) for _, c in held]
+    many = [4 * len(t) > BLOCK for t in touched]
+    cells = [b"" if m else t.astype("<u2").tobytes() for t, m in zip(touched, many, strict=True)]
+    values = [(c if m else c[t]).tobytes() for (_, c), t, m in zip(held, touched, many, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array(cells, pa.binary()), pa.array(values, pa.binary())], ["block", "cells", "counts"])
+
+
 class Sketch:
     """The merged sketch of the keys of ``rows``, held by every task: which keys were met ``least`` times."""
 
