@@ -403,10 +403,32 @@ def test_links_are_decoded_and_all_taken(spark):
         (21, "https://b.org/2", '<meta http-equiv=refresh content="9; url=/old2"><meta http-equiv="refresh" content="0;url=http:&#x2F;&#x2F;x.net/fr/a?a=1&amp;b=2">'),
         (22, "https://b.org/3", '<link rel="canonical" href="http://x.net/fr/a?a=1&amp;amp;b=2">'),  # names another url
         (23, "https://b.org/old", ""),
+        (24, "https://b.org/older", ""),
     ]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filters.filter_urls(frame).collect()}
-    assert {i for i, v in got.items() if v == "block"} == {*range(1, 8), 20, 21, 23}
+    # what a comment names is no alias
+    assert {i for i, v in got.items() if v == "block"} == {*range(1, 8), 20, 21, 24}
+    same_as_sql(frame)
+
+
+def test_links_are_resolved_as_the_standard_says(spark):
+    link = lambda href: f'<head><link data-href="/no" rel="canonical" href="{href}"></head>'
+    rows = [
+        (1, "http://x.net/fr/a", None), (2, "http://x.net/fr/b?page=2", None), (3, "http://x.net/fr/d/../c", None),  # block
+        (10, "https://a.org/x/", link("/out?to=https://b.net/fr/q")), (11, "https://a.org/out?to=https://b.net/fr/q", None),
+        (12, "https://c.org/p/q/r", link("../../fr")), (13, "https://c.org/fr", link("https://x.net/fr/./k/../a")),
+        (14, "https://d.org/list", link("?page=2")), (15, "https://d.org/list?page=2", link("//x.net/fr/a#top")), (16, "https://d.org?page=2", None),
+        (17, "https://e.org/1", link("mailto:fr@x.net")), (18, "https://e.org/2", link("ftp://x.net/fr/a")), (19, "https://e.org/3", link("#http://x.net/fr/a")),
+        (20, "https://f.org/a", f"<!-- {link('http://x.net/fr/a')} --> <p> <!-- {link('http://x.net/fr/a')}"), (21, "https://f.org/%2E%2e/b/%2e", link("http://x.net/fr/%2e%2E/fr/c")), (22, "https://f.org/b", None),
+        (23, "https://g.org/a", link("HTTP://X.NET/fr/a")), (23, "https://g.org/a", link("HTTP://X.NET/fr/a")), (None, None, link("http://x.net/fr/a")),
+        (24, "https://h.org/" + "s/" * 20_000 + "../" * 20_000 + "end", "<p>" + "word " * 100_000 + link("http://x.net/fr/a")), (25, "https://h.org/end", None),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told = [(r.page_id, r.verdict) for r in url_filters.filter_urls(frame).collect()]
+    assert len(told) == len(rows)
+    assert {i for i, v in told if v == "block"} == {1, 2, 3, 12, 13, 14, 15, 21, 22, 23, 24, 25}
+    same_as_sql(frame.where("coalesce(page_id, 0) < 24"))
 
 
 def same_as_sql(frame):

@@ -22,13 +22,14 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidemark.llm.shared import bounded_batches, by_bytes, mix, shared_path, written
-from tidemark.llm.token_counts import PieceEncoder
+from tidemark.llm.shared import bounded_batches, mix, shared_path, written
+from tidemark.llm.token_counts import BLANK, PieceEncoder
 
 WIDTH = np.dtype("<u2")
 #: Starts of so many tasks at most (two numbers each) are broadcast.
@@ -50,31 +51,53 @@ class FlatIds:
         self.ids, self.starts, self.sizes = np.array([self.encoder.model.eos_id()], WIDTH), np.zeros(1, np.int64), np.ones(1, np.int64)
         self.chars = 0
 
-    def learn(self, parts: set[str]) -> None:
+    def learn(self, parts: list[str]) -> np.ndarray:
+        """Numbers of the parts; those not yet known are encoded in one call."""
         if self.chars > self.encoder.most:
             self.forget()
-        new = [p for p in parts if p not in self.numbers]
-        if not new:
-            return
-        encoder = self.encoder
-        held = [i if p or not encoder.cuts else encoder.blank for p, i in zip(new, encoder.model.encode(new, num_threads=1), strict=True)]
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        self.numbers.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(held), WIDTH, int(sizes.sum()))))
-        self.chars += sum(map(len, new))
-
-    def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = [p for p in dict.fromkeys(parts) if p not in self.numbers]
+        if new:
+            encoder = self.encoder
+            held = [i if p or not encoder.cuts else encoder.blank for p, i in zip(new, encoder.model.encode(new, num_threads=1), strict=True)]
+            sizes = np.fromiter(map(len, held), np.int64, len(held))
+            self.numbers.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(held), WIDTH, int(sizes.sum()))))
+            self.chars += sum(map(len, new))
+        return np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
+
+    def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the parts of the texts, and how many each has.
+
+        Texts without runs of blanks, most of them, are split and their parts told apart by
+        Arrow, so only distinct parts become Python strings; the others go one by one.
+        """
+        texts = pc.replace_substring(texts, BLANK, " ")
+        plain = pc.invert(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")))
+        plain = pc.and_(plain, pc.not_equal(texts, "")).to_numpy(zero_copy_only=False) & self.encoder.cuts
+        cut = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        known = cut.flatten().dictionary_encode()
+        odd = self.encoder.cut(texts.filter(pa.array(~plain)).to_pylist())
+        # one call, so that what is forgotten is forgotten for both
+        numbers = self.learn([*known.dictionary.to_pylist(), *chain.from_iterable(odd)])
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+        counts[~plain] = np.fromiter(map(len, odd), np.int64, len(odd))
+        out = np.empty(counts.sum(), np.int64)
+        of_plain = np.repeat(plain, counts)
+        out[of_plain] = numbers[: len(known.dictionary)][known.indices.to_numpy()]
+        out[~of_plain] = numbers[len(known.dictionary) :]
+        return out, counts
+
+    def stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after the other, an end mark behind each that has any, and how many places each takes."""
-        cut = self.encoder.cut(texts)
-        self.learn(set().union(*cut))
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbers, counts = self.parts(texts)
         ends = np.cumsum(counts + 1)
         number = np.zeros(ends[-1], np.int64)
         place = np.ones(len(number), bool)
         place[ends - 1] = False
-        number[place] = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        number[place] = numbers
         sizes = self.sizes[number]
         sizes[ends - 1] = 0
         taken = np.add.reduceat(sizes, ends - counts - 1)
@@ -83,7 +106,15 @@ class FlatIds:
         return self.ids[np.repeat(self.starts[number] - (upto - sizes), sizes) + np.arange(upto[-1])], taken + (taken > 0)
 
 
-def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+def byte_runs(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Runs ``[start, end)`` of texts that hold about ``most`` bytes each."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(upto // most)) + 1
+    bounds = [0, *cuts.tolist(), len(texts)]
+    return [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
+
+
+def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 16_000_000) -> DataFrame:
     """part, seq, n_tokens, doc_ids, ids (``length`` two-byte ids) of every sequence."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -101,9 +132,9 @@ def sequences(docs: DataFrame, model: str, length: int, id_col: str = "doc_id",
         for batch in batches:
             flat = flat or FlatIds(PieceEncoder(model))
             end, kind = flat.encoder.model.eos_id(), batch.schema.field(0).type
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_bytes(texts, batch_chars):
-                ids, taken = flat.stream(texts[a:b])
+            names, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+            for a, b in byte_runs(texts, batch_bytes):
+                ids, taken = flat.stream(texts.slice(a, b - a))
                 stream, out = np.concatenate((rest, ids)), []
                 upto = (len(rest) + np.cumsum(taken)).tolist()
                 spans = [(0, len(rest), name) for name in owners] + [(z - n, z, name) for name, n, z in zip(names[a:b], taken.tolist(), upto, strict=True) if n]
