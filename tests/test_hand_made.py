@@ -517,3 +517,59 @@ def test_semantic_search_knows_rare_words(spark):
     rows = [(i, f"common words here {i % 7} filler{i}") for i in range(1200)] + [(5000, "the rarest platypus")]
     got = kn.semantic_search(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", "platypus", 5).collect()
     assert [r.doc_id for r in got] == [5000]
+
+
+def student_tail(t, v):
+    """Two-sided tail by the finite series for whole degrees of freedom."""
+    angle = np.arctan(abs(t) / np.sqrt(v))
+    cos2, sin = np.cos(angle) ** 2, np.sin(angle)
+    term = total = 1.0 if v > 1 else 0.0
+    for j in range(1, (v - 2) // 2 + 1):
+        term *= ((2 * j - 1) / (2 * j) if v % 2 == 0 else 2 * j / (2 * j + 1)) * cos2
+        total += term
+    return 1 - (sin * total if v % 2 == 0 else 2 / np.pi * (angle + sin * np.cos(angle) * total))
+
+
+def test_student_tail(spark):
+    cases = [(t, v) for v in (1, 2, 3, 4, 5, 7, 10, 31, 100, 333, 1000, 4999, 9998) for t in (0.0, 1e-4, 0.03, 0.5, -1.0, 1.96, -3.0, 6.0, 20.0)]
+    df = spark.createDataFrame([(float(t), float(v)) for t, v in cases] + [(None, 5.0), (1.0, 0.0), (1.0, -1.0)], "t double, v double")
+    got = [r.p for r in df.select(ev.student_p(F.col("t"), F.col("v")).alias("p")).collect()]
+    assert got[len(cases) :] == [None, None, None]
+    for (t, v), p in zip(cases, got, strict=False):
+        assert p == pytest.approx(student_tail(t, v), abs=1e-9)
+
+
+def test_inference_meets_every_pair_once(spark):
+    """A chain closes in a logarithm of its length, and rules see a new fact in every derivation."""
+    n = 40
+    facts = spark.createDataFrame([(f"k{i:03}", "to", f"k{i + 1:03}", 1.0) for i in range(n)], "subject string, predicate string, object string, confidence double")
+    plain = kn.transitive("to", 1.0)
+    derived = []
+
+    def counting(new, known):
+        out = plain(new, known)
+        derived.append(out.count())
+        return out
+
+    out = kn.infer(facts, [counting]).collect()
+    assert len(out) == n * (n + 1) // 2 == len({(r.subject, r.object) for r in out})
+    # a pair of adjoining stretches is a choice of three marks on the chain
+    assert sum(derived) == (n + 1) * n * (n - 1) // 6
+    assert max(r.round for r in out) == 6
+    with pytest.raises(RuntimeError):
+        kn.infer(facts, [plain], max_rounds=3)
+
+
+def test_backfill_closes_all_windows_and_keeps_late_rows(spark, tmp_path):
+    """A row that is late inside the hour counts, one beyond is lost, and the last window is told."""
+    from tidemark.streaming import stateful, streams
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    files = [[("a", at(10, 0), 1.0), ("a", at(10, 20), 2.0)], [("a", at(12, 0), 3.0)], [("a", at(11, 5), 4.0), ("a", at(9, 0), 5.0)], [("a", at(12, 10), 6.0)]]
+    for rows in files:
+        spark.createDataFrame(rows, "name string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    source = streams.read_files(spark, f"{tmp_path}/in", schema, per_batch=1)
+    out = streams.backfill(lambda rows: stateful.windowed(rows, "15 minutes"), source, f"{tmp_path}/out")
+    got = {(r.start.hour, r.start.minute): r["count"] for r in out.collect()}
+    assert got == {(10, 0): 1, (10, 15): 1, (11, 0): 1, (12, 0): 2}

@@ -67,36 +67,49 @@ def counts(triples: DataFrame) -> DataFrame:
     return triples.groupBy("type").agg(F.count(F.lit(1)).alias("triples"))
 
 
-Rule = Callable[[DataFrame], DataFrame]
+#: What a rule derives from new facts and all facts: every derivation has a new fact in it.
+Rule = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def transitive(predicate: str, factor: float = 0.9) -> Rule:
-    """a p b and b p c give a p c, less sure by the factor."""
+    """a p b and b p c give a p c, less sure by the factor.
 
-    def rule(known: DataFrame) -> DataFrame:
-        p = known.where(F.col("predicate") == predicate)
-        left = p.select("subject", F.col("object").alias("mid"), F.col("confidence").alias("c1"))
-        right = p.select(F.col("subject").alias("mid"), "object", F.col("confidence").alias("c2"))
-        return left.join(right, "mid").where(F.col("subject") != F.col("object")).select(
+    New facts are joined with all facts on the right, and with the old ones on the left, so a
+    pair of facts meets once, in the round in which the later of them is new.
+    """
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        first = left.select("subject", F.col("object").alias("mid"), F.col("confidence").alias("c1"))
+        second = right.select(F.col("subject").alias("mid"), "object", F.col("confidence").alias("c2"))
+        return first.join(second, "mid").where(F.col("subject") != F.col("object")).select(
             "subject", F.lit(predicate).alias("predicate"), "object", (F.col("c1") * F.col("c2") * factor).alias("confidence")
         )
 
+    def rule(new: DataFrame, known: DataFrame) -> DataFrame:
+        mine = F.col("predicate") == predicate
+        old = known.where(mine).where(~F.col("new"))
+        return meet(new.where(mine), known.where(mine)).unionByName(meet(old, new.where(mine)))
+
     return rule
 
 
 def infer(triples: DataFrame, rules: Sequence[Rule], max_rounds: int | None = None) -> DataFrame:
-    """Apply the rules until they yield nothing new; an error where ``max_rounds`` rounds are not enough."""
-    known = cut_lineage(triples.select(*SPO, "confidence").groupBy(*SPO).agg(F.max("confidence").alias("confidence")).withColumn("round", F.lit(0)))
+    """Apply the rules until they yield nothing new; an error where ``max_rounds`` rounds are not enough.
+
+    Semi-naive: a round derives only from what the round before it found, with all that is
+    known (``new`` marks what is of the last round). A fact keeps the best confidence of the
+    round that found it, and that round's number.
+    """
+    known = cut_lineage(triples.select(*SPO, "confidence").groupBy(*SPO).agg(F.max("confidence").alias("confidence")).withColumns({"round": F.lit(0), "new": F.lit(True)}))
     for r in count(1):
-        derived = reduce(DataFrame.unionByName, [rule(known) for rule in rules])
+        derived = reduce(DataFrame.unionByName, [rule(known.where("new"), known) for rule in rules])
         best = derived.groupBy(*SPO).agg(F.max("confidence").alias("confidence"))
-        fresh = cut_lineage(best.join(known.select(*SPO), list(SPO), "left_anti").withColumn("round", F.lit(r)))
+        fresh = cut_lineage(best.join(known.select(*SPO), list(SPO), "left_anti").withColumns({"round": F.lit(r), "new": F.lit(True)}))
         if fresh.isEmpty():
-            break
+            return known.drop("new")
         if r == max_rounds:
             raise RuntimeError(f"facts still arrive after {max_rounds} rounds")
-        known = cut_lineage(known.unionByName(fresh))
-    return known
+        known = cut_lineage(known.withColumn("new", F.lit(False)).unionByName(fresh))
 
 
 def search_entities(entities: DataFrame, text: str, types: Sequence[str] | None = None, limit: int = 10, threshold: float = 0.6) -> DataFrame:

@@ -151,14 +151,18 @@ def factor_ic_summary(spark, folder):
     "factor_regression",
     f"""WITH {PANEL}, g AS (SELECT factor_id, symbol, regr_slope(fwd_ret, value) AS b, regr_intercept(fwd_ret, value) AS a,
       corr(fwd_ret, value) AS r, count(*) AS n FROM pairs GROUP BY 1, 2),
-    t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM g)
-    SELECT factor_id, symbol, {s('b', 5)} AS factor_loading, {s('a', 5)} AS intercept, n, {s('r * r')} AS r_squared,
-      {s('t', 4)} AS t_stat, CASE WHEN abs(t) > 2 THEN 0.05::DOUBLE ELSE 0.5::DOUBLE END AS p_value FROM t""",
+    t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS v FROM g),
+    terms AS (SELECT factor_id, symbol, exp(sum(ln(CASE WHEN v % 2 = 0 THEN (2 * j - 1)::DOUBLE / (2 * j) ELSE (2 * j)::DOUBLE / (2 * j + 1) END * v / (v + t * t)))
+        OVER (PARTITION BY factor_id, symbol ORDER BY j)) AS term FROM t, unnest(range(1, (v - 2) // 2 + 1)) AS u(j)),
+    series AS (SELECT factor_id, symbol, sum(term) AS more FROM terms GROUP BY 1, 2),
+    tail AS (SELECT t.*, (CASE WHEN v > 1 THEN 1 ELSE 0 END + coalesce(more, 0)) * abs(t) / sqrt(v + t * t) AS body FROM t LEFT JOIN series USING (factor_id, symbol))
+    SELECT factor_id, symbol, {s('b', 5)} AS factor_loading, {s('a', 5)} AS intercept, n, {s('r * r')} AS r_squared, {s('t', 4)} AS t_stat,
+      {s('1 - CASE WHEN v % 2 = 0 THEN body ELSE 2 / pi() * (atan(abs(t) / sqrt(v)) + body * sqrt(v / (v + t * t))) END')} AS p_value FROM tail""",
 )
 def factor_regression(spark, folder):
     out = ev.regression(_both(spark, folder), ev.SERIES)
     return _shown(
-        out, {"factor_loading": 5, "intercept": 5, "r_squared": 6, "t_stat": 4}, "factor_id", "symbol", "n", "p_value"
+        out, {"factor_loading": 5, "intercept": 5, "r_squared": 6, "t_stat": 4, "p_value": 6}, "factor_id", "symbol", "n"
     )
 
 
