@@ -573,3 +573,22 @@ def test_backfill_closes_all_windows_and_keeps_late_rows(spark, tmp_path):
     out = streams.backfill(lambda rows: stateful.windowed(rows, "15 minutes"), source, f"{tmp_path}/out")
     got = {(r.start.hour, r.start.minute): r["count"] for r in out.collect()}
     assert got == {(10, 0): 1, (10, 15): 1, (11, 0): 1, (12, 0): 2}
+
+
+def test_uniform_verdict(spark):
+    """Distance, p-value and verdict against a plain version; one group holds a third of the rows as one value."""
+    from tidemark.operators import quality_features as qf
+
+    rng = np.random.default_rng(4)
+    groups = {"even": rng.uniform(0, 1, 400), "bent": rng.beta(2, 2, 400), "tied": np.concatenate((np.full(400, 0.5), [0.0, 1.0])), "few": np.array([0.0, 0.3, 1.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k string, v double")
+    got = {r.k: r for r in qf.uniform_ks(df, "v", ["k"]).collect()}
+    for k, v in groups.items():
+        x = np.sort((v - v.min()) / (v.max() - v.min()))
+        n = len(x)
+        d = max((np.arange(1, n + 1) / n - x).max(), (x - np.arange(n) / n).max())
+        reach = np.sqrt(n) * d
+        p = min(max(2 * sum((-1) ** (j - 1) * np.exp(-2 * j * j * reach * reach) for j in range(1, 101)), 0), 1) if reach >= 0.2 else 1.0
+        assert got[k].ks_distance == pytest.approx(d, abs=1e-12) and got[k].p_value == pytest.approx(p, abs=1e-12)
+        assert got[k].passed == (p > 0.05)
+    assert got["even"].passed and got["few"].passed and not got["bent"].passed and not got["tied"].passed

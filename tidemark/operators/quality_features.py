@@ -111,8 +111,15 @@ def distribution_rule(df: DataFrame, features: Sequence[str], min_rows: int = 8)
     )
 
 
-def uniform_ks(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Kolmogorov distance to the uniform over [min, max].
+def kolmogorov_p(distance: Column, n: Column, terms: int = 100) -> Column:
+    """The chance of a distance so large: Kolmogorov's alternating series, 1 below where it settles."""
+    reach = F.sqrt(n) * distance
+    each = F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * reach * reach))
+    return F.when(reach < 0.2, 1.0).otherwise(F.least(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, b: a + b), F.lit(0.0)), F.lit(1.0)))
+
+
+def uniform_ks(df: DataFrame, value: str, keys: Sequence[str], significance: float = 0.05) -> DataFrame:
+    """Kolmogorov distance to the uniform over [min, max], its p-value and the verdict.
 
     Values are cut into bands of the range; counts of the bands below give the offset of
     each band, so a window covers a band of a key and not the key.
@@ -132,7 +139,8 @@ def uniform_ks(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
         F.abs(F.col("__end") / F.col("n") - F.col("__x")),
         F.abs((F.col("__end") - F.col("__c")) / F.col("n") - F.col("__x")),
     )
-    return ranked.groupBy(*keys, "n").agg(F.max(d).alias("ks_distance"))
+    out = ranked.groupBy(*keys, "n").agg(F.max(d).alias("ks_distance")).withColumn("p_value", kolmogorov_p(F.col("ks_distance"), F.col("n")))
+    return out.withColumn("passed", F.col("p_value") > significance)
 
 
 def custom_rules(df: DataFrame, rules: Mapping[str, Callable[[], Column]]) -> DataFrame:

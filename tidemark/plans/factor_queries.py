@@ -475,19 +475,13 @@ def backtest_summary(spark, folder):
     )
 
 
-# A fall of more than 99.8 % counts as the total loss of what was held.
-_LOST = "CASE WHEN {0} < -0.998 THEN -1.0::DOUBLE ELSE {0} END"
-_RETS = f"""{_SIG}, port AS (SELECT CAST(rank AS INT) AS portfolio_id, date, {_LOST.format('coalesce(fwd_ret, 0)')} AS ret FROM picked WHERE rank <= 5),
+_RETS = f"""{_SIG}, port AS (SELECT CAST(rank AS INT) AS portfolio_id, date, coalesce(fwd_ret, 0) AS ret FROM picked WHERE rank <= 5),
     bench AS (SELECT date, avg(coalesce(fwd_ret, 0)) AS bench FROM fac GROUP BY 1),
     held AS (SELECT * FROM port JOIN bench USING (date)),
     grown AS (SELECT *, product(1 + ret) OVER (PARTITION BY portfolio_id ORDER BY date) AS g FROM held),
     dd AS (SELECT *, (g - max(g) OVER (PARTITION BY portfolio_id ORDER BY date)) / nullif(max(g) OVER (PARTITION BY portfolio_id ORDER BY date), 0) AS drawdown FROM grown)"""
 
 
-def _lost(ret):
-    return F.when(ret < -0.998, -1.0).otherwise(ret)
-
-
 @query(
     "portfolio_performance",
     f"""WITH {_RETS}, p AS (SELECT portfolio_id, product(1 + ret) - 1 AS total_return, stddev_pop(ret) * sqrt(252) AS volatility,
@@ -500,7 +494,7 @@ def _lost(ret):
 def portfolio_performance(spark, folder):
     signals, forward = _signals(spark, folder)
     held = pf.top_k(signals, 5).join(forward, ["date", "symbol"], "left")
-    held = held.select(F.col("rank").alias("portfolio_id"), "date", _lost(F.coalesce("ret", F.lit(0.0))).alias("ret"))
+    held = held.select(F.col("rank").alias("portfolio_id"), "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
     bench = forward.groupBy("date").agg(F.avg(F.coalesce("ret", F.lit(0.0))).alias("bench"))
     out = pf.performance(held.join(bench, "date"), benchmark="bench")
     # noisy prices compound beyond what fixed decimals hold
@@ -548,7 +542,7 @@ def portfolio_drawdown_report(spark, folder):
 
 @query(
     "portfolio_return_statistics",
-    f"""WITH {BARS}, {_R}, q AS (SELECT symbol, date, {_LOST.format('ret')} AS ret FROM r WHERE ret IS NOT NULL),
+    f"""WITH {BARS}, {_R}, q AS (SELECT symbol, date, ret FROM r WHERE ret IS NOT NULL),
     g AS (SELECT *, product(1 + ret) OVER ({WS}) AS g FROM q),
     d AS (SELECT *, (g - max(g) OVER ({WS})) / nullif(max(g) OVER ({WS}), 0) AS dd FROM g)
     SELECT symbol, {s('avg((ret > 0)::INT)', 5)} AS win_rate, {s('avg(ret) / stddev_samp(ret) * sqrt(252)', 4)} AS sharpe_ratio,
@@ -556,7 +550,7 @@ def portfolio_drawdown_report(spark, folder):
       {s('CASE WHEN min(dd) <> 0 THEN avg(ret) * 252 / abs(min(dd)) ELSE 0 END', 2)} AS calmar_ratio FROM d GROUP BY 1""",
 )
 def portfolio_return_statistics(spark, folder):
-    r = _returns(spark, folder).where(F.col("ret").isNotNull()).withColumn("ret", _lost(F.col("ret")))
+    r = _returns(spark, folder).where(F.col("ret").isNotNull())
     return _shown(
         pf.return_statistics(r),
         {"win_rate": 5, "sharpe_ratio": 4, "max_drawdown": 6, "t_stat": 4, "calmar_ratio": 2},

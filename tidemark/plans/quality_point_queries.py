@@ -416,12 +416,14 @@ def feature_distribution_rule(spark, folder):
     "feature_uniform_distance",
     f"""WITH x AS (SELECT l_returnflag, (l_extendedprice - min(l_extendedprice) OVER w) / (max(l_extendedprice) OVER w - min(l_extendedprice) OVER w) AS x,
       count(*) OVER w AS n, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS a, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS b
-      FROM lineitem WINDOW w AS (PARTITION BY l_returnflag))
-    SELECT l_returnflag, n, {s('max(greatest(abs(b::DOUBLE / n - x), abs(a::DOUBLE / n - x)))')} AS ks_distance FROM x GROUP BY 1, 2""",
+      FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)),
+    d AS (SELECT l_returnflag, n, max(greatest(abs(b::DOUBLE / n - x), abs(a::DOUBLE / n - x))) AS d FROM x GROUP BY 1, 2),
+    p AS (SELECT *, CASE WHEN sqrt(n) * d < 0.2 THEN 1.0::DOUBLE ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * n * d * d))), 0), 1) END AS p FROM d)
+    SELECT l_returnflag, n, {s('d')} AS ks_distance, {s('p')} AS p_value, p > 0.05 AS passed FROM p""",
 )
 def feature_uniform_distance(spark, folder):
     out = qf.uniform_ks(table(spark, folder, "lineitem"), "l_extendedprice", ["l_returnflag"])
-    return out.withColumn("ks_distance", snap(F.col("ks_distance")))
+    return out.withColumns({"ks_distance": snap(F.col("ks_distance")), "p_value": snap(F.col("p_value"))})
 
 
 @query(

@@ -376,7 +376,7 @@ def weights_regression(spark, folder):
     return wt.regression_weights(wide, fc.BUILT_IN, "fwd_ret")
 
 
-_EQ = f"""{FACTORS}, dy AS (SELECT symbol AS portfolio_id, date, CASE WHEN fwd_ret < -0.998 THEN -1.0::DOUBLE ELSE fwd_ret END AS r FROM fac WHERE fwd_ret IS NOT NULL)"""
+_EQ = f"""{FACTORS}, dy AS (SELECT symbol AS portfolio_id, date, fwd_ret AS r FROM fac WHERE fwd_ret IS NOT NULL)"""
 _PW = "PARTITION BY portfolio_id ORDER BY date"
 
 
@@ -388,7 +388,7 @@ _PW = "PARTITION BY portfolio_id ORDER BY date"
 def learning_metrics(spark, folder):
     ret = F.col("fwd_ret")
     wide = fc.forward_return(fc.builtin_factors(daily_bars(spark, folder))).where(ret.isNotNull())
-    daily = wide.select(F.col("symbol").alias("portfolio_id"), "date", F.when(ret < -0.998, -1.0).otherwise(ret).alias("portfolio_ret"))
+    daily = wide.select(F.col("symbol").alias("portfolio_id"), "date", ret.alias("portfolio_ret"))
     out = wt.learning_metrics(daily)
     return out.select("portfolio_id", "date", snap(F.col("sharpe"), 4).alias("sharpe"), snap(F.col("max_drawdown"), 5).alias("max_drawdown"), snap(F.col("hit_rate")).alias("hit_rate"))
 
