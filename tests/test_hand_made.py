@@ -580,7 +580,7 @@ def test_uniform_verdict(spark):
     from tidemark.operators import quality_features as qf
 
     rng = np.random.default_rng(4)
-    groups = {"even": rng.uniform(0, 1, 400), "bent": rng.beta(2, 2, 400), "tied": np.concatenate((np.full(400, 0.5), [0.0, 1.0])), "few": np.array([0.0, 0.3, 1.0])}
+    groups = {"even": (np.arange(400) + rng.uniform(0, 1, 400)) / 400, "bent": rng.beta(2, 2, 400), "tied": np.concatenate((np.full(400, 0.5), [0.0, 1.0])), "few": np.array([0.0, 0.3, 1.0])}
     df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k string, v double")
     got = {r.k: r for r in qf.uniform_ks(df, "v", ["k"]).collect()}
     for k, v in groups.items():
