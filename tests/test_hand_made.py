@@ -184,6 +184,58 @@ def test_local_moves_split_two_cliques(spark):
     assert score > 0.2
 
 
+def test_local_moves_end_where_no_node_gains(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2)) if a != b}
+    adj = g.adjacency(edges(spark, [(f"n{a:02d}", f"n{b:02d}", 1) for a, b in pairs]))
+    group = by_node(g.local_moves(adj), "community")
+    around = {}
+    for r in adj.collect():
+        around.setdefault(r.src, []).append(group[r.dst])
+    assert set(around) == set(group)
+    for node, near in around.items():
+        assert max(near.count(c) for c in near) <= near.count(group[node]) or max(near, key=near.count) == group[node]
+
+
+def test_rounds_leave_the_edges_where_they_lie(spark):
+    """A hub in many slices: right sums, and no shuffle or sort of the edges in a round."""
+    pairs = [("hub", f"n{i:03d}", 1) for i in range(200)] + [("n000", "n001", 1)]
+    adj = g.adjacency(edges(spark, pairs))
+    with g.Placed(adj, slice_edges=16) as net:
+        slices = net.edges.where("src = 'hub'").groupBy("slice").count().collect()
+        assert len(slices) == 13 and max(r["count"] for r in slices) < 40
+        state = net.nodes.withColumn("x", F.lit(1.0))
+        got = by_node(net.gathered(state, F.col("x"), F.sum), "got")
+        want = {n: float(d) for n, d in by_node(g.degrees(adj), "degree").items()}
+        assert got == want
+        sent = net.along(state, F.col("x"))
+        sent.collect()
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        edge_side = plan[plan.index("ShuffledHashJoin") :].split("Exchange")[0]
+        assert "Bucketed: true" in edge_side and "Sort" not in plan
+        assert plan.split("Initial Plan")[0].count("Exchange") == 1, plan
+
+
+def test_rounds_tell_when_they_do_not_settle(spark):
+    adj = g.adjacency(edges(spark, [("a", "b", 1), ("b", "c", 1), ("b", "d", 1)]))
+    with pytest.raises(g.NotConverged) as told:
+        g.pagerank(adj, max_iter=3)
+    ranks = {n: 0.25 for n in "abcd"}
+    near = {"a": "b", "b": "acd", "c": "b", "d": "b"}
+    for _ in range(3):
+        ranks = {n: 0.15 / 4 + 0.85 * sum(ranks[m] / len(near[m]) for m in near[n]) for n in ranks}
+    assert by_node(told.value.rows, "rank") == pytest.approx(ranks)
+    with pytest.raises(g.NotConverged):
+        g.eigenvector_centrality(adj, max_iter=20)
+    assert by_node(g.label_propagation(adj), "label").keys() == ranks.keys()
+
+
+def test_rounds_on_no_edges(spark):
+    adj = g.adjacency(edges(spark, []))
+    for run in (g.pagerank, g.eigenvector_centrality, g.label_propagation, g.local_moves, g.connected_components):
+        assert run(adj).count() == 0
+
+
 def test_modularity_by_pairs(spark):
     pairs = [("a", "b", 2), ("b", "c", 1), ("c", "d", 3), ("a", "d", 1)]
     adj = g.adjacency(edges(spark, pairs))

@@ -1,31 +1,43 @@
 """Graph operators: rounds of joins and grouped sums over an adjacency table.
 
-The adjacency is hash-partitioned by source and written once to the checkpoint folder,
-so a round moves node rows only. A hub's edges are split by Spark's skew join; sums over
-its neighbours are merged before the shuffle.
+Algorithms of many rounds lay the edges once into buckets (``Placed``). A round then moves
+node rows to the edges and merged sums back; the edges stay where they lie. The edges of a
+hub are cut into slices of bounded size, and the hub's row goes to each slice. A round is
+one job, whose observed metrics tell when to stop. Other operators join the plain pairs,
+where a hub is split by Spark's skew join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.columns import ratio
-from tidemark.session import cut_lineage
+from tidemark.session import Bucketed, Kept, cut_lineage
+
+# edges of a node that lie in one slice, and rows that a bucket is meant to hold
+SLICE_EDGES = 500_000
+BUCKET_EDGES = 4_000_000
+
+
+class NotConverged(RuntimeError):
+    """The rounds allowed were used up; ``rows`` holds the last state reached."""
+
+    def __init__(self, what: str, rounds: int, rows: DataFrame):
+        super().__init__(f"{what} did not settle in {rounds} rounds")
+        self.rows = rows
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of (src, dst, weight), one row per ordered pair, no loops."""
-    spark = edges.sparkSession
     ends = F.explode(
         F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     )
     both = edges.select(ends.alias("e")).select("e.*")
     pairs = both.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(pairs.repartition(parts, "src"))
+    return cut_lineage(pairs)
 
 
 def nodes_of(adj: DataFrame) -> DataFrame:
@@ -43,40 +55,97 @@ def degree_centrality(adj: DataFrame) -> DataFrame:
     return d.select("node", "degree", ratio(F.col("degree"), others).alias("centrality"))
 
 
-def pagerank(adj: DataFrame, damping: float = 0.85, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """Undirected PageRank; on convergence the vector before the last is returned."""
-    ranks = cut_lineage(degrees(adj))
-    n = ranks.count()
-    ranks = ranks.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(max_iter):
-        share = ranks.select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
-        flow = adj.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("flow"))
-        new = ranks.join(flow, "node").select(
-            "node", "degree", (F.lit((1 - damping) / n) + damping * F.col("flow")).alias("rank"), F.abs(
-                F.lit((1 - damping) / n) + damping * F.col("flow") - F.col("rank")
-            ).alias("moved"),
+class Placed:
+    """Edges in buckets of (src, slice), and per node its degree and number of slices.
+
+    ``with Placed(adj) as net`` drops the buckets at the end.
+    """
+
+    def __init__(self, adj: DataFrame, slice_edges: int = SLICE_EDGES):
+        self.nodes = cut_lineage(
+            degrees(adj).withColumn("slices", F.ceil(F.col("degree") / slice_edges).cast("int"))
         )
-        new = cut_lineage(new)
-        if new.agg(F.sum("moved")).first()[0] < tolerance:
-            break
-        ranks = new.drop("moved")
-    return ranks.select("node", "rank")
+        size = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("m")).first()
+        self.count, edges = size["n"], size["m"] or 0
+        parts = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(parts, -(-edges // BUCKET_EDGES))
+        hubs = self.nodes.where(F.col("slices") > 1).select(F.col("node").alias("src"), "slices")
+        cut = adj.join(hubs, "src", "left").select(
+            "src",
+            F.pmod(F.xxhash64("dst"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"),
+            "dst",
+            "weight",
+        )
+        self._edges = Bucketed(cut, ["src", "slice"], buckets)
+        self.edges = self._edges.rows
 
+    def __enter__(self) -> Placed:
+        return self
 
-def eigenvector_centrality(adj: DataFrame, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """Power iteration with L2 norm; on convergence the vector before the last."""
-    state = nodes_of(adj).withColumn("score", F.lit(1.0))
-    for _ in range(max_iter):
-        sums = adj.join(state.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(
-            F.sum("score").alias("raw")
+    def __exit__(self, *error) -> None:
+        self._edges.drop()
+
+    def along(self, state: DataFrame, *values: Column) -> DataFrame:
+        """Values of each node at its edges: (dst, weight, values). ``state`` holds node
+        and slices; only its rows are shuffled, and hashed, so no edge is sorted."""
+        copies = state.select(
+            F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *values
         )
-        both = cut_lineage(sums.join(state, "node"))
-        norm = both.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw")))).first()[0]
-        new = both.select("node", (F.col("raw") / norm).alias("score"), F.abs(F.col("raw") / norm - F.col("score")).alias("moved"))
-        if new.agg(F.sum("moved")).first()[0] < tolerance:
-            break
-        state = new.drop("moved")
-    return state
+        return self.edges.join(copies.hint("shuffle_hash"), ["src", "slice"]).drop("src", "slice")
+
+    def gathered(self, state: DataFrame, value: Column, merge) -> DataFrame:
+        """``state`` with ``got``: the merged values of a node's neighbours. A node's own
+        row travels with its messages, so they meet in the grouping and need no join."""
+        own = [c for c in state.columns if c != "node"]
+        sent = self.along(state, value.alias("got")).select(
+            F.col("dst").alias("node"), "got", *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in own]
+        )
+        kind = sent.schema["got"].dataType
+        mine = state.select("node", F.lit(None).cast(kind).alias("got"), *own)
+        return sent.unionByName(mine).groupBy("node").agg(merge("got").alias("got"), *[F.max(c).alias(c) for c in own])
+
+
+def pagerank(adj: DataFrame, damping: float = 0.85, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """Undirected PageRank; on convergence the vector before the last is returned.
+    Raises ``NotConverged`` after ``max_iter`` rounds."""
+    with Placed(adj) as net:
+        base = F.lit((1 - damping) / max(net.count, 1))
+        ranks, last = net.nodes.withColumn("rank", F.lit(1.0 / max(net.count, 1))), None
+        for _ in range(max_iter):
+            flow = net.gathered(ranks, F.col("rank") / F.col("degree"), F.sum)
+            new = base + damping * F.col("got")
+            kept = Kept(
+                flow.select("node", "degree", "slices", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")),
+                F.sum("moved").alias("moved"),
+            )
+            if (kept.told["moved"] or 0.0) < tolerance:
+                kept.drop()
+                return ranks.select("node", "rank")
+            if last is not None:
+                last.drop()
+            ranks, last = kept.rows.drop("moved"), kept
+    raise NotConverged("pagerank", max_iter, ranks.select("node", "rank"))
+
+
+def eigenvector_centrality(adj: DataFrame, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """Power iteration with L2 norm; on convergence the vector before the last. Raises
+    ``NotConverged`` after ``max_iter`` rounds (a bipartite graph may swing for ever)."""
+    with Placed(adj) as net:
+        state, last = net.nodes.select("node", "slices", F.lit(1.0).alias("score")), None
+        for _ in range(max_iter):
+            sums = net.gathered(state, F.col("score"), F.sum).withColumnRenamed("got", "raw")
+            kept = Kept(sums, F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+            score = F.col("raw") / (kept.told["norm"] or 1.0)
+            # the norm is known only when all sums are: the change is a scan of the nodes
+            moved = kept.rows.agg(F.sum(F.abs(score - F.col("score")))).first()[0]
+            if (moved or 0.0) < tolerance:
+                out = state.select("node", "score")
+                kept.drop()
+                return out
+            if last is not None:
+                last.drop()
+            state, last = kept.rows.select("node", "slices", score.alias("score")), kept
+    raise NotConverged("eigenvector centrality", max_iter, state.select("node", "score"))
 
 
 def distances(adj: DataFrame, sources: DataFrame | None = None, weighted: bool = True) -> DataFrame:
@@ -201,55 +270,76 @@ def shortest_path(adj: DataFrame, source: str, target: str) -> DataFrame:
 
 def label_propagation(adj: DataFrame, max_iter: int = 100) -> DataFrame:
     """All nodes take the most frequent label around them at once; ties fall to the
-    smallest label. Ends on no change, on a two-round swing, or at ``max_iter``."""
-    labels = cut_lineage(nodes_of(adj).withColumn("label", F.col("node")))
-    previous = None
-    for _ in range(max_iter):
-        counts = adj.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(
-            F.col("src").alias("node"), "label"
-        ).agg(F.count(F.lit(1)).alias("k"))
-        chosen = counts.groupBy("node").agg(F.min(F.struct((-F.col("k")).alias("k"), "label")).alias("b"))
-        new = cut_lineage(chosen.select("node", F.col("b.label").alias("label")))
-        if _same(new, labels, "label") or (previous is not None and _same(new, previous, "label")):
-            return new
-        previous, labels = labels, new
-    return labels
-
-
-def _same(a: DataFrame, b: DataFrame, column: str) -> bool:
-    other = b.select("node", F.col(column).alias("__o"))
-    return a.join(other, "node").where(F.col(column) != F.col("__o")).isEmpty()
-
-
-def local_moves(adj: DataFrame, max_rounds: int = 20) -> DataFrame:
+    smallest label. Ends on no change or on a two-round swing; raises ``NotConverged``
+    after ``max_iter`` rounds."""
+    with Placed(adj) as net:
+        labels, last = net.nodes.select("node", "slices", F.col("node").alias("label"), F.col("node").alias("before")), None
+        for _ in range(max_iter):
+            counts = net.along(labels, F.col("label")).groupBy(F.col("dst").alias("node"), "label").agg(
+                F.count(F.lit(1)).alias("k")
+            )
+            chosen = counts.groupBy("node").agg(F.min(F.struct((-F.col("k")).alias("k"), "label")).alias("b"))
+            old = labels.withColumnRenamed("label", "__l")
+            kept = Kept(
+                chosen.join(old, "node").select(
+                    "node", "slices", F.col("b.label").alias("label"), F.col("__l").alias("before"), F.col("before").alias("__b")
+                ),
+                F.count_if(F.col("label") != F.col("before")).alias("changed"),
+                F.count_if(F.col("label") != F.col("__b")).alias("swung"),
+            )
+            if last is not None:
+                last.drop()
+            labels, last = kept.rows.drop("__b"), kept
+            if not kept.told["changed"] or not kept.told["swung"]:
+                return labels.select("node", "label")
+    raise NotConverged("label propagation", max_iter, labels.select("node", "label"))
+
+
+def local_moves(adj: DataFrame) -> DataFrame:
     """Nodes move to the neighbouring community they have most more links to than to
-    their own. Half of the nodes, by hash, move in a round, so pairs do not swap for ever."""
-    state = cut_lineage(nodes_of(adj).withColumn("community", F.col("node")))
-    quiet = 0
-    for r in range(max_rounds):
-        around = adj.join(state.select(F.col("node").alias("dst"), F.col("community").alias("near")), "dst").groupBy(
-            F.col("src").alias("node"), "near"
-        ).agg(F.count(F.lit(1)).alias("k"))
-        own = around.join(state, "node")
-        links = own.groupBy("node", "community").agg(
-            F.coalesce(F.max(F.when(F.col("near") == F.col("community"), F.col("k"))), F.lit(0)).alias("stay"),
-            F.min(F.when(F.col("near") != F.col("community"), F.struct((-F.col("k")).alias("k"), "near"))).alias("go"),
-        )
-        gain = -F.col("go.k") - F.col("stay")
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        moves = (gain > 0) & turn
-        new = cut_lineage(
-            links.select(
-                "node",
-                F.when(moves, F.col("go.near")).otherwise(F.col("community")).alias("community"),
-                F.coalesce(moves, F.lit(False)).alias("moved"),
+    their own, until none gains by it.
+
+    Of the nodes that want to move, those do whose turn (a hash of node and round) comes
+    before that of all neighbours that want to. No two neighbours move at once, so each
+    move adds the links it counted: links inside communities grow in every round, and
+    the rounds end by themselves.
+    """
+    with Placed(adj) as net:
+        state, last, turn = net.nodes.select("node", "slices", F.col("node").alias("community")), None, 0
+        while True:
+            around = net.along(state, F.col("community").alias("near")).groupBy(F.col("dst").alias("node"), "near").agg(
+                F.count(F.lit(1)).alias("k")
             )
-        )
-        quiet = quiet + 1 if new.where("moved").isEmpty() else 0
-        state = new.drop("moved")
-        if quiet == 2:
-            break
-    return state
+            links = around.join(state, "node").groupBy("node", "slices", "community").agg(
+                F.coalesce(F.max(F.when(F.col("near") == F.col("community"), F.col("k"))), F.lit(0)).alias("stay"),
+                F.min(F.when(F.col("near") != F.col("community"), F.struct((-F.col("k")).alias("k"), "near"))).alias("go"),
+            )
+            wants = -F.col("go.k") > F.col("stay")
+            wish = Kept(
+                links.select(
+                    "node", "slices", "community",
+                    F.when(wants, F.col("go.near")).alias("to"),
+                    F.when(wants, F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("turn"),
+                ),
+                F.count("to").alias("willing"),
+            )
+            if last is not None:
+                last.drop()
+            last = wish
+            if not wish.told["willing"]:
+                return wish.rows.select("node", "community")
+            first = net.along(wish.rows.where(F.col("to").isNotNull()), F.col("turn").alias("other")).groupBy(
+                F.col("dst").alias("node")
+            ).agg(F.min("other").alias("other"))
+            goes = F.col("to").isNotNull() & (F.col("other").isNull() | (F.col("turn") < F.col("other")))
+            moved = Kept(
+                wish.rows.join(first, "node", "left").select(
+                    "node", "slices", F.when(goes, F.col("to")).otherwise(F.col("community")).alias("community")
+                ),
+                F.count(F.lit(1)).alias("n"),
+            )
+            last.drop()
+            state, last, turn = moved.rows, moved, turn + 1
 
 
 def modularity(adj: DataFrame, communities: DataFrame) -> DataFrame:
@@ -270,25 +360,26 @@ def modularity(adj: DataFrame, communities: DataFrame) -> DataFrame:
 def connected_components(adj: DataFrame) -> DataFrame:
     """Smallest node of each component: neighbours' labels, then labels of labels, so a
     chain of any length halves in a round."""
-    state = cut_lineage(nodes_of(adj).withColumn("component", F.col("node")))
-    while True:
-        near = adj.join(state.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy(
-            F.col("src").alias("node")
-        ).agg(F.min("c").alias("near"))
-        step = state.join(near, "node", "left").select(
-            "node", "component", F.least("component", F.coalesce("near", "component")).alias("low")
-        )
-        jump = state.select(F.col("node").alias("low"), F.col("component").alias("lower"))
-        new = cut_lineage(
-            step.join(jump, "low", "left").select(
-                "node",
-                F.least("low", F.coalesce("lower", "low")).alias("component"),
-                (F.least("low", F.coalesce("lower", "low")) != F.col("component")).alias("moved"),
+    with Placed(adj) as net:
+        state, last = net.nodes.select("node", "slices", F.col("node").alias("component")), None
+        while True:
+            near = net.gathered(state, F.col("component"), F.min)
+            step = near.select("node", "slices", "component", F.least("component", "got").alias("low"))
+            jump = state.select(F.col("node").alias("low"), F.col("component").alias("lower"))
+            kept = Kept(
+                step.join(jump, "low").select(
+                    "node",
+                    "slices",
+                    F.least("low", "lower").alias("component"),
+                    (F.least("low", "lower") != F.col("component")).alias("moved"),
+                ),
+                F.count_if("moved").alias("moved"),
             )
-        )
-        state = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return state
+            if last is not None:
+                last.drop()
+            state, last = kept.rows.drop("moved"), kept
+            if not kept.told["moved"]:
+                return state.select("node", "component")
 
 
 def clustering(adj: DataFrame) -> DataFrame:

@@ -73,32 +73,35 @@ def _rounds(n: int, first: str, step: str, name: str) -> str:
     return ", ".join(parts)
 
 
-_PR = _rounds(
-    8,
-    "SELECT node, degree, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes",
-    "SELECT n.node, n.degree, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * sum(p.rank / p.degree) AS rank FROM {p} p JOIN adj ON adj.src = p.node JOIN nodes n ON n.node = adj.dst GROUP BY 1, 2",
-    "r",
-)
+RANK_TOLERANCE = 1e-2
+
+_PR = f"""r AS (
+    SELECT 0 AS it, node, degree, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank, 9.0::DOUBLE AS moved FROM nodes
+    UNION ALL
+    SELECT it + 1, node, degree, fresh, sum(abs(fresh - rank)) OVER () FROM (
+      SELECT o.it, o.node, o.degree, o.rank, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * sum(p.rank / p.degree) AS fresh
+      FROM r p JOIN adj ON adj.src = p.node JOIN r o ON o.node = adj.dst WHERE p.moved >= {RANK_TOLERANCE} GROUP BY 1, 2, 3, 4))"""
 
 
-@query("graph_pagerank", f"WITH {SUPPLY}, {_PR} SELECT node, {s('rank', 9)} AS rank FROM r8")
+@query("graph_pagerank", f"WITH RECURSIVE {SUPPLY}, {_PR} SELECT node, {s('rank', 9)} AS rank FROM r WHERE it = (SELECT max(it) - 1 FROM r)")
 def graph_pagerank(spark, folder):
-    """Eight rounds, far enough for this graph; tolerance 0 fixes the number."""
-    out = g.pagerank(g.adjacency(supply_edges(spark, folder)), max_iter=8, tolerance=0.0)
+    """Rounds until all ranks together move by less than the tolerance."""
+    out = g.pagerank(g.adjacency(supply_edges(spark, folder)), tolerance=RANK_TOLERANCE)
     return out.select("node", snap(F.col("rank"), 9).alias("rank"))
 
 
-_EV = _rounds(
-    8,
-    "SELECT node, 1.0::DOUBLE AS score FROM nodes",
-    "SELECT node, raw / sqrt(sum(raw * raw) OVER ()) AS score FROM (SELECT adj.dst AS node, sum(p.score) AS raw FROM {p} p JOIN adj ON adj.src = p.node GROUP BY 1)",
-    "v",
-)
+_EV = """v AS (
+    SELECT 0 AS it, node, 1.0::DOUBLE AS score, 9.0::DOUBLE AS moved FROM nodes
+    UNION ALL
+    SELECT it + 1, node, fresh, sum(abs(fresh - score)) OVER () FROM (
+      SELECT it, node, score, raw / sqrt(sum(raw * raw) OVER ()) AS fresh FROM (
+        SELECT o.it, o.node, o.score, sum(p.score) AS raw FROM v p JOIN adj ON adj.src = p.node JOIN v o ON o.node = adj.dst
+        WHERE p.moved >= 1e-6 GROUP BY 1, 2, 3)))"""
 
 
-@query("graph_eigenvector", f"WITH {NATIONS}, {_EV} SELECT node, {s('score', 8)} AS score FROM v8")
+@query("graph_eigenvector", f"WITH RECURSIVE {NATIONS}, {_EV} SELECT node, {s('score', 8)} AS score FROM v WHERE it = (SELECT max(it) - 1 FROM v)")
 def graph_eigenvector(spark, folder):
-    out = g.eigenvector_centrality(g.adjacency(nation_edges(spark, folder)), max_iter=8, tolerance=0.0)
+    out = g.eigenvector_centrality(g.adjacency(nation_edges(spark, folder)))
     return out.select("node", snap(F.col("score"), 8).alias("score"))
 
 
@@ -163,17 +166,19 @@ def graph_shortest_path(spark, folder):
     return out.select(snap(F.col("distance")).alias("distance"), F.array_join("path", ">").alias("path"))
 
 
-_LP = _rounds(
-    6,
-    "SELECT node, node AS label FROM nodes",
-    "SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY k DESC, label) AS i FROM (SELECT adj.src AS node, p.label, count(*) AS k FROM adj JOIN {p} p ON adj.dst = p.node GROUP BY 1, 2)) WHERE i = 1",
-    "l",
-)
+_LP = """l AS (
+    SELECT 0 AS it, node, node AS label, node AS before, 1 AS swung FROM nodes
+    UNION ALL
+    SELECT it + 1, node, fresh, label, least(sum((fresh <> label)::INT) OVER (), sum((fresh <> before)::INT) OVER ()) FROM (
+      SELECT o.it, o.node, o.label, o.before, b.label AS fresh FROM l o JOIN (
+        SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY k DESC, label) AS i FROM (
+          SELECT adj.src AS node, p.label, count(*) AS k FROM adj JOIN l p ON adj.dst = p.node GROUP BY 1, 2)) b
+      ON b.node = o.node AND b.i = 1 WHERE o.swung > 0))"""
 
 
-@query("graph_label_propagation", f"WITH {NATIONS}, {_LP} SELECT node, label FROM l6")
+@query("graph_label_propagation", f"WITH RECURSIVE {NATIONS}, {_LP} SELECT node, label FROM l WHERE it = (SELECT max(it) FROM l)")
 def graph_label_propagation(spark, folder):
-    return g.label_propagation(g.adjacency(nation_edges(spark, folder)), max_iter=6)
+    return g.label_propagation(g.adjacency(nation_edges(spark, folder)))
 
 
 @query("graph_local_moves")

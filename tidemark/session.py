@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -49,3 +51,51 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder, so a lost executor costs no replay."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``shared_path`` that has no reader left."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Kept:
+    """A table written once to the shared folder, and what the same job observed of it.
+
+    The observed rows are those of the job's last stage, which counts a task once however
+    often it runs again.
+    """
+
+    def __init__(self, df: DataFrame, *metrics: Column):
+        self.spark = df.sparkSession
+        self.path = shared_path(self.spark, "kept")
+        seen = Observation()
+        df.observe(seen, *metrics).write.parquet(self.path)
+        self.told = seen.get
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+class Bucketed:
+    """A table in hash buckets of its keys, so joins on the keys leave it where it lies."""
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], buckets: int):
+        self.spark = df.sparkSession
+        self.path = shared_path(self.spark, "buckets")
+        self.name = f"default.buckets_{uuid.uuid4().hex}"
+        (
+            df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
+            .option("path", self.path).saveAsTable(self.name)
+        )
+        self.rows = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
