@@ -644,3 +644,34 @@ def test_uniform_verdict(spark):
         assert got[k].ks_distance == pytest.approx(d, abs=1e-12) and got[k].p_value == pytest.approx(p, abs=1e-12)
         assert got[k].passed == (p > 0.05)
     assert got["even"].passed and got["few"].passed and not got["bent"].passed and not got["tied"].passed
+
+
+def test_normality_by_w_and_by_distance(spark):
+    """W against a published example, the distance against the plain one, few and constant values."""
+    from statistics import NormalDist
+
+    from tidemark.operators import quality_features as qf
+
+    w, p = qf.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], dtype=float))
+    assert (w, p) == pytest.approx((0.78881, 0.006704), abs=2e-5)
+    rng = np.random.default_rng(8)
+    groups = {
+        "normal": rng.normal(3, 2, 400), "bent": rng.exponential(1, 400), "flat": np.full(20, 7.0), "few": np.array([1.0, 2.0, 9.0]),
+        "many": rng.normal(0, 1, 6000), "tied": np.round(rng.normal(0, 1, 6000), 1),
+    }
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("few", None)], "k string, v double")
+    got = {r.k: r for r in qf.distribution_test(df, "v", ["k"]).collect()}
+    assert {k: r.method for k, r in got.items()} == {
+        "normal": "shapiro", "bent": "shapiro", "flat": "shapiro", "few": "none", "many": "kolmogorov", "tied": "kolmogorov",
+    }
+    assert {k for k, r in got.items() if r.passed} == {"normal", "flat", "few", "many"}
+    for k in ("many", "tied"):
+        v = np.sort(groups[k])
+        x = np.array([NormalDist(v.mean(), v.std(ddof=1)).cdf(e) for e in v])
+        n = len(v)
+        d = max((np.arange(1, n + 1) / n - x).max(), (x - np.arange(n) / n).max())
+        assert got[k].statistic == pytest.approx(d, abs=2e-7) and got[k].n == n
+    even = {r.k: r.method for r in qf.distribution_test(df, "v", ["k"], "uniform").collect()}
+    assert set(even.values()) == {"kolmogorov", "none"}
+    with pytest.raises(ValueError):
+        qf.kolmogorov(df, "v", ["k"], "cauchy")

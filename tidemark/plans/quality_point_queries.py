@@ -426,6 +426,39 @@ def feature_uniform_distance(spark, folder):
     return out.withColumns({"ks_distance": snap(F.col("ks_distance")), "p_value": snap(F.col("p_value"))})
 
 
+def _normal_sql(z: str) -> str:
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * abs({z}) / sqrt(2.0::DOUBLE)))"
+    power = f"({qf.ERFC[-1]!r}::DOUBLE)"
+    for c in reversed(qf.ERFC[:-1]):
+        power = f"({c!r}::DOUBLE + t * {power})"
+    return f"(SELECT CASE WHEN {z} > 0 THEN 1.0::DOUBLE - u ELSE u END FROM (SELECT 0.5::DOUBLE * t * exp(-{z} * {z} / 2.0::DOUBLE + {power}) AS u FROM (SELECT {t} AS t)))"
+
+
+@query(
+    "feature_normal_distance",
+    f"""WITH z AS (SELECT l_returnflag, (l_extendedprice - avg(l_extendedprice) OVER w) / stddev_samp(l_extendedprice) OVER w AS z,
+      count(*) OVER w AS n, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS a, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS b
+      FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)),
+    x AS (SELECT *, {_normal_sql('z')} AS x FROM z),
+    d AS (SELECT l_returnflag, n, max(greatest(abs(b::DOUBLE / n - x), abs(a::DOUBLE / n - x))) AS d FROM x GROUP BY 1, 2),
+    p AS (SELECT *, CASE WHEN sqrt(n) * d < 0.2 THEN 1.0::DOUBLE ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * n * d * d))), 0), 1) END AS p FROM d)
+    SELECT l_returnflag, n, {s('d')} AS ks_distance, {s('p')} AS p_value, p > 0.05 AS passed FROM p""",
+)
+def feature_normal_distance(spark, folder):
+    out = qf.kolmogorov(table(spark, folder, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return out.withColumns({"ks_distance": snap(F.col("ks_distance")), "p_value": snap(F.col("p_value"))})
+
+
+@query("feature_normality")
+def feature_normality(spark, folder):
+    """Daily mean prices of each brand, by W or by the distance, whichever their number asks for."""
+    c = F.col
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "part"), c("l_partkey") == c("p_partkey"))
+    daily = lines.groupBy("p_brand", "l_shipdate").agg(F.avg("l_extendedprice").alias("price"))
+    out = qf.distribution_test(daily, "price", ["p_brand"])
+    return out.withColumns({"statistic": snap(c("statistic")), "p_value": snap(c("p_value"))})
+
+
 @query(
     "feature_custom_rules",
     """SELECT 'mean_quantity_above_20' AS rule, avg(l_quantity) > 20 AS passed FROM lineitem
