@@ -329,8 +329,36 @@ def test_relations_by_brute_force(spark, text):
     docs = en.extract(spark.createDataFrame([(1, text)], "id int, text string"), "text", PATTERNS, lx.ENTITY_WORDS)
     row = docs.first()
     found = brute_merge(brute_mentions(row.cleaned, PATTERNS, lx.ENTITY_WORDS))
-    got = {(r.source, r.target, r.type): r.confidence for r in rl.extract_relations(docs, "id").collect()}
+    rows = rl.extract_relations(docs, "id").collect()
+    got = {(r.source, r.target, r.type): r.confidence for r in rows}
     assert got == pytest.approx(brute_relations(row.cleaned, found))
+    words = {w for group in lx.RELATION_KEYWORDS.values() for w in group} | {"distance"}
+    for r in rows:
+        for told in set(r.evidence) - words:
+            assert told in pattern_contexts(row.cleaned, found, r.source, r.target, r.type), (r, told)
+
+
+def pattern_contexts(text, found, source, target, kind):
+    """All texts between a mention of the source and one of the target in which a pattern of the kind stands."""
+    out = set()
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            if i != j and {a[3], b[3]} == {source, target}:
+                context = text[min(a[0], b[0]) : max(a[1], b[1])]
+                if any(k == kind and re.search(p, context, re.I) for k, p, *_ in lx.RELATION_PATTERNS):
+                    out.add(context)
+    return out
+
+
+def test_pattern_evidence_is_the_shortest_text(spark):
+    text = "招商银行，招商银行控制中国平安，又见中国平安。"
+    docs = en.extract(spark.createDataFrame([(1, text)], "id int, text string"), "text", {}, {"company": ["招商银行", "中国平安"]})
+    cleaned = docs.first().cleaned
+    told = rl.extract_relations(docs, "id", lx.RELATION_PATTERNS, {}, {}).where("type = 'controls'").collect()
+    both = [r for r in told if r.source != r.target]
+    assert both and all(r.evidence == ["招商银行控制中国平安"] for r in both), both
+    own = [r for r in told if r.source == r.target]
+    assert all(e in cleaned and e.count(r.source) == 2 for r in own for e in r.evidence)
 
 
 def test_sentiment_modifiers(spark):

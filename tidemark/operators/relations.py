@@ -23,7 +23,7 @@ RELATION = "struct<source:string,target:string,type:string,confidence:double,str
 
 
 def _distinct_entities() -> Column:
-    """Array of (text, type, first span, last span, mentions)."""
+    """Array of (text, type, first span, last span, mentions, all spans)."""
     e = F.col("entities")
     names = F.array_distinct(F.transform(e, lambda m: F.struct(m["text"].alias("text"), m["type"].alias("type"))))
 
@@ -39,6 +39,7 @@ def _distinct_entities() -> Column:
                 F.element_at(o, -1)["start"].alias("s1"),
                 F.element_at(o, -1)["end"].alias("e1"),
                 F.size(o).alias("n"),
+                F.transform(o, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("at"),
             ),
         )
 
@@ -113,10 +114,26 @@ class _Rule:
             ok = ok & b["type"].isin(*self.targets)
         return ok
 
-    def evidence(self, found) -> Column:
-        if self.words is None:
-            return F.lit("pattern")
-        return F.element_at(F.array(*[F.lit(w) for w in self.words]), F.array_min(F.transform(found, lambda w: w["ord"])) + 1)
+    def evidence(self, a, b, found, row) -> Column:
+        """The first keyword of the list that was met, or the text a pattern was met in.
+
+        Of all contexts that hold the first window, that text is the shortest: mentions do
+        not overlap, so the nearest mention before it and the nearest behind it are its ends.
+        """
+        if self.words is not None:
+            return F.element_at(F.array(*[F.lit(w) for w in self.words]), F.array_min(F.transform(found, lambda w: w["ord"])) + 1)
+        window = F.element_at(found, 1)
+
+        def tight(x, y):
+            before = F.array_max(F.transform(F.filter(x["at"], lambda m: m["start"] <= window["start"]), lambda m: m["start"]))
+            behind = F.array_min(F.transform(F.filter(y["at"], lambda m: m["end"] >= window["end"]), lambda m: m["end"]))
+            return F.when(before.isNotNull() & behind.isNotNull(), F.struct((behind - before).alias("size"), before.alias("start")))
+
+        # an entity beside itself needs two mentions: the first and the last hold them all
+        whole = F.struct((a["e1"] - a["s0"]).alias("size"), a["s0"].alias("start"))
+        same = (a["text"] == b["text"]) & (a["type"] == b["type"])
+        best = F.when(same, whole).otherwise(F.array_min(F.array(tight(a, b), tight(b, a))))
+        return F.substring(row["t"], best["start"] + 1, best["size"])
 
     def relations(self, row, reverse: bool = False) -> Column:
         factor = 0.9 if reverse else 1.0
@@ -131,7 +148,7 @@ class _Rule:
                     F.lit(self.kind).alias("type"),
                     F.lit(self.confidence * factor).alias("confidence"),
                     F.lit(1.0).alias("strength"),
-                    self.evidence(f).alias("evidence"),
+                    self.evidence(a, b, f, row).alias("evidence"),
                 ),
             )
 
@@ -166,7 +183,7 @@ def between_entities(text: Column, patterns=lx.RELATION_PATTERNS, keywords: Mapp
         parts = [r.relations(row) for r in rules] + [r.relations(row, reverse=True) for r in rules if r.two_way]
         return F.concat(*parts)
 
-    row = F.struct(_distinct_entities().alias("e"), *windows)
+    row = F.struct(text.alias("t"), _distinct_entities().alias("e"), *windows)
     return F.flatten(F.transform(F.array(row), all_rules))
 
 
@@ -221,7 +238,8 @@ def merge_relations(relations: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     """Per (source, type, target): highest confidence and strength, all evidence.
 
     Evidence is made distinct before it is gathered, so a relation seen a billion times
-    gathers its few different words.
+    gathers its few different words. The text of a pattern differs by document: merge it
+    with the document among ``keys``, or leave it out where documents are merged.
     """
     on = [*keys, "source", "type", "target"]
     slim = relations.groupBy(*on, "evidence").agg(F.max("confidence").alias("confidence"), F.max("strength").alias("strength"))

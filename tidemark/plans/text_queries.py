@@ -93,6 +93,29 @@ def relation_search(spark, folder):
     return rl.search_relations(merged, types=["controls", "competes_with", "located_in"], limit=20).withColumn("evidence", F.array_join("evidence", ","))
 
 
+# the default tables are Chinese: each text is followed by one sentence, chosen by its id
+SENTENCES = [
+    "贵州茅台拥有招商银行", "平安银行控制中国平安，涨幅12.5%", "招商银行与平安银行竞争，股价大涨", "位于北京的比亚迪投资宁德时代",
+    "中国平安与招商银行合作，业绩增长", "600519属于白酒行业", "董事长张三管理贵州茅台", "宁德时代影响新能源，风险上升，股价下跌",
+]
+
+
+def _with_sentences(spark, folder):
+    said = F.element_at(F.array(*[F.lit(x) for x in SENTENCES]), (F.pmod("doc_id", F.lit(len(SENTENCES))) + 1).cast("int"))
+    return _docs(spark, folder).withColumn("text", F.concat_ws(" 。", "text", said))
+
+
+@query("entity_default_tables")
+def entity_default_tables(spark, folder):
+    return en.mention_rows(en.extract(_with_sentences(spark, folder)), "doc_id")
+
+
+@query("relation_default_tables")
+def relation_default_tables(spark, folder):
+    out = rl.extract_relations(en.extract(_with_sentences(spark, folder)), "doc_id")
+    return out.withColumn("evidence", F.array_join("evidence", ","))
+
+
 LEXICON = {
     "positive": ["the", "la", "and"],
     "negative": ["of", "un", "der"],
