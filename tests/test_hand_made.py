@@ -703,3 +703,32 @@ def test_normality_by_w_and_by_distance(spark):
     assert set(even.values()) == {"kolmogorov", "none"}
     with pytest.raises(ValueError):
         qf.kolmogorov(df, "v", ["k"], "cauchy")
+
+
+def test_feature_types_match_by_class(spark):
+    from tidemark.operators import quality_features as qf
+
+    df = spark.createDataFrame([(1, 2.0, "x", True)], "a int, b double, c string, d boolean")
+    assert qf.type_matches(df, {"a": "double", "b": "numeric", "c": "categorical", "d": "boolean"}) == dict.fromkeys("abcd", True)
+    assert qf.type_matches(df, {"a": "string", "c": "long", "d": "int"}) == dict.fromkeys("acd", False)
+
+
+def test_edges_merge_in_any_order(spark):
+    kind = "id string, src string, dst string, type string, weight double, confidence double, properties map<string,string>, seq int"
+    rows = [("e", "a", "b", "t", 1.0, 0.5, {"x": "1", "y": "1"}, 0), ("e", "a", "b", "u", 3.0, 0.9, {"y": "2"}, 2), ("e", "q", "b", "t", 2.0, 0.7, {"z": None}, 1), ("f", "a", "c", "t", None, None, None, 5)]
+    want = {"e": ("a", "b", "t", 3.0, 0.9, {"x": "1", "y": "2", "z": None}), "f": ("a", "c", "t", None, None, None)}
+    for order in (rows, rows[::-1]):
+        out = g.upsert_edges(spark.createDataFrame(order[:2], kind), spark.createDataFrame(order[2:], kind)).collect()
+        assert {r.id: (r.src, r.dst, r.type, r.weight, r.confidence, r.properties) for r in out} == want
+
+
+def test_learning_on_active_factors_alone(spark):
+    days = [dt.date(2024, 1, d) for d in range(1, 9)]
+    rows = [("p", f, d, 0.01 * (i + 1) * (j % 3 + 1)) for j, d in enumerate(days) for i, f in enumerate("abc")]
+    returns = spark.createDataFrame(rows, "portfolio_id string, factor_id string, date date, ret double")
+    catalogue = spark.createDataFrame([("a", "active"), ("b", "deprecated"), ("c", "active")], "factor_id string, status string")
+    got = wt.learn_active(returns, catalogue, wt.ewma_step(), F.lit(7)).collect()
+    plain = wt.learn(returns.where("factor_id <> 'b'"), wt.ewma_step()).collect()
+    assert {(r.factor_id, r.date, r.weight) for r in got} == {(r.factor_id, r.date, r.weight) for r in plain}
+    assert {r.learnt for r in got} == {7} and len(got) == 16
+    assert wt.learn_active(returns, catalogue.where("status = 'none'"), wt.ewma_step(), F.lit(7)).count() == 0

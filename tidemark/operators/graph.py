@@ -556,18 +556,36 @@ def find_edges(edges: DataFrame, kind: str | None = None, least_weight: float |
     return out if least_weight is None else out.where(F.col("weight") >= least_weight)
 
 
+def _merged_properties(rows: DataFrame) -> DataFrame:
+    """Per id the property map in which the newest value of each name stands, merged entry by
+    entry, so a row with very many copies is never one list."""
+    entries = rows.select("id", "seq", F.explode("properties").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"))
+    return entries.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("properties"))
+
+
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Property maps merged with the newer value winning, labels united.
 
-    Rows are (id, type, properties map, labels array, seq). Entries and labels are merged
-    one by one, so a node with very many copies is never one list.
+    Rows are (id, type, properties map, labels array, seq).
     """
     rows = old.unionByName(new)
     kinds = rows.groupBy("id").agg(F.max_by("type", "seq").alias("type"))
-    entries = rows.select("id", "seq", F.explode("properties").alias("k", "v")).groupBy("id", "k").agg(F.max_by("v", "seq").alias("v"))
-    props = entries.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("properties"))
     labels = rows.select("id", F.explode("labels").alias("l")).distinct().groupBy("id").agg(F.sort_array(F.collect_list("l")).alias("labels"))
-    return kinds.join(props, "id", "left").join(labels, "id", "left")
+    return kinds.join(_merged_properties(rows), "id", "left").join(labels, "id", "left")
+
+
+def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Property maps merged with the newer value winning, weight and confidence of the
+    newest row; ends and type stay those the edge was made with.
+
+    Rows are (id, src, dst, type, weight, confidence, properties map, seq). Rows of one id
+    and seq are told apart by their content, so the result does not hang on their order.
+    """
+    rows = old.unionByName(new)
+    made = F.min(F.struct("seq", "src", "dst", "type")).alias("made")
+    last = F.max(F.struct("seq", "weight", "confidence")).alias("last")
+    heads = rows.groupBy("id").agg(made, last).select("id", "made.src", "made.dst", "made.type", "last.weight", "last.confidence")
+    return heads.join(_merged_properties(rows), "id", "left")
 
 
 def schema_errors(nodes: DataFrame, schema: DataFrame) -> DataFrame:

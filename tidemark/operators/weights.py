@@ -319,3 +319,9 @@ def rebalance_statistics(turnover: DataFrame) -> DataFrame:
 
 def active_only(returns: DataFrame, catalogue: DataFrame) -> DataFrame:
     return returns.join(catalogue.where(F.col("status") == "active").select("factor_id"), "factor_id", "left_semi")
+
+
+def learn_active(returns: DataFrame, catalogue: DataFrame, make_step: Callable[[int], Step], seq: Column) -> DataFrame:
+    """Weights learnt on the active factors only, as rows of the weight history: ``seq``
+    tells one run from the next. A portfolio without an active factor gets no new weights."""
+    return learn(active_only(returns, catalogue), make_step).withColumn("learnt", seq)

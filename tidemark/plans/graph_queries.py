@@ -368,6 +368,30 @@ def graph_upsert_nodes(spark, folder):
     )
 
 
+@query(
+    "graph_upsert_edges",
+    f"""WITH {_T} SELECT concat(src, '>', dst) AS id, src, dst, type, CASE WHEN weight > 1 THEN weight * 2 ELSE weight END AS weight, CASE WHEN weight > 1 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS confidence,
+      type AS kind, CASE WHEN weight > 1 THEN 'yes' END AS checked FROM typed""",
+)
+def graph_upsert_edges(spark, folder):
+    """Edges of more than one line come again, checked and heavier, under another type."""
+    _, edges = _tables(spark, folder)
+    old = edges.select(
+        F.concat("src", F.lit(">"), "dst").alias("id"), "src", "dst", "type", "weight", F.lit(1.0).alias("confidence"),
+        F.create_map(F.lit("kind"), F.col("type"), F.lit("checked"), F.lit(None).cast("string")).alias("properties"), F.lit(0).alias("seq"),
+    )
+    new = old.where(F.col("weight") > 1).withColumns(
+        {
+            "type": F.lit("other"), "weight": F.col("weight") * 2, "confidence": F.lit(0.9), "seq": F.lit(1),
+            "properties": F.create_map(F.lit("checked"), F.lit("yes")),
+        }
+    )
+    out = g.upsert_edges(old, new)
+    return out.select(
+        "id", "src", "dst", "type", "weight", "confidence", F.col("properties")["kind"].alias("kind"), F.col("properties")["checked"].alias("checked")
+    )
+
+
 @query(
     "graph_schema_errors",
     "SELECT concat('S', s_suppkey) AS id, CASE WHEN s_nationkey = 5 THEN 'unknown type' ELSE 'region' END AS errors FROM supplier",

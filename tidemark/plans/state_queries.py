@@ -344,9 +344,20 @@ def weights_gradient(spark, folder):
     return out.select("portfolio_id", "factor_id", "date", snap(F.col("weight")).alias("weight"))
 
 
-@query("weights_momentum")
+def _momentum() -> str:
+    speed = [f"0.9::DOUBLE * g.v{i} + 0.01::DOUBLE * s.r{i}" for i in range(5)]
+    whole = " + ".join(f"abs(w{i} + x{i})" for i in range(5))
+    step = ", ".join(f"(w{i} + x{i}) / CASE WHEN whole > 0 THEN whole ELSE 1 END" for i in range(5))
+    return f"""WITH RECURSIVE {_WIDE}, go AS (SELECT portfolio_id, 0::BIGINT AS t, NULL::DATE AS date, {', '.join(f'0.2::DOUBLE AS w{i}' for i in range(5))}, {', '.join(f'0.0::DOUBLE AS v{i}' for i in range(5))} FROM ws WHERE t = 1
+      UNION ALL SELECT portfolio_id, t, date, {step}, {', '.join(f'x{i}' for i in range(5))} FROM (SELECT *, {whole} AS whole FROM (
+        SELECT s.portfolio_id, s.t, s.date, {', '.join(f'g.w{i}' for i in range(5))}, {', '.join(f'{v} AS x{i}' for i, v in enumerate(speed))} FROM go g JOIN ws s ON s.portfolio_id = g.portfolio_id AND s.t = g.t + 1)))
+    {' UNION ALL '.join(f"SELECT portfolio_id, '{n}' AS factor_id, date, {s(f'w{i}')} AS weight FROM go WHERE t > 0" for i, n in enumerate(_F))}"""
+
+
+@query("weights_momentum", _momentum())
 def weights_momentum(spark, folder):
-    return wt.learn(factor_returns(spark, folder), wt.momentum_step())
+    out = wt.learn(factor_returns(spark, folder), wt.momentum_step())
+    return out.select("portfolio_id", "factor_id", "date", snap(F.col("weight")).alias("weight"))
 
 
 @query("weights_ewma", _recursive("CASE WHEN whole <> 0 THEN 0.99::DOUBLE * w{i} + 0.01::DOUBLE * abs(r{i} / whole) ELSE w{i} END"))
@@ -455,3 +466,39 @@ def weights_active_factors(spark, folder):
     rets = cut_lineage(factor_returns(spark, folder))
     catalogue = rets.groupBy("factor_id").agg(F.when(F.avg("ret") > 0, "active").otherwise("testing").alias("status"))
     return wt.active_only(rets, catalogue).groupBy("factor_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("weights_active_learning")
+def weights_active_learning(spark, folder):
+    """Weights learnt on factors whose mean return is above zero."""
+    rets = cut_lineage(factor_returns(spark, folder))
+    catalogue = rets.groupBy("factor_id").agg(F.when(F.avg("ret") > 0, "active").otherwise("testing").alias("status"))
+    return wt.learn_active(rets, catalogue, wt.ewma_step(), F.lit("2026-01-01").cast("date"))
+
+
+@query(
+    "weights_rebalance_statistics",
+    f"""WITH RECURSIVE {RETS}, d AS (SELECT DISTINCT portfolio_id, date FROM fr), go AS (SELECT portfolio_id, min(date) AS date FROM d GROUP BY 1
+      UNION ALL SELECT portfolio_id, date FROM (SELECT d.portfolio_id, min(d.date) AS date FROM go g JOIN d ON d.portfolio_id = g.portfolio_id AND d.date >= g.date + 30 GROUP BY 1)),
+    w AS (SELECT portfolio_id, date, factor_id, (1 + abs(ret)) / sum(1 + abs(ret)) OVER (PARTITION BY portfolio_id, date) AS weight FROM fr SEMI JOIN go USING (portfolio_id, date)),
+    k AS (SELECT portfolio_id, date, lead(date) OVER (PARTITION BY portfolio_id ORDER BY date) AS after FROM go),
+    o AS (SELECT w.portfolio_id, k.after AS date, factor_id, weight FROM w JOIN k USING (portfolio_id, date) WHERE k.after IS NOT NULL),
+    n AS (SELECT w.* FROM w JOIN (SELECT DISTINCT portfolio_id, after AS date FROM k WHERE after IS NOT NULL) USING (portfolio_id, date)),
+    m AS (SELECT portfolio_id, date, sum(abs(coalesce(n.weight, 0) - coalesce(o.weight, 0))) / 2 AS turnover FROM o FULL JOIN n USING (portfolio_id, date, factor_id) GROUP BY 1, 2)
+    SELECT count(*) AS rebalances, {s('avg(turnover)')} AS avg_turnover, {s('sum(turnover * 0.001::DOUBLE)', 4)} AS total_cost FROM m""",
+)
+def weights_rebalance_statistics(spark, folder):
+    """Weights by size of return on the rebalance days; each day against the one before."""
+    c = F.col
+    rets = cut_lineage(factor_returns(spark, folder))
+    days = wt.rebalance_days(rets, 30)
+    day = Window.partitionBy("portfolio_id", "date")
+    held = rets.join(days, ["portfolio_id", "date"], "left_semi").withColumn(
+        "weight", (1 + F.abs("ret")) / F.sum(1 + F.abs("ret")).over(day)
+    )
+    after = days.withColumn("after", F.lead("date").over(Window.partitionBy("portfolio_id").orderBy("date"))).where(c("after").isNotNull())
+    old = held.join(after, ["portfolio_id", "date"]).select("portfolio_id", c("after").alias("date"), "factor_id", "weight")
+    new = held.join(after.select("portfolio_id", c("after").alias("date")), ["portfolio_id", "date"], "left_semi")
+    moved = pf.weight_turnover(old, new, keys=["portfolio_id", "date"])
+    out = wt.rebalance_statistics(moved)
+    return out.select("rebalances", snap(c("avg_turnover")).alias("avg_turnover"), snap(c("total_cost"), 4).alias("total_cost"))

@@ -107,6 +107,24 @@ def store_minute_bars(spark, folder):
     return out.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"))
 
 
+@query(
+    "store_by_code",
+    f"""WITH {_CODED} SELECT 'D' AS freq, symbol, date::VARCHAR AS at, {s('close')} AS close FROM coded WHERE symbol = '600001.SH' AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'
+    UNION ALL SELECT '30', 'view', strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M'), {s('arg_max(value, row(ts, event_id))')} FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-10' GROUP BY 3""",
+)
+def store_by_code(spark, folder):
+    """One reader and writer for days and minutes, told apart by the frequency."""
+    days, minutes = scratch(spark, "daily"), scratch(spark, "minute")
+    store.write_code(spark, days, coded_bars(spark, folder))
+    store.write_code(spark, minutes, minute_bars(spark, folder, 30), freq="30")
+    daily = store.read_code(spark, days, "600001.SH", "1996-01-01", "1998-12-31")
+    fine = store.read_code(spark, minutes, "view", "2024-01-10", freq="30")
+    at = [F.col("date").cast("string"), F.date_format("datetime", "yyyy-MM-dd HH:mm")]
+    return daily.select(F.lit("D").alias("freq"), "symbol", at[0].alias("at"), snap(F.col("close")).alias("close")).unionByName(
+        fine.select(F.lit("30").alias("freq"), "symbol", at[1].alias("at"), snap(F.col("close")).alias("close"))
+    )
+
+
 # --- landing --------------------------------------------------------------------------
 
 
@@ -146,6 +164,41 @@ def landing_daily(spark, folder):
     )
 
 
+@query(
+    "landing_minutes",
+    f"""WITH v AS (SELECT DISTINCT lpad((user_id * 7919 % 700000)::VARCHAR, 6, '0') AS code, date_trunc('second', ts) - INTERVAL 8 HOUR AS utc, value FROM events)
+    SELECT concat(code, CASE WHEN substr(code, 1, 3) IN ('600', '601', '603', '605', '688') THEN '.SH' ELSE '.SZ' END) AS symbol, strftime(utc, '%Y-%m-%d %H:%M:%S') AS at, {s('value')} AS close, {s('value * 2')} AS high
+    FROM v WHERE utc BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'""",
+)
+def landing_minutes(spark, folder):
+    c = F.col
+    value = c("value").cast("string")
+    landed = table(spark, folder, "events").select(
+        F.lpad((c("user_id") * 7919 % 700000).cast("string"), 6, "0").alias("代码"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("时间"),
+        value.alias("开盘"), (c("value") * 2).cast("string").alias("最高"), value.alias("最低"), value.alias("收盘"), F.lit("100").alias("成交量"),
+    )
+    out = landing.minute_frame(landed, "2024-01-05 00:00:00", "2024-01-20 12:00:00")
+    return out.select("symbol", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("at"), snap(c("close")).alias("close"), snap(c("high")).alias("high"))
+
+
+@query("landing_backtest_prices", f"WITH {_CODED} SELECT date, {s('close')} AS close, symbol FROM coded")
+def landing_backtest_prices(spark, folder):
+    return landing.backtest_prices(coded_bars(spark, folder)).withColumn("close", snap(F.col("close")))
+
+
+@query(
+    "normalize_cells",
+    r"""SELECT doc_id, md5(regexp_replace(trim(text), '[\x00-\x1f\x7f-\x{9f}]', '', 'g')) AS cleaned,
+      CASE WHEN doc_id % 3 = 0 THEN '000300.SH' WHEN doc_id % 3 = 1 THEN '399006.SZ' ELSE lpad(doc_id::VARCHAR, 6, '9') END AS index_symbol FROM documents""",
+)
+def normalize_cells(spark, folder):
+    """Text cells without control characters, and codes of indices."""
+    c = F.col
+    code = F.when(c("doc_id") % 3 == 0, "000300").when(c("doc_id") % 3 == 1, "399006").otherwise(F.lpad(c("doc_id").cast("string"), 6, "9"))
+    return table(spark, folder, "documents").select("doc_id", F.md5(va.clean_text(c("text"))).alias("cleaned"), sy.index_symbol(code).alias("index_symbol"))
+
+
 @query(
     "landing_futures",
     f"""WITH {_LAND}, k AS (SELECT symbol FROM (SELECT DISTINCT * FROM std) GROUP BY 1 HAVING avg((close IS NULL)::INT) <= 0.02)
