@@ -107,6 +107,20 @@ def store_minute_bars(spark, folder):
     return out.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"))
 
 
+@query(
+    "store_minute_expired",
+    """WITH b AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, count(DISTINCT time_bucket(INTERVAL 30 MINUTE, ts)) AS bars FROM events GROUP BY 1, 2)
+    SELECT symbol, date, bars, (SELECT count(DISTINCT date) FROM b WHERE date < DATE '2024-01-15') AS expired FROM b WHERE date >= DATE '2024-01-15'""",
+)
+def store_minute_expired(spark, folder):
+    """Folders of days out of retention are deleted where they lie; what is left is read."""
+    root = scratch(spark, "minute")
+    store.write_minute_bars(minute_bars(spark, folder, 30), root, 30)
+    gone = store.expire_days(spark, root, "2024-01-30", keep_days=15)
+    out = store.read_minute_bars(spark, root, 30).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("bars"))
+    return out.withColumn("expired", F.lit(gone).cast("bigint"))
+
+
 @query(
     "store_by_code",
     f"""WITH {_CODED} SELECT 'D' AS freq, symbol, date::VARCHAR AS at, {s('close')} AS close FROM coded WHERE symbol = '600001.SH' AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions.symbols import exchange_of
+from tidemark.session import remove
 
 BAR_FIELDS = ("open", "high", "low", "close", "volume", "amount")
 
@@ -163,6 +164,20 @@ def drop_old_days(spark: SparkSession, root: str, target: str, as_of, keep_days:
     kept.write.mode("overwrite").partitionBy("period", "exchange", "date").parquet(target)
 
 
+def expire_days(spark: SparkSession, root: str, as_of, keep_days: int = 365) -> int:
+    """Delete the folders of days that retention no longer keeps, and tell how many.
+
+    Only partition values are looked at; the driver holds one name for each expired folder.
+    A job that stopped half way is finished by the next call.
+    """
+    old = spark.read.parquet(root).where(F.col("date") < F.date_sub(F.lit(as_of).cast("date"), keep_days))
+    gone = 0
+    for name in old.select(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("folder")).distinct().toLocalIterator():
+        remove(spark, name["folder"])
+        gone += 1
+    return gone
+
+
 def missing_symbols(requested: DataFrame, stored: DataFrame, start, end) -> DataFrame:
     """Symbols asked for without a row in the range: what still has to be pulled."""
     present = stored.where(F.col("date").between(start, end)).select("symbol").distinct()
