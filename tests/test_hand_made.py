@@ -350,6 +350,19 @@ def pattern_contexts(text, found, source, target, kind):
     return out
 
 
+def test_relations_of_many_entities(spark):
+    names = [f"甲{i:04d}号" for i in range(5000)]
+    text = "，".join(names) + "控制" + "北京。"
+    words = {"company": names, "city": ["北京"]}
+    docs = en.extract(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "甲0001号，" * 3)], "id int, text string"), "text", {}, words)
+    rows = rl.extract_relations(docs, "id", lx.RELATION_PATTERNS, lx.RELATION_KEYWORDS, {}).where("type = 'controls'").collect()
+    assert {r.source for r in rows if r.target == "北京"} == set(names)
+    assert {r.target for r in rows if r.source == "北京"} == set(names)
+    assert len(rows) == 2 * len(names) and {r.id for r in rows} == {1}
+    last = next(r for r in rows if r.source == names[-1])
+    assert last.evidence == sorted({"控制", names[-1] + "控制北京"}) and last.confidence == 0.9
+
+
 def test_pattern_evidence_is_the_shortest_text(spark):
     text = "招商银行，招商银行控制中国平安，又见中国平安。"
     docs = en.extract(spark.createDataFrame([(1, text)], "id int, text string"), "text", {}, {"company": ["招商银行", "中国平安"]})

@@ -2,16 +2,18 @@
 
 Every pair of mentions counts, but no pair of mentions is ever formed for patterns and
 keywords: of all contexts between mentions of A and of B, each lies inside one of two,
-from the first A to the last B or from the first B to the last A. So each pair of
-distinct entities is looked at once, against the shortest spans at which the pattern or
-keyword occurs, and only matches leave the row.
+from the first A to the last B or from the first B to the last A. A sweep of the shortest
+spans at which a pattern or keyword occurs tells each entity the partners that have one
+between, so only pairs that are related are put together, and only they leave the row.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,37 +22,37 @@ from tidemark.functions import lexicons as lx
 from tidemark.operators.entities import word_starts
 
 RELATION = "struct<source:string,target:string,type:string,confidence:double,strength:double,evidence:string>"
+ENTITIES = "array<struct<text:string,type:string,s0:int,e1:int,n:int,at:array<struct<start:int,end:int>>>>"
+RULE = "struct<core:string,needed:array<string>,kind:string,confidence:double,two_way:boolean,sources:array<string>,targets:array<string>,words:array<string>>"
+NO_WINDOWS = "cast(array() as array<struct<start:int,end:int,ord:int>>)"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+ENTITY_ARROW = pa.list_(pa.struct([("text", pa.string()), ("type", pa.string()), ("s0", pa.int32()), ("e1", pa.int32()), ("n", pa.int32()), ("at", pa.list_(_SPAN))]))
 
 
-def _distinct_entities() -> Column:
-    """Array of (text, type, first span, last span, mentions, all spans)."""
-    e = F.col("entities")
-    names = F.array_distinct(F.transform(e, lambda m: F.struct(m["text"].alias("text"), m["type"].alias("type"))))
+def _distinct_entities(mentions: Column) -> Column:
+    """Per text and type, in order of first mention: first start, last end, mentions, all spans. One walk of the mentions."""
 
-    def gather(n):
-        own = F.filter(e, lambda m: (m["text"] == n["text"]) & (m["type"] == n["type"]))
-        return F.transform(
-            F.array(own),
-            lambda o: F.struct(
-                n["text"].alias("text"),
-                n["type"].alias("type"),
-                F.element_at(o, 1)["start"].alias("s0"),
-                F.element_at(o, 1)["end"].alias("e0"),
-                F.element_at(o, -1)["start"].alias("s1"),
-                F.element_at(o, -1)["end"].alias("e1"),
-                F.size(o).alias("n"),
-                F.transform(o, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("at"),
-            ),
-        )
+    @F.arrow_udf(ENTITIES)
+    def gather(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows:
+            spans: dict[tuple, list[dict]] = {}
+            for m in row.as_py() or []:
+                spans.setdefault((m["text"], m["type"]), []).append({"start": m["start"], "end": m["end"]})
+            out.append([
+                {"text": text, "type": kind, "s0": at[0]["start"], "e1": at[-1]["end"], "n": len(at), "at": at}
+                for (text, kind), at in spans.items()
+            ])
+        return pa.array(out, ENTITY_ARROW)
 
-    return F.flatten(F.transform(names, gather))
+    return gather(mentions)
 
 
-def pattern_windows(text: Column, pattern: str) -> Column:
-    """Shortest spans (start, end, ord) of a pattern in the text.
+def _shortest(pattern: str) -> str:
+    """The regex of the shortest spans of a pattern.
 
     A lazy group at either end of the pattern asks for one character there; a span that
-    holds the pattern holds one of these windows, and the other way round.
+    holds the pattern holds one of these spans, and the other way round.
     """
     core = re.sub(r"\((?!\?)", "(?:", pattern)
     lazy = "(?:.+?)"
@@ -58,11 +60,20 @@ def pattern_windows(text: Column, pattern: str) -> Column:
         core = "." + core[len(lazy):]
     if core.endswith(lazy):
         core = core[: -len(lazy)] + "."
-    flags = "(?iU)"
-    cuts = F.split(F.concat(F.lit("\n"), text), f"{flags}(?={core})", -1)
-    found = F.regexp_extract_all(text, F.lit(f"{flags}(?=({core}))"), F.lit(1))
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int,ord:int>>)")
-    start = F.struct(F.lit(-1).alias("pos"), nothing.alias("out"))
+    return core
+
+
+def _needed(pattern: str) -> list[str]:
+    """Texts without case that stand wherever the pattern does; none known for patterns with more than lazy groups."""
+    parts = pattern.split("(.+?)")
+    return [] if re.search(r"[\\.^$*+?{}\[\]|()]", "".join(parts)) else [p for p in parts if p and p.lower() == p.upper()]
+
+
+def _pattern_windows(text: Column, core: Column) -> Column:
+    """Spans (start, end, ord) of a regex in the text, one for every place it begins at."""
+    cuts = F.split(F.concat(F.lit("\n"), text), F.concat(F.lit("(?iU)(?="), core, F.lit(")")), F.lit(-1))
+    found = F.regexp_extract_all(text, F.concat(F.lit("(?iU)(?=("), core, F.lit("))")), F.lit(1))
+    start = F.struct(F.lit(-1).alias("pos"), F.expr(NO_WINDOWS).alias("out"))
     pieces = F.zip_with(
         F.slice(cuts, 1, F.size(found)), found, lambda c, f: F.struct(F.length(c).alias("gap"), F.length(f).alias("size"))
     )
@@ -72,119 +83,143 @@ def pattern_windows(text: Column, pattern: str) -> Column:
         window = F.struct(at.alias("start"), (at + x["size"]).alias("end"), F.lit(0).alias("ord"))
         return F.struct(at.alias("pos"), F.concat(acc["out"], F.array(window)).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(nothing)
+    return F.when(F.size(found) > 0, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.expr(NO_WINDOWS))
 
 
-def keyword_windows(text: Column, words: Sequence[str]) -> Column:
-    """Spans (start, end, place in the list) of every keyword in the text."""
-    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(words)])
+def _keyword_windows(text: Column, places: Column, words: Column) -> Column:
+    """Spans (start, end, place in the list) of every keyword, among the places where any list's keywords start."""
+    numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
 
     def at(p):
-        here = F.filter(listed, lambda x: F.substring(text, p + 1, F.length(x["w"])) == x["w"])
+        here = F.filter(numbered, lambda x: F.substring(text, p + 1, F.length(x["w"])) == x["w"])
         return F.transform(
             here, lambda x: F.struct(p.alias("start"), (p + F.length(x["w"])).alias("end"), x["i"].alias("ord"))
         )
 
-    anywhere = F.exists(listed, lambda x: text.contains(x["w"]))
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int,ord:int>>)")
-    return F.when(anywhere, F.flatten(F.transform(word_starts(text, words), at))).otherwise(nothing)
+    return F.when(F.exists(words, lambda w: text.contains(w)), F.flatten(F.transform(places, at))).otherwise(F.expr(NO_WINDOWS))
+
+
+def _rules(patterns, keywords: Mapping[str, Sequence[str]]) -> Column:
+    """The relation types as one constant; a pattern has no ``words``, a list of keywords no ``core``."""
+    rules = [
+        {"core": _shortest(p), "needed": _needed(p), "kind": kind, "confidence": sure, "two_way": both, "sources": list(sources), "targets": list(targets), "words": []}
+        for kind, p, sure, both, sources, targets in patterns
+    ]
+    rules += [
+        {"needed": [], "kind": kind, "confidence": 0.6, "two_way": False, "sources": [], "targets": [], "words": list(words)}
+        for kind, words in keywords.items()
+    ]
+    return F.from_json(F.lit(json.dumps(rules, ensure_ascii=False)), f"array<{RULE}>")
+
+
+def _met(row: Column, rules: Column) -> Column:
+    """The rules that have a window in the text, with their windows ``w``."""
+    windows = lambda r: F.when(F.size(r["words"]) > 0, _keyword_windows(row["t"], row["places"], r["words"])).otherwise(
+        _pattern_windows(row["t"], r["core"])
+    )
+    possible = F.filter(rules, lambda r: F.forall(r["needed"], lambda x: row["t"].contains(x)))
+    return F.filter(F.transform(possible, lambda r: r.withField("w", windows(r))), lambda r: F.size(r["w"]) > 0)
+
+
+def _partners(row: Column, rule: Column, a: Column) -> Column:
+    """The entities that have a window of the rule between them and ``a``, on either side.
+
+    A window lies between a and a later b if it starts behind a's first start and ends before
+    b's last end: of the windows that start behind a, the least end tells for all b at once,
+    and as entities stand by their last end, those b are the first ones; likewise for an earlier b.
+    """
+    behind = F.array_min(F.filter(rule["ends"], lambda x: x["start"] >= a["s0"])["found"])
+    before = F.array_max(F.filter(rule["starts"], lambda x: x["end"] <= a["e1"])["found"])
+
+    def all_of(x):
+        later = F.slice(row["late"], 1, F.coalesce(x["behind"]["n"], F.lit(0)))
+        earlier = F.slice(row["e"], 1, F.coalesce(x["before"]["n"], F.lit(0)))
+        return F.concat(later, F.filter(earlier, lambda b: x["behind"].isNull() | (b["e1"] < x["behind"]["at"])))
+
+    # bound to a lambda variable, the bounds are computed once for all b
+    met = F.flatten(F.transform(F.array(F.struct(behind.alias("behind"), before.alias("before"))), all_of))
+    typed = lambda b: (F.size(rule["targets"]) == 0) | F.array_contains(rule["targets"], b["type"])
+    return F.filter(met, lambda b: typed(b) & ((a["text"] != b["text"]) | (a["type"] != b["type"]) | (a["n"] > 1)))
+
 
+def _bounds(row: Column, rule: Column) -> Column:
+    """``rule`` with the ends and starts of its windows, and how many entities end behind or start before each."""
+    ends = F.transform(
+        rule["w"],
+        lambda w: F.struct(w["start"].alias("start"), F.struct(w["end"].alias("at"), F.size(F.filter(row["e"], lambda b: b["e1"] >= w["end"])).alias("n")).alias("found")),
+    )
+    starts = F.transform(
+        rule["w"],
+        lambda w: F.struct(w["end"].alias("end"), F.struct(w["start"].alias("at"), F.size(F.filter(row["e"], lambda b: b["s0"] <= w["start"])).alias("n")).alias("found")),
+    )
+    return rule.withField("ends", ends).withField("starts", starts)
 
-class _Rule:
-    """One relation type with the name of its windows column."""
 
-    def __init__(self, kind, confidence, windows, two_way=False, sources=(), targets=(), words=None):
-        self.kind, self.confidence, self.windows, self.two_way = kind, confidence, windows, two_way
-        self.sources, self.targets, self.words = sources, targets, words
+def _evidence(row: Column, rule: Column, a: Column, b: Column, found: Column) -> Column:
+    """The first keyword of the list that was met, or the text a pattern was met in.
 
-    def inside(self, a, b, row):
-        """Windows that lie in one of the two contexts of a and b."""
-        lo1, hi1 = F.least(a["s0"], b["s1"]), F.greatest(a["e0"], b["e1"])
-        lo2, hi2 = F.least(b["s0"], a["s1"]), F.greatest(b["e0"], a["e1"])
-        return F.filter(
-            row[self.windows],
-            lambda w: ((w["start"] >= lo1) & (w["end"] <= hi1)) | ((w["start"] >= lo2) & (w["end"] <= hi2)),
+    Of all contexts that hold the first window, that text is the shortest: mentions do
+    not overlap, so the nearest mention before it and the nearest behind it are its ends.
+    """
+    keyword = F.try_element_at(rule["words"], F.array_min(F.transform(found, lambda w: w["ord"])) + 1)
+    window = F.element_at(found, 1)
+
+    def tight(x, y):
+        before = F.array_max(F.transform(F.filter(x["at"], lambda m: m["start"] <= window["start"]), lambda m: m["start"]))
+        behind = F.array_min(F.transform(F.filter(y["at"], lambda m: m["end"] >= window["end"]), lambda m: m["end"]))
+        return F.when(before.isNotNull() & behind.isNotNull(), F.struct((behind - before).alias("size"), before.alias("start")))
+
+    # an entity beside itself needs two mentions: the first and the last hold them all
+    whole = F.struct((a["e1"] - a["s0"]).alias("size"), a["s0"].alias("start"))
+    same = (a["text"] == b["text"]) & (a["type"] == b["type"])
+    best = F.when(same, whole).otherwise(F.array_min(F.array(tight(a, b), tight(b, a))))
+    text = F.flatten(F.transform(F.array(best), lambda x: F.array(F.substring(row["t"], x["start"] + 1, x["size"]))))
+    return F.when(F.size(rule["words"]) > 0, keyword).otherwise(text[0])
+
+
+def _relations(row: Column, rule: Column, a: Column, b: Column) -> Column:
+    """What the rule says of a and b: one relation, or one in either direction."""
+    found = F.filter(
+        rule["w"],
+        lambda w: ((w["start"] >= a["s0"]) & (w["end"] <= b["e1"])) | ((w["start"] >= b["s0"]) & (w["end"] <= a["e1"])),
+    )
+
+    def told(source, target, factor, evidence):
+        return F.struct(
+            source["text"].alias("source"), target["text"].alias("target"), rule["kind"].alias("type"),
+            (rule["confidence"] * factor).alias("confidence"), F.lit(1.0).alias("strength"), evidence.alias("evidence"),
         )
 
-    def fits(self, a, b):
-        ok = (a["text"] != b["text"]) | (a["type"] != b["type"]) | (a["n"] > 1)
-        if self.sources:
-            ok = ok & a["type"].isin(*self.sources)
-        if self.targets:
-            ok = ok & b["type"].isin(*self.targets)
-        return ok
-
-    def evidence(self, a, b, found, row) -> Column:
-        """The first keyword of the list that was met, or the text a pattern was met in.
-
-        Of all contexts that hold the first window, that text is the shortest: mentions do
-        not overlap, so the nearest mention before it and the nearest behind it are its ends.
-        """
-        if self.words is not None:
-            return F.element_at(F.array(*[F.lit(w) for w in self.words]), F.array_min(F.transform(found, lambda w: w["ord"])) + 1)
-        window = F.element_at(found, 1)
-
-        def tight(x, y):
-            before = F.array_max(F.transform(F.filter(x["at"], lambda m: m["start"] <= window["start"]), lambda m: m["start"]))
-            behind = F.array_min(F.transform(F.filter(y["at"], lambda m: m["end"] >= window["end"]), lambda m: m["end"]))
-            return F.when(before.isNotNull() & behind.isNotNull(), F.struct((behind - before).alias("size"), before.alias("start")))
-
-        # an entity beside itself needs two mentions: the first and the last hold them all
-        whole = F.struct((a["e1"] - a["s0"]).alias("size"), a["s0"].alias("start"))
-        same = (a["text"] == b["text"]) & (a["type"] == b["type"])
-        best = F.when(same, whole).otherwise(F.array_min(F.array(tight(a, b), tight(b, a))))
-        return F.substring(row["t"], best["start"] + 1, best["size"])
-
-    def relations(self, row, reverse: bool = False) -> Column:
-        factor = 0.9 if reverse else 1.0
-
-        def relation(a, b):
-            s, t = (b, a) if reverse else (a, b)
-            return F.transform(
-                F.filter(F.array(self.inside(a, b, row)), lambda f: F.size(f) > 0),
-                lambda f: F.struct(
-                    s["text"].alias("source"),
-                    t["text"].alias("target"),
-                    F.lit(self.kind).alias("type"),
-                    F.lit(self.confidence * factor).alias("confidence"),
-                    F.lit(1.0).alias("strength"),
-                    self.evidence(a, b, f, row).alias("evidence"),
-                ),
-            )
-
-        def from_one(a):
-            return F.flatten(F.transform(F.filter(row["e"], lambda b: self.fits(a, b)), lambda b: relation(a, b)))
-
-        out = F.flatten(F.transform(row["e"], from_one))
-        nothing = F.expr(f"cast(array() as array<{RELATION}>)")
-        # texts without a window never look at their pairs
-        return F.when(F.size(row[self.windows]) > 0, out).otherwise(nothing)
+    def both(evidence):
+        one = told(a, b, 1.0, evidence)
+        return F.when(rule["two_way"], F.array(one, told(b, a, 0.9, evidence))).otherwise(F.array(one))
+
+    evidence = F.transform(F.array(found), lambda f: _evidence(row, rule, a, b, f))
+    return F.flatten(F.transform(evidence, both))
 
 
 def between_entities(text: Column, patterns=lx.RELATION_PATTERNS, keywords: Mapping[str, Sequence[str]] = lx.RELATION_KEYWORDS) -> Column:
     """Pattern and keyword relations of one text.
 
-    Entities and windows are bound to a lambda variable, so each is computed once per
-    text however many pairs look at it.
+    The rules are data: one expression serves all of them, and looks only at the rules that
+    have a window in the text and at the pairs that have one between them. Entities and
+    windows are bound to a lambda variable, so each is computed once per text.
     """
-    rules, windows = [], []
-    for kind, pattern, confidence, two_way, sources, targets in patterns:
-        name = f"w{len(rules)}"
-        windows.append(pattern_windows(text, pattern).alias(name))
-        rules.append(_Rule(kind, confidence, name, two_way, sources, targets))
-    for kind, words in keywords.items():
-        name = f"w{len(rules)}"
-        windows.append(keyword_windows(text, words).alias(name))
-        rules.append(_Rule(kind, 0.6, name, words=words))
-    if not rules:
+    if not patterns and not keywords:
         return F.expr(f"cast(array() as array<{RELATION}>)")
 
-    def all_rules(row):
-        parts = [r.relations(row) for r in rules] + [r.relations(row, reverse=True) for r in rules if r.two_way]
-        return F.concat(*parts)
-
-    row = F.struct(text.alias("t"), _distinct_entities().alias("e"), *windows)
-    return F.flatten(F.transform(F.array(row), all_rules))
+    def of_rule(row, rule):
+        typed = lambda a: (F.size(rule["sources"]) == 0) | F.array_contains(rule["sources"], a["type"])
+        of_one = lambda a: F.flatten(F.transform(_partners(row, rule, a), lambda b: _relations(row, rule, a, b)))
+        return F.flatten(F.transform(F.filter(row["e"], typed), of_one))
+
+    every = sorted({w for words in keywords.values() for w in words})
+    places = word_starts(text, every) if every else F.expr("cast(array() as array<int>)")
+    found = F.struct(text.alias("t"), _distinct_entities(F.col("entities")).alias("e"), places.alias("places"))
+    ordered = lambda x: x.withField("late", F.array_sort(x["e"], lambda a, b: b["e1"] - a["e1"]))
+    row = F.transform(F.array(found), ordered)
+    rules = _rules(patterns, keywords)
+    return F.flatten(F.flatten(F.transform(row, lambda x: F.transform(F.transform(_met(x, rules), lambda r: _bounds(x, r)), lambda r: of_rule(x, r)))))
 
 
 def by_distance(reach: int = 100, table: Mapping[tuple[str, str], str] = lx.NEAR_RELATIONS) -> Column:
