@@ -27,8 +27,11 @@ from tidemark.operators import sentiment as se
 from tidemark.operators import weights as wt
 from tidemark.operators.features import FeatureBook, grouped_feature
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.plans.stream_queries import setting
 from tidemark.sources import graph_store as gs
 from tidemark.sources import store
+from tidemark.streaming import stateful as sf
+from tidemark.streaming import streams as st
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -295,6 +298,31 @@ def test_entities_by_brute_force(spark, text):
     assert [(m.text, m.type, m.start, m.end) for m in out.entities] == want
 
 
+def test_tails_of_a_stream(spark, tmp_path):
+    """Three arrivals, one of them late and one with a repeated row and nulls: new rows come with the two held before them."""
+    days = [dt.date(2024, 1, d) for d in range(1, 10)]
+    arrivals = [
+        [("a", days[0], 1.0), ("a", days[1], 2.0), ("a", days[3], 4.0), ("b", days[0], None)],
+        [("a", days[2], 3.0), ("a", days[2], 3.0)],
+        [("a", days[5], 6.0), (None, days[0], 7.0)],
+    ]
+    schema, seen, root = "symbol string, date date, close double", [], str(tmp_path)
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", sf.ROCKS):
+        spark.createDataFrame([], schema).write.parquet(f"{root}/in")
+        stream = sf.with_tail(st.read_files(spark, f"{root}/in", schema), "symbol", 2)
+        for rows in arrivals:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            got = []
+            running = stream.writeStream.foreachBatch(lambda batch, number, got=got: got.extend(map(tuple, batch.collect())))
+            running.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+            seen.append(got)
+    assert sorted(seen[0], key=str) == sorted([(*r, True) for r in arrivals[0]], key=str)
+    held = [("a", days[1], 2.0, False), ("a", days[3], 4.0, False)]
+    assert sorted(seen[1]) == sorted([*held, ("a", days[2], 3.0, True), ("a", days[2], 3.0, True)])
+    last = [("a", days[2], 3.0, False), ("a", days[3], 4.0, False), ("a", days[5], 6.0, True), (None, days[0], 7.0, True)]
+    assert sorted(seen[2], key=str) == sorted(last, key=str)
+
+
 def brute_relations(text, found):
     """All ordered pairs of mentions, each pattern and keyword on the context between."""
     best = {}

@@ -154,17 +154,18 @@ def stream_count_windows(spark, folder):
     f"WITH {BARS} SELECT symbol, date, {s(roll('avg', 'close', 20))} AS sma FROM bars",
 )
 def stream_features(spark, folder):
-    """Bars arrive year by year; each batch needs only the last 19 stored bars."""
-    root = scratch(spark, "features")
-    bars = daily_bars(spark, folder).select("symbol", "date", "close", "volume")
-    bars.withColumn("year", F.year("date")).write.partitionBy("year").parquet(f"{root}/all")
-    stored = spark.read.parquet(f"{root}/all")
-    first, last = stored.agg(F.min("year"), F.max("year")).first()
-    step = sf.feature_step(spark, root, ["sma"], 19)
-    for year in range(first, last + 1):
-        stored.where(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(f"{root}/in")
-        stream = st.read_files(spark, f"{root}/in", bars.schema)
-        running = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        running.awaitTermination()
+    """Bars arrive three years at a time; the 19 bars before those of a batch come from the state."""
+    with rocks_state(spark):
+        root = scratch(spark, "features")
+        bars = daily_bars(spark, folder).select("symbol", "date", "close", "volume")
+        bars.withColumn("span", F.floor(F.year("date") / 3)).write.partitionBy("span").parquet(f"{root}/all")
+        stored = spark.read.parquet(f"{root}/all")
+        first, last = stored.agg(F.min("span"), F.max("span")).first()
+        stored.limit(0).drop("span").write.parquet(f"{root}/in")
+        stream = sf.with_tail(st.read_files(spark, f"{root}/in", bars.schema), "symbol", 19)
+        for span in range(first, last + 1):
+            stored.where(F.col("span") == span).drop("span").write.mode("append").parquet(f"{root}/in")
+            running = stream.writeStream.foreachBatch(sf.feature_step(root, ["sma"]))
+            running.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{root}/features")
     return out.select("symbol", "date", snap(F.col("sma")).alias("sma"))

@@ -155,24 +155,59 @@ def quality(stream: DataFrame, fields: Sequence[str], window: str, late: str = "
     )
 
 
-def feature_step(spark: SparkSession, folder: str, names: Sequence[str], reach: int):
-    """foreachBatch function: features of the new bars, with the last ``reach`` stored
-    bars of their symbols as the run-up. Bars are kept in ``folder``/bars by batch, so a
-    replayed batch overwrites itself."""
-    from pyspark.sql import Window
+class _Tail(StatefulProcessor):
+    """Holds the last ``reach`` rows of a key by date, and sends them ahead of the key's new rows."""
+
+    reach = 19
+    columns: tuple[str, ...] = ()
+    schema = ""
+    keep = None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tail = handle.getListState("tail", self.schema, self.keep)
+
+    def handleInputRows(self, key, rows, timerValues):
+        columns = list(self.columns)
+        new = pd.concat(list(rows), ignore_index=True)[columns].assign(is_new=True)
+        held = pd.DataFrame([tuple(r) for r in self.tail.get()], columns=columns) if self.tail.exists() else new[columns].head(0)
+        # of equal dates the held row stays ahead; rows of a batch are ordered by all they hold
+        new = new.sort_values(columns, na_position="first")
+        both = pd.concat([held.assign(is_new=False), new]) if len(held) else new
+        both = both.sort_values("date", kind="stable")
+        last = both[columns].tail(self.reach)
+        if len(last):
+            self.tail.put([tuple(None if pd.isna(v) else v for v in r) for r in last.itertuples(index=False, name=None)])
+        yield both
+
+    def close(self) -> None:
+        pass
+
+
+def with_tail(stream: DataFrame, key: str, reach: int, keep: int | None = None) -> DataFrame:
+    """Rows of a stream with ``date``, flagged ``is_new``, and the last ``reach`` rows before them of their ``key``.
+
+    The tail lives in the RocksDB state store, at most ``reach`` rows a key, so the work of a
+    batch follows the batch and not the history. A key that is silent for ``keep`` milliseconds
+    loses its tail. A late row sees those rows before it that are still held; rows that were
+    sent already are not sent anew.
+    """
+    fields = [stream.schema[c].simpleString().replace(":", " ", 1) for c in stream.columns]
+    processor = _Tail()
+    processor.reach, processor.columns, processor.schema, processor.keep = reach, tuple(stream.columns), ", ".join(fields), keep
+    return stream.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor,
+        outputStructType=f"{processor.schema}, is_new boolean",
+        outputMode="Append",
+        timeMode="None" if keep is None else "ProcessingTime",
+    )
+
+
+def feature_step(folder: str, names: Sequence[str]):
+    """foreachBatch function for rows of :func:`with_tail`: features of the new bars, below
+    ``folder``/features by batch, so a replayed batch overwrites itself."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        new = batch.withColumn("__new", F.lit(True))
-        if number > 0:
-            newest = Window.partitionBy("symbol").orderBy(F.col("date").desc())
-            stored = spark.read.parquet(f"{folder}/bars").where(F.col("batch") < number).drop("batch")
-            tail = stored.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= reach).drop("__k")
-            new = new.unionByName(tail.withColumn("__new", F.lit(False)))
-        marked = new.withColumnRenamed("__new", "is_new")
-        out = FeatureBook().compute(marked, names).where("is_new").drop("is_new")
+        out = FeatureBook().compute(batch, names).where("is_new").drop("is_new")
         out.write.mode("overwrite").parquet(f"{folder}/features/batch={number}")
-        batch.write.mode("overwrite").parquet(f"{folder}/bars/batch={number}")
-        batch.unpersist()
 
     return step
