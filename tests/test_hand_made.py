@@ -219,6 +219,32 @@ def test_rounds_leave_the_edges_where_they_lie(spark):
         assert plan.split("Initial Plan")[0].count("Exchange") == 1, plan
 
 
+def test_closeness_by_sketch(spark):
+    """Two parts, a path and a random graph of 3000 nodes, against breadth-first search."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    ends = [(f"r{i}", f"r{rng.integers(i)}") for i in range(1, n)] + [tuple(f"r{x}" for x in rng.integers(n, size=2)) for _ in range(n)]
+    ends += [(f"p{i}", f"p{i + 1}") for i in range(5)]
+    ends = sorted({(min(e), max(e)) for e in ends if e[0] != e[1]})
+    edges = spark.createDataFrame([(*e, 1.0) for e in ends], "src string, dst string, weight double")
+    got = {r.node: r for r in g.closeness_by_sketch(g.adjacency(edges)).collect()}
+    near = {}
+    for a, b in ends:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    assert set(got) == set(near)
+    for node in [f"p{i}" for i in range(6)] + [f"r{i}" for i in range(0, n, 30)]:
+        level, seen, total, steps = [node], {node}, 0, 0
+        while level:
+            total, steps = total + steps * len(level), steps + 1
+            level = list({y for x in level for y in near[x]} - seen)
+            seen.update(level)
+        want = (len(seen) - 1) / total
+        exact = node.startswith("p")
+        assert got[node].reachable == pytest.approx(len(seen) - 1, rel=1e-9 if exact else 0.06)
+        assert got[node].closeness == pytest.approx(want, rel=1e-9 if exact else 0.06)
+
+
 def test_rounds_tell_when_they_do_not_settle(spark):
     adj = g.adjacency(edges(spark, [("a", "b", 1), ("b", "c", 1), ("b", "d", 1)]))
     with pytest.raises(g.NotConverged) as told:

@@ -185,6 +185,37 @@ def closeness_centrality(dist: DataFrame) -> DataFrame:
     ).select("node", F.when(F.col("__t") > 0, F.col("reachable") / F.col("__t")).otherwise(0.0).alias("closeness"))
 
 
+def closeness_by_sketch(adj: DataFrame, lg_k: int = 12) -> DataFrame:
+    """node, reachable, closeness by steps, from a sketch of the nodes within 1, 2, 3 .. steps of each.
+
+    A round merges the sketches of the neighbours along the edges, so the work is edges times
+    rounds, and no row for a pair of nodes is made. What a sketch counts more than in the round
+    before lies that many steps away. Counts have a standard error of about ``1.04 / sqrt(2**lg_k)``,
+    1.6 % by default, and sets of some hundred nodes are counted exactly. Rounds end when no
+    count grows, after as many as the longest of the shortest paths has steps.
+    """
+    with Placed(adj) as net:
+        own = F.hll_sketch_agg(F.xxhash64("node"), F.lit(lg_k)).alias("sketch")
+        start = net.nodes.groupBy("node", "slices").agg(own)
+        state = start.withColumns({"seen": F.lit(1).cast("long"), "steps": F.lit(0).cast("long")})
+        last = None
+        for distance in range(1, max(net.count, 1) + 1):
+            merged = net.gathered(state, F.col("sketch"), F.hll_union_agg)
+            sketch = F.coalesce(F.hll_union("sketch", "got"), "sketch")
+            grown = merged.withColumn("sketch", sketch).withColumn("now", F.greatest("seen", F.hll_sketch_estimate("sketch")))
+            more = F.col("now") - F.col("seen")
+            rows = grown.select("node", "slices", "sketch", F.col("now").alias("seen"), (F.col("steps") + distance * more).alias("steps"), more.alias("more"))
+            kept = Kept(rows, F.sum("more").alias("more"))
+            if last is not None:
+                last.drop()
+            state, last = kept.rows.drop("more"), kept
+            if not kept.told["more"]:
+                break
+        reachable = F.col("seen") - 1
+        closeness = F.when(F.col("steps") > 0, reachable / F.col("steps")).otherwise(0.0)
+        return state.select("node", reachable.alias("reachable"), closeness.alias("closeness"))
+
+
 def betweenness_centrality(adj: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Path counts by breadth-first levels from each source, then dependencies level by
     level backwards. Both ends of a pair count, as does the factor 2/((n-1)(n-2))."""

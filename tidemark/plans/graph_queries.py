@@ -132,6 +132,12 @@ def graph_closeness(spark, folder):
     return out.select("node", snap(F.col("closeness")).alias("closeness"))
 
 
+@query("graph_closeness_by_sketch")
+def graph_closeness_by_sketch(spark, folder):
+    """All suppliers and parts; tested against exact distances."""
+    return g.closeness_by_sketch(g.adjacency(supply_edges(spark, folder)))
+
+
 _SIGMA = "s0 AS (SELECT node AS a, node AS b, 1.0::DOUBLE AS n FROM nodes), " + ", ".join(
     f"s{k} AS (SELECT s.a, adj.dst AS b, sum(s.n) AS n FROM s{k - 1} s JOIN adj ON adj.src = s.b JOIN u4 ON u4.a = s.a AND u4.b = adj.dst AND u4.d = {k} GROUP BY 1, 2)"
     for k in range(1, 7)
