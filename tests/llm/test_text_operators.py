@@ -177,6 +177,50 @@ def test_keys_after_equals_signs_escaped_and_wrapped(width):
     assert secrets.confirmed_spans("\n".join(["MIIEvQIBADANBgkqhkiG9w0BAQEFAASC" + "A" * 32] * 20_000)) == []
 
 
+def crc24(data):
+    """The checksum by long division of the whole text as one number."""
+    value = (int.from_bytes(data, "big") << 24) ^ (0xB704CE << 8 * len(data))
+    while value.bit_length() > 24:
+        value ^= 0x1864CFB << value.bit_length() - 25
+    return value
+
+
+def lined(data, width=64):
+    body = base64.b64encode(data).decode()
+    return [body[i : i + width] for i in range(0, len(body), width)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n"])
+def test_encrypted_and_pgp_keys(end):
+    rng = np.random.default_rng(5)
+    for iv, size in ((8, 8 * 76), (16, 16 * 38)):
+        def block(n, iv=iv, head="Proc-Type: 4,ENCRYPTED", frame="RSA PRIVATE KEY"):
+            lines = [f"-----BEGIN {frame}-----", head, f"DEK-Info: SOME-CBC,{rng.bytes(iv).hex().upper()}", "", *lined(rng.bytes(n)), f"-----END {frame}-----"]
+            return end.join(lines)
+
+        text = block(size)
+        assert secrets.confirmed_spans("see " + text + " x") == [(4, 4, 4 + len(text))]
+        assert secrets.mask("see " + text + " x", "[secret]") == "see [secret] x"
+        for other in (block(size + 1), block(size, iv=7), block(size, head="Proc-Type: 4,MIC-ONLY"), block(size, frame="RSA PUBLIC KEY"), block(0)):
+            assert secrets.confirmed_spans(other) == [], other
+
+    long = rng.bytes(700)
+    secret = b"\x95" + len(long).to_bytes(2, "big") + long
+    user = b"\xcd\x05a b c"
+    signed = b"\xc2" + bytes([192 + (300 - 192 >> 8), 300 - 192 & 255]) + rng.bytes(300)
+    newer = b"\xc5\xff" + len(long).to_bytes(4, "big") + long
+
+    def armour(data, crc=None, heads=("Version: some 1.2", "Comment:"), kind="PRIVATE"):
+        told = [] if crc is None else ["=" + base64.b64encode(crc.to_bytes(3, "big")).decode()]
+        return end.join([f"-----BEGIN PGP {kind} KEY BLOCK-----", *heads, "", *lined(data), *told, f"-----END PGP {kind} KEY BLOCK-----"])
+
+    for data in (secret, secret + user, secret + user + signed, newer + signed, b"\x97" + long):
+        for text in (armour(data, crc24(data)), armour(data), armour(data, crc24(data), heads=())):
+            assert secrets.confirmed_spans("a " + text + " b") == [(2, 4, 2 + len(text))], text
+    for text in (armour(secret, crc24(secret) ^ 1), armour(user + secret), armour(secret + user[:-1]), armour(secret + b"\x05"), armour(b""), armour(secret, kind="PUBLIC")):
+        assert secrets.confirmed_spans(text) == [], text
+
+
 def test_secrets_awkward(awkward, nothing, spark):
     rows = secrets.scan_secrets(awkward).collect()
     assert len(rows) == awkward.count() and {r.spans for r in rows} == {""}
