@@ -135,6 +135,20 @@ def test_matches_are_those_of_brute_force(spark, folder, docs):
     assert want and got == want
 
 
+def test_items_in_several_sets_match_alike(spark, folder, docs, monkeypatch):
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    whole = {(r.doc_id, r.item_id): r.distance for r in decontamination.match_items(docs, items).collect()}
+    left = {r.doc_id for r in decontamination.without_items(docs, items).collect()}
+    words = items.agg(F.sum(F.size(F.split("text", "[\\x20\\x09-\\x0D]+")))).first()[0]
+    monkeypatch.setattr(decontamination, "ITEM_WORDS", words // 2)
+    held, build = [], decontamination.Items
+    monkeypatch.setattr(decontamination, "Items", lambda ids, *more: held.append(len(ids)) or build(ids, *more))
+    rows = decontamination.match_items(docs, items).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in rows} == whole and len(rows) == len(whole)
+    assert len(held) == 3 and sum(held) == items.count() and max(held) < items.count()
+    assert {r.doc_id for r in decontamination.without_items(docs, items).collect()} == left
+
+
 def test_decontamination_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, "six seven eight nine ten"), (2, None), (3, ""), (4, "zwei"), (5, "ten nine")], "item_id long, text string")
     got = Counter((r.doc_id, r.item_id) for r in decontamination.match_items(awkward, items).collect())

@@ -8,8 +8,9 @@ places are a bucket, in which item-sized windows of a text meet the items. Every
 meets an item in any repetition is verified by its exact edit distance in words.
 
 The items are the stated set that meets all texts: their words and buckets travel with the task,
-and are counted before; ``ITEM_WORDS`` bounds what one pass takes, and more items take further
-passes over the same rows. Items of like size share walks. A window can only match if enough of
+and are counted before. A pass over the rows takes a set of about ``ITEM_WORDS`` words, or one
+longer item; more items take further passes, each written before the next set is read, so the
+driver and a task hold one set at a time. Items of like size share walks. A window can only match if enough of
 its words are words of such an item, which running counts tell for all windows at once without
 losing a match. Sampled places are looked up one after the other, and windows whose letters
 begin no item's bucket stop there.
@@ -25,6 +26,7 @@ repeated rows are judged each; empty tables give rows without matches; other col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from tidemark.llm.shared import bounded_batches, mix, word_hashes
+from tidemark.llm.shared import bounded_batches, mix, word_hashes, written
 
 #: Words of items in one set that meets all texts.
 ITEM_WORDS = 2_000_000
@@ -216,16 +218,18 @@ class Items:
                 out[t][number] = (a + first - low, a + stop - 1 - low, distance)
 
 
-def item_sets(items: DataFrame, item_id: str, item_text: str, share: float, recall: float, places: int, least_words: int) -> list[Items]:
-    """The items in sets of about ``ITEM_WORDS`` words; their number and words are counted first."""
+def item_sets(items: DataFrame, item_id: str, item_text: str, share: float, recall: float, places: int, least_words: int) -> tuple[int, Iterator[Items]]:
+    """How many sets of about ``ITEM_WORDS`` words there are, and the sets, each read and built when its turn comes."""
     rows = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.size(F.split("text", "[\\x20\\x09-\\x0D]+")))).first()[0] or 0
     parts = total // ITEM_WORDS + 1
-    out = []
-    for p in range(parts):
-        block = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p).orderBy("id", "text").collect()
-        out.append(Items([r["id"] for r in block], [r["text"] for r in block], share, recall, places, least_words))
-    return out
+
+    def built() -> Iterator[Items]:
+        for p in range(parts):
+            block = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == p).orderBy("id", "text").collect()
+            yield Items([r["id"] for r in block], [r["text"] for r in block], share, recall, places, least_words)
+
+    return parts, built()
 
 
 def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.2, recall: float = 0.95, places: int = 3, least_words: int = 5) -> DataFrame:
@@ -239,29 +243,35 @@ def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("item_id", items.schema[item_id].dataType)])
     for name in ("first", "last", "distance"):
         schema = schema.add(name, "long")
-    sets = item_sets(items, item_id, item_text, share, recall, places, least_words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = to_arrow_schema(schema)
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            found = [{"id": i} | m for one in sets for i, ms in zip(names, one.matches(batch.column(1)), strict=True) for m in ms]
-            yield pa.RecordBatch.from_pylist(found, kind)
+    def met(one: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = to_arrow_schema(schema)
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                found = [{"id": i} | m for i, ms in zip(names, one.matches(batch.column(1)), strict=True) for m in ms]
+                yield pa.RecordBatch.from_pylist(found, kind)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        return rows.mapInArrow(run, schema)
+
+    parts, sets = item_sets(items, item_id, item_text, share, recall, places, least_words)
+    found = reduce(DataFrame.unionByName, (met(one) if parts == 1 else written(met(one), "matches") for one in sets))
+    return found.withColumnRenamed("id", id_col)
 
 
 def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.2, recall: float = 0.95, places: int = 3, least_words: int = 5) -> DataFrame:
     """The rows of ``docs``, with all columns, in whose texts no item stands."""
     bounded_batches(docs.sparkSession, 4)
-    sets = item_sets(items, item_id, item_text, share, recall, places, least_words)
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
-            for one in sets:
-                hit |= np.array([bool(m) for m in one.matches(batch.column(at))], bool)
-            yield batch.filter(pa.array(~hit))
+    def clean(rows: DataFrame, one: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not m for m in one.matches(batch.column(at))], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    parts, sets = item_sets(items, item_id, item_text, share, recall, places, least_words)
+    for one in sets:
+        docs = clean(docs, one) if parts == 1 else written(clean(docs, one), "clean")
+    return docs
