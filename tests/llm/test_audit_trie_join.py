@@ -323,3 +323,17 @@ def test_shingles_of_a_batch_are_those_of_its_texts():
     assert sets[0].tolist() == sets[6].tolist() and set(sets[4].tolist()) < set(sets[0].tolist())
     assert [s.tolist() for s in sets] == [jaccard_join.shingle_sets(pa.array([t], pa.string()))[0].tolist() for t in texts]
     assert (jaccard_join.node_ids(sets) == 0).tolist() == [s == set() for s in plain_sets(texts)]
+
+
+def test_texts_are_hashed_in_small_pieces():
+    """Pieces hold all rows in order, at most the bytes asked for, and a longer text alone."""
+    import pyarrow as pa
+
+    from tidemark.llm.shared import small_pieces
+
+    texts = ["ab" * 10, None, "", "x" * 100, "é" * 5, "y" * 30, "z" * 30, None]
+    batch = pa.record_batch([pa.array([9, *range(8)]), pa.array(["cut", *texts])], names=["id", "text"]).slice(1)
+    pieces = list(small_pieces([batch, batch.slice(0, 0), batch], 1, 40))
+    assert [t for p in pieces for t in p.column(1).to_pylist()] == texts * 2
+    sizes = [[len((t or "").encode()) for t in p.column(1).to_pylist()] for p in pieces]
+    assert all(sum(s) <= 40 or len(s) == 1 for s in sizes) and len(pieces) < 2 * len(texts)

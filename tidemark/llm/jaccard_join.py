@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import bounded_batches, mix, powers, word_hashes, written
+from tidemark.llm.shared import bounded_batches, mix, powers, small_pieces, word_hashes, written
 from tidemark.llm.sketch import BLOCK, Sketch, counter_blocks, merged_blocks
 
 SHINGLE = 4
@@ -89,11 +89,11 @@ def set_facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kind = np.zeros(COUNTERS, np.int64), None
-        for batch in batches:
+        for batch in small_pieces(batches, 1):
             sets = shingle_sets(batch.column(1))
             kind, m = batch.schema.field(0).type, len(sets)
             if m:
-                held += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(held, (np.concatenate(sets) >> np.uint64(44)).astype(np.int64), 1)
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(node_ids(sets)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema.names)
         found = counter_blocks(held)
@@ -140,7 +140,7 @@ def signed_nodes(docs: DataFrame, text_col: str, classes: np.ndarray, percent: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in batches:
+        for batch in small_pieces(batches, 1):
             sets, hashes = shingle_sets(batch.column(1)), batch.column(0).to_numpy()
             nodes, out = node_ids(sets), []
             for i in np.flatnonzero(nodes).tolist():
@@ -165,7 +165,7 @@ def wanted_sets(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in batches:
+        for batch in small_pieces(batches, 1):
             hashes = batch.column(0).to_numpy()
             on = filled.met(node_words(hashes))
             for i in np.flatnonzero(on).tolist():
@@ -382,7 +382,7 @@ def linked_nodes(docs: DataFrame, classes: np.ndarray, text_col: str, percent: i
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = 512) -> DataFrame:
     """``id_col``, n_shingles, component_id, node of every row."""
-    bounded_batches(docs.sparkSession, 8)
+    bounded_batches(docs.sparkSession, 4)
     every = written(set_facts(docs, id_col, text_col), "facts")
     facts = every.where("block is null").select("id", "n", "node")
     roots = linked_nodes(docs, frequency_classes(every.where("block is not null")), text_col, percent, block)

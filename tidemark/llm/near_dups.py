@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import bounded_batches, mix, powers, word_hashes, written
+from tidemark.llm.shared import bounded_batches, mix, powers, small_pieces, word_hashes, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -109,7 +109,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -
     schema = read.select("id", "node", F.lit(0).cast("long").alias("cells"), F.array().cast("array<long>").alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_pieces(batches, 2):
             n = batch.num_rows
             cell, text = cells(batch.column(2))
             counts = np.bincount(text, minlength=n)
@@ -124,7 +124,7 @@ def cell_sets(texts: DataFrame) -> DataFrame:
     """node, set (sorted 32-bit cell hashes as bytes) of ``texts`` (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_pieces(batches, 1):
             cell, text = cells(batch.column(1))
             small = (cell >> np.uint64(32)).astype(np.uint32)
             ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``kept`` is true for the least id of a class (and its least node, where one id has several texts).
     """
-    bounded_batches(docs.sparkSession, 8)
+    bounded_batches(docs.sparkSession, 4)
     signatures = written(signed(docs, id_col, text_col, bands, rows), "signatures")
     roots = near_roots(docs, signatures, text_col, least)
     placed = written(signatures.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")), "placed")
