@@ -799,3 +799,30 @@ def test_learning_on_active_factors_alone(spark):
     assert {(r.factor_id, r.date, r.weight) for r in got} == {(r.factor_id, r.date, r.weight) for r in plain}
     assert {r.learnt for r in got} == {7} and len(got) == 16
     assert wt.learn_active(returns, catalogue.where("status = 'none'"), wt.ewma_step(), F.lit(7)).count() == 0
+
+
+def test_anywhere_walks_a_long_text_once(spark):
+    """A text of 300 000 characters and small ones against a plain version; null stays null-safe."""
+    import time
+
+    lexicon = se.Lexicon(["the", "la", "a"], ["of", "der"], [], {"tion": 2.0, "ationa": -1.5}, {"in": 2.0, "on": 0.5, "xin": 3.0}, ["is", "d"], [])
+
+    def plain(t):
+        parts = []
+        for p in range(len(t)):
+            fits = sorted((w for w in lexicon.scores if t.startswith(w, p)), key=lambda w: (-len(w), w))
+            if fits:
+                degree = 1.0
+                for d in sorted(lexicon.degrees, key=len):
+                    degree = lexicon.degrees[d] if t[:p].endswith(d) else degree
+                parts.append(lexicon.scores[fits[0]] * degree * (-1.0 if any(n in t[max(p - 2, 0) : p] for n in lexicon.negations) else 1.0))
+        return max(min(sum(parts) / len(parts), 1), -1) if parts else 0.0
+
+    texts = ["the nation", "is the xinla derational", "dla onthe", "", "zz", "𝔘𝔫the inla", "xinof the of is of " * 15_000]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "id long, text string")
+    began = time.time()
+    got = {r.id: r.score for r in se.lexicon_sentiment(docs, "id", lexicon=lexicon, anywhere=True).collect()}
+    assert time.time() - began < 60
+    assert len(got) == 8
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain(t), abs=1e-9)

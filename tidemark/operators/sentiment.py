@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.columns import clip
 from tidemark.functions import lexicons as lx
-from tidemark.operators.entities import word_starts
+from tidemark.session import bounded_batches
 
 TOKENS = "(?U)[\\u4e00-\\u9fff]+|[a-zA-Z]+|\\d+"
 LABELS = ("very_negative", "negative", "neutral", "positive", "very_positive")
@@ -103,23 +104,36 @@ def lexicon_sentiment(docs: DataFrame, key: str, text: str = "text", lexicon: Le
     return _result(df, F.aggregate("__p", F.lit(0.0), lambda a, x: a + x), F.size("__p")).select(key, "score", "label", "confidence")
 
 
-def _anywhere(docs: DataFrame, key: str, t: Column, lexicon: Lexicon) -> DataFrame:
-    words = F.create_map(*[F.lit(x) for kv in lexicon.scores.items() for x in kv])
-    longest_first = sorted(lexicon.scores, key=lambda w: (-len(w), w))
-    listed = F.array(*[F.lit(w) for w in longest_first])
+def _hits(text: str, longest_first: Sequence[str], scores: Mapping[str, float], degrees: Sequence[tuple[str, float]], negations: Sequence[str]) -> list[float]:
+    """The scores of the lexicon words in the text by place, at each the longest; the longest degree ends there."""
+    words: dict[int, str] = {}
+    for word in longest_first:
+        at = text.find(word)
+        while at >= 0:
+            words.setdefault(at, word)
+            at = text.find(word, at + 1)
+    out = []
+    for at in sorted(words):
+        before = text[max(at - 2, 0) : at]
+        degree = next((x for d, x in degrees if text.endswith(d, 0, at)), 1.0)
+        out.append(scores[words[at]] * degree * (-1.0 if any(n in before for n in negations) else 1.0))
+    return out
 
-    def part(p):
-        word = F.element_at(F.filter(listed, lambda w: F.substring(t, p + 1, F.length(w)) == w), 1)
-        degree = F.lit(1.0)
-        for d in sorted(lexicon.degrees, key=len):
-            n = len(d)
-            degree = F.when((p >= n) & (F.substring(t, p + 1 - n, n) == d), lexicon.degrees[d]).otherwise(degree)
-        before = F.when(p >= 2, F.substring(t, p - 1, 2)).otherwise(F.substring(t, 1, p))
-        negated = F.exists(F.array(*[F.lit(x) for x in lexicon.negations]), lambda x: before.contains(x))
-        return words[word] * degree * F.when(negated, -1.0).otherwise(1.0)
-
-    parts = F.concat(F.transform(word_starts(t, list(lexicon.scores)), part), lexicon.number_parts(t))
-    df = docs.select(key, parts.alias("__p"))
+
+def _anywhere(docs: DataFrame, key: str, t: Column, lexicon: Lexicon) -> DataFrame:
+    bounded_batches(docs.sparkSession, 4)
+    scores = {w: float(s) for w, s in lexicon.scores.items()}
+    longest_first = sorted(scores, key=lambda w: (-len(w), w))
+    # of equally long degrees the one listed last counts
+    degrees = [(d, float(x)) for d, x in sorted(lexicon.degrees.items(), key=lambda dx: len(dx[0]))][::-1]
+    negations = list(lexicon.negations)
+
+    @F.arrow_udf("array<double>")
+    def hits(texts: pa.Array) -> pa.Array:
+        found = (None if (x := text.as_py()) is None else _hits(x, longest_first, scores, degrees, negations) for text in texts)
+        return pa.array(list(found), pa.list_(pa.float64()))
+
+    df = docs.select(key, F.concat(hits(t), lexicon.number_parts(t)).alias("__p"))
     return _result(df, F.aggregate("__p", F.lit(0.0), lambda a, x: a + x), F.size("__p")).select(key, "score", "label", "confidence")
 
 
