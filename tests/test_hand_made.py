@@ -826,3 +826,29 @@ def test_anywhere_walks_a_long_text_once(spark):
     assert len(got) == 8
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(plain(t), abs=1e-9)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_features_do_not_gather_their_rows(spark):
+    """The marks of a feature go to its rows, or to shares of them; no task reads a whole feature."""
+    from tidemark.operators import quality_features as qf
+
+    rows = spark.createDataFrame([(float(i % 7), float(i)) for i in range(200)] + [(None, 5.0)], "x double, y double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bins = qf.histogram(rows, ["x", "y"])
+        assert "BroadcastHashJoin" in plan_of(bins) and "SortMergeJoin" not in plan_of(bins)
+        got = {(r.feature, r.bin): r.rows for r in bins.collect()}
+        assert sum(n for (f, _), n in got.items() if f == "x") == 200 and got["y", 9] == 20
+        for method in ("zscore", "iqr", "modified_zscore"):
+            out = qf.outlier_rule(rows, ["x", "y"], method, 1.6)
+            assert "__share" in plan_of(out)
+            assert {r.feature: r["values"] for r in out.collect()} == {"x": 200, "y": 201}
+        y = np.array([*map(float, range(200)), 5.0])
+        odd = {r.feature: r.outliers for r in qf.outlier_rule(rows, ["x", "y"], "zscore", 1.6).collect()}
+        assert odd["y"] == (np.abs(y - y.mean()) / y.std(ddof=1) > 1.6).sum()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -33,7 +33,7 @@ def robust_zscore(df: DataFrame, features: Sequence[str], fitted_on: DataFrame,
     # the features are dear and four passes read them: they are written once
     rows = cut_lineage(long(fitted_on))
     middle = exact_quantiles(rows, ["f"], "v", {"med": 0.5})
-    away = rows.join(middle, "f").select("f", F.abs(F.col("v") - F.col("med")).alias("v"))
+    away = rows.join(F.broadcast(middle), "f").select("f", F.abs(F.col("v") - F.col("med")).alias("v"))
     mad = exact_quantiles(away, ["f"], "v", {"mad": 0.5})
     # one row per feature name, so the marks become constants of the projection
     marks = {r["f"]: (r["med"], r["mad"]) for r in middle.join(mad, "f").collect()}

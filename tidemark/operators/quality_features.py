@@ -65,7 +65,8 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 10) -> DataFra
     edge = values.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.least(F.coalesce(F.floor(ratio(F.col("value") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1))
-    placed = values.join(edge, "feature").select("feature", place.cast("int").alias("bin"))
+    # one row for each feature of the list, so the values stay where they are
+    placed = values.join(F.broadcast(edge), "feature").select("feature", place.cast("int").alias("bin"))
     return placed.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.columns import flag, ratio
-from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.quantiles import beside_keys, exact_quantiles
 
 # Columns that tell when a row came in, not what it says.
 CLOCK_COLUMNS = ("timestamp", "created_at", "updated_at", "_ingested_at")
@@ -58,7 +58,10 @@ def outlier_rates(
     limit: float = 0.05,
     min_rows: int = 10,
 ) -> DataFrame:
-    """Outliers of a numeric field by quartiles, z-score or modified z-score."""
+    """Outliers of a numeric field by quartiles, z-score or modified z-score.
+
+    Equal values are counted together before they meet the marks of their key.
+    """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     v = F.col("__v")
@@ -72,14 +75,15 @@ def outlier_rates(
         odd = F.abs(ratio(v - F.col("__m"), F.col("__s"))) > threshold
     elif method == "modified_zscore":
         middle = exact_quantiles(rows, keys, "__v", {"__med": 0.5})
-        away = rows.join(middle, keys).select(*keys, F.abs(v - F.col("__med")).alias("__a"))
+        away = beside_keys(rows, middle, keys, "__v").select(*keys, F.abs(v - F.col("__med")).alias("__a"))
         mad = exact_quantiles(away, keys, "__a", {"__mad": 0.5})
         marks = middle.join(mad, keys)
         odd = F.abs(ratio(0.6745 * (v - F.col("__med")), F.col("__mad"))) > threshold
     else:
         raise ValueError(f"unknown method {method}")
-    out = rows.join(marks, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("values"), F.sum(flag(odd)).alias("outliers")
+    counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    out = beside_keys(counted, marks, keys, "__v").groupBy(*keys).agg(
+        F.sum("__c").alias("values"), F.sum(flag(odd) * F.col("__c")).alias("outliers")
     )
     out = out.where(F.col("values") >= min_rows).withColumn("outlier_rate", F.col("outliers") / F.col("values"))
     return out.withColumn("issue", F.col("outlier_rate") > limit)

@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = 64
+SHARES = 64
+
+
+def beside_keys(rows: DataFrame, marks: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``rows`` with the one row of ``marks`` for their keys, a hot key dealt out by its values.
+
+    Each row of ``marks`` goes to every share, so a task reads a share of a key and not the key.
+    """
+    share = F.pmod(F.xxhash64(value), F.lit(SHARES)).cast("int")
+    copies = marks.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return rows.withColumn("__share", share).join(copies, [*keys, "__share"]).drop("__share")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -26,7 +37,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     marks = counted.groupBy(*keys).agg(
         F.percentile_approx("__v", [i / SPLITS for i in range(1, SPLITS)], F.lit(1000)).alias("__s")
     )
-    placed = counted.join(marks, keys).select(
+    placed = beside_keys(counted, marks, keys, "__v").select(
         *keys, "__v", "__c", F.size(F.filter("__s", lambda s: s < F.col("__v"))).alias("__b")
     )
     # At most 64 rows per key from here on.
