@@ -852,3 +852,16 @@ def test_few_features_do_not_gather_their_rows(spark):
         assert odd["y"] == (np.abs(y - y.mean()) / y.std(ddof=1) > 1.6).sum()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cleaned_text_by_runs(spark):
+    """Cleaning against Python's expressions, by runs of white space and of signs."""
+    from tidemark.functions import text as tx
+
+    texts = ["a  b", " a\tb ", "\x0b\x0b a\u0085b　c", "a b \r\n", "é‐–z 5%/$ -\"'", "中文 。、x", "", "   ", "a \n\n\n b\t"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: (r.a, r.b) for r in docs.select("id", tx.clean_text(F.col("t")).alias("a"), tx.clean_text(F.col("t"), False).alias("b")).collect()}
+    for i, t in enumerate(texts):
+        one = re.sub(r"[ \t\n\x0b\f\r]+", " ", t)
+        for kept, extra in zip(got[i], ("%$/", ""), strict=True):
+            assert kept == re.sub(rf"[^一-龥a-zA-Z0-9{extra} \t\n\x0b\f\r.,;:!?()\[\]{{}}\"'-]", "", one).strip(" ")

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What text cleaning keeps besides CJK, letters and digits.
-KEPT_MARKS = "\\s.,;:!?()\\[\\]{}\"'-"
+KEPT_MARKS = " \\t\\n\\x0B\\f\\r.,;:!?()\\[\\]{}\"'-"
 # Signs that dates, percentages and amounts need; kept unless the strict form is asked for.
 VALUE_SIGNS = "%$/"
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, "\\s+", " ")
+    """One space for each run of white space; a space that stands alone needs no replacement."""
+    return F.regexp_replace(text, "\\s{2,}|[\\t\\n\\x0B\\f\\r]", " ")
 
 
 def clean_text(text: Column, keep_value_signs: bool = True) -> Column:
     """One space for each run of white space; only words and plain punctuation stay."""
     extra = VALUE_SIGNS if keep_value_signs else ""
-    kept = f"[^\\u4e00-\\u9fa5a-zA-Z0-9{extra}{KEPT_MARKS}]"
-    return F.trim(F.regexp_replace(collapse(text), kept, ""))
+    # listed one by one, letters and digits share one bit table with the marks; runs go at once
+    other = f"[^\\u4e00-\\u9fa5{ascii_letters}{digits}{extra}{KEPT_MARKS}]++"
+    return F.trim(F.regexp_replace(collapse(text), other, ""))
 
 
 def sentences(text: Column) -> Column:
