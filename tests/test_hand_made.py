@@ -865,3 +865,20 @@ def test_cleaned_text_by_runs(spark):
         one = re.sub(r"[ \t\n\x0b\f\r]+", " ", t)
         for kept, extra in zip(got[i], ("%$/", ""), strict=True):
             assert kept == re.sub(rf"[^一-龥a-zA-Z0-9{extra} \t\n\x0b\f\r.,;:!?()\[\]{{}}\"'-]", "", one).strip(" ")
+
+
+def test_pairs_and_ids_are_dealt_into_as_many_parts(spark):
+    """Both directions come of one merged pair; ids are shuffled by one number of parts for groupings and join."""
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 3.0), ("a", "a", 9.0), ("b", "c", 2.0), (None, "c", 1.0)], "src string, dst string, weight double")
+    want = [("a", "b", 3.0), ("b", "a", 3.0), ("b", "c", 2.0), ("c", "b", 2.0)]
+    for parts in (None, 7):
+        adj = g.adjacency(edges, parts)
+        assert sorted(map(tuple, adj.collect())) == want
+    assert adj.rdd.getNumPartitions() == 7
+    old = spark.createDataFrame([("e1", "a", "b", "t", 1.0, 1.0, {"k": "x"}, 0), ("e2", "b", "c", "t", 2.0, 1.0, {"k": "y"}, 0)], "id string, src string, dst string, type string, weight double, confidence double, properties map<string,string>, seq int")
+    new = spark.createDataFrame([("e1", "a", "b", "u", 5.0, 0.5, {"m": "z"}, 1)], old.schema)
+    out = g.upsert_edges(old, new, 7)
+    plan = plan_of(out)
+    assert plan.count("hashpartitioning(id") == plan.count(", 7)") == 2
+    rows = lambda df: sorted((r.id, r.src, r.dst, r.type, r.weight, r.confidence, r.properties) for r in df.collect())
+    assert rows(out) == rows(g.upsert_edges(old, new)) == [("e1", "a", "b", "t", 5.0, 0.5, {"k": "x", "m": "z"}), ("e2", "b", "c", "t", 2.0, 1.0, {"k": "y"})]

@@ -30,14 +30,18 @@ class NotConverged(RuntimeError):
         self.rows = rows
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Both directions of (src, dst, weight), one row per ordered pair, no loops."""
-    ends = F.explode(
-        F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    )
-    both = edges.select(ends.alias("e")).select("e.*")
-    pairs = both.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    return cut_lineage(pairs)
+def adjacency(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Both directions of (src, dst, weight), one row per ordered pair, no loops.
+
+    A pair is merged once, not once a direction. ``parts`` says into how many partitions the
+    pairs are dealt where the session's number would give a task too many.
+    """
+    ends = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    pairs = edges.where(F.col("src") != F.col("dst")).select(*ends, "weight")
+    pairs = pairs if parts is None else pairs.repartition(parts, "a", "b")
+    pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.max("weight").alias("weight")))
+    ways = F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), "weight") for x, y in ("ab", "ba")])
+    return pairs.select(F.explode(ways).alias("e")).select("e.*")
 
 
 def nodes_of(adj: DataFrame) -> DataFrame:
@@ -605,14 +609,16 @@ def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return kinds.join(_merged_properties(rows), "id", "left").join(labels, "id", "left")
 
 
-def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_edges(old: DataFrame, new: DataFrame, parts: int | None = None) -> DataFrame:
     """Property maps merged with the newer value winning, weight and confidence of the
     newest row; ends and type stay those the edge was made with.
 
     Rows are (id, src, dst, type, weight, confidence, properties map, seq). Rows of one id
     and seq are told apart by their content, so the result does not hang on their order.
+    ``parts`` says into how many partitions the ids are dealt, once for all groupings and the join.
     """
     rows = old.unionByName(new)
+    rows = rows if parts is None else rows.repartition(parts, "id")
     made = F.min(F.struct("seq", "src", "dst", "type")).alias("made")
     last = F.max(F.struct("seq", "weight", "confidence")).alias("last")
     heads = rows.groupBy("id").agg(made, last).select("id", "made.src", "made.dst", "made.type", "last.weight", "last.confidence")

@@ -39,10 +39,21 @@ adj AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FRO
 nodes AS (SELECT src AS node, count(*) AS degree FROM adj GROUP BY 1)"""
 
 
+LINES_A_TASK = 1_000_000
+
+
+def supply_parts(spark, folder):
+    """Partitions that hold a bounded number of lines each; the count is told by the file footers."""
+    lines = table(spark, folder, "lineitem").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines // LINES_A_TASK))
+
+
 def supply_edges(spark, folder):
     """Supplier to part, weight = number of lines."""
     return (
         table(spark, folder, "lineitem")
+        .select("l_suppkey", "l_partkey")
+        .repartition(supply_parts(spark, folder), "l_suppkey", "l_partkey")
         .groupBy("l_suppkey", "l_partkey")
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
         .select(
@@ -53,6 +64,10 @@ def supply_edges(spark, folder):
     )
 
 
+def _supply(spark, folder):
+    return g.adjacency(supply_edges(spark, folder), supply_parts(spark, folder))
+
+
 SUPPLY = """edges AS (SELECT concat('S', l_suppkey) AS src, concat('P', l_partkey) AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2),
 adj AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges),
 nodes AS (SELECT src AS node, count(*) AS degree FROM adj GROUP BY 1)"""
@@ -63,7 +78,7 @@ nodes AS (SELECT src AS node, count(*) AS degree FROM adj GROUP BY 1)"""
     f"WITH {SUPPLY} SELECT node, degree, {s('degree::DOUBLE / ((SELECT count(*) FROM nodes) - 1)')} AS centrality FROM nodes",
 )
 def graph_degree(spark, folder):
-    out = g.degree_centrality(g.adjacency(supply_edges(spark, folder)))
+    out = g.degree_centrality(_supply(spark, folder))
     return out.withColumn("centrality", snap(F.col("centrality")))
 
 
@@ -86,7 +101,7 @@ _PR = f"""r AS (
 @query("graph_pagerank", f"WITH RECURSIVE {SUPPLY}, {_PR} SELECT node, {s('rank', 9)} AS rank FROM r WHERE it = (SELECT max(it) - 1 FROM r)")
 def graph_pagerank(spark, folder):
     """Rounds until all ranks together move by less than the tolerance."""
-    out = g.pagerank(g.adjacency(supply_edges(spark, folder)), tolerance=RANK_TOLERANCE)
+    out = g.pagerank(_supply(spark, folder), tolerance=RANK_TOLERANCE)
     return out.select("node", snap(F.col("rank"), 9).alias("rank"))
 
 
@@ -135,7 +150,7 @@ def graph_closeness(spark, folder):
 @query("graph_closeness_by_sketch")
 def graph_closeness_by_sketch(spark, folder):
     """All suppliers and parts; tested against exact distances."""
-    return g.closeness_by_sketch(g.adjacency(supply_edges(spark, folder)))
+    return g.closeness_by_sketch(_supply(spark, folder))
 
 
 _SIGMA = "s0 AS (SELECT node AS a, node AS b, 1.0::DOUBLE AS n FROM nodes), " + ", ".join(
@@ -209,7 +224,7 @@ def graph_modularity(spark, folder):
     f"WITH {SUPPLY}, {_rounds(6, 'SELECT node, node AS c FROM nodes', 'SELECT p.node, least(p.c, min(q.c)) AS c FROM {p} p JOIN adj ON adj.src = p.node JOIN {p} q ON q.node = adj.dst GROUP BY p.node, p.c', 'k')} SELECT node, c AS component FROM k6",
 )
 def graph_components(spark, folder):
-    return g.connected_components(g.adjacency(supply_edges(spark, folder)))
+    return g.connected_components(_supply(spark, folder))
 
 
 @query(
@@ -392,7 +407,7 @@ def graph_upsert_edges(spark, folder):
             "properties": F.create_map(F.lit("checked"), F.lit("yes")),
         }
     )
-    out = g.upsert_edges(old, new)
+    out = g.upsert_edges(old, new, supply_parts(spark, folder))
     return out.select(
         "id", "src", "dst", "type", "weight", "confidence", F.col("properties")["kind"].alias("kind"), F.col("properties")["checked"].alias("checked")
     )
