@@ -882,3 +882,14 @@ def test_pairs_and_ids_are_dealt_into_as_many_parts(spark):
     assert plan.count("hashpartitioning(id") == plan.count(", 7)") == 2
     rows = lambda df: sorted((r.id, r.src, r.dst, r.type, r.weight, r.confidence, r.properties) for r in df.collect())
     assert rows(out) == rows(g.upsert_edges(old, new)) == [("e1", "a", "b", "t", 5.0, 0.5, {"k": "x", "m": "z"}), ("e2", "b", "c", "t", 2.0, 1.0, {"k": "y"})]
+
+
+def test_extraction_bounds_what_a_worker_holds(spark):
+    """Relations of texts go to Python in batches of bounded size; null and empty texts have no mentions."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "贵州茅台拥有招商银行"), (2, None), (3, ""), (4, "12.5%")], "doc_id long, text string")
+    found = en.extract(docs, "text")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    got = {r.doc_id: r.entities and [m.text for m in r.entities] for r in found.collect()}
+    assert got[2] is None and got[3] == [] and "12.5%" in got[4] and len(got[1]) >= 2
+    assert {r.doc_id for r in rl.extract_relations(found, "doc_id").collect()} <= {1}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.columns import unnest
 from tidemark.functions import lexicons as lx
 from tidemark.functions.text import clean_text
+from tidemark.session import bounded_batches
 
 FIELDS = ("start", "end", "ord", "text", "type", "confidence")
 MENTIONS = "array<struct<start:int,end:int,ord:int,text:string,type:string,confidence:double>>"
@@ -66,6 +67,18 @@ def _merged(mentions: list[tuple]) -> list[tuple]:
     return out
 
 
+def _lists(rows: list[tuple], ends: list[int | None]) -> pa.Array:
+    """The mentions of all texts, one behind the other, as a list for each text; null where a text has no end."""
+    kinds = KIND.value_type
+    flat = zip(*rows, strict=True) if rows else ((),) * len(FIELDS)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, kinds, strict=True)], fields=list(kinds))
+    offsets, upto = [], 0
+    for end in ends:
+        offsets.append(None if end is None else upto)
+        upto = upto if end is None else end
+    return pa.ListArray.from_arrays(pa.array([*offsets, upto], pa.int32()), values)
+
+
 def _mentions(text: Column, patterns: Mapping[str, Sequence[str]], words: Mapping[str, Sequence[str]], merge: bool) -> Column:
     """The mentions of each text of an Arrow batch, each text walked once by every pattern and word."""
     compiled = {k: [re.compile(r) for r in regexes] for k, regexes in patterns.items()}
@@ -73,14 +86,15 @@ def _mentions(text: Column, patterns: Mapping[str, Sequence[str]], words: Mappin
 
     @F.arrow_udf(MENTIONS)
     def find(texts: pa.Array) -> pa.Array:
-        rows = []
+        rows, ends = [], []
         for value in texts:
             if (t := value.as_py()) is None:
-                rows.append(None)
+                ends.append(None)
                 continue
             found = _found(t, compiled, words)
-            rows.append([dict(zip(FIELDS, m, strict=True)) for m in (_merged(found) if merge else found)])
-        return pa.array(rows, KIND)
+            rows += _merged(found) if merge else found
+            ends.append(len(rows))
+        return _lists(rows, ends)
 
     return find(text)
 
@@ -103,6 +117,7 @@ def extract(
 
     Offsets refer to the cleaned text.
     """
+    bounded_batches(docs.sparkSession, 2)
     df = docs.withColumn("cleaned", clean_text(F.col(text)))
     return df.withColumn("entities", _mentions(F.col("cleaned"), patterns, words, merge=True))
 

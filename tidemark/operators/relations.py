@@ -14,12 +14,14 @@ import re
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.columns import unnest
 from tidemark.functions import lexicons as lx
 from tidemark.operators.entities import word_starts
+from tidemark.session import bounded_batches
 
 RELATION = "struct<source:string,target:string,type:string,confidence:double,strength:double,evidence:string>"
 ENTITIES = "array<struct<text:string,type:string,s0:int,e1:int,n:int,at:array<struct<start:int,end:int>>>>"
@@ -35,14 +37,15 @@ def _distinct_entities(mentions: Column) -> Column:
     @F.arrow_udf(ENTITIES)
     def gather(rows: pa.Array) -> pa.Array:
         out = []
-        for row in rows:
-            spans: dict[tuple, list[dict]] = {}
-            for m in row.as_py() or []:
-                spans.setdefault((m["text"], m["type"]), []).append({"start": m["start"], "end": m["end"]})
-            out.append([
-                {"text": text, "type": kind, "s0": at[0]["start"], "e1": at[-1]["end"], "n": len(at), "at": at}
-                for (text, kind), at in spans.items()
-            ])
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_pylist()
+        start, end, text, kind = (pc.struct_field(rows.flatten(), [f]).to_pylist() for f in ("start", "end", "text", "type"))
+        upto = 0
+        for size in sizes:
+            spans: dict[tuple, list[tuple]] = {}
+            for i in range(upto, upto + size):
+                spans.setdefault((text[i], kind[i]), []).append((start[i], end[i]))
+            upto += size
+            out.append([(*which, at[0][0], at[-1][1], len(at), at) for which, at in spans.items()])
         return pa.array(out, ENTITY_ARROW)
 
     return gather(mentions)
@@ -265,6 +268,7 @@ def extract_relations(
     table: Mapping[tuple[str, str], str] = lx.NEAR_RELATIONS,
 ) -> DataFrame:
     """All relations of documents with ``cleaned`` and ``entities``, merged per document."""
+    bounded_batches(docs.sparkSession, 2)
     found = F.concat(between_entities(F.col("cleaned"), patterns, keywords), by_distance(100, table))
     return merge_relations(unnest(docs, [key], found), [key])
 
