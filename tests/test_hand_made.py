@@ -3,6 +3,8 @@
 import datetime as dt
 import itertools
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -666,6 +668,69 @@ def test_semantic_search_knows_rare_words(spark):
     assert [r.doc_id for r in got] == [5000]
 
 
+def shuffle_mb(spark):
+    """MB of shuffle files that the session holds."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(found.apply(i).length() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle")) / 1e6
+
+
+def test_semantic_search_counts_terms_of_repeated_and_null_keys(spark):
+    """Rows of one key are one text; null keys too. Lengths follow idf over all of them."""
+    rows = [(1, "red fox and blue fox"), (1, "Red FOX"), (2, "red red hen"), (3, None), (4, ""), (None, "blue hen"), (None, "red"), (5, "grey cat")]
+    rows += [(10 + i, f"word{i} other{i % 5} red") for i in range(40)]
+    got = kn.semantic_search(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text", "red fox red hen", 100).collect()
+    bags = {}
+    for k, text in rows:
+        if text is not None:
+            words = text.lower().split()
+            bags.setdefault(k, Counter()).update(words + [" ".join(p) for p in zip(words, words[1:], strict=False)])
+    n = sum(text is not None for _, text in rows)
+    idf = {w: np.log((n + 1) / (sum(w in b for b in bags.values()) + 1)) for b in bags.values() for w in b}
+    words = "red fox red hen".split()
+    q = {w: c * idf[w] for w, c in Counter(words + [" ".join(p) for p in zip(words, words[1:], strict=False)]).items() if w in idf}
+    size = np.sqrt(sum(x * x for x in q.values()))
+    want = {}
+    for k, b in bags.items():
+        dot = sum(c * idf[w] * q.get(w, 0) for w, c in b.items())
+        if dot > 0:
+            want[k] = dot / np.sqrt(sum((c * idf[w]) ** 2 for w, c in b.items())) / size
+    assert {r.doc_id: r.similarity for r in got} == pytest.approx(want)
+    assert [r.similarity for r in got] == sorted((r.similarity for r in got), reverse=True)
+
+
+def test_semantic_search_leaves_no_shuffle_of_all_terms(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.xxhash64("id", i).cast("string"))).alias("text"))
+    docs = docs.withColumn("text", F.concat_ws(" ", F.lit("asked"), "text"))
+    before = shuffle_mb(spark)
+    found = kn.semantic_search(docs.unionByName(docs.limit(1).withColumn("text", F.lit("rare asked"))), "doc_id", "text", "rare", 5)
+    assert found.count() == 1
+    for _ in range(50):
+        if (left := shuffle_mb(spark) - before) < 1:
+            break
+        time.sleep(0.1)
+    assert left < 1
+
+
+def test_closeness_by_sketch_in_shares(spark):
+    """A round cut into shares gives the rows of a whole one, and no share leaves its messages."""
+    ids = spark.range(400)
+    edges = ids.select(F.col("id").cast("string").alias("src"), F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(400)).cast("string") for i in range(5)])).alias("dst"), F.lit(1.0).alias("weight"))
+    adj = g.adjacency(edges)
+    whole = {r.node: r for r in g.closeness_by_sketch(adj).collect()}
+    before = shuffle_mb(spark)
+    shares = {r.node: r for r in g.closeness_by_sketch(adj, share_bytes=1).collect()}
+    assert len(whole) == 400 and set(shares) == set(whole)
+    # an estimate may differ by the order in which sketches are merged
+    for node, row in whole.items():
+        assert shares[node].reachable == pytest.approx(row.reachable, abs=2)
+        assert shares[node].closeness == pytest.approx(row.closeness, rel=0.01)
+    for _ in range(50):
+        if (left := shuffle_mb(spark) - before) < 1:
+            break
+        time.sleep(0.1)
+    assert left < 1
+
+
 def student_tail(t, v):
     """Two-sided tail by the finite series for whole degrees of freedom."""
     angle = np.arctan(abs(t) / np.sqrt(v))

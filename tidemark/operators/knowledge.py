@@ -5,16 +5,20 @@ Rows: (id, type, subject, predicate, object, confidence, source, timestamp, tags
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import NGram, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.text import similarity, triple_id
-from tidemark.session import cut_lineage
+from tidemark.session import Kept, bounded_batches, cut_lineage
 
 SPO = ("subject", "predicate", "object")
 
@@ -119,29 +123,74 @@ def search_entities(entities: DataFrame, text: str, types: Sequence[str] | None
     return out.orderBy(F.desc("similarity"), "id").limit(limit)
 
 
+#: Shares of the terms that are weighed one after the other.
+SHARES = 16
+
+
+def _counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each key and distinct term of rows (key, terms)."""
+    for batch in batches:
+        lists = batch.column(1)
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        terms, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), size)
+        order = np.lexsort((terms, row))
+        terms, row = terms[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])))) if len(terms) else np.empty(0, int)
+        tf = np.diff(np.append(first, len(terms)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(terms[first], pa.int64()), pa.array(tf, pa.int64())], ["__k", "__w", "tf"])
+
+
 def semantic_search(docs: DataFrame, key: str, text: str, asked: str, limit: int = 10) -> DataFrame:
     """Cosine of TF-IDF vectors over all words and word pairs, best first.
 
-    idf is ln((n+1)/(df+1)). Terms are rows: weights and lengths are grouped sums, and only
-    those of the asked text are matched.
+    idf is ln((n+1)/(df+1)). Terms are compared by 64-bit hashes and counted inside the row; only
+    rows whose key stands again are counted by grouping. The counts are written once. Squares
+    for the lengths are summed in ``SHARES`` shares of the terms, one after the other, so the disk
+    holds the counts and the shuffle of one share.
     """
+    spark = docs.sparkSession
     tokens = RegexTokenizer(inputCol="__x", outputCol="__t", pattern="(?U)\\W+", toLowercase=True)
     pairs = NGram(n=2, inputCol="__t", outputCol="__p")
 
     def terms(df: DataFrame) -> DataFrame:
-        split = pairs.transform(tokens.transform(df))
-        return split.select("__k", F.explode(F.concat("__t", "__p")).alias("__w")).groupBy("__k", "__w").agg(F.count(F.lit(1)).alias("tf"))
+        both = pairs.transform(tokens.transform(df))
+        return both.select("__k", F.transform(F.concat("__t", "__p"), lambda w: F.xxhash64(w)).alias("__w"))
 
-    stored = docs.select(F.col(key).alias("__k"), F.col(text).alias("__x")).where(F.col("__x").isNotNull())
+    bounded_batches(spark, 4)
+    # no null reaches the tokenizer, in whatever order the filters run
+    stored = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__x"))
     n = stored.count()
-    counted = terms(stored)
-    rare = counted.groupBy("__w").agg(F.log(F.lit(n + 1.0) / (F.count(F.lit(1)) + 1)).alias("idf"))
-    weighed = counted.join(rare, "__w").withColumn("v", F.col("tf") * F.col("idf"))
-    query = terms(docs.sparkSession.createDataFrame([(0, asked)], "__k int, __x string")).join(rare, "__w")
-    wanted = query.select("__w", (F.col("tf") * F.col("idf")).alias("q"))
+    schema = StructType([stored.schema["__k"], StructField("__w", LongType()), StructField("tf", LongType())])
+    repeated = Kept(stored.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__k").alias("__r")), F.count(F.lit(1)).alias("n"))
+    once = stored
+    if repeated.told["n"]:
+        again = F.col("__k").eqNullSafe(F.col("__r"))
+        once = stored.join(repeated.rows, again, "left_anti")
+    counts = terms(once).mapInArrow(_counted_terms, schema)
+    if repeated.told["n"]:
+        more = terms(stored.join(repeated.rows, again, "left_semi")).select("__k", F.explode("__w").alias("__w"))
+        counts = counts.unionByName(more.groupBy("__k", "__w").agg(F.count(F.lit(1)).alias("tf")))
+    counted = Kept(counts, F.count(F.lit(1)).alias("n"), codec="zstd").rows
+    repeated.drop()
+
+    def idf(df: str) -> Column:
+        return F.log(F.lit(n + 1.0) / (F.col(df) + 1))
+
+    # a row for each term asked for
+    query = terms(spark.createDataFrame([(0, asked)], "__k int, __x string")).select(F.explode("__w").alias("__w")).groupBy("__w").agg(F.count(F.lit(1)).alias("times"))
+    met = counted.join(F.broadcast(query), "__w").groupBy("__w", "times").agg(F.count(F.lit(1)).alias("df"))
+    wanted = cut_lineage(met.select("__w", idf("df").alias("idf"), (F.col("times") * idf("df")).alias("q")))
     size = wanted.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("size")).first()["size"] or 0.0
     if not size:
         return docs.select(key, F.lit(0.0).alias("similarity")).limit(0)
-    found = weighed.join(wanted, "__w", "left").groupBy("__k").agg(F.sum(F.col("v") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    dots = counted.join(F.broadcast(wanted), "__w").groupBy("__k").agg(F.sum(F.col("tf") * F.col("idf") * F.col("q")).alias("dot"))
+
+    def squares(share: int) -> DataFrame:
+        mine = counted.where(F.pmod("__w", F.lit(SHARES)) == share)
+        weighed = mine.join(mine.groupBy("__w").agg(F.count(F.lit(1)).alias("df")), "__w").withColumn("v", F.col("tf") * idf("df"))
+        return Kept(weighed.groupBy("__k").agg(F.sum(F.col("v") * F.col("v")).alias("square")), F.count(F.lit(1)).alias("n")).rows
+
+    every = reduce(DataFrame.unionByName, [squares(share) for share in range(SHARES)])
+    found = dots.unionByName(every, allowMissingColumns=True).groupBy("__k").agg(F.sum("dot").alias("dot"), F.sqrt(F.sum("square")).alias("length"))
     out = found.where((F.col("dot") > 0) & (F.col("length") > 0)).select(F.col("__k").alias(key), (F.col("dot") / F.col("length") / F.lit(size)).alias("similarity"))
     return out.orderBy(F.desc("similarity"), key).limit(limit)
