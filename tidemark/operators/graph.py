@@ -20,6 +20,9 @@ from tidemark.session import Bucketed, Kept, cut_lineage
 # edges of a node that lie in one slice, and rows that a bucket is meant to hold
 SLICE_EDGES = 500_000
 BUCKET_EDGES = 4_000_000
+# shares of the nodes that a round of large messages is cut into at most, and bytes meant for one
+SLOTS = 16
+SHARE_BYTES = 1 << 30
 
 
 class NotConverged(RuntimeError):
@@ -72,7 +75,7 @@ class Placed:
         size = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("m")).first()
         self.count, edges = size["n"], size["m"] or 0
         parts = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(parts, -(-edges // BUCKET_EDGES))
+        self.buckets = buckets = max(parts, -(-edges // BUCKET_EDGES))
         hubs = self.nodes.where(F.col("slices") > 1).select(F.col("node").alias("src"), "slices")
         cut = adj.join(hubs, "src", "left").select(
             "src",
@@ -100,8 +103,12 @@ class Placed:
     def gathered(self, state: DataFrame, value: Column, merge) -> DataFrame:
         """``state`` with ``got``: the merged values of a node's neighbours. A node's own
         row travels with its messages, so they meet in the grouping and need no join."""
+        return self.met(self.along(state, value.alias("got")), state, merge)
+
+    def met(self, sent: DataFrame, state: DataFrame, merge) -> DataFrame:
+        """``state`` with ``got``: what was ``sent`` to each of its nodes, merged."""
         own = [c for c in state.columns if c != "node"]
-        sent = self.along(state, value.alias("got")).select(
+        sent = sent.select(
             F.col("dst").alias("node"), "got", *[F.lit(None).cast(state.schema[c].dataType).alias(c) for c in own]
         )
         kind = sent.schema["got"].dataType
@@ -189,7 +196,7 @@ def closeness_centrality(dist: DataFrame) -> DataFrame:
     ).select("node", F.when(F.col("__t") > 0, F.col("reachable") / F.col("__t")).otherwise(0.0).alias("closeness"))
 
 
-def closeness_by_sketch(adj: DataFrame, lg_k: int = 12) -> DataFrame:
+def closeness_by_sketch(adj: DataFrame, lg_k: int = 12, share_bytes: int = SHARE_BYTES) -> DataFrame:
     """node, reachable, closeness by steps, from a sketch of the nodes within 1, 2, 3 .. steps of each.
 
     A round merges the sketches of the neighbours along the edges, so the work is edges times
@@ -197,29 +204,55 @@ def closeness_by_sketch(adj: DataFrame, lg_k: int = 12) -> DataFrame:
     before lies that many steps away. Counts have a standard error of about ``1.04 / sqrt(2**lg_k)``,
     1.6 % by default, and sets of some hundred nodes are counted exactly. Rounds end when no
     count grows, after as many as the longest of the shortest paths has steps.
+
+    A sketch is sent only after it changed: otherwise the neighbours hold it. A round whose
+    messages come to more than ``share_bytes`` serves the nodes in shares, up to ``SLOTS``, one
+    after the other; the shuffle of a share is gone before the next begins, so the disk holds a
+    share of the messages and two states.
     """
     with Placed(adj) as net:
         own = F.hll_sketch_agg(F.xxhash64("node"), F.lit(lg_k)).alias("sketch")
-        start = net.nodes.groupBy("node", "slices").agg(own)
-        state = start.withColumns({"seen": F.lit(1).cast("long"), "steps": F.lit(0).cast("long")})
-        last = None
+        # bits of the slots in which a node has neighbours
+        slot = F.pmod(F.xxhash64("dst"), F.lit(SLOTS)).cast("int")
+        ways = net.edges.groupBy(F.col("src").alias("node")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), slot)).alias("ways"))
+        start = net.nodes.join(ways, "node").groupBy("node", "slices", "degree", "ways").agg(own)
+        state = start.withColumns({"seen": F.lit(1).cast("long"), "steps": F.lit(0).cast("long"), "live": F.lit(True)})
+        last, due = [], 0
         for distance in range(1, max(net.count, 1) + 1):
-            merged = net.gathered(state, F.col("sketch"), F.hll_union_agg)
-            sketch = F.coalesce(F.hll_union("sketch", "got"), "sketch")
-            grown = merged.withColumn("sketch", sketch).withColumn("now", F.greatest("seen", F.hll_sketch_estimate("sketch")))
-            more = F.col("now") - F.col("seen")
-            rows = grown.select("node", "slices", "sketch", F.col("now").alias("seen"), (F.col("steps") + distance * more).alias("steps"), more.alias("more"))
-            kept = Kept(rows, F.sum("more").alias("more"))
-            if last is not None:
-                last.drop()
-            state, last = kept.rows.drop("more"), kept
-            if not kept.told["more"]:
+            shares = 1
+            while shares < SLOTS and due > shares * share_bytes:
+                shares *= 2
+            now = [_sketch_round(net, state, share, shares, distance) for share in range(shares)]
+            for kept in last:
+                kept.drop()
+            rows = adj.sparkSession.read.schema(now[0].rows.schema).parquet(*[kept.path for kept in now])
+            state, last, due = rows.drop("more"), now, sum(kept.told["due"] or 0 for kept in now)
+            if not any(kept.told["more"] for kept in now):
                 break
         reachable = F.col("seen") - 1
         closeness = F.when(F.col("steps") > 0, reachable / F.col("steps")).otherwise(0.0)
         return state.select("node", reachable.alias("reachable"), closeness.alias("closeness"))
 
 
+def _sketch_round(net: Placed, state: DataFrame, share: int, shares: int, distance: int) -> Kept:
+    """The state after one more step, of the nodes in a share, and about the bytes they get in the next."""
+    mine = lambda node: F.pmod(F.xxhash64(node), F.lit(shares)) == share
+    bits = sum(1 << slot for slot in range(share, SLOTS, shares))
+    senders = state.where(F.col("live") & (F.col("ways").bitwiseAND(bits) != 0))
+    sent = net.along(senders, F.col("sketch").alias("got")).where(mine("dst"))
+    merged = net.met(sent, state.where(mine("node")), F.hll_union_agg)
+    merged = merged.withColumn("whole", F.coalesce(F.hll_union("sketch", "got"), "sketch"))
+    grown = merged.withColumn("now", F.greatest("seen", F.hll_sketch_estimate("whole")))
+    more = F.col("now") - F.col("seen")
+    rows = grown.select(
+        "node", "slices", "degree", "ways", F.col("whole").alias("sketch"), F.col("now").alias("seen"),
+        (F.col("steps") + distance * more).alias("steps"), (F.col("whole") != F.col("sketch")).alias("live"), more.alias("more"),
+    )
+    # what a bucket sends to one node is merged before it travels
+    size = F.octet_length("sketch") * F.least("degree", F.lit(net.buckets))
+    return Kept(rows, F.sum("more").alias("more"), F.sum(size).alias("due"), codec="zstd")
+
+
 def betweenness_centrality(adj: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Path counts by breadth-first levels from each source, then dependencies level by
     level backwards. Both ends of a pair count, as does the factor 2/((n-1)(n-2))."""
