@@ -711,6 +711,19 @@ def test_semantic_search_leaves_no_shuffle_of_all_terms(spark):
     assert left < 1
 
 
+def test_written_table_leaves_no_shuffle(spark):
+    from tidemark.llm.shared import written
+
+    before = shuffle_mb(spark)
+    rows = written(spark.range(300_000).repartition(4, "id"), "rows")
+    assert rows.count() == 300_000
+    for _ in range(50):
+        if (left := shuffle_mb(spark) - before) < 0.2:
+            break
+        time.sleep(0.1)
+    assert left < 0.2
+
+
 def test_closeness_by_sketch_in_shares(spark):
     """A round cut into shares gives the rows of a whole one, and no share leaves its messages."""
     ids = spark.range(400)
