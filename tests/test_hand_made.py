@@ -5,6 +5,7 @@ import itertools
 import re
 import time
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from tidemark.operators import quality_bars as qb
 from tidemark.operators import relations as rl
 from tidemark.operators import sentiment as se
 from tidemark.operators import weights as wt
+from tidemark.operators.blocks import Blocks
 from tidemark.operators.features import FeatureBook, grouped_feature
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.stream_queries import setting
@@ -221,6 +223,52 @@ def test_rounds_leave_the_edges_where_they_lie(spark):
         assert plan.split("Initial Plan")[0].count("Exchange") == 1, plan
 
 
+def test_blocks_tell_a_value_once_to_a_part(spark):
+    """A hub and a chain in many parts: right sums, no edge moves, and few rows do."""
+    pairs = [("hub", f"n{i:03d}", 1) for i in range(200)] + [("n000", "n001", 1)]
+    adj = g.adjacency(edges(spark, pairs))
+    degree = g.degrees(adj)
+    with Blocks(adj, degree, part_edges=60) as net:
+        assert net.parts == 7 and net.vectors.count() == 7
+        ones = net.kept(net.vectors, lambda part, ids, degrees: {"part": part, "given": np.ones(len(ids) // 8).tobytes()}, "part int, given binary", F.count("part").alias("n"))
+        got = net.gathered(ones.rows, np.float64, "sum")
+        assert by_node(net.named(got, "got", "double"), "got") == by_node(degree, "degree")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 2 and "Sort" not in plan
+        assert plan.count("Exchange") == 2, plan
+        # the hub is told once to a part, not once to each of its 200 neighbours
+        routes = net._routes.rows.selectExpr("sum(length(places)) / 4").first()[0]
+        assert routes < 200 + 7 + 7 * 2
+    ones.drop()
+
+
+def test_rounds_in_many_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 60, (90, 2)) if a < b} | {(0, i) for i in range(30, 60)} | {(100 + i, 101 + i) for i in range(40)}
+    names = lambda x: f"n{x:03d}"
+    adj = g.adjacency(edges(spark, [(names(a), names(b), 1) for a, b in pairs]))
+    monkeypatch.setattr(g, "Blocks", partial(Blocks, part_edges=25))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    ranks, moved = {n: 1 / len(near) for n in near}, 1
+    while moved >= 0.02:
+        old, ranks = ranks, {n: 0.15 / len(near) + 0.85 * sum(ranks[m] / len(near[m]) for m in near[n]) for n in near}
+        moved = sum(abs(ranks[n] - old[n]) for n in near)
+    assert by_node(g.pagerank(adj, tolerance=0.02), "rank") == pytest.approx({names(n): r for n, r in old.items()})
+    least = {n: n for n in near}
+    for _ in near:
+        least = {n: min([least[n], *(least[m] for m in near[n])]) for n in near}
+    assert by_node(g.connected_components(adj), "component") == {names(n): names(c) for n, c in least.items()}
+
+
+def test_single_pairs_are_not_merged(spark):
+    rows = edges(spark, [("a", "b", 2), ("d", "c", 3), ("e", "e", 1)])
+    same = lambda adj: sorted(map(tuple, adj.collect()))
+    assert same(g.adjacency(rows, single=True)) == same(g.adjacency(rows)) == [("a", "b", 2.0), ("b", "a", 2.0), ("c", "d", 3.0), ("d", "c", 3.0)]
+
+
 def test_closeness_by_sketch(spark):
     """Two parts, a path and a random graph of 3000 nodes, against breadth-first search."""
     rng = np.random.default_rng(3)

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.columns import ratio
+from tidemark.operators.blocks import Blocks
 from tidemark.session import Bucketed, Kept, cut_lineage
 
 # edges of a node that lie in one slice, and rows that a bucket is meant to hold
@@ -33,16 +35,19 @@ class NotConverged(RuntimeError):
         self.rows = rows
 
 
-def adjacency(edges: DataFrame, parts: int | None = None) -> DataFrame:
+def adjacency(edges: DataFrame, parts: int | None = None, single: bool = False) -> DataFrame:
     """Both directions of (src, dst, weight), one row per ordered pair, no loops.
 
     A pair is merged once, not once a direction. ``parts`` says into how many partitions the
-    pairs are dealt where the session's number would give a task too many.
+    pairs are dealt where the session's number would give a task too many. ``single`` says that
+    no pair occurs twice, in either direction, so that none needs to be merged.
     """
     ends = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
     pairs = edges.where(F.col("src") != F.col("dst")).select(*ends, "weight")
-    pairs = pairs if parts is None else pairs.repartition(parts, "a", "b")
-    pairs = cut_lineage(pairs.groupBy("a", "b").agg(F.max("weight").alias("weight")))
+    if not single:
+        pairs = pairs if parts is None else pairs.repartition(parts, "a", "b")
+        pairs = pairs.groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    pairs = cut_lineage(pairs)
     ways = F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), "weight") for x, y in ("ab", "ba")])
     return pairs.select(F.explode(ways).alias("e")).select("e.*")
 
@@ -119,23 +124,30 @@ class Placed:
 def pagerank(adj: DataFrame, damping: float = 0.85, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Undirected PageRank; on convergence the vector before the last is returned.
     Raises ``NotConverged`` after ``max_iter`` rounds."""
-    with Placed(adj) as net:
-        base = F.lit((1 - damping) / max(net.count, 1))
-        ranks, last = net.nodes.withColumn("rank", F.lit(1.0 / max(net.count, 1))), None
+    with Blocks(adj, cut_lineage(degrees(adj))) as net:
+        n = max(net.count, 1)
+        base = (1 - damping) / n
+
+        def start(part, ids, degrees):
+            degree = np.frombuffer(degrees, np.int64)
+            return {"part": part, "degrees": degrees, "rank": np.full(len(degree), 1.0 / n).tobytes(), "given": (1.0 / n / degree).tobytes(), "moved": 0.0}
+
+        def step(part, degrees, rank, got):
+            new = base + damping * np.frombuffer(got)
+            moved = float(np.abs(new - np.frombuffer(rank)).sum())
+            return {"part": part, "degrees": degrees, "rank": new.tobytes(), "given": (new / np.frombuffer(degrees, np.int64)).tobytes(), "moved": moved}
+
+        state = "part int, degrees binary, rank binary, given binary, moved double"
+        last = net.kept(net.vectors, start, state, F.sum("moved").alias("moved"))
         for _ in range(max_iter):
-            flow = net.gathered(ranks, F.col("rank") / F.col("degree"), F.sum)
-            new = base + damping * F.col("got")
-            kept = Kept(
-                flow.select("node", "degree", "slices", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")),
-                F.sum("moved").alias("moved"),
-            )
+            got = net.gathered(last.rows.select("part", "given"), np.float64, "sum")
+            kept = net.kept(last.rows.select("part", "degrees", "rank").join(got, "part"), step, state, F.sum("moved").alias("moved"))
             if (kept.told["moved"] or 0.0) < tolerance:
                 kept.drop()
-                return ranks.select("node", "rank")
-            if last is not None:
-                last.drop()
-            ranks, last = kept.rows.drop("moved"), kept
-    raise NotConverged("pagerank", max_iter, ranks.select("node", "rank"))
+                return net.named(last.rows.select("part", "rank"), "rank", "double")
+            last.drop()
+            last = kept
+    raise NotConverged("pagerank", max_iter, net.named(last.rows.select("part", "rank"), "rank", "double"))
 
 
 def eigenvector_centrality(adj: DataFrame, max_iter: int = 100, tolerance: float = 1e-6) -> DataFrame:

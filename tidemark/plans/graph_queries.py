@@ -65,7 +65,8 @@ def supply_edges(spark, folder):
 
 
 def _supply(spark, folder):
-    return g.adjacency(supply_edges(spark, folder), supply_parts(spark, folder))
+    # grouped by supplier and part, and the letters keep the two apart: no pair occurs twice
+    return g.adjacency(supply_edges(spark, folder), single=True)
 
 
 SUPPLY = """edges AS (SELECT concat('S', l_suppkey) AS src, concat('P', l_partkey) AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2),
