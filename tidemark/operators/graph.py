@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -439,27 +440,54 @@ def modularity(adj: DataFrame, communities: DataFrame) -> DataFrame:
 
 def connected_components(adj: DataFrame) -> DataFrame:
     """Smallest node of each component: neighbours' labels, then labels of labels, so a
-    chain of any length halves in a round."""
-    with Placed(adj) as net:
-        state, last = net.nodes.select("node", "slices", F.col("node").alias("component")), None
+    chain of any length halves in a round. A label is a node's part and place in it."""
+    with Blocks(adj, cut_lineage(degrees(adj))) as net:
+
+        def start(part, ids, degrees):
+            return {"part": part, "label": ((part << 32) + np.arange(len(ids) // 8, dtype=np.int64)).tobytes(), "moved": 0}
+
+        def lower(part, label, got):
+            old = np.frombuffer(label, np.int64)
+            low = np.minimum(old, np.frombuffer(got, np.int64))
+            return {"part": part, "label": low.tobytes(), "moved": int((low != old).sum())}
+
+        def asked(batches):
+            for batch in batches:
+                for part, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    asks = np.unique(np.frombuffer(label, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asks), part, np.int32)), pa.array(asks)], ["part", "ask"])
+
+        def jump(part, label, asks, answers):
+            low, asks = np.frombuffer(label, np.int64), np.array(asks, np.int64)
+            order = np.argsort(asks)
+            found = np.array(answers, np.int64)[order][np.searchsorted(asks[order], low)]
+            return {"part": part, "label": found.tobytes(), "moved": int((found != low).sum())}
+
+        def places(batches):
+            for batch in batches:
+                for part, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    labels = np.frombuffer(label, np.int64)
+                    at = (part << 32) + np.arange(len(labels), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(labels)], ["ask", "answer"])
+
+        state, moves = "part int, label binary, moved long", F.sum("moved").alias("moved")
+        last = net.kept(net.vectors, start, state, moves)
         while True:
-            near = net.gathered(state, F.col("component"), F.min)
-            step = near.select("node", "slices", "component", F.least("component", "got").alias("low"))
-            jump = state.select(F.col("node").alias("low"), F.col("component").alias("lower"))
-            kept = Kept(
-                step.join(jump, "low").select(
-                    "node",
-                    "slices",
-                    F.least("low", "lower").alias("component"),
-                    (F.least("low", "lower") != F.col("component")).alias("moved"),
-                ),
-                F.count_if("moved").alias("moved"),
-            )
-            if last is not None:
-                last.drop()
-            state, last = kept.rows.drop("moved"), kept
-            if not kept.told["moved"]:
-                return state.select("node", "component")
+            got = net.gathered(last.rows.select("part", F.col("label").alias("given")), np.int64, "min")
+            low = net.kept(last.rows.select("part", "label").join(got, "part"), lower, state, moves)
+            last.drop()
+            last = low
+            if not low.told["moved"]:
+                break
+            labels = low.rows.select("part", "label")
+            # a part asks for a label once, however many of its nodes bear it
+            answers = labels.mapInArrow(asked, "part int, ask long").join(labels.mapInArrow(places, "ask long, answer long"), "ask")
+            told = answers.groupBy("part").agg(F.collect_list(F.struct("ask", "answer")).alias("told"))
+            last = net.kept(labels.join(told, "part").select("part", "label", F.col("told.ask").alias("asks"), F.col("told.answer").alias("answers")), jump, state, moves)
+            low.drop()
+        labelled = net.named(last.rows.select("part", "label"), "label", "long")
+    least = labelled.groupBy("label").agg(F.min("node").alias("component"))
+    return labelled.join(least, "label").select("node", "component")
 
 
 def clustering(adj: DataFrame) -> DataFrame:
