@@ -278,6 +278,21 @@ def test_join_of_near_texts(spark, seed, block):
     assert components_of(jaccard_join.jaccard_components(df, block=block)) == plain_components(df.collect())
 
 
+def test_tiles_take_turns(spark, monkeypatch):
+    """Sets reach the crowded tiles in turns, each written before the next, with the same components."""
+    df, turns = spark.createDataFrame(near_texts(2), "doc_id long, text string").repartition(3), []
+
+    def seen(rows, kind, *rest):
+        turns.append(kind)
+        return written(rows, kind, *rest)
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    monkeypatch.setattr(jaccard_join, "TURN_BYTES", -1)
+    assert components_of(jaccard_join.jaccard_components(df)) == plain_components(df.collect())
+    assert turns.count("mixed") == jaccard_join.TURNS > 1
+
+
 def test_tiles_settle_what_heads_do_not(spark):
     """In one tile the least node is like none of the others, which form two components."""
     rng = np.random.default_rng(5)

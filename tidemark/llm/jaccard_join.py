@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,9 @@ SHINGLE = 4
 PERCENT = 85
 #: Counters of shingle frequencies: a shingle stands out once it is in more texts than a counter holds others.
 COUNTERS = 1 << 20
+#: Turns in which tiles with several components get their sets, and bytes of sets that are one turn.
+TURNS = 8
+TURN_BYTES = 8 << 20
 _TURN = 0x2545F4914F6CDD1D
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = np.uint64((1 << 58) - 1)
@@ -341,14 +345,20 @@ def mixed_links(crowded: DataFrame, roots: DataFrame, nodes: DataFrame, sets_of:
     marked = written(by_tile(dealt.join(nodes.select("node", "bits"), "node").select(*_TILE, "bits")).mapInArrow(mark, TILE), "marked")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, _, node, high, own, root, n, pos, bits, held in tile_runs(batches):
-            marks = tile_marks(root, high, own, n, pos, bits.tolist(), percent)
-            if links := tile_links(node.tolist(), root.tolist(), marks, [np.frombuffer(s, "<u8") for s in held], percent):
+        for _, _, _, _, node, high, own, root, n, pos, held in tile_runs(batches):
+            held = [np.frombuffer(s, "<u8") for s in held]
+            marks = tile_marks(root, high, own, n, pos, [bitmap(s).tobytes() for s in held], percent)
+            if links := tile_links(node.tolist(), root.tolist(), marks, held, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["u", "v"])
 
     sets = sets_of(marked.select("node").distinct())
-    chosen = marked.join(nodes.select("node", "bits"), "node").join(sets, "node").select(*_TILE, "bits", "set")
-    return written(by_tile(chosen).mapInArrow(settle, "u long, v long"), "mixed")
+    # a set goes to every tile of its node: the tiles take turns, and a turn's shuffle goes before the next
+    turns = TURNS if 8 * (marked.agg(F.sum("n")).first()[0] or 0) > TURN_BYTES else 1
+    found = []
+    for turn in range(turns):
+        now = marked.where(F.pmod(F.xxhash64(*_TILE[:4]), F.lit(turns)) == turn)
+        found.append(written(by_tile(now.join(sets, "node").select(*_TILE, "set")).mapInArrow(settle, "u long, v long"), "mixed"))
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- the join
