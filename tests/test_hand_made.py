@@ -1020,3 +1020,30 @@ def test_extraction_bounds_what_a_worker_holds(spark):
     got = {r.doc_id: r.entities and [m.text for m in r.entities] for r in found.collect()}
     assert got[2] is None and got[3] == [] and "12.5%" in got[4] and len(got[1]) >= 2
     assert {r.doc_id for r in rl.extract_relations(found, "doc_id").collect()} <= {1}
+
+
+def test_learning_metrics_take_the_mean_of_the_factors(spark, tmp_path):
+    """The query's portfolio return of a day is the mean over its factors, not the price's own return."""
+    from tidemark.plans import state_queries as sq
+
+    rng = np.random.default_rng(8)
+    days = pd.date_range("2024-01-01", periods=45)
+    lines = [(i, k, 1, float(q), float(q * x), d.to_pydatetime()) for k in (1, 2) for i, (d, q, x) in enumerate(zip(days, rng.integers(1, 50, 45), rng.uniform(5, 30, 45)))]
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "B1"), (2, "B2")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.portfolio_id, r.date): r for r in sq.learning_metrics(spark, str(tmp_path)).collect()}
+    rets = sq.factor_returns(spark, str(tmp_path)).toPandas()
+    assert rets.factor_id.nunique() == 5
+    seen = 0
+    for name, daily in rets.groupby(["portfolio_id", "date"]).ret.mean().groupby(level=0):
+        r = daily.droplevel(0).sort_index()
+        path = (1 + r).cumprod()
+        low = ((path - path.cummax()) / path.cummax()).cummin()
+        for i, day in enumerate(r.index):
+            row, past = got[name, day], r.iloc[: i + 1]
+            assert row.hit_rate == pytest.approx((past > 0).mean(), abs=1e-6)
+            assert row.max_drawdown == pytest.approx(low.iloc[i], abs=1e-5)
+            assert row.sharpe == pytest.approx(past.mean() / past.std(ddof=0) if past.std(ddof=0) > 1e-12 else 0.0, abs=1e-4)
+            seen += 1
+    assert seen == len(got)

@@ -387,7 +387,7 @@ def weights_regression(spark, folder):
     return wt.regression_weights(wide, fc.BUILT_IN, "fwd_ret")
 
 
-_EQ = f"""{FACTORS}, dy AS (SELECT symbol AS portfolio_id, date, fwd_ret AS r FROM fac WHERE fwd_ret IS NOT NULL)"""
+_EQ = f"""{RETS}, dy AS (SELECT portfolio_id, date, avg(ret) AS r FROM fr GROUP BY 1, 2)"""
 _PW = "PARTITION BY portfolio_id ORDER BY date"
 
 
@@ -397,9 +397,8 @@ _PW = "PARTITION BY portfolio_id ORDER BY date"
     SELECT portfolio_id, date, {s(f'CASE WHEN n > 1 AND stddev_pop(r) OVER ({_PW}) > 1e-12 THEN avg(r) OVER ({_PW}) / stddev_pop(r) OVER ({_PW}) ELSE 0 END', 4)} AS sharpe, {s(f'min(d) OVER ({_PW})', 5)} AS max_drawdown, {s(f'avg((r > 0)::INT) OVER ({_PW})')} AS hit_rate FROM dd""",
 )
 def learning_metrics(spark, folder):
-    ret = F.col("fwd_ret")
-    wide = fc.forward_return(fc.builtin_factors(daily_bars(spark, folder))).where(ret.isNotNull())
-    daily = wide.select(F.col("symbol").alias("portfolio_id"), "date", ret.alias("portfolio_ret"))
+    """A portfolio's return of a day is the mean of its factors' returns."""
+    daily = factor_returns(spark, folder).groupBy("portfolio_id", "date").agg(F.avg("ret").alias("portfolio_ret"))
     out = wt.learning_metrics(daily)
     return out.select("portfolio_id", "date", snap(F.col("sharpe"), 4).alias("sharpe"), snap(F.col("max_drawdown"), 5).alias("max_drawdown"), snap(F.col("hit_rate")).alias("hit_rate"))
 
