@@ -1047,3 +1047,22 @@ def test_learning_metrics_take_the_mean_of_the_factors(spark, tmp_path):
             assert row.sharpe == pytest.approx(past.mean() / past.std(ddof=0) if past.std(ddof=0) > 1e-12 else 0.0, abs=1e-4)
             seen += 1
     assert seen == len(got)
+
+
+def test_closeness_by_sketch_two_ways(spark, monkeypatch):
+    """Several parts, a hub and small parts of the graph: tasks that take all nodes and shares of the
+    registers that are shuffled give the same rows; a hub's degree and small sets are exact."""
+    from tidemark.operators import sketches
+
+    monkeypatch.setattr(sketches, "LEAST_EDGES", 1500)
+    monkeypatch.setattr(g, "SLOTS", 2)
+    rng = np.random.default_rng(5)
+    ends = [("hub", f"l{i}") for i in range(2000)] + [(f"t{i}", f"t{rng.integers(max(0, i - 300), i)}") for i in range(1, 900)]
+    ends += [(f"p{i}", f"p{i + 1}") for i in range(5)] + [(f"c{i}", f"c{j}") for i in range(20) for j in range(i)]
+    adj = g.adjacency(spark.createDataFrame([(*e, 1.0) for e in ends], "src string, dst string, weight double")).cache()
+    alone = {r.node: (r.reachable, r.closeness) for r in g.closeness_by_sketch(adj).collect()}
+    together = {r.node: (r.reachable, r.closeness) for r in g.closeness_by_sketch(adj, share_bytes=1).collect()}
+    assert alone == together and len(alone) == 2001 + 900 + 6 + 20
+    assert alone["hub"] == (2000, 1.0) and alone["p0"] == (5, 5 / 15) and alone["c7"] == (19, 1.0)
+    assert alone["l1"][0] == pytest.approx(2000, rel=0.06) and alone["t0"][0] == pytest.approx(899, rel=0.06)
+    adj.unpersist()

@@ -118,15 +118,16 @@ class Blocks:
     """The blocks of ``adj`` (both directions of each edge), and per node its id and part.
 
     ``vectors`` has a row per part: the ids and degrees of its nodes. ``with Blocks(adj, nodes) as
-    net`` drops the blocks at the end and bounds Arrow batches until then.
+    net`` drops the blocks at the end and bounds Arrow batches until then. ``parts_of(nodes, edges)``
+    gives another number of parts; these get names that lie in buckets of their own.
     """
 
-    def __init__(self, adj: DataFrame, nodes: DataFrame, part_edges: int = PART_EDGES):
+    def __init__(self, adj: DataFrame, nodes: DataFrame, part_edges: int = PART_EDGES, parts_of: Callable[[int, int], int] | None = None):
         self.spark = spark = adj.sparkSession
         size = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("m")).first()
         self.count, edges = size["n"], size["m"] or 0
         session = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.parts = parts = max(-(-edges // part_edges), min(session, 1 + edges // LEAST_EDGES))
+        self.parts = parts = parts_of(self.count, edges) if parts_of else max(-(-edges // part_edges), min(session, 1 + edges // LEAST_EDGES))
         self.buckets = max(session, parts)
         self._limits = {f"spark.sql.execution.arrow.{k}": v for k, v in {"maxBytesPerBatch": str(BATCH_BYTES), "maxRecordsPerBatch": "100000"}.items()}
         self._before = {k: spark.conf.get(k, None) for k in self._limits}
@@ -136,7 +137,16 @@ class Blocks:
         seed, id_of = 0, lambda c: F.xxhash64(F.lit(seed), F.col(c))
         while nodes.select(id_of("node").alias("id")).distinct().count() < self.count:
             seed += 1
-        part_of = lambda c: F.pmod(F.col(c), F.lit(parts)).cast("int")
+        if parts_of:
+            bucket = F.pmod(F.hash(F.col("id").cast("int")), F.lit(self.buckets))
+            firsts = spark.range(40 * self.buckets).groupBy(bucket.alias("b")).agg(F.min("id").alias("id")).orderBy("b").limit(parts).collect()
+            # more names than buckets that were met: the rest share one
+            names = [r["id"] for r in firsts] + [40 * self.buckets + i for i in range(parts - len(firsts))]
+            named = F.array(*[F.lit(n).cast("int") for n in names])
+            part_of = lambda c: F.get(named, F.pmod(F.col(c), F.lit(parts)).cast("int"))
+        else:
+            part_of = lambda c: F.pmod(F.col(c), F.lit(parts)).cast("int")
+        self.id_of, self.part_of = id_of, part_of
         self.nodes = nodes.select("node", id_of("node").alias("id"))
         ids = nodes.select(id_of("node").alias("id"), "degree").withColumn("part", part_of("id"))
         self.vectors = cut_lineage(ids.groupBy("part").applyInArrow(_vector, "part int, ids binary, degrees binary"))
@@ -161,6 +171,20 @@ class Blocks:
         self._blocks = Bucketed(blocks, ["part"], self.buckets)
         cells.drop()
 
+    @property
+    def routes(self) -> DataFrame:
+        """part, others, lengths, places: the parts each part tells, how many rows, and their places."""
+        return self._routes.rows
+
+    @property
+    def blocks(self) -> DataFrame:
+        """part, other, n, into, starts, takes: the edges into a part from another."""
+        return self._blocks.rows
+
+    def negated_degrees(self) -> DataFrame:
+        """part and the vector ``given``."""
+        return mapped(self.vectors.select("part", "degrees"), lambda part, degrees: {"part": part, "given": (-np.frombuffer(degrees, np.int64)).tobytes()}, "part int, given binary")
+
     def _by_part(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(self.buckets, "part").sortWithinPartitions("part", "other")
 
