@@ -7,7 +7,8 @@ time, in each (``alone``): nothing is shuffled. A graph with more nodes goes in
 other: in a round each part tells each other part the changed rows of those of its nodes that have
 neighbours there (``together``), and memory and disk hold a share. Both give the same registers.
 What is kept of a round is, for each changed row, by how much its number of empty registers and
-its sum of powers changed; all estimates follow from these.
+its sum of powers changed; all estimates follow from these. Hashes and estimates are those of
+Spark's ``hll_sketch_agg`` and ``hll_sketch_estimate``.
 
 Sets of at most ``EXACT`` nodes are lists of ids and counted exactly; the registers tell which lists
 can be that short before any is sent.
@@ -15,6 +16,7 @@ can be that short before any is sent.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -42,8 +44,6 @@ CELLS = 1 << 20
 GROUP = 4096
 MOST_EDGES = 256
 FEW = 0.1
-# bits of a node's hash that give its rank; the others give its register
-RANK_BITS = 52
 _POWERS = np.concatenate(([0.0], 0.5 ** np.arange(1, 256)))
 _STATE = [("part", pa.int32()), *((n, pa.binary()) for n in ("regs", "sums", "empty", "live", "bits", "more", "fewer"))]
 _KINDS = "part int, regs binary, sums binary, empty binary, live binary, bits binary, more binary, fewer binary"
@@ -55,27 +55,39 @@ def parts_of(spark, nodes: int, edges: int, width: int) -> int:
     return max(-(-nodes * width // PART_BYTES), min(2 * cores, 1 + edges // LEAST_EDGES))
 
 
-def hashed(ids: np.ndarray, lg_k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Register and rank of each id."""
-    bits = ids.view(np.uint64)
-    register = (bits >> np.uint64(64 - lg_k)).astype(np.int64)
-    low = (bits & np.uint64((1 << RANK_BITS) - 1)) | np.uint64(1 << RANK_BITS)
-    last = low & (~low + np.uint64(1))
-    return register, (np.log2(last.astype(np.float64)) + 1).astype(np.uint8)
-
-
-def estimates(empty: np.ndarray, sums: np.ndarray, size: int) -> np.ndarray:
-    """Sizes by the improved raw estimator (Ertl 2017): ``empty`` registers of ``size``, and the
-    sum of 2^-rank over the others."""
-    x = empty / size
-    y, z = 1.0, x.copy()
-    while True:
-        x = x * x
-        if not x.any():
-            break
-        z += x * y
-        y *= 2
-    return size * size / (2 * np.log(2)) / (size * z + sums)
+def hashed(values: np.ndarray, lg_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Register and rank that Spark's sketch functions give each long: 128 bits of MurmurHash3."""
+    u, seed = np.uint64, np.uint64(9001)
+    turned = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+
+    def mixed(x):
+        x = (x ^ (x >> u(33))) * u(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> u(33))) * u(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> u(33))
+
+    one = turned(values.view(u) * u(0x87C37B91114253D5), 31) * u(0x4CF5AD432745937F)
+    two = np.full(len(values), seed ^ u(8))
+    one = one ^ seed ^ u(8)
+    one = one + two
+    two = two + one
+    one, two = mixed(one), mixed(two)
+    one = one + two
+    two = two + one
+    # leading zeros, by halves that a double holds exactly
+    high = two >> u(32)
+    zeros = np.where(high > 0, 32 - np.frexp(high.astype(np.float64))[1], 64 - np.frexp((two & u(0xFFFFFFFF)).astype(np.float64))[1])
+    return (one & u((1 << lg_k) - 1)).astype(np.int64), (np.minimum(zeros, 62) + 1).astype(np.uint8)
+
+
+def headers(empty: np.ndarray, sums: np.ndarray, lg_k: int) -> pa.Array:
+    """Of sketches with so many empty registers, and such a sum of 2^-rank over the others, all that
+    Spark's estimate reads: the header of a merged sketch of 8-bit registers."""
+    kind = np.dtype([("fixed", "u1", 8), ("hip", "<f8"), ("sum", "<f8"), ("rest", "<f8"), ("empty", "<i4"), ("aux", "<i4")])
+    rows = np.zeros(len(empty), kind)
+    rows["fixed"] = [10, 1, 7, lg_k, 0, 16, 0, 10]
+    rows["sum"], rows["empty"] = sums + empty, empty
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * kind.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
 
 
 def merged(out: np.ndarray, told: np.ndarray, takes: np.ndarray, starts: np.ndarray, into: np.ndarray) -> None:
@@ -189,18 +201,24 @@ def _rows(batches: Iterator[pa.RecordBatch], **kinds: type) -> Iterator[tuple[di
             yield plain, [None if (b := at[n][i].as_buffer()) is None else np.frombuffer(b, k) for n, k in kinds.items()]
 
 
-def _started(net: Blocks, lg_k: int, low: int, width: int) -> DataFrame:
+def _hashes(key: tuple, rows: pa.Table) -> pa.Table:
+    """The hashes of a part's nodes, in the order of their ids."""
+    ids, hashes = (rows.column(c).to_numpy() for c in ("id", "hash"))
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "hashes": [hashes[np.argsort(ids)].tobytes()]})
+
+
+def _started(hashes: DataFrame, lg_k: int, low: int, width: int) -> DataFrame:
     """Each node's own register, if it is one of the share."""
 
     def run(batches):
-        for row, (ids,) in _rows(batches, ids=np.int64):
-            register, rank = hashed(ids, lg_k)
+        for row, (values,) in _rows(batches, hashes=np.int64):
+            register, rank = hashed(values, lg_k)
             own = np.flatnonzero((register >= low) & (register < low + width)).astype(np.int32)
-            regs = np.zeros((len(ids), width), np.uint8)
+            regs = np.zeros((len(values), width), np.uint8)
             regs[own, register[own] - low] = rank[own]
             yield _batch(row["part"], regs, *_measured(regs), own, *[np.empty(0, np.uint8)] * 3)
 
-    return net.vectors.select("part", "ids").mapInArrow(run, _KINDS)
+    return hashes.mapInArrow(run, _KINDS)
 
 
 def _told(net: Blocks, state: DataFrame, width: int) -> DataFrame:
@@ -327,13 +345,13 @@ def _sources(net: Blocks, first: dict[int, int]) -> DataFrame:
     return met.mapInArrow(place, ", ".join(f"{c} binary" for c in LAID))
 
 
-def _through(ids: str, blocks: str, parts: list[tuple[int, int, int]], lg_k: int, low: int, width: int) -> Iterator[pa.RecordBatch]:
+def _through(hashes: str, blocks: str, parts: list[tuple[int, int, int]], lg_k: int, low: int, width: int) -> Iterator[pa.RecordBatch]:
     """The changes of a slice of all nodes' registers in all rounds. ``parts``: name, first node and number of nodes."""
     count = sum(n for *_, n in parts)
     begin = {part: first for part, first, _ in parts}
     regs, live = np.zeros((count, width), np.uint8), np.zeros(count, bool)
-    for row in _read(ids):
-        register, rank = hashed(np.frombuffer(row["ids"], np.int64), lg_k)
+    for row in _read(hashes):
+        register, rank = hashed(np.frombuffer(row["hashes"], np.int64), lg_k)
         own = np.flatnonzero((register >= low) & (register < low + width))
         regs[begin[row["part"]] + own, register[own] - low] = rank[own]
         live[begin[row["part"]] + own] = True
@@ -374,22 +392,22 @@ class Changes:
         while width >= LEAST_WIDTH and 2 * net.count * width > share_bytes:
             width //= 2
         # a table of one row per part tells whether Arrow opens the shared folder
-        self.ids = Kept(net.vectors.select("part", "ids"), F.count(F.lit(1)).alias("n"))
-        if net.count and width >= LEAST_WIDTH and shared_uri(spark, self.ids.path):
+        hashes = net.nodes.select("id", F.xxhash64("node").alias("hash"), net.part_of("id").alias("part"))
+        self.hashes = Kept(hashes.groupBy("part").applyInArrow(_hashes, "part int, hashes binary"), F.count(F.lit(1)).alias("n"))
+        if net.count and width >= LEAST_WIDTH and shared_uri(spark, self.hashes.path):
             self._alone(width)
         else:
             self._together(shares)
-        self.ids.drop()
         self.rows = spark.read.schema(self.kept[0].rows.schema).parquet(*[k.path for k in self.kept])
 
     def _alone(self, width: int) -> None:
         """A task takes a slice of the registers of all nodes through all rounds."""
         spark, lg_k, first, parts = self.net.spark, self.lg_k, 0, []
-        for part, n in sorted(self.ids.rows.select("part", F.octet_length("ids") / 8).collect()):
+        for part, n in sorted(self.hashes.rows.select("part", F.octet_length("hashes") / 8).collect()):
             parts.append((part, first, int(n)))
             first += int(n)
         blocks = Kept(_sources(self.net, {p: f for p, f, _ in parts}), F.count(F.lit(1)).alias("n"), codec="none")
-        places = [shared_uri(spark, k.path) for k in (self.ids, blocks)]
+        places = [shared_uri(spark, k.path) for k in (self.hashes, blocks)]
 
         def run(batches):
             for batch in batches:
@@ -405,7 +423,7 @@ class Changes:
         """Shares of the registers one after the other; all tasks work on a round of a share."""
         net, lg_k, width = self.net, self.lg_k, (1 << self.lg_k) // shares
         for share in range(shares):
-            state, held, distance = _started(net, lg_k, share * width, width), [], 0
+            state, held, distance = _started(self.hashes.rows, lg_k, share * width, width), [], 0
             while True:
                 now, distance = _next(net, state, width), distance + 1
                 held.append((distance, now))
@@ -431,40 +449,73 @@ class Changes:
         held[-1][1].counted = True
 
     def drop(self) -> None:
-        for k in self.kept:
+        for k in (self.hashes, *self.kept):
             k.drop()
 
-    def _walk(self, make, schema: str, counted: DataFrame | None) -> DataFrame:
-        """``make`` of each part's ids and degrees and the rows of its rounds, in order. ``counted`` has id, round, size."""
-        net = self.net
-        rows = net.vectors.select("part", F.lit(0).alias("round"), "ids", "degrees")
+    def _estimated(self, counted: DataFrame | None) -> DataFrame:
+        """part, round, at, size, estimate: by part in order of rounds, first in round 0 the ids and degrees of its nodes,
+        then by place the sizes that ``counted`` (id, round, size; -1 for no longer known) tells, and estimates of the others that changed."""
+        net, lg_k = self.net, self.lg_k
+        rows = net.vectors.join(self.hashes.rows, "part").select("part", F.lit(0).alias("round"), "ids", "degrees", "hashes")
         rows = rows.unionByName(self.rows, allowMissingColumns=True)
         if counted is not None:
             packed = counted.withColumn("part", net.part_of("id")).groupBy("part", "round").applyInArrow(_packed, "part int, round int, exact binary, size binary")
             rows = rows.unionByName(packed, allowMissingColumns=True)
         else:
             rows = rows.withColumns({c: F.lit(None).cast("binary") for c in ("exact", "size")})
-        rows = rows.select("part", "round", "ids", "degrees", "live", "more", "fewer", "exact", "size")
-        lg_k = self.lg_k
+        rows = rows.select("part", "round", "ids", "degrees", "hashes", "live", "more", "fewer", "exact", "size")
 
         def run(batches):
-            kinds = {"ids": np.int64, "degrees": np.int64, "live": np.uint8, "more": np.uint8, "fewer": np.uint8, "exact": np.int64, "size": np.int64}
+            kinds = dict.fromkeys(("ids", "degrees", "hashes", "exact", "size"), np.int64) | dict.fromkeys(("live", "more", "fewer"), np.uint8)
             part = None
-            for row, (ids, degrees, live, more, fewer, exact, sizes) in _rows(batches, **kinds):
+            for row, (ids, degrees, hashes, exact, sizes, live, more, fewer) in _rows(batches, **kinds):
+                if part is not None and (ids is not None or row["round"] != part.round):
+                    yield from part.close()
                 if ids is not None:
-                    if part is not None:
-                        yield part.told()
-                    part = make(ids, degrees, lg_k, 1 << lg_k)
+                    part = _Part(row["part"], ids, hashes, lg_k)
+                    yield from part.rows(ids, degrees)
+                    continue
+                part.round = row["round"]
+                if live is not None:
+                    part.changed(*_unpacked_changes(len(part.ids), *(c.tobytes() for c in (live, more, fewer))))
                 else:
-                    part.reach(row["round"])
-                    if live is not None:
-                        part.changed(*_unpacked_changes(len(part.ids), *(c.tobytes() for c in (live, more, fewer))))
-                    else:
-                        part.counted(np.searchsorted(part.ids, exact), sizes)
+                    yield from part.counted(np.searchsorted(part.ids, exact), sizes)
             if part is not None:
-                yield part.told()
+                yield from part.close()
 
-        return rows.repartition(net.buckets, "part").sortWithinPartitions("part", "round").mapInArrow(run, schema)
+        told = rows.repartition(net.buckets, "part").sortWithinPartitions("part", "round", F.col("exact").isNull())
+        told = told.mapInArrow(run, "part int, round int, at long, size long, header binary")
+        sketch = F.concat("header", F.lit(bytearray(1 << lg_k)))
+        return told.select("part", "round", "at", "size", F.when(F.col("header").isNotNull(), F.hll_sketch_estimate(sketch)).alias("estimate"))
+
+    def _walk(self, make, schema: str, counted: DataFrame | None) -> DataFrame:
+        """What ``make`` of each part's ids and degrees tells after the sizes and estimates of all rounds."""
+
+        def run(batches):
+            now, state, ids, degrees = None, None, [], []
+            for batch in batches:
+                part, rounds, at, size, estimate = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(rounds) != 0)) + 1
+                for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(part)]):
+                    if lo == hi:
+                        continue
+                    if now is not None and part[lo] != now:
+                        yield (state or make(np.concatenate(ids), np.concatenate(degrees))).told()
+                        state, ids, degrees = None, [], []
+                    now = part[lo]
+                    if rounds[lo] == 0:
+                        ids.append(at[lo:hi])
+                        degrees.append(size[lo:hi].astype(np.int64))
+                        continue
+                    state = state or make(np.concatenate(ids), np.concatenate(degrees))
+                    guess = ~np.isnan(estimate[lo:hi].astype(np.float64))
+                    places = at[lo:hi]
+                    state.sized(int(rounds[lo]), places[~guess], size[lo:hi][~guess].astype(np.int64))
+                    state.guessed(int(rounds[lo]), places[guess], estimate[lo:hi][guess].astype(np.int64))
+            if now is not None:
+                yield (state or make(np.concatenate(ids), np.concatenate(degrees))).told()
+
+        return self._estimated(counted).mapInArrow(run, schema)
 
     def sizes(self, counted: DataFrame | None) -> DataFrame:
         """id, seen, steps: how many nodes are reached, and the sum of the steps to them."""
@@ -472,75 +523,72 @@ class Changes:
 
     def short(self, cut: float) -> DataFrame:
         """id, last: the last round in which a set is estimated at most at ``cut``."""
-
-        def make(*args):
-            return _Short(*args, cut)
-
-        return self._walk(make, "id long, last int", None)
+        return self._walk(lambda ids, degrees: _Short(ids, cut), "id long, last int", None)
 
 
-class _Rounds:
-    """Estimates of a part's nodes, round by round."""
+class _Part:
+    """The nodes of a part, round by round: what their registers measure, and whose size is known."""
 
-    def __init__(self, ids, degrees, lg_k, size):
-        self.ids, self.degrees, self.size, self.round = ids, degrees, size, 0
-        self.sums, self.empty = _POWERS[hashed(ids, lg_k)[1]], np.full(len(ids), size - 1, np.int64)
-        self.touched = np.zeros(len(ids), bool)
+    def __init__(self, part, ids, hashes, lg_k):
+        self.part, self.ids, self.lg_k, self.round = part, ids, lg_k, 0
+        self.sums, self.empty = _POWERS[hashed(hashes, lg_k)[1]], np.full(len(ids), (1 << lg_k) - 1, np.int64)
+        self.touched, self.known = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
 
-    def reach(self, number: int) -> None:
-        if number != self.round:
-            self.close()
-            self.round = number
-            self.touched[:] = False
+    def rows(self, at, size=None) -> Iterator[pa.RecordBatch]:
+        """Rows with sizes, or else with what estimates need."""
+        for lo in range(0, len(at), 1 << 16):
+            some = at[lo : lo + (1 << 16)]
+            n = len(some)
+            sizes = pa.nulls(n, pa.int64()) if size is None else pa.array(size[lo : lo + n])
+            header = headers(self.empty[some], self.sums[some], self.lg_k) if size is None else pa.nulls(n, pa.binary())
+            cells = [pa.array(np.full(n, x, np.int32)) for x in (self.part, self.round)]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(some), sizes, header], ["part", "round", "at", "size", "header"])
 
     def changed(self, live, more, fewer) -> None:
         self.sums[live] += more
         self.empty[live] -= fewer
         self.touched[live] = True
 
-    def estimated(self, at: np.ndarray) -> np.ndarray:
-        return np.rint(estimates(self.empty[at], self.sums[at], self.size)).astype(np.int64)
+    def counted(self, at, sizes) -> Iterator[pa.RecordBatch]:
+        self.known[at] = sizes >= 0
+        self.touched[at[sizes < 0]] = True
+        yield from self.rows(at[sizes >= 0], sizes[sizes >= 0])
 
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.round > 1:  # a set within one step is counted by the degree
+            yield from self.rows(np.flatnonzero(self.touched & ~self.known))
+        self.touched[:] = False
 
-class _Sizes(_Rounds):
-    """Sizes of the sets and sums of steps. A set within one step is counted by the degree."""
 
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.seen, self.steps = self.degrees + 1, self.degrees.copy()
-        self.known = np.zeros(len(self.ids), bool)
+class _Sizes:
+    """Sizes of the sets and sums of steps."""
 
-    def counted(self, at, sizes) -> None:
-        """Nodes whose set has a known size from this round on, or (-1) no longer has."""
-        self.known[at] = sizes >= 0
-        self.touched[at[sizes < 0]] = True
-        at, sizes = at[sizes >= 0], sizes[sizes >= 0]
-        self.steps[at] += self.round * (sizes - self.seen[at])
+    def __init__(self, ids, degrees):
+        self.ids, self.seen, self.steps = ids, degrees + 1, degrees.copy()
+
+    def sized(self, distance, at, sizes) -> None:
+        self.steps[at] += distance * (sizes - self.seen[at])
         self.seen[at] = sizes
 
-    def close(self) -> None:
-        if self.round > 1:
-            at = np.flatnonzero(self.touched & ~self.known)
-            now = np.maximum(self.seen[at], self.estimated(at))
-            self.steps[at] += self.round * (now - self.seen[at])
-            self.seen[at] = now
+    def guessed(self, distance, at, sizes) -> None:
+        self.sized(distance, at, np.maximum(self.seen[at], sizes))
 
     def told(self) -> pa.RecordBatch:
-        self.close()
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (self.ids, self.seen, self.steps)], ["id", "seen", "steps"])
 
 
-class _Short(_Rounds):
-    def __init__(self, *args):
-        super().__init__(*args[:-1])
-        self.cut, self.last = args[-1], np.full(len(self.ids), np.iinfo(np.int32).max, np.int32)
+class _Short:
+    def __init__(self, ids, cut):
+        self.ids, self.cut, self.last = ids, cut, np.full(len(ids), np.iinfo(np.int32).max, np.int32)
+
+    def sized(self, distance, at, sizes) -> None:
+        """No sizes are known here."""
 
-    def close(self) -> None:
-        at = np.flatnonzero(self.touched & (self.last > self.round))
-        self.last[at[self.estimated(at) > self.cut]] = self.round - 1
+    def guessed(self, distance, at, sizes) -> None:
+        grown = at[sizes > self.cut]
+        self.last[grown] = np.minimum(self.last[grown], distance - 1)
 
     def told(self) -> pa.RecordBatch:
-        self.close()
         return pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(self.last)], ["id", "last"])
 
 
